@@ -54,20 +54,17 @@ def float_text(c: Column) -> Column:
     """Shortest text of a float: plain digits from 1e-4 up to 1e16, exponent form outside."""
     raw = c.cast("string")
     size = F.abs(c)
-    digits = F.regexp_extract(raw, r"^(.*?)(?:\.0)?E(-?)(\d+)$", 1)
-    sign = F.when(F.regexp_extract(raw, r"E(-?)", 1) == "-", "-").otherwise("+")
-    power = F.regexp_extract(raw, r"E-?(\d+)$", 1)
-    exponent = F.when(F.length(power) < 2, F.concat(F.lit("0"), power)).otherwise(power)
-    # Decimal digits of the shortest rendering; every double below 1e16 fits 17 integer and 21 fraction places.
-    plain = F.regexp_replace(raw.try_cast("decimal(38,21)").cast("string"), r"0+$", "")
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    # Every double below 1e16 fits 17 whole and 21 fraction digits.
+    digits = F.rtrim(raw.try_cast("decimal(38,21)").cast("string"), F.lit("0"))
+    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    tiny = F.regexp_replace(F.regexp_replace(raw, r"(\.0)?E-(\d)$", "e-0$2"), r"(\.0)?E-", "e-")
     return (
-        F.when(F.isnan(c), "nan")
-        .when(raw == "Infinity", "inf")
-        .when(raw == "-Infinity", "-inf")
-        .when(~raw.contains("E"), F.when((size < F.lit(1e-3)) & (size > 0), plain).otherwise(raw))
+        F.when((c == 0) | ((size >= F.lit(1e-3)) & (size < F.lit(1e7))), raw)
         .when((size >= F.lit(1e-4)) & (size < F.lit(1e16)), plain)
-        .otherwise(F.concat(digits, F.lit("e"), sign, exponent))
+        .when(size < F.lit(1e-4), tiny)
+        .when(F.isnan(c), "nan")
+        .when(raw.endswith("Infinity"), F.replace(raw, F.lit("Infinity"), F.lit("inf")))
+        .otherwise(F.regexp_replace(raw, r"(\.0)?E", "e+"))
     )
 
 
@@ -80,12 +77,13 @@ def canonical(c: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, _WHOLE):
         return c.cast("string")
     if isinstance(data_type, _BINARY_FLOAT):
-        wide = c.cast("double")
-        whole = F.when(F.abs(wide) < F.lit(9.0e18), c.try_cast("bigint").cast("string")).otherwise(
-            F.coalesce(wide.try_cast("decimal(38,0)").cast("string"), float_text(c)))
-        integral = (F.abs(wide) >= F.lit(4503599627370496.0)) | (wide == F.floor(wide))
-        return F.when(F.isnan(c) | (F.abs(wide) == F.lit(float("inf"))), float_text(c)).when(
-            integral, whole).otherwise(float_text(c))
+        size = F.abs(c.cast("double"))
+        whole = (c == F.floor(c)) | (size >= F.lit(4503599627370496.0))
+        return (
+            F.when(whole & (size < F.lit(9.0e18)), c.try_cast("bigint").cast("string"))
+            .when(whole & (size < F.lit(9.9e37)), c.try_cast("decimal(38,0)").cast("string"))
+            .otherwise(float_text(c))
+        )
     if isinstance(data_type, T.DecimalType):
         if data_type.scale == 0:
             return c.cast("string")
