@@ -48,3 +48,11 @@ def ranked(df: DataFrame, rank: str, *order) -> DataFrame:
     offsets = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     return placed.join(F.broadcast(offsets), "__part").withColumn(
         rank, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
+
+
+def ranked_within(df: DataFrame, rank: str, group: Sequence[str], *order) -> DataFrame:
+    """`df` with a 1-based rank inside each group; a group of any size is sorted by many tasks."""
+    placed = ranked(df, "__place", *group, *order)
+    starts = placed.groupBy(*group).agg(F.min("__place").alias("__start"))
+    return placed.join(starts, list(group)).withColumn(rank, F.col("__place") - F.col("__start") + 1).drop(
+        "__place", "__start")

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attest.functions.frames import ranked_within
+
 _NON_NAME = r"[^0-9a-zA-Z]+"
 
 
@@ -45,16 +47,9 @@ def slug_expr(name: Column) -> Column:
 
 
 def name_table(df: DataFrame, scope: list[str], name: str, position: str) -> DataFrame:
-    """Slug and de-duplicate a table of names within `scope`, in `position` order; adds ``clean_name``.
-
-    Only names that really repeat inside one scope are numbered, so a scope may hold any number of distinct names.
-    """
-    base = F.when(slug_expr(F.col(name)) == "", "column").otherwise(slug_expr(F.col(name)))
-    turn = F.row_number().over(Window.partitionBy(*scope, "__base").orderBy(position))
-    return (
-        df.withColumn("__base", base)
-        .withColumn("__turn", turn)
-        .withColumn("clean_name", F.when(F.col("__turn") == 1, F.col("__base")).otherwise(
-            F.concat_ws("_", "__base", F.col("__turn").cast("string"))))
-        .drop("__base", "__turn")
-    )
+    """Slug and de-duplicate a table of names within `scope`, in `position` order; adds ``clean_name``."""
+    slugged = slug_expr(F.col(name))
+    base = F.when(slugged == "", "column").otherwise(slugged)
+    placed = ranked_within(df.withColumn("__base", base), "__turn", [*scope, "__base"], position)
+    return placed.withColumn("clean_name", F.when(F.col("__turn") == 1, F.col("__base")).otherwise(
+        F.concat_ws("_", "__base", F.col("__turn").cast("string")))).drop("__base", "__turn")

@@ -1,4 +1,4 @@
 """Queries over the test tables: importing this package registers all of them."""
 
-from workload import probes, profiling  # noqa: F401
+from workload import bookkeeping, probes, profiling  # noqa: F401
 from workload.base import ORACLES, QUERIES  # noqa: F401
