@@ -155,7 +155,7 @@ def check_role_proposals(proposals: DataFrame, roles: DataFrame, profiles: DataF
 def proposals_to_claims(proposals: DataFrame, profiles: DataFrame) -> DataFrame:
     """Role claims of accepted proposals."""
     views, columns = catalogue_index(profiles)
-    refs = proposals.select("id", F.explode(F.map_values("binding")).alias("ref"))
+    refs = proposals.select("id", F.explode(F.map_values("binding")).alias("part")).select("id", F.trim("part").alias("ref"))
     trimmed = F.map_from_entries(F.transform(F.array_sort(F.map_entries("binding")), lambda e: F.struct(
         e["key"].alias("key"), F.trim(e["value"]).alias("value"))))
     text = lambda sep: F.array_join(F.transform(
