@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 TOP_LEVEL = 62
 
+# Keys with more intervals than this are looked up over blocks instead of interval by interval.
+WIDE_KEY = 64
+
 
 def _mask(level: int) -> int:
     return (1 << level) - 1
@@ -55,6 +58,17 @@ def path(point: Column, top: int) -> Column:
     ])
 
 
+def _block_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], top: int) -> DataFrame:
+    """Join on equal keys and common block; points carry ``__at``, intervals ``__lo`` and ``__hi``."""
+    def by_block(df: DataFrame, blocks: Column) -> DataFrame:
+        return df.withColumn("__block", F.explode(blocks)).select(
+            "*", F.col("__block.level").alias("__level"), F.col("__block.node").alias("__node")).drop("__block")
+
+    left = by_block(points, path(F.col("__at"), top))
+    right = by_block(intervals, cover(F.col("__lo"), F.col("__hi"), top))
+    return left.join(right, [*keys, "__level", "__node"])
+
+
 def stab_join(
     points: DataFrame,
     point: Column,
@@ -62,19 +76,27 @@ def stab_join(
     lo: Column,
     hi: Column,
     keys: Sequence[str] = (),
-    top: int = 12,
+    top: int = 16,
+    wide_key: int = WIDE_KEY,
 ) -> DataFrame:
     """Inner join of points with the intervals that hold them, on equal `keys`.
 
-    `point`, `lo` and `hi` are whole numbers (days, codes). `top` is the coarsest level: intervals much wider than
-    ``2**top`` take several blocks of that level. Column names of both sides must differ except for `keys`.
+    `point`, `lo` and `hi` are whole numbers (days, codes). Keys with at most `wide_key` intervals are joined on the key
+    alone and filtered; keys with more, and lookups without a key, go through blocks. `top` is the coarsest block level:
+    intervals much wider than ``2**top`` take several blocks of it. Column names of both sides must differ except for
+    `keys`.
     """
-    left = points.withColumn("__block", F.explode(path(point, top)))
-    right = intervals.withColumn("__block", F.explode(cover(lo, hi, top)))
-    names = ["__level", "__node"]
-    left = left.select("*", F.col("__block.level").alias("__level"), F.col("__block.node").alias("__node")).drop("__block")
-    right = right.select("*", F.col("__block.level").alias("__level"), F.col("__block.node").alias("__node")).drop("__block")
-    return left.join(right, [*keys, *names]).drop(*names)
+    placed = points.withColumn("__at", point.cast("bigint"))
+    spans = intervals.withColumn("__lo", lo.cast("bigint")).withColumn("__hi", hi.cast("bigint"))
+    columns = [*keys, *[c for c in points.columns if c not in keys], *[c for c in intervals.columns if c not in keys]]
+    if not keys:
+        return _block_join(placed, spans, keys, top).select(*columns)
+    keys = list(keys)
+    wide = intervals.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > wide_key).select(*keys)
+    inside = F.col("__at").between(F.col("__lo"), F.col("__hi"))
+    few = placed.join(spans.join(wide, keys, "left_anti"), keys).filter(inside)
+    many = _block_join(placed.join(wide, keys, "left_semi"), spans.join(wide, keys, "left_semi"), keys, top)
+    return few.select(*columns).unionByName(many.select(*columns))
 
 
 def day_number(c: Column) -> Column:

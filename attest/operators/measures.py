@@ -131,7 +131,7 @@ def point_in_time(facts: DataFrame, key: str, moment: str, versions: DataFrame,
     spans = versions.select(
         F.col(key).alias("k"), F.col("valid_from").cast("date").alias("vf"),
         F.coalesce(F.col("valid_to").cast("date"), F.lit(OPEN_END).cast("date")).alias("vt"), F.col(value).alias("v"))
-    hits = stab_join(asked, day_number(F.col("day")), spans, day_number(F.col("vf")), day_number(F.col("vt")), ["k"], top=16)
+    hits = stab_join(asked, day_number(F.col("day")), spans, day_number(F.col("vf")), day_number(F.col("vt")), ["k"])
     found = hits.groupBy("k", "day").agg(F.min_by("v", F.struct("vf", "vt", "v")).alias(value))
     return facts.withColumn("__day", day).join(
         found.select(F.col("k").alias(key), F.col("day").alias("__day"), value), [key, "__day"], "left").drop("__day")

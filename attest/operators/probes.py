@@ -18,14 +18,11 @@ from pyspark.sql import types as T
 
 from attest.functions.canonical import comparison_key, lenient_bigint
 from attest.functions.frames import declared, maybe_broadcast, union_all
-from attest.functions.intervals import TOP_LEVEL, cover, day_number, path, stab_join
+from attest.functions.intervals import TOP_LEVEL, WIDE_KEY, cover, day_number, path, stab_join
 
 # Where open intervals end.
 OPEN_END = "9999-12-31"
 
-# Keys with more distinct intervals than this are compared over interval blocks instead of pair by pair.
-WIDE_KEY_INTERVALS = 64
-
 
 def fragment(sql: str) -> Column:
     """A row-level SQL expression; identifiers may be written in double quotes or in backticks."""
@@ -134,29 +131,21 @@ def _intervals(table: DataFrame, key_column: str, valid_from: str, valid_to: str
 
 
 def validity_join(table: DataFrame, key_column: str, valid_from: str, valid_to: str,
-                  wide_key: int = WIDE_KEY_INTERVALS) -> DataFrame:
+                  wide_key: int = WIDE_KEY) -> DataFrame:
     """Overlapping closed intervals of one key: ``(key, a_from, a_to, b_from, b_to, occurrences)``, a before b.
 
-    Identical intervals are not reported against each other; ``occurrences`` is the number of row pairs. Keys with few
-    distinct intervals are compared directly. Keys with many are compared over interval blocks: interval b can only
-    follow a if its start lies inside a, so b's start is looked up in the cover of a, which spreads one key over many
-    tasks and touches overlapping pairs only.
+    Identical intervals are not reported against each other; ``occurrences`` is the number of row pairs. Interval b can
+    only follow a if b starts inside a, so b's start is looked up in a; keys with many intervals are spread over blocks
+    of days and touch overlapping pairs only.
     """
     intervals = _intervals(table, key_column, valid_from, valid_to)
-    wide = intervals.groupBy("key").agg(F.count(F.lit(1)).alias("distinct_intervals")).filter(
-        F.col("distinct_intervals") > wide_key).select("key")
     a = intervals.select("key", F.col("vf").alias("a_from"), F.col("vt").alias("a_to"), F.col("n").alias("an"))
     b = intervals.select("key", F.col("vf").alias("b_from"), F.col("vt").alias("b_to"), F.col("n").alias("bn"))
-    few = a.join(wide, "key", "left_anti").join(b.join(wide, "key", "left_anti"), "key")
-    many = stab_join(
-        b.join(wide, "key", "left_semi"), day_number(F.col("b_from")),
-        a.join(wide, "key", "left_semi"), day_number(F.col("a_from")), day_number(F.col("a_to")),
-        keys=["key"], top=16)
+    starts_inside = stab_join(b, day_number(F.col("b_from")), a, day_number(F.col("a_from")), day_number(F.col("a_to")),
+                              keys=["key"], wide_key=wide_key)
     before = (F.col("a_from") < F.col("b_from")) | ((F.col("a_from") == F.col("b_from")) & (F.col("a_to") < F.col("b_to")))
-    columns = ["key", "a_from", "a_to", "b_from", "b_to", "an", "bn"]
-    return few.select(*columns).unionByName(many.select(*columns)).filter(
-        before & (F.col("a_to") >= F.col("b_from"))
-    ).select("key", "a_from", "a_to", "b_from", "b_to", (F.col("an") * F.col("bn")).alias("occurrences"))
+    return starts_inside.filter(before & (F.col("a_to") >= F.col("b_from"))).select(
+        "key", "a_from", "a_to", "b_from", "b_to", (F.col("an") * F.col("bn")).alias("occurrences"))
 
 
 def _whole_bound(c: Column, data_type: T.DataType, up: bool) -> Column:
