@@ -165,24 +165,25 @@ def dependency_levels(claims: DataFrame, edges: DataFrame) -> DataFrame:
     prerequisites are all settled; the number of rounds is the depth of the graph. Unknown prerequisites and cycles
     are errors.
     """
-    edges = edges.select("claim_id", "depends_on").distinct()
+    edges = settle(edges.select("claim_id", "depends_on").distinct(), "edges")
     lost = edges.join(claims.select(F.col("claim_id").alias("depends_on")), "depends_on", "left_anti").limit(1).collect()
     if lost:
         raise KeyError(f"claim {lost[0]['claim_id']} depends on unknown claim {lost[0]['depends_on']}")
-    waiting = settle(edges, "edges")
-    unsettled = claims.select("claim_id")
+    # Per round only the edges that still wait are stored; who was settled follows from two neighbouring rounds.
+    unsettled, waiting, open_edges = claims.select("claim_id"), edges, edges.count()
     done: list[DataFrame] = []
     while True:
         blocked = waiting.select("claim_id").distinct()
-        ready = settle(unsettled.join(blocked, "claim_id", "left_anti").withColumn("level", F.lit(len(done))), "level")
-        if ready.isEmpty() and not waiting.isEmpty():
-            raise CycleError("dependency cycle between claims")
-        done.append(ready)
-        if waiting.isEmpty():
+        ready = unsettled.join(blocked, "claim_id", "left_anti")
+        done.append(ready.withColumn("level", F.lit(len(done))))
+        if open_edges == 0:
             return union_all(done)
-        unsettled = settle(blocked, "blocked")
-        waiting = settle(waiting.join(
+        remaining = settle(waiting.join(
             ready.select(F.col("claim_id").alias("depends_on")), "depends_on", "left_anti"), "edges")
+        left = remaining.count()
+        if left == open_edges:
+            raise CycleError("dependency cycle between claims")
+        unsettled, waiting, open_edges = blocked, remaining, left
 
 
 def ready_for_probe(edges: DataFrame, statuses: DataFrame) -> DataFrame:

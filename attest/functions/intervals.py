@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attest.session import settle
+
 TOP_LEVEL = 62
 
 # Keys with more intervals than this are looked up over blocks instead of interval by interval.
@@ -24,38 +26,28 @@ def _mask(level: int) -> int:
     return (1 << level) - 1
 
 
-def _cover_at(lo: Column, hi: Column, level: int, top: int) -> Column:
-    """Blocks of one level in the disjoint cover of [lo, hi]; the top level takes all that is left."""
-    mask = F.lit(_mask(level)).cast("bigint")
-    left = F.shiftright(lo, level) + F.when(lo.bitwiseAND(mask) != 0, 1).otherwise(0)
-    right = F.shiftright(hi, level) - F.when(hi.bitwiseAND(mask) == mask, 0).otherwise(1)
-    empty = F.array().cast("array<bigint>")
-    if level == top:
-        return F.when(left <= right, F.sequence(left, right)).otherwise(empty)
-    one = F.lit(1).cast("bigint")
-    ends = F.array_compact(F.array(
-        F.when(left.bitwiseAND(one) == 1, left),
-        F.when(right.bitwiseAND(one) == 0, right),
-    ))
-    return F.when(left <= right, ends).otherwise(empty)
-
-
-def _tag(nodes: Column, level: int) -> Column:
-    return F.transform(nodes, lambda node: F.struct(F.lit(level).alias("level"), node.alias("node")))
+def cover(lo: str, hi: str, top: int) -> Column:
+    """Disjoint blocks covering the closed interval of the columns `lo` and `hi`; empty if lo > hi.
 
-
-def cover(lo: Column, hi: Column, top: int) -> Column:
-    """Disjoint blocks covering the closed interval [lo, hi], as ``array<struct<level,node>>``; empty if lo > hi."""
-    lo, hi = lo.cast("bigint"), hi.cast("bigint")
-    return F.flatten(F.array(*[_tag(_cover_at(lo, hi, level, top), level) for level in range(top + 1)]))
+    On each level at most one block is taken at either end, the top level takes all that is left. Written as one SQL
+    expression, which keeps plans small: ``b.l`` and ``b.r`` are the first and last block of level ``k`` inside.
+    """
+    mask = "(shiftleft(1L, k) - 1)"
+    return F.expr(f"""
+        flatten(transform(sequence(0, {top}), k -> transform(
+            array(named_struct('l', shiftright({lo}, k) + IF(({lo} & {mask}) <> 0, 1, 0),
+                               'r', shiftright({hi}, k) - IF(({hi} & {mask}) = {mask}, 0, 1))),
+            b -> transform(
+                CASE WHEN b.l > b.r THEN array()
+                     WHEN k = {top} THEN sequence(b.l, b.r)
+                     ELSE array_compact(array(IF((b.l & 1) = 1, b.l, NULL), IF((b.r & 1) = 0, b.r, NULL))) END,
+                n -> named_struct('level', k, 'node', n)))[0]))""")
 
 
-def path(point: Column, top: int) -> Column:
-    """The block of every level that holds the point."""
-    point = point.cast("bigint")
-    return F.array(*[
-        F.struct(F.lit(level).alias("level"), F.shiftright(point, level).alias("node")) for level in range(top + 1)
-    ])
+def path(point: str, top: int) -> Column:
+    """The block of every level that holds the value of the column `point`."""
+    blocks = ", ".join(f"named_struct('level', {k}, 'node', shiftright({point}, {k}))" for k in range(top + 1))
+    return F.expr(f"array({blocks})")
 
 
 def _block_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], top: int) -> DataFrame:
@@ -64,8 +56,8 @@ def _block_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], to
         return df.withColumn("__block", F.explode(blocks)).select(
             "*", F.col("__block.level").alias("__level"), F.col("__block.node").alias("__node")).drop("__block")
 
-    left = by_block(points, path(F.col("__at"), top))
-    right = by_block(intervals, cover(F.col("__lo"), F.col("__hi"), top))
+    left = by_block(points, path("__at", top))
+    right = by_block(intervals, cover("__lo", "__hi", top))
     return left.join(right, [*keys, "__level", "__node"])
 
 
@@ -78,13 +70,14 @@ def stab_join(
     keys: Sequence[str] = (),
     top: int = 16,
     wide_key: int = WIDE_KEY,
+    stored: bool = False,
 ) -> DataFrame:
     """Inner join of points with the intervals that hold them, on equal `keys`.
 
     `point`, `lo` and `hi` are whole numbers (days, codes). Keys with at most `wide_key` intervals are joined on the key
     alone and filtered; keys with more, and lookups without a key, go through blocks. `top` is the coarsest block level:
     intervals much wider than ``2**top`` take several blocks of it. Column names of both sides must differ except for
-    `keys`.
+    `keys`. Both sides are read several times and are written once first, unless they are `stored` tables already.
     """
     placed = points.withColumn("__at", point.cast("bigint"))
     spans = intervals.withColumn("__lo", lo.cast("bigint")).withColumn("__hi", hi.cast("bigint"))
@@ -92,8 +85,12 @@ def stab_join(
     if not keys:
         return _block_join(placed, spans, keys, top).select(*columns)
     keys = list(keys)
-    wide = intervals.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > wide_key).select(*keys)
+    if not stored:
+        placed, spans = settle(placed, "points"), settle(spans, "intervals")
+    wide = spans.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > wide_key).select(*keys)
     inside = F.col("__at").between(F.col("__lo"), F.col("__hi"))
+    if wide.isEmpty():
+        return placed.join(spans, keys).filter(inside).select(*columns)
     few = placed.join(spans.join(wide, keys, "left_anti"), keys).filter(inside)
     many = _block_join(placed.join(wide, keys, "left_semi"), spans.join(wide, keys, "left_semi"), keys, top)
     return few.select(*columns).unionByName(many.select(*columns))

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from attest.functions.canonical import comparison_key, lenient_bigint
 from attest.functions.frames import declared, maybe_broadcast, union_all
 from attest.functions.intervals import TOP_LEVEL, WIDE_KEY, cover, day_number, path, stab_join
+from attest.session import settle
 
 # Where open intervals end.
 OPEN_END = "9999-12-31"
@@ -138,11 +139,11 @@ def validity_join(table: DataFrame, key_column: str, valid_from: str, valid_to:
     only follow a if b starts inside a, so b's start is looked up in a; keys with many intervals are spread over blocks
     of days and touch overlapping pairs only.
     """
-    intervals = _intervals(table, key_column, valid_from, valid_to)
+    intervals = settle(_intervals(table, key_column, valid_from, valid_to), "intervals")
     a = intervals.select("key", F.col("vf").alias("a_from"), F.col("vt").alias("a_to"), F.col("n").alias("an"))
     b = intervals.select("key", F.col("vf").alias("b_from"), F.col("vt").alias("b_to"), F.col("n").alias("bn"))
     starts_inside = stab_join(b, day_number(F.col("b_from")), a, day_number(F.col("a_from")), day_number(F.col("a_to")),
-                              keys=["key"], wide_key=wide_key)
+                              keys=["key"], wide_key=wide_key, stored=True)
     before = (F.col("a_from") < F.col("b_from")) | ((F.col("a_from") == F.col("b_from")) & (F.col("a_to") < F.col("b_to")))
     return starts_inside.filter(before & (F.col("a_to") >= F.col("b_from"))).select(
         "key", "a_from", "a_to", "b_from", "b_to", (F.col("an") * F.col("bn")).alias("occurrences"))
@@ -175,14 +176,15 @@ def range_join(table: DataFrame, value_column: str, ranges: DataFrame, range_fro
         _whole_bound(ranges[range_from], ranges.schema[range_from].dataType, True).alias("lo"),
         _whole_bound(ranges[range_to], ranges.schema[range_to].dataType, False).alias("hi"),
     ).groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+    bounds, values = settle(bounds, "ranges"), settle(values, "values")
     top = _block_levels(bounds)
     blocks = (
-        bounds.select("n", F.explode(cover(F.col("lo"), F.col("hi"), top)).alias("block"))
+        bounds.select("n", F.explode(cover("lo", "hi", top)).alias("block"))
         .groupBy(F.col("block.level").alias("level"), F.col("block.node").alias("node")).agg(F.sum("n").alias("n"))
     )
     matched = (
-        values.select("value", F.explode(path(lenient_bigint(F.col("value")), top)).alias("block"))
-        .filter(F.col("block.node").isNotNull())
+        values.select("value", lenient_bigint(F.col("value")).alias("number")).filter(F.col("number").isNotNull())
+        .select("value", F.explode(path("number", top)).alias("block"))
         .select("value", F.col("block.level").alias("level"), F.col("block.node").alias("node"))
         .join(blocks, ["level", "node"])
         .groupBy("value").agg(F.sum("n").alias("match_count"))
