@@ -73,7 +73,7 @@ def insert_claims(stored: DataFrame, proposed: DataFrame) -> DataFrame:
     """Proposed claims that are new: one per identity, none that is stored already; keyless rows always enter."""
     keyed = with_key(proposed)
     rules = first_per_key(keyed.filter(F.col("claim_key").isNotNull()), "claim_key", ["created_at", "id"])
-    known = with_key(stored).select("claim_key").filter(F.col("claim_key").isNotNull())
+    known = with_key(stored).select("claim_key").filter(F.col("claim_key").isNotNull()).distinct()
     return rules.join(known, "claim_key", "left_anti").unionByName(keyed.filter(F.col("claim_key").isNull()))
 
 
@@ -151,11 +151,12 @@ def dangling(
     ])
     to_probes = links(evidence, "evidence", "probe", F.col("probe_id"), False)
     pairs = [(to_claims, claims), (to_evidence, evidence), (to_sources, sources), (to_probes, probes)]
-    return union_all([
-        refs.join(target.select(F.col("id").alias("missing")), "missing", "left_anti").select(
-            "owner", "owner_id", "edge", "missing")
-        for refs, target in pairs
-    ])
+    found = []
+    for refs, target in pairs:
+        # Each referenced id is looked up once, however many rows refer to it; only the lost ones go back to the rows.
+        lost = refs.select("missing").distinct().join(target.select(F.col("id").alias("missing")), "missing", "left_anti")
+        found.append(refs.join(lost, "missing", "left_semi").select("owner", "owner_id", "edge", "missing"))
+    return union_all(found)
 
 
 def dependency_levels(claims: DataFrame, edges: DataFrame) -> DataFrame:

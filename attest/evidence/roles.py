@@ -108,10 +108,11 @@ def resolve_roles(roles: DataFrame, candidates: DataFrame, evidence: DataFrame,
         F.count(F.lit(1)).alias("n_candidates"), F.bool_or("settled").alias("settled"),
         F.bool_or("probed").alias("probed"), F.bool_and("refused").alias("all_refused"))
     # The options are part of the question text; only roles that people decide list them.
-    asked_roles = F.broadcast(roles.filter(F.col("decided_by") == BY_QUESTION).select("role"))
+    asked_roles = roles.filter(F.col("decided_by") == BY_QUESTION).select("role")
     options = per_claim.join(asked_roles, "role", "left_semi").groupBy("role").agg(
         F.array_join(F.sort_array(F.collect_set("option")), " | ").alias("options"))
-    searched = candidates.select(F.lit(1).alias("searched")).limit(1)
+    # One row at most, so it may be broadcast.
+    searched = F.broadcast(candidates.select(F.lit(1).alias("searched")).limit(1))
     joined = roles.filter(F.col("decided_by") != BY_SLOT).join(per_role, "role", "left").join(options, "role", "left")
     joined = joined.withColumn("searched", F.lit(1)).join(searched, "searched", "left_semi")
     text = (

@@ -257,7 +257,7 @@ def bindings_to_probes(bindings: DataFrame, claims: DataFrame, stored: DataFrame
         params_json(canonical_params(normalise_params(F.col("template"), F.col("params")))).alias("params"))
     if stored is None:
         return rows
-    return rows.join(stored.select("template", "claim_id", "params"), ["template", "claim_id", "params"], "left_anti")
+    return rows.join(stored.select("template", "claim_id", "params").distinct(), ["template", "claim_id", "params"], "left_anti")
 
 
 def claim_identity(claims: DataFrame) -> Column:
@@ -273,7 +273,7 @@ def label_claims(claims: DataFrame) -> DataFrame:
 
 def unbound_claims(resolved: DataFrame, probes: DataFrame) -> DataFrame:
     """Machine-made, still inferred rules without a probe."""
-    bound = probes.select(F.col("claim_id").alias("id")).filter(F.col("id").isNotNull())
+    bound = probes.select(F.col("claim_id").alias("id")).filter(F.col("id").isNotNull()).distinct()
     return resolved.filter(
         (F.col("created_by") == S.AI) & (F.col("status") == S.INFERRED) & F.col("predicate").isNotNull()
     ).join(bound, "id", "left_anti")
@@ -283,7 +283,7 @@ def declare_refusals(refusals: DataFrame, evidence: DataFrame) -> DataFrame:
     """Declarations why claims got no probe ``(claim_id, decision, reason)``, once per claim and decision."""
     once = refusals.groupBy("claim_id", "decision").agg(F.min("reason").alias("reason"))
     said = evidence.filter(F.col("type") == S.DECLARATION).select(
-        "claim_id", F.try_element_at("payload", F.lit("decision")).alias("decision"))
+        "claim_id", F.try_element_at("payload", F.lit("decision")).alias("decision")).distinct()
     return once.join(said, ["claim_id", "decision"], "left_anti").select(
         F.sha2(F.concat_ws("|", "claim_id", "decision"), 256).alias("id"), F.lit(S.DECLARATION).alias("type"),
         F.lit(S.SYSTEM).alias("actor"), "claim_id",

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -43,9 +44,13 @@ def write_exceptions(exceptions: DataFrame, sink: str, run_id: str, probe_id: st
 def _outcome(probe_id: str, check: Check) -> DataFrame:
     """One row: exception count, verdict and summary of a check."""
     if check.statistics_only:
-        counted = check.exceptions.withColumn("exception_count", F.lit(0).cast("bigint"))
+        counted = check.exceptions().withColumn("exception_count", F.lit(0).cast("bigint"))
+    elif check.counted is not None:
+        # More pairs than a bigint holds are reported as the largest bigint.
+        most = F.lit(2**63 - 1).cast("decimal(38,0)")
+        counted = check.counted().select(F.least("found", most).cast("bigint").alias("exception_count"))
     else:
-        counted = check.exceptions.agg(
+        counted = check.exceptions().agg(
             F.coalesce(F.sum(check.weight), F.lit(0)).cast("bigint").alias("exception_count"))
     return counted.select(F.lit(probe_id).alias("probe_id"), "exception_count", check.verdict.alias("verdict"),
                           check.summary.alias("summary"))
@@ -53,8 +58,8 @@ def _outcome(probe_id: str, check: Check) -> DataFrame:
 
 def _samples(probe_id: str, check: Check) -> DataFrame:
     """The first exceptions in report order, as text maps."""
-    cells = [part for c in check.exceptions.columns for part in (F.lit(c), F.col(c).cast("string"))]
-    first = check.exceptions.orderBy(*check.order).limit(S.MAX_SAMPLES)
+    first = check.first() if check.first is not None else check.exceptions().orderBy(*check.order).limit(S.MAX_SAMPLES)
+    cells = [part for c in first.columns for part in (F.lit(c), F.col(c).cast("string"))]
     return first.select(F.lit(probe_id).alias("probe_id"), F.monotonically_increasing_id().alias("at"),
                         F.create_map(*cells).alias("sample"))
 
@@ -117,9 +122,9 @@ def run_probes(
     for probe in probes:
         check = build_check(views, probe, tolerances)
         if sink is not None and not check.statistics_only:
-            kept = settle(check.exceptions, "exceptions")
+            kept = settle(check.exceptions(), "exceptions")
             stored[probe.id] = write_exceptions(kept, sink, run_id, probe.id)
-            check = Check(check.views, check.population, kept, check.order, check.verdict, check.summary, check.weight)
+            check = replace(check, exceptions=lambda kept=kept: kept, counted=None, first=None)
         checks[probe.id] = check
     about = declared(spark, "probe_id string, claim_id string, template string, stored string",
                      [(p.id, p.claim_id, p.template, stored.get(p.id)) for p in probes])

@@ -75,23 +75,26 @@ def resolve_status(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     return known.withColumn("status", _facts_status())
 
 
+def _judge(fresh: DataFrame, known: DataFrame) -> DataFrame:
+    """`fresh` with ``admitted``; only confirmations without a scope have to be looked up among the `known` statements."""
+    stated = known.filter((F.col("type") == S.TESTIMONIAL) & ~F.coalesce("stale", F.lit(False))).select(
+        "claim_id").distinct().withColumn("testimonial", F.lit(True))
+    doubtful = F.coalesce(F.col("type") == S.CONFIRMATION, F.lit(False)) & ~F.coalesce(
+        explicit_scope(F.col("scope")), F.lit(False))
+    looked_up = fresh.filter(doubtful).join(stated, "claim_id", "left").withColumn(
+        "admitted", F.col("testimonial").isNull()).select(*fresh.columns, "admitted")
+    return fresh.filter(~doubtful).withColumn("admitted", F.lit(True)).unionByName(looked_up)
+
+
 def admissible(evidence: DataFrame) -> DataFrame:
     """Evidence with ``admitted``: confirmations of testimonial claims need an explicit scope."""
-    stated = evidence.filter((F.col("type") == S.TESTIMONIAL) & ~F.coalesce("stale", F.lit(False))).select(
-        "claim_id").distinct().withColumn("testimonial", F.lit(True))
-    open_scope = (F.col("type") == S.CONFIRMATION) & ~F.coalesce(explicit_scope(F.col("scope")), F.lit(False))
-    return evidence.join(stated, "claim_id", "left").withColumn(
-        "admitted", ~(open_scope & F.coalesce("testimonial", F.lit(False)))).drop("testimonial")
+    return _judge(evidence, evidence)
 
 
 def attach_evidence(stored: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(stored plus admitted rows, rejected rows); rules are checked against stored evidence."""
     columns = stored.columns
-    stated = stored.filter((F.col("type") == S.TESTIMONIAL) & ~F.coalesce("stale", F.lit(False))).select(
-        "claim_id").distinct().withColumn("testimonial", F.lit(True))
-    open_scope = (F.col("type") == S.CONFIRMATION) & ~F.coalesce(explicit_scope(F.col("scope")), F.lit(False))
-    judged = fresh.join(stated, "claim_id", "left").withColumn(
-        "admitted", ~(open_scope & F.coalesce("testimonial", F.lit(False))))
+    judged = _judge(fresh, stored)
     return (stored.unionByName(judged.filter("admitted").select(*columns)),
             judged.filter("NOT admitted").select(*columns))
 

@@ -14,22 +14,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attest.evidence import verdicts as V
+from attest.evidence.tables import MAX_SAMPLES
 from attest.operators import probes as P
+from attest.session import settle
 
 
 @dataclass(frozen=True)
 class Check:
-    """One instantiated probe, still lazy."""
+    """One instantiated probe.
+
+    `exceptions` gives the full set. Where that set can be far larger than the data (pairs of rows), `counted` gives
+    its size as one row ``(found)`` and `first` its first rows, both without forming the set.
+    """
 
     views: tuple[str, ...]
     population: DataFrame
-    exceptions: DataFrame
+    exceptions: Callable[[], DataFrame]
     order: tuple[Column, ...]
     verdict: Column
     summary: Column
-    weight: Column = field(default_factory=lambda: F.lit(1))
     # A statistics row decides the verdict but is no exception itself.
     statistics_only: bool = False
+    weight: Column = field(default_factory=lambda: F.lit(1))
+    counted: Callable[[], DataFrame] | None = None
+    first: Callable[[], DataFrame] | None = None
 
 
 Views = Mapping[str, DataFrame]
@@ -53,6 +61,17 @@ def _view(views: Views, name: str) -> DataFrame:
     return views[name]
 
 
+def _once(build: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+    """`build` run at most once."""
+    kept: list[DataFrame] = []
+
+    def get() -> DataFrame:
+        if not kept:
+            kept.append(build())
+        return kept[0]
+    return get
+
+
 def _count() -> Column:
     return F.col("exception_count")
 
@@ -62,10 +81,21 @@ def _groups_summary() -> Column:
         F.concat(_count().cast("string"), F.lit(" violating groups")))
 
 
-def _plain(views: tuple[str, ...], driving: DataFrame, exceptions: DataFrame, order: list[Column],
-           weight: Column | None = None) -> Check:
+def _plain(views: tuple[str, ...], driving: DataFrame, exceptions: DataFrame, order: list[Column]) -> Check:
+    return Check(views, driving.agg(F.count(F.lit(1)).alias("population")), lambda: exceptions, tuple(order),
+                 V.empty_expected(_count()), _groups_summary())
+
+
+def _pairs(views: tuple[str, ...], driving: DataFrame, exceptions: Callable[[], DataFrame], order: list[Column],
+           counts: Callable[[], DataFrame], pairs: str, first: Callable[[DataFrame], DataFrame]) -> Check:
+    """A check whose exceptions are pairs of rows; evidence counts them per key and looks at the first keys only."""
+    def first_rows() -> DataFrame:
+        keys = counts().orderBy("key").limit(MAX_SAMPLES).select("key")
+        return first(settle(keys, "keys"))
+
+    total = lambda: counts().agg(F.coalesce(F.sum(pairs), F.lit(0)).alias("found"))
     return Check(views, driving.agg(F.count(F.lit(1)).alias("population")), exceptions, tuple(order),
-                 V.empty_expected(_count()), _groups_summary(), F.lit(1) if weight is None else weight)
+                 V.empty_expected(_count()), _groups_summary(), weight=F.col("occurrences"), counted=total, first=first_rows)
 
 
 def _anti_join(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
@@ -77,7 +107,7 @@ def _anti_join(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
         return base
     summary = F.when(_count() == 0, "no orphans").otherwise(
         F.concat(_count().cast("string"), F.lit(" orphaned groups — needs a domain answer")))
-    return Check(base.views, base.population, found, base.order, V.report_only(_count()), summary)
+    return Check(base.views, base.population, lambda: found, base.order, V.report_only(_count()), summary)
 
 
 def _duplicate(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
@@ -99,7 +129,7 @@ def _coverage(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
                             F.lit(f" of {n} units missing — a finding, not an error")))
     )
     asked = P.expected_units(table, expected).agg(F.count(F.lit(1)).alias("population"))
-    return Check((p["table"],), asked, found, (F.col("missing_unit"),), V.coverage_verdict(_count(), n), summary)
+    return Check((p["table"],), asked, lambda: found, (F.col("missing_unit"),), V.coverage_verdict(_count(), n), summary)
 
 
 def _cardinality(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
@@ -112,16 +142,18 @@ def _cardinality(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
         V.containment(columns["overlap"], columns["child_distinct"]),
         V.uniqueness(columns["parent_distinct"], columns["parent_rows"]))
     summary = F.when(verdict == V.PASS, figures).otherwise(F.concat(F.lit("not reference-shaped: "), figures))
-    return Check((p["child"], p["parent"]), child.agg(F.count(F.lit(1)).alias("population")), stats, (), verdict,
+    return Check((p["child"], p["parent"]), child.agg(F.count(F.lit(1)).alias("population")), lambda: stats, (), verdict,
                  summary, statistics_only=True)
 
 
 def _attribute_contradiction(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
     left, right = _view(views, p["left"]), _view(views, p["right"])
-    found = P.attribute_contradiction(left, right, p["left_key"], p["right_key"], p["left_attr"], p["right_attr"],
-                                      p.get("canonical", True))
-    return _plain((p["left"], p["right"]), left, found, [F.col("key"), F.col("left_value"), F.col("right_value")],
-                  F.col("occurrences"))
+    args = (left, right, p["left_key"], p["right_key"], p["left_attr"], p["right_attr"])
+    form = p.get("canonical", True)
+    counts = _once(lambda: settle(P.contradiction_counts(*args, form), "contradictions"))
+    return _pairs((p["left"], p["right"]), left, lambda: P.attribute_contradiction(*args, form),
+                  [F.col("key"), F.col("left_value"), F.col("right_value")], counts, "contradictions",
+                  lambda keys: P.first_contradictions(*args, keys, MAX_SAMPLES, form))
 
 
 def _reconciliation(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
@@ -133,9 +165,11 @@ def _reconciliation(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
 
 def _validity_join(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
     table = _view(views, p["table"])
-    found = P.validity_join(table, p["key_column"], p["valid_from"], p["valid_to"])
-    return _plain((p["table"],), table, found, [F.col("key"), F.col("a_from"), F.col("a_to"), F.col("b_from"),
-                                                F.col("b_to")], F.col("occurrences"))
+    args = (table, p["key_column"], p["valid_from"], p["valid_to"])
+    counts = _once(lambda: settle(P.validity_overlap_counts(*args), "overlaps"))
+    return _pairs((p["table"],), table, lambda: P.validity_join(*args),
+                  [F.col("key"), F.col("a_from"), F.col("a_to"), F.col("b_from"), F.col("b_to")], counts, "overlaps",
+                  lambda keys: P.first_validity_overlaps(*args, keys, MAX_SAMPLES))
 
 
 def _range_join(views: Views, p: Params, tol: Mapping[str, float]) -> Check:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from attest.functions.frames import union_all
 from attest.functions.intervals import day_number, stab_join
+from attest.session import settle
 
 # Revenue accounts, the ranges netted or excluded, fallback rate, rebate terms, open end of a version.
 REVENUE = (4000, 4999)
@@ -47,7 +48,8 @@ def convert(ledger: DataFrame, rates: DataFrame, source: str = "USD", target: st
     `rates` is ``(period, from_currency, to_currency, rate_type, rate_value)``.
     """
     chosen = rates.filter((F.col("from_currency") == source) & (F.col("to_currency") == target) & (F.col("rate_type") == rate_type))
-    one = chosen.groupBy("period").agg(F.max("rate_value").alias("rate"))
+    # One row per period; stored first so that its size is known and the ledger is not shuffled for the lookup.
+    one = settle(chosen.groupBy("period").agg(F.max("rate_value").alias("rate")), "rates")
     fallback = F.lit(FALLBACK_RATE).cast(rates.schema["rate_value"].dataType)
     return ledger.join(one, "period", "left").withColumn("rate", F.coalesce("rate", fallback)).withColumn(
         "converted", F.col("amount") * F.col("rate"))
@@ -146,7 +148,7 @@ def customer_months(lines: DataFrame, versions: DataFrame, new_ids: DataFrame, i
     daily = lines.groupBy("customer_id", "day").agg(F.sum("revenue").alias("revenue"), F.sum("cost").alias("cost"))
     current = daily.join(new_ids.select(F.col("old_id").alias("customer_id"), "new_id"), "customer_id", "left").withColumn(
         "customer_id", F.coalesce("new_id", "customer_id")).drop("new_id")
-    external = current.join(intercompany.select("customer_id"), "customer_id", "left_anti")
+    external = current.join(intercompany.select("customer_id").distinct(), "customer_id", "left_anti")
     placed = point_in_time(external, "customer_id", "day", versions, "key_account")
     return placed.groupBy("customer_id", "key_account", F.date_format("day", "yyyy-MM").alias("period")).agg(
         F.sum("revenue").alias("revenue"), F.sum(F.col("revenue") - F.col("cost")).alias("margin"))

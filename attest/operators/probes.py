@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,6 +103,51 @@ def attribute_contradiction(left: DataFrame, right: DataFrame, left_key: str, ri
         "key", "left_value", "right_value", (F.col("nl") * F.col("nr")).alias("occurrences"))
 
 
+def contradiction_counts(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_attr: str,
+                         right_attr: str, canonical_form: bool = True) -> DataFrame:
+    """``(key, contradictions)``: row pairs whose attributes differ, counted without forming any pair.
+
+    Of the L x R pairs of a key those with equal attributes agree, so two aggregations are enough, whatever the number
+    of rows a key holds.
+    """
+    def side(df: DataFrame, key: str, attr: str, nl: int, nr: int) -> DataFrame:
+        return df.select(
+            comparison_key(df, key, canonical_form).alias("key"), comparison_key(df, attr, canonical_form).alias("value"),
+            F.lit(nl).cast("bigint").alias("nl"), F.lit(nr).cast("bigint").alias("nr"))
+
+    both = side(left, left_key, left_attr, 1, 0).unionByName(side(right, right_key, right_attr, 0, 1))
+    per_value = both.filter(F.col("key").isNotNull()).groupBy("key", "value").agg(
+        F.sum("nl").alias("nl"), F.sum("nr").alias("nr"))
+    wide = lambda c: c.cast("decimal(19,0)")
+    agreeing = F.sum(wide(F.col("nl")) * wide(F.col("nr")))
+    pairs = wide(F.sum("nl")) * wide(F.sum("nr"))
+    return per_value.groupBy("key").agg((pairs - agreeing).cast("decimal(38,0)").alias("contradictions")).filter(
+        F.col("contradictions") > 0)
+
+
+def first_contradictions(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_attr: str,
+                         right_attr: str, keys: DataFrame, limit: int, canonical_form: bool = True) -> DataFrame:
+    """The first `limit` contradictions of the few `keys` given, in (key, left, right) order.
+
+    The first pairs of a key lie among its `limit` + 1 smallest values of either side, so at most that many values per
+    key are paired.
+    """
+    def smallest(df: DataFrame, key: str, attr: str, value: str) -> DataFrame:
+        picked = df.select(comparison_key(df, key, canonical_form).alias("key"),
+                           comparison_key(df, attr, canonical_form).alias(value))
+        counted = picked.join(F.broadcast(keys), "key", "left_semi").groupBy("key", value).agg(
+            F.count(F.lit(1)).alias(f"n_{value}"))
+        turn = F.row_number().over(Window.partitionBy("key").orderBy(value))
+        return counted.withColumn("__turn", turn).filter(F.col("__turn") <= limit + 1).drop("__turn")
+
+    linked = smallest(left, left_key, left_attr, "left_value").join(
+        smallest(right, right_key, right_attr, "right_value"), "key")
+    return linked.filter(~F.col("left_value").eqNullSafe(F.col("right_value"))).select(
+        "key", "left_value", "right_value",
+        (F.col("n_left_value") * F.col("n_right_value")).alias("occurrences")).orderBy(
+        "key", "left_value", "right_value").limit(limit)
+
+
 def reconciliation(left: DataFrame, right: DataFrame, left_group: str, right_group: str, left_measure: str,
                    right_measure: str, tolerance: float = 0.01, left_where: str | None = None,
                    right_where: str | None = None) -> DataFrame:
@@ -149,6 +194,51 @@ def validity_join(table: DataFrame, key_column: str, valid_from: str, valid_to:
         "key", "a_from", "a_to", "b_from", "b_to", (F.col("an") * F.col("bn")).alias("occurrences"))
 
 
+def validity_overlap_counts(table: DataFrame, key_column: str, valid_from: str, valid_to: str) -> DataFrame:
+    """``(key, overlaps)``: overlapping row pairs per key, counted without forming any pair.
+
+    The rows that start before b, less those that ended before b starts, are the ones b overlaps. Both are running sums
+    over the days of a key, so a key is ordered by its distinct days and not by its rows; pairs with one start day are
+    counted by their ends.
+    """
+    intervals = settle(_intervals(table, key_column, valid_from, valid_to), "intervals")
+    number = "decimal(19,0)"
+    real = intervals.filter(F.col("vf") <= F.col("vt"))
+    zero = F.lit(0).cast("bigint")
+    moments = union_all([
+        real.select("key", F.col("vf").alias("at"), F.col("n").alias("starts"), zero.alias("ends"), zero.alias("rows")),
+        real.select("key", F.col("vt").alias("at"), zero.alias("starts"), F.col("n").alias("ends"), zero.alias("rows")),
+        intervals.select("key", F.col("vf").alias("at"), zero.alias("starts"), zero.alias("ends"), F.col("n").alias("rows")),
+    ]).groupBy("key", "at").agg(*[F.sum(c).alias(c) for c in ("starts", "ends", "rows")])
+    earlier = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    open_before = F.coalesce(F.sum(F.col("starts") - F.col("ends")).over(earlier), zero)
+    across = moments.select("key", (F.col("rows").cast(number) * open_before.cast(number)).alias("pairs"))
+    shorter = Window.partitionBy("key", "vf").orderBy("vt").rowsBetween(Window.unboundedPreceding, -1)
+    same_day = real.select("key", (F.col("n").cast(number) * F.coalesce(F.sum("n").over(shorter), zero).cast(number)).alias("pairs"))
+    return across.unionByName(same_day).groupBy("key").agg(F.sum("pairs").cast("decimal(38,0)").alias("overlaps")).filter(
+        F.col("overlaps") > 0)
+
+
+def first_validity_overlaps(table: DataFrame, key_column: str, valid_from: str, valid_to: str, keys: DataFrame,
+                            limit: int) -> DataFrame:
+    """The first `limit` overlapping pairs of the few `keys` given, in (key, a, b) order.
+
+    In start order an interval overlaps some later one exactly if it overlaps the next one, so the first `limit` such
+    intervals of a key are enough as left side.
+    """
+    intervals = _intervals(table, key_column, valid_from, valid_to).join(F.broadcast(keys), "key", "left_semi")
+    ordered = Window.partitionBy("key").orderBy("vf", "vt")
+    touching = intervals.withColumn("__next", F.lead("vf").over(ordered)).filter(
+        (F.col("__next") <= F.col("vt")) & (F.col("vf") <= F.col("vt")))
+    a = touching.withColumn("__turn", F.row_number().over(ordered)).filter(F.col("__turn") <= limit).select(
+        "key", F.col("vf").alias("a_from"), F.col("vt").alias("a_to"), F.col("n").alias("an"))
+    b = intervals.select("key", F.col("vf").alias("b_from"), F.col("vt").alias("b_to"), F.col("n").alias("bn"))
+    before = (F.col("a_from") < F.col("b_from")) | ((F.col("a_from") == F.col("b_from")) & (F.col("a_to") < F.col("b_to")))
+    return b.join(F.broadcast(a), "key").filter(before & (F.col("a_to") >= F.col("b_from"))).select(
+        "key", "a_from", "a_to", "b_from", "b_to", (F.col("an") * F.col("bn")).alias("occurrences")).orderBy(
+        "key", "a_from", "a_to", "b_from", "b_to").limit(limit)
+
+
 def _whole_bound(c: Column, data_type: T.DataType, up: bool) -> Column:
     """A range bound as whole number: the lower bound rounds up, the upper bound down."""
     if isinstance(data_type, T.StringType):

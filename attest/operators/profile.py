@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attest.functions.canonical import CLASS_EMPTY, pattern_mask, value_class
 from attest.operators.values import columns_frame, settled_counts
+from attest.session import settle
 
 TOP_VALUES = 10
 SAMPLE_VALUES = 200
@@ -76,7 +77,7 @@ def profile_views(views: Mapping[str, DataFrame], counts: DataFrame | None = Non
     `counts` may be a stored value-count table; otherwise the sources are counted once first.
     """
     counts = settled_counts(views, counts)
-    sample = value_sample(counts)
+    sample = settle(value_sample(counts), "sample")
     listed = lambda frame, name, field: frame.groupBy("cid").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", field, "n"))),
                     lambda item: F.struct(item[field].alias(field), item["n"].alias("count"))).alias(name))

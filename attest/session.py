@@ -26,9 +26,11 @@ def local_session(app: str = "attest", cores: str | int = 8, partitions: int = 8
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: the one the cluster names, or a fresh one only where none is set."""
+    """The folder every executor can reach: the one the cluster names, or, in local mode only, a fresh one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()

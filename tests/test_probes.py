@@ -111,6 +111,36 @@ def test_overlapping_validity_against_brute_force(spark, wide_key):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_pairs_are_counted_without_forming_them(spark, seed):
+    rng = random.Random(seed)
+    start = date(2024, 1, 1)
+    spans = []
+    for _ in range(150):
+        vf = start + timedelta(days=rng.randint(0, 60))
+        spans.append(("hot" if rng.random() < 0.5 else f"k{rng.randint(0, 30)}", vf, None if rng.random() < 0.1 else vf + timedelta(days=rng.randint(-2, 20))))
+    table = declared(spark, "k string, vf date, vt date", spans)
+    pairs = P.validity_join(table, "k", "vf", "vt").collect()
+    total: dict = {}
+    for r in pairs:
+        total[r["key"]] = total.get(r["key"], 0) + r["occurrences"]
+    assert {r["key"]: int(r["overlaps"]) for r in P.validity_overlap_counts(table, "k", "vf", "vt").collect()} == total
+    check = build_check({"t": table}, Probe("p", "validity_join", {"table": "t", "key_column": "k", "valid_from": "vf", "valid_to": "vt"}))
+    assert [tuple(r) for r in check.first().collect()] == sorted(map(tuple, pairs))[:20]
+    side = lambda: [("hot" if rng.random() < 0.5 else f"k{rng.randint(0, 9)}", rng.choice([None, "a", "b", "c", "d"])) for _ in range(60)]
+    views = {n: declared(spark, "k string, a string", side()) for n in ("l", "r")}
+    args = (views["l"], views["r"], "k", "k", "a", "a")
+    pairs = P.attribute_contradiction(*args).collect()
+    total = {}
+    for r in pairs:
+        total[r["key"]] = total.get(r["key"], 0) + r["occurrences"]
+    assert {r["key"]: int(r["contradictions"]) for r in P.contradiction_counts(*args).collect()} == total
+    check = build_check(views, Probe("p", "attribute_contradiction", {"left": "l", "right": "r", "left_key": "k", "right_key": "k", "left_attr": "a", "right_attr": "a"}))
+    order = lambda r: (r[0], r[1] is not None, r[1] or "", r[2] is not None, r[2] or "")
+    assert [tuple(r) for r in check.first().collect()] == sorted(map(tuple, pairs), key=order)[:20]
+    assert check.counted().first()[0] == sum(total.values())
+
+
 def test_identical_and_touching_intervals(spark):
     d = date
     t = declared(spark, "k bigint, vf date, vt date", [(1, d(2024, 1, 1), d(2024, 1, 31)), (1, d(2024, 1, 1), d(2024, 1, 31)), (2, d(2024, 1, 1), d(2024, 1, 31)), (2, d(2024, 1, 31), None), (3, d(2024, 1, 1), d(2024, 1, 30)), (3, d(2024, 1, 31), None)])

@@ -119,6 +119,17 @@ def attribute_contradiction(spark: SparkSession, sf: str) -> DataFrame:
                                      "c_custkey", "s_nationkey", "c_nationkey")
 
 
+@query("probe_contradiction_counts", """
+    SELECT CAST(o.o_custkey AS VARCHAR) AS key, CAST(count(*) AS BIGINT) AS contradictions
+    FROM orders o JOIN orders p ON o.o_custkey = p.o_custkey
+    WHERE o.o_orderpriority IS DISTINCT FROM p.o_orderpriority GROUP BY 1""")
+def contradiction_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of one customer with different priorities: pairs within a key, counted without forming them."""
+    orders = table(spark, sf, "orders")
+    found = P.contradiction_counts(orders, orders, "o_custkey", "o_custkey", "o_orderpriority", "o_orderpriority")
+    return found.select("key", F.col("contradictions").cast("bigint").alias("contradictions"))
+
+
 RECONCILIATION_SQL = """
     WITH l AS (SELECT CAST(o_orderkey AS VARCHAR) AS grp, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total FROM orders GROUP BY 1),
     r AS (SELECT CAST(l_orderkey AS VARCHAR) AS grp, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS total FROM lineitem GROUP BY 1)
@@ -182,6 +193,17 @@ def validity(spark: SparkSession, sf: str) -> DataFrame:
                         "occurrences")
 
 
+@query("probe_validity_counts", f"""
+    WITH {VALIDITY_CTE},
+    v AS (SELECT CAST(o_custkey AS VARCHAR) k, valid_from vf, coalesce(valid_to, DATE '9999-12-31') vt FROM validity)
+    SELECT a.k AS key, count(*) AS overlaps
+    FROM v a JOIN v b ON a.k = b.k AND (a.vf < b.vf OR (a.vf = b.vf AND a.vt < b.vt)) AND a.vt >= b.vf GROUP BY 1""")
+def validity_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlapping pairs per key by running sums, without forming a pair."""
+    found = P.validity_overlap_counts(order_validity(spark, sf), "o_custkey", "valid_from", "valid_to")
+    return found.select("key", F.col("overlaps").cast("bigint").alias("overlaps"))
+
+
 @query("probe_validity_hot_key", """
     WITH v AS (SELECT o_orderpriority k, CAST(o_orderdate AS DATE) vf, CAST(o_orderdate AS DATE) + 2 vt FROM orders),
     d AS (SELECT k, vf, vt, count(*) AS n FROM v GROUP BY ALL)
