@@ -45,8 +45,20 @@ def anti_join(child: DataFrame, child_column: str, parent: DataFrame, parent_col
     return keys.groupBy("value").agg(F.count(F.lit(1)).alias("occurrences")).join(known, "value", "left_anti")
 
 
-def duplicate(table: DataFrame, key_columns: Sequence[str]) -> DataFrame:
-    """Key groups that hold more than one row: ``(*key_columns, occurrences)``; NULLs form a group like any value."""
+def duplicate(table: DataFrame, key_columns: Sequence[str], long_text: bool = False) -> DataFrame:
+    """Key groups that hold more than one row: ``(*key_columns, occurrences)``; NULLs form a group like any value.
+
+    With `long_text` (text keys only) digests are counted first and only texts whose digest repeats are shuffled and
+    compared in full, so that unique documents never leave their task.
+    """
+    if long_text:
+        if any(not isinstance(table.schema[c].dataType, T.StringType) for c in key_columns):
+            raise ValueError("long_text needs text keys")
+        keys = table.select(*[table[c] for c in key_columns])
+        digest = F.sha2(F.to_json(F.struct(*key_columns), {"ignoreNullFields": "false"}), 256)
+        digested = keys.withColumn("__digest", digest)
+        repeated = digested.groupBy("__digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__digest")
+        table = digested.join(settle(repeated, "repeated"), "__digest", "left_semi")
     return table.groupBy(*[table[c] for c in key_columns]).agg(F.count(F.lit(1)).alias("occurrences")).filter(
         F.col("occurrences") > 1)
 

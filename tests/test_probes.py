@@ -48,6 +48,9 @@ def test_duplicates_count_null_keys(spark):
     t = declared(spark, "a string, b bigint", [("x", 1), ("x", 1), (None, 1), (None, 1), ("y", 1)])
     assert rows(P.duplicate(t, ["a", "b"])) == [("x", 1, 2), (None, 1, 2)]
     assert rows(P.duplicate(t.filter("a = 'y'"), ["a"])) == []
+    assert rows(P.duplicate(t, ["a"], long_text=True)) == [("x", 2), (None, 2)]
+    with pytest.raises(ValueError):
+        P.duplicate(t, ["b"], long_text=True)
 
 
 def test_coverage_verdicts(spark):

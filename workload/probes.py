@@ -62,7 +62,7 @@ def duplicate(spark: SparkSession, sf: str) -> DataFrame:
 @query("probe_duplicate_texts", """
     SELECT text, count(*) AS occurrences FROM documents GROUP BY 1 HAVING count(*) > 1""")
 def duplicate_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return P.duplicate(table(spark, sf, "documents"), ["text"])
+    return P.duplicate(table(spark, sf, "documents"), ["text"], long_text=True)
 
 
 @query("probe_grain", """
