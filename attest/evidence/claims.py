@@ -162,29 +162,30 @@ def dangling(
 def dependency_levels(claims: DataFrame, edges: DataFrame) -> DataFrame:
     """``(claim_id, level)``: claims without prerequisites are level 0, others come after their last prerequisite.
 
-    `claims` has ``claim_id``, `edges` has ``(claim_id, depends_on)``. Each round settles the claims whose
-    prerequisites are all settled; the number of rounds is the depth of the graph. Unknown prerequisites and cycles
+    `claims` has ``claim_id``, `edges` has ``(claim_id, depends_on)``. Each round removes the edges whose
+    prerequisite waits for nothing; the number of rounds is the depth of the graph. Unknown prerequisites and cycles
     are errors.
     """
     edges = settle(edges.select("claim_id", "depends_on").distinct(), "edges")
     lost = edges.join(claims.select(F.col("claim_id").alias("depends_on")), "depends_on", "left_anti").limit(1).collect()
     if lost:
         raise KeyError(f"claim {lost[0]['claim_id']} depends on unknown claim {lost[0]['depends_on']}")
-    # Per round only the edges that still wait are stored; who was settled follows from two neighbouring rounds.
-    unsettled, waiting, open_edges = claims.select("claim_id"), edges, edges.count()
-    done: list[DataFrame] = []
-    while True:
+    # An edge goes on waiting while its prerequisite itself waits; a claim's level is the number of rounds it waited.
+    waiting, open_edges = edges, edges.count()
+    rounds: list[DataFrame] = []
+    while open_edges > 0:
         blocked = waiting.select("claim_id").distinct()
-        ready = unsettled.join(blocked, "claim_id", "left_anti")
-        done.append(ready.withColumn("level", F.lit(len(done))))
-        if open_edges == 0:
-            return union_all(done)
-        remaining = settle(waiting.join(
-            ready.select(F.col("claim_id").alias("depends_on")), "depends_on", "left_anti"), "edges")
-        left = remaining.count()
+        rounds.append(blocked)
+        waiting = settle(waiting.join(blocked.withColumnRenamed("claim_id", "depends_on"), "depends_on", "left_semi"), "edges")
+        left = waiting.count()
         if left == open_edges:
             raise CycleError("dependency cycle between claims")
-        unsettled, waiting, open_edges = blocked, remaining, left
+        open_edges = left
+    if not rounds:
+        return claims.select("claim_id", F.lit(0).alias("level"))
+    waited = union_all(rounds).groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"))
+    return claims.select("claim_id").join(waited, "claim_id", "left").select(
+        "claim_id", F.coalesce("n", F.lit(0)).cast("int").alias("level"))
 
 
 def ready_for_probe(edges: DataFrame, statuses: DataFrame) -> DataFrame:

@@ -64,29 +64,44 @@ def _samples(probe_id: str, check: Check) -> DataFrame:
                         F.create_map(*cells).alias("sample"))
 
 
-def probe_counts(checks: Mapping[str, Check]) -> DataFrame:
-    """``(probe_id, population, exception_count, verdict, summary)`` for all checks in one plan, without samples."""
-    populations = union_all([c.population.select(F.lit(p).alias("probe_id"), "population") for p, c in checks.items()])
-    outcomes = union_all([_outcome(p, c) for p, c in checks.items()])
-    return populations.join(outcomes, "probe_id").withColumn(
-        "exception_count", F.least("exception_count", "population"))
+def _gather(parts: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:
+    """One row per probe from frames that each know some of the columns."""
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merged.unionByName(part, allowMissingColumns=True)
+    return merged.groupBy("probe_id").agg(*[F.any_value(c, F.lit(True)).alias(c) for c in columns])
 
 
-def probe_outcomes(checks: Mapping[str, Check]) -> DataFrame:
-    """``(probe_id, population, exception_count, verdict, summary, exception_samples)`` for all checks in one plan.
+def _counted_parts(checks: Mapping[str, Check]) -> list[DataFrame]:
+    populations = [c.population.select(F.lit(p).alias("probe_id"), "population") for p, c in checks.items()]
+    return [union_all(populations), union_all([_outcome(p, c) for p, c in checks.items()])]
+
+
+COUNTS = ("population", "exception_count", "verdict", "summary")
+
+
+def probe_counts(checks: Mapping[str, Check]) -> DataFrame:
+    """``(probe_id, population, exception_count, verdict, summary)`` for all checks in one plan, without samples.
 
     Exceptions are counted in report rows and never exceed the population.
     """
-    counts = probe_counts(checks)
+    return _gather(_counted_parts(checks), COUNTS).withColumn(
+        "exception_count", F.least("exception_count", "population"))
+
+
+def probe_outcomes(checks: Mapping[str, Check]) -> DataFrame:
+    """``probe_counts`` with the first exceptions of each check as ``exception_samples``."""
+    parts = _counted_parts(checks)
     samples = [_samples(p, c) for p, c in checks.items() if not c.statistics_only]
     empty = F.array().cast("array<map<string,string>>")
     if not samples:
-        return counts.withColumn("exception_samples", empty)
+        return probe_counts(checks).withColumn("exception_samples", empty)
     cells = F.struct("at", F.map_entries("sample").alias("cells"))
-    picked = union_all(samples).groupBy("probe_id").agg(F.array_sort(F.collect_list(cells)).alias("picked"))
-    return counts.join(picked, "probe_id", "left").select(
-        *counts.columns, F.coalesce(F.transform("picked", lambda item: F.map_from_entries(item["cells"])), empty).alias(
-            "exception_samples"))
+    # At most 20 rows per probe come together here.
+    parts.append(union_all(samples).groupBy("probe_id").agg(F.array_sort(F.collect_list(cells)).alias("picked")))
+    return _gather(parts, (*COUNTS, "picked")).select(
+        "probe_id", "population", F.least("exception_count", "population").alias("exception_count"), "verdict", "summary",
+        F.coalesce(F.transform("picked", lambda item: F.map_from_entries(item["cells"])), empty).alias("exception_samples"))
 
 
 def view_fingerprints(views: Mapping[str, DataFrame], names: Sequence[str] | None = None) -> DataFrame:

@@ -75,7 +75,7 @@ def named(views: dict[str, DataFrame], frame: DataFrame) -> DataFrame:
 
 @query("profile_topk", f"""
     WITH {star_cte(PROFILED)}
-    SELECT tbl AS "table", col AS "column", v AS value, n, r AS rank FROM (
+    SELECT tbl AS "table", col AS "column", v AS value, n, CAST(r AS INTEGER) AS rank FROM (
       SELECT tbl, col, v, n, row_number() OVER (PARTITION BY tbl, col ORDER BY n DESC, v) AS r
       FROM (SELECT tbl, col, v, count(*) AS n FROM vals WHERE v IS NOT NULL GROUP BY ALL)) WHERE r <= 10""")
 def profile_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,7 +94,7 @@ def profile_sample(spark: SparkSession, sf: str) -> DataFrame:
     WITH {star_cte(PROFILED)}, {SAMPLE_CTE},
     m AS (SELECT tbl, col, regexp_replace(regexp_replace(v, '[0-9]', '9', 'g'), '[A-Za-z]', 'A', 'g') AS mask, count(*) AS n
           FROM sample GROUP BY 1, 2, 3)
-    SELECT tbl AS "table", col AS "column", mask, n, r AS rank FROM (
+    SELECT tbl AS "table", col AS "column", mask, n, CAST(r AS INTEGER) AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY tbl, col ORDER BY n DESC, mask) AS r FROM m) WHERE r <= 5""")
 def profile_masks(spark: SparkSession, sf: str) -> DataFrame:
     views = profiled(spark, sf)
