@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attest.evidence import tables as S
@@ -68,23 +68,19 @@ def false_promotions(resolved: DataFrame) -> DataFrame:
     return resolved.filter((F.col("created_by") == S.AI) & (F.col("status") != S.INFERRED) & (F.col("by_probe") == 0))
 
 
-MATCHER_SCHEMA = "rule string, predicates array<string>, groups array<array<string>>"
+Rule = tuple[str, Sequence[str] | None, Sequence[Sequence[str]]]
 
 
-def matchers(spark: SparkSession, rows: Iterable[tuple[str, Sequence[str] | None, Sequence[Sequence[str]]]]) -> DataFrame:
-    return declared(spark, MATCHER_SCHEMA, rows)
-
-
-def recall(claims: DataFrame, rules: DataFrame) -> DataFrame:
+def recall(claims: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``(rule, found, claim_id)``: whether some claim has an allowed predicate and hits every token group.
 
-    `claims` carries ``(id, predicate, haystack)``, `rules` is a short declared list. Each claim is tested against the
-    list inside its row, so claims are never multiplied by rules; only hits leave the scan.
+    `claims` carries ``(id, predicate, haystack)``, `rules` is a short declared list of (rule, predicates or None, token
+    groups). Each claim is tested against the list inside its row, so claims are never multiplied by rules; only hits
+    leave the scan.
     """
-    listed = [(r["rule"], r["predicates"], r["groups"]) for r in rules.collect()]
     text = F.lower(F.col("haystack"))
     hits = []
-    for rule, predicates, groups in listed:
+    for rule, predicates, groups in rules:
         allowed = F.lit(True) if predicates is None else F.coalesce(F.col("predicate").isin(list(predicates)), F.lit(False))
         for group in groups:
             one = F.lit(False)
@@ -94,7 +90,7 @@ def recall(claims: DataFrame, rules: DataFrame) -> DataFrame:
         hits.append(F.when(allowed, F.lit(rule)))
     found = claims.select("id", F.explode(F.array_compact(F.array(*hits))).alias("rule")).groupBy("rule").agg(
         F.min("id").alias("claim_id"))
-    return rules.select("rule").join(found, "rule", "left").select(
+    return declared(claims.sparkSession, "rule string", [(r[0],) for r in rules]).join(found, "rule", "left").select(
         "rule", F.col("claim_id").isNotNull().alias("found"), "claim_id")
 
 

@@ -101,17 +101,18 @@ def export_snapshot(views: Mapping[str, DataFrame], folder: str) -> DataFrame:
     return row_counts({name: spark.read.parquet(f"{folder}/{name}") for name in views})
 
 
-def write_matrix(matrix: DataFrame, header: DataFrame, folder: str, shown: int = 1000) -> None:
-    """Candidates and header as JSON, plus a readable table of the first rows; equal input gives equal files."""
+def write_matrix(matrix: DataFrame, header: DataFrame, folder: str) -> None:
+    """Candidates and header as JSON, plus the candidates as a readable table, all in report order."""
     order = [F.col("containment").desc(), F.col("overlap").desc(), F.col("left"), F.col("right")]
     matrix.orderBy(*order).write.mode("overwrite").json(f"{folder}/candidate_matrix")
     header.write.mode("overwrite").json(f"{folder}/candidate_matrix_header")
     cell = [F.lit("| "), F.col("left"), F.lit(" | "), F.col("right"), F.lit(" | "), F.col("overlap").cast("string"),
             F.lit(" | "), F.col("containment").cast("string"), F.lit(" | "), F.col("jaccard").cast("string"), F.lit(" |")]
-    lines = matrix.orderBy(*order).limit(shown).select(F.concat(*cell).alias("value"))
-    head = declared(matrix.sparkSession, "value string", [
-        ("| left | right | overlap | containment | jaccard |",), ("|---|---|---|---|---|",)])
-    head.coalesce(1).unionByName(lines).coalesce(1).write.mode("overwrite").text(f"{folder}/candidate_matrix_readable")
+    head = declared(matrix.sparkSession, "line int, value string", [
+        (0, "| left | right | overlap | containment | jaccard |"), (1, "|---|---|---|---|---|")])
+    body = matrix.select(F.lit(2).alias("line"), F.concat(*cell).alias("value"), *matrix.columns)
+    head.unionByName(body, allowMissingColumns=True).orderBy("line", *order).select("value").write.mode("overwrite").text(
+        f"{folder}/candidate_matrix_readable")
 
 
 def read_matrix(spark: SparkSession, folder: str) -> DataFrame:

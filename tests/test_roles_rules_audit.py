@@ -121,7 +121,7 @@ def test_contracts_cover_the_registry():
 
 def test_recall_needs_predicate_and_all_groups(spark):
     claims = declared(spark, "id string, predicate string, haystack string", [("a", "references", "Orders AND invoices"), ("b", "covers", "orders storno"), ("c", None, "legacy ids")])
-    matchers = A.matchers(spark, [("r1", None, [["orders"], ["invoices", "bills"]]), ("r2", ["references"], [["storno"]]), ("r3", None, [["LEGACY"]])])
+    matchers = ([("r1", None, [["orders"], ["invoices", "bills"]]), ("r2", ["references"], [["storno"]]), ("r3", None, [["LEGACY"]])])
     assert rows(A.recall(claims, matchers)) == [("r1", True, "a"), ("r2", False, None), ("r3", True, "c")]
 
 

@@ -431,7 +431,7 @@ RULES = [
     FROM (VALUES ('machines'), ('first customer'), ('cars of nation 3'), ('nothing like it')) r(rule) LEFT JOIN hits USING (rule) GROUP BY 1""")
 def recall(spark: SparkSession, sf: str) -> DataFrame:
     haystack = F.concat_ws(" ", "statement", "params")
-    return A.recall(claims(spark, sf).withColumn("haystack", haystack), A.matchers(spark, RULES))
+    return A.recall(claims(spark, sf).withColumn("haystack", haystack), RULES)
 
 
 def traps(spark: SparkSession, sf: str) -> DataFrame:

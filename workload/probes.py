@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attest.evidence.runner import build_check, draft_questions, probe_counts, probe_outcomes, run_probes
-from attest.evidence.tables import Probe
 from attest.evidence import verdicts as V
+from attest.evidence.status import resolve_status
+from attest.evidence.tables import EVIDENCE, Probe
+from attest.functions.frames import declared, union_all
 from attest.operators import probes as P
+from attest.plans.sweep import run_ready
+from attest.session import shared_folder
 from workload.base import query, table, tables
 
 # Months 1995-01 .. 2001-12.
@@ -221,7 +228,6 @@ def validity_hot_key(spark: SparkSession, sf: str) -> DataFrame:
 
 # Bands with a gap (21-24) and an overlap (10).
 def size_bands(spark: SparkSession) -> DataFrame:
-    from attest.functions.frames import declared
     return declared(spark, "band string, lo bigint, hi bigint", [("s", 1, 10), ("m", 10, 20), ("l", 25, 50)])
 
 
@@ -427,6 +433,47 @@ def drafted_questions(spark: SparkSession, sf: str) -> DataFrame:
     return draft_questions(run_probes(probe_views(spark, sf), chosen), chosen).select("question")
 
 
+@query("exception_sets", """
+    SELECT 'p01' AS probe_id, CAST(o_orderkey AS VARCHAR) AS a, CAST(count(*) AS VARCHAR) AS b FROM orders
+    WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) GROUP BY 2
+    UNION ALL SELECT 'p15', coalesce(l.period, r.period), CAST(coalesce(l.legs, 0) AS VARCHAR) FROM
+      (SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) AS legs FROM orders GROUP BY 1) l FULL JOIN
+      (SELECT strftime(l_shipdate, '%Y-%m') AS period, count(*) AS legs FROM lineitem GROUP BY 1) r ON l.period = r.period
+    WHERE coalesce(l.legs, 0) <> coalesce(r.legs, 0)""")
+def exception_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Full exception sets as the sink stores them, read back through the evidence rows that point to them."""
+    chosen = [p for p in ALL_PROBES if p.id in ("p01", "p15")]
+    sink = f"{shared_folder(spark)}/exceptions-{uuid.uuid4().hex}"
+    evidence = run_probes(probe_views(spark, sf), chosen, sink=sink)
+    parts = []
+    for row in evidence.select("probe_id", "result_ref").orderBy("probe_id").collect():
+        found = spark.read.parquet(row["result_ref"])
+        parts.append(found.select(F.lit(row["probe_id"]).alias("probe_id"), F.col(found.columns[0]).alias("a"),
+                                  F.col(found.columns[1]).alias("b")))
+    return union_all(parts)
+
+
+# Claim c<nn> is tested by probe p<nn>; the listed prerequisites gate some of them.
+PREREQUISITES = {"c01": ["c06"], "c03": ["c01"], "c15": ["c04", "c06"], "c13": ["c02"]}
+SWEPT = ("p01", "p02", "p03", "p04", "p06", "p13", "p15")
+
+
+@query("sweep_statuses", VERDICT_SQL + f"""
+    , own AS (SELECT 'c' || substr(probe_id, 2) AS id, CASE verdict WHEN 'pass' THEN 'tested' WHEN 'fail' THEN 'contradicted' ELSE 'inferred' END AS status
+      FROM judged WHERE probe_id IN ({", ".join(f"'{p}'" for p in SWEPT)})),
+    pre(id, dep) AS (VALUES {", ".join(f"('{c}', '{d}')" for c, deps in PREREQUISITES.items() for d in deps)}),
+    first AS (SELECT own.id, CASE WHEN bool_and(coalesce(o.status, 'tested') = 'tested') THEN any_value(own.status) ELSE 'inferred' END AS status
+      FROM own LEFT JOIN pre ON pre.id = own.id LEFT JOIN own o ON o.id = pre.dep GROUP BY 1)
+    SELECT id, status FROM first""")
+def sweep_statuses(spark: SparkSession, sf: str) -> DataFrame:
+    """A dependency-gated sweep: claims whose prerequisites did not hold are not probed."""
+    claims = declared(spark, "id string, depends_on array<string>",
+                      [("c" + p[1:], PREREQUISITES.get("c" + p[1:], [])) for p in SWEPT])
+    probes = [replace(p, claim_id="c" + p.id[1:]) for p in ALL_PROBES if p.id in SWEPT]
+    swept = run_ready(probe_views(spark, sf), claims, declared(spark, EVIDENCE, []), probes)
+    return resolve_status(claims, swept.evidence).select("id", "status")
+
+
 @query("evidence_samples", """
     WITH bad AS (SELECT CAST(o_orderkey AS VARCHAR) AS value, count(*) AS occurrences FROM orders
                  WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) GROUP BY 1)

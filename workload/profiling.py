@@ -14,6 +14,7 @@ from attest.functions.names import name_table
 from attest.operators import overlap as O
 from attest.operators import profile as P
 from attest.operators.values import columns_frame, settled_counts, value_counts
+from attest.plans.scan import scan
 from attest.sources.catalog import build_catalog, row_counts
 from attest.sources.grid import normalize_grid
 from attest.sources.specs import SourceSpec
@@ -32,13 +33,18 @@ STAR = {
     "part": {"p_partkey": WHOLE, "p_name": TEXT, "p_brand": TEXT, "p_type": TEXT, "p_size": WHOLE, "p_retailprice": DOUBLE},
     "supplier": {"s_suppkey": WHOLE, "s_name": TEXT, "s_nationkey": WHOLE, "s_acctbal": DOUBLE},
     "nation": {"n_nationkey": WHOLE, "n_name": TEXT, "n_regionkey": WHOLE},
+    "region": {"r_regionkey": WHOLE, "r_name": TEXT},
+    "lineitem": {"l_orderkey": WHOLE, "l_partkey": WHOLE, "l_suppkey": WHOLE, "l_linenumber": WHOLE, "l_quantity": DOUBLE,
+                 "l_extendedprice": DOUBLE, "l_discount": DOUBLE, "l_tax": DOUBLE, "l_returnflag": TEXT, "l_linestatus": TEXT,
+                 "l_shipdate": STAMP},
+    "documents": {"doc_id": WHOLE, "text": TEXT, "lang": TEXT, "source": TEXT, "n_chars": WHOLE},
+    "embeddings": {"vec_id": WHOLE, "label": WHOLE},
+    "pages": {"page_id": WHOLE, "url": TEXT, "html": TEXT},
+    "benchmark": {"item_id": WHOLE, "text": TEXT},
+    "labels": {"doc_id": WHOLE, "quality": WHOLE, "toxic": WHOLE},
+    "conversations": {"conv_id": WHOLE, "turn": WHOLE, "role": TEXT, "text": TEXT},
     "events": {"event_id": WHOLE, "ts": STAMP, "user_id": WHOLE, "event_type": TEXT, "value": DOUBLE, "props": TEXT},
 }
-STAR_TYPES = {
-    "c_custkey": "BIGINT", "c_name": "VARCHAR", "c_nationkey": "INTEGER", "c_acctbal": "DOUBLE", "c_mktsegment": "VARCHAR",
-}
-
-
 def star_cte(names) -> str:
     return "vals AS MATERIALIZED (" + " UNION ALL ".join(
         f"SELECT '{t}' AS tbl, '{c}' AS col, {form.format(c=c)} AS v FROM {t}"
@@ -119,6 +125,20 @@ def text_masks(spark: SparkSession, sf: str) -> DataFrame:
     return texts.groupBy(C.pattern_mask(F.col("text")).alias("mask")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("scan_profiles", f"""
+    WITH {star_cte(TABLES)}, {SAMPLE_CTE},
+    cls AS (SELECT tbl, col, {CLASS_SQL} AS value_class FROM sample GROUP BY 1, 2)
+    SELECT 'test__' || tbl AS "table", col AS "column", count(*) AS row_count, count(*) - count(v) AS null_count,
+           count(DISTINCT v) AS distinct_count, md5(min(v)) AS min, md5(max(v)) AS max, min(length(v)) AS len_min,
+           max(length(v)) AS len_max, any_value(value_class) AS value_class
+    FROM vals JOIN cls USING (tbl, col) GROUP BY 1, 2""")
+def scan_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole pipeline over the folder: catalogue, fingerprints, value counts, profiles, matrix."""
+    found = scan(spark, [SourceSpec("Test", "tables", sf)], content=False).profiles
+    return found.select("table", "column", "row_count", "null_count", "distinct_count", F.md5("min").alias("min"),
+                        F.md5("max").alias("max"), "len_min", "len_max", "value_class")
+
+
 MATRIX = ("customer", "orders", "part", "supplier", "nation")
 PAIRS_CTE = f"""{star_cte(MATRIX)}, {SAMPLE_CTE},
     cls AS (SELECT tbl, col, {CLASS_SQL} AS cl FROM sample GROUP BY 1, 2),
