@@ -81,7 +81,7 @@ def fx_convert(spark: SparkSession, sf: str) -> DataFrame:
     WITH {LEDGER}, {RATES}, t AS (SELECT entity, CAST(-sum(amount) AS DECIMAL(18,2)) AS revenue FROM ledger
       WHERE account_id BETWEEN 4000 AND 4999 AND account_id NOT BETWEEN 4300 AND 4309 GROUP BY 1),
     r AS (SELECT CAST(CAST(sum(rate) AS DOUBLE) / count(rate) AS DECIMAL(18,6)) AS ar FROM rates)
-    SELECT entity, CAST(round(revenue * CASE WHEN entity = 'US' THEN ar ELSE CAST(1 AS DECIMAL(18,6)) END, 2) AS DOUBLE) AS converted FROM t, r""")
+    SELECT entity, CAST(round(CAST(revenue AS DECIMAL(20,2)) * CASE WHEN entity = 'US' THEN ar ELSE CAST(1 AS DECIMAL(18,6)) END, 2) AS DOUBLE) AS converted FROM t, r""")
 def fx_average(spark: SparkSession, sf: str) -> DataFrame:
     totals = M.revenue_range(ledger(spark, sf), M.INTERCOMPANY).select(
         "entity", F.col("revenue").cast(D2).alias("revenue"), F.when(F.col("entity") == "US", "USD").otherwise("EUR").alias("currency"))
