@@ -91,8 +91,9 @@ def probe_counts(checks: Mapping[str, Check]) -> DataFrame:
 
 def probe_outcomes(checks: Mapping[str, Check]) -> DataFrame:
     """``probe_counts`` with the first exceptions of each check as ``exception_samples``."""
-    parts = _counted_parts(checks)
+    # Samples come first: what they store, the counts read again.
     samples = [_samples(p, c) for p, c in checks.items() if not c.statistics_only]
+    parts = _counted_parts(checks)
     empty = F.array().cast("array<map<string,string>>")
     if not samples:
         return probe_counts(checks).withColumn("exception_samples", empty)

@@ -61,17 +61,6 @@ def _view(views: Views, name: str) -> DataFrame:
     return views[name]
 
 
-def _once(build: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
-    """`build` run at most once."""
-    kept: list[DataFrame] = []
-
-    def get() -> DataFrame:
-        if not kept:
-            kept.append(build())
-        return kept[0]
-    return get
-
-
 def _count() -> Column:
     return F.col("exception_count")
 
@@ -88,12 +77,22 @@ def _plain(views: tuple[str, ...], driving: DataFrame, exceptions: DataFrame, or
 
 def _pairs(views: tuple[str, ...], driving: DataFrame, exceptions: Callable[[], DataFrame], order: list[Column],
            counts: Callable[[], DataFrame], pairs: str, first: Callable[[DataFrame], DataFrame]) -> Check:
-    """A check whose exceptions are pairs of rows; evidence counts them per key and looks at the first keys only."""
+    """A check whose exceptions are pairs of rows; evidence counts them per key and looks at the first keys only.
+
+    The counts per key are stored once samples ask for them, because the total then needs them as well.
+    """
+    kept: list[DataFrame] = []
+
     def first_rows() -> DataFrame:
-        keys = counts().orderBy("key").limit(MAX_SAMPLES).select("key")
+        if not kept:
+            kept.append(settle(counts(), "pair-counts"))
+        keys = kept[0].orderBy("key").limit(MAX_SAMPLES).select("key")
         return first(settle(keys, "keys"))
 
-    total = lambda: counts().agg(F.coalesce(F.sum(pairs), F.lit(0)).alias("found"))
+    def total() -> DataFrame:
+        per_key = kept[0] if kept else counts()
+        return per_key.agg(F.coalesce(F.sum(pairs), F.lit(0)).alias("found"))
+
     return Check(views, driving.agg(F.count(F.lit(1)).alias("population")), exceptions, tuple(order),
                  V.empty_expected(_count()), _groups_summary(), weight=F.col("occurrences"), counted=total, first=first_rows)
 
@@ -150,9 +149,9 @@ def _attribute_contradiction(views: Views, p: Params, tol: Mapping[str, float])
     left, right = _view(views, p["left"]), _view(views, p["right"])
     args = (left, right, p["left_key"], p["right_key"], p["left_attr"], p["right_attr"])
     form = p.get("canonical", True)
-    counts = _once(lambda: settle(P.contradiction_counts(*args, form), "contradictions"))
     return _pairs((p["left"], p["right"]), left, lambda: P.attribute_contradiction(*args, form),
-                  [F.col("key"), F.col("left_value"), F.col("right_value")], counts, "contradictions",
+                  [F.col("key"), F.col("left_value"), F.col("right_value")],
+                  lambda: P.contradiction_counts(*args, form), "contradictions",
                   lambda keys: P.first_contradictions(*args, keys, MAX_SAMPLES, form))
 
 
@@ -166,9 +165,9 @@ def _reconciliation(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
 def _validity_join(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
     table = _view(views, p["table"])
     args = (table, p["key_column"], p["valid_from"], p["valid_to"])
-    counts = _once(lambda: settle(P.validity_overlap_counts(*args), "overlaps"))
     return _pairs((p["table"],), table, lambda: P.validity_join(*args),
-                  [F.col("key"), F.col("a_from"), F.col("a_to"), F.col("b_from"), F.col("b_to")], counts, "overlaps",
+                  [F.col("key"), F.col("a_from"), F.col("a_to"), F.col("b_from"), F.col("b_to")],
+                  lambda: P.validity_overlap_counts(*args), "overlaps",
                   lambda keys: P.first_validity_overlaps(*args, keys, MAX_SAMPLES))
 
 
