@@ -86,9 +86,9 @@ def span_hash(level: np.ndarray, width: int, starts: np.ndarray, lengths: np.nda
     return out
 
 
-def _prefix(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _prefix(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of code times base power up to each position, and the inverse powers that shift a difference back."""
-    n = len(raw)
+    n = len(codes)
     powers = np.empty(n + 1, np.uint64)
     inverse = np.empty(n + 1, np.uint64)
     powers[0] = inverse[0] = 1
@@ -97,15 +97,20 @@ def _prefix(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     np.multiply.accumulate(powers, out=powers)
     np.multiply.accumulate(inverse, out=inverse)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_CODES[raw] * powers[:-1], out=sums[1:])
+    np.cumsum(codes * powers[:-1], out=sums[1:])
     return sums, inverse
 
 
 def piece_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the byte pieces [start, end) of any lengths."""
-    if len(raw) == 0:
+    return coded_hashes(_CODES[raw], starts, ends)
+
+
+def coded_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the pieces [start, end) of a sequence of 64-bit codes."""
+    if len(codes) == 0:
         return np.zeros(len(starts), np.uint64)
-    sums, inverse = _prefix(raw)
+    sums, inverse = _prefix(codes)
     return scramble((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _ODD)
 
 

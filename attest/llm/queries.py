@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attest.llm.packing import pack
 from attest.llm.suffix_dedup import remove_repeats
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -18,8 +22,13 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(_table(spark, folder, "documents"), ["doc_id"], TOKENIZER)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {}
