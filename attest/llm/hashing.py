@@ -53,7 +53,7 @@ def text_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return raw[at[0]:at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """`batch` in runs of rows of about `most_bytes` text at most; a longer single text is a run of its own."""
     if batch.num_rows == 0:
         return
@@ -66,15 +66,15 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Ite
         first = last
 
 
-def power_hashes(raw: np.ndarray, most: int) -> dict[int, np.ndarray]:
-    """Hashes of all windows of 1, 2, 4, ... `most` bytes, by their start; shorter arrays for longer windows."""
-    level = _CODES[raw]
-    out = {1: level}
-    width = 1
-    while width < most:
+def power_hashes(raw: np.ndarray, widths: set[int]) -> dict[int, np.ndarray]:
+    """Hashes of all windows of each of `widths` bytes (powers of two) by their start; fewer of the longer windows."""
+    level, width = _CODES[raw], 1
+    out = {1: level} if 1 in widths else {}
+    while width < max(widths):
         level = mix(level[:-width], level[width:]) if len(level) > width else level[:0]
         width *= 2
-        out[width] = level
+        if width in widths:
+            out[width] = level
     return out
 
 

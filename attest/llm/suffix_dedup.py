@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from attest.llm.common import arrow_map, discard, stored
 from attest.llm.hashing import mix, power_hashes, signed, slices, span_hash, text_column
 
-_PIECE = 1 << 23
+_PIECE = 1 << 21
 _PLACE = np.uint64((1 << 26) - 1)
 
 
@@ -46,7 +46,7 @@ def _runs(raw: np.ndarray, at: np.ndarray, d: Depth):
     windows = len(raw) - d.length + 1
     if windows <= 0:
         return None
-    levels = power_hashes(raw, d.power)
+    levels = power_hashes(raw, {d.gram, d.power})
     grams = levels[d.gram]
     best = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
     width = 1
@@ -131,7 +131,7 @@ def _block_rows(d: Depth):
     def rows(batch: pa.RecordBatch):
         for part in slices(batch, "bytes"):
             raw, at = text_column(part.column("bytes"))
-            level = power_hashes(raw, d.power)[d.power]
+            level = power_hashes(raw, {d.power})[d.power]
             where = part.column("place").to_numpy()
             gram, many = where & 0x3FFF, ((where >> 14) & 0x3FFF) + 1
             low, high = np.maximum(gram - many + 1, 0) // d.block, gram // d.block  # blocks by distance from the gram
@@ -152,9 +152,9 @@ def _block_rows(d: Depth):
 
 def _window_rows(d: Depth):
     def rows(batch: pa.RecordBatch):
-        for part in slices(batch, "bytes", 1 << 20):
+        for part in slices(batch, "bytes", 1 << 18):
             raw, at = text_column(part.column("bytes"))
-            level = power_hashes(raw, d.power)[d.power]
+            level = power_hashes(raw, {d.power})[d.power]
             where = part.column("place").to_numpy()
             gram, many = where & 0x3FFF, ((where >> 14) & 0x3FFF) + 1
             blocks = part.column("blocks")
@@ -261,7 +261,7 @@ def remove_repeats(docs: DataFrame, columns: list[str], text: str = "text", leng
 
     A byte goes if it lies in a string of `length` bytes that also starts anywhere else, in the same text or another;
     strings are judged on the input and do not cross texts. Null texts are empty. Repeated rows repeat each other, ties do
-    not arise, empty tables give no rows, texts shorter than `length` stay whole, and texts longer than 8 MB are read in
+    not arise, empty tables give no rows, texts shorter than `length` stay whole, and texts longer than 4 MB are read in
     overlapping pieces. `columns` may have any names but the four above.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
