@@ -6,8 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attest.llm.mixing import mix_plan
 from attest.llm.packing import pack
+from attest.llm.sharding import shard
 from attest.llm.suffix_dedup import remove_repeats
+from attest.llm.topk import top_k
+from attest.llm.warc import archive_folder, read_archives, write_archives
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -26,9 +30,60 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents"), ["doc_id"], TOKENIZER)
 
 
+def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return shard(_table(spark, folder, "documents"), shards=24).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    plan = mix_plan(_table(spark, folder, "documents"))
+    each = plan.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return each.select("doc_id", "size", "source_size", "target",
+                       (F.col("size") * (F.col("epochs") + (F.col("k") <= F.col("extra")).cast("long"))).alias("taken"))
+
+
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    manifest = write_archives(_table(spark, folder, "pages"), archive_folder(spark))
+    return read_archives(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20, scale=64)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_sharding": op4_sharding,
+    "op6_mixing": op6_mixing,
+    "op8_warc": op8_warc,
+    "op9_exact_topk": op9_exact_topk,
 }
 
-ORACLES: dict[str, str] = {}
+_OP8_SQL = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as x from pages),
+k as (select *, max(page_id) over (partition by x) as keeper from p),
+b as (select *, list_transform(range(0, 8), g -> ('0x' || substr(x, 1 + 5 * g::int, 5))::int) as parts from k)
+select page_id, payload_bytes::bigint as payload_bytes,
+  array_to_string(list_transform(range(0, 32), c -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((parts[1 + (c::int // 4)] >> (15 - 5 * (c::int % 4))) & 31), 1)), '') as payload_digest,
+  case when page_id is not distinct from keeper then 'response' else 'revisit' end as record_type,
+  case when page_id is distinct from keeper then keeper end as refers_to
+from b
+"""
+
+_OP9_SQL = """
+with v as (select vec_id, list_transform(embedding, x -> floor(64 * x::double)) as v from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id and len(c.v) = len(q.v)),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 20
+"""
+
+ORACLES: dict[str, str] = {
+    "op8_warc": _OP8_SQL,
+    "op9_exact_topk": _OP9_SQL,
+}
