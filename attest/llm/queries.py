@@ -64,9 +64,9 @@ QUERIES = {
 _OP8_SQL = """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as x from pages),
 k as (select *, max(page_id) over (partition by x) as keeper from p),
-b as (select *, list_transform(range(0, 8), g -> ('0x' || substr(x, 1 + 5 * g::int, 5))::int) as parts from k)
+b as (select *, list_transform(range(0, 8), lambda g: ('0x' || substr(x, 1 + 5 * g::int, 5))::int) as parts from k)
 select page_id, payload_bytes::bigint as payload_bytes,
-  array_to_string(list_transform(range(0, 32), c -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  array_to_string(list_transform(range(0, 32), lambda c: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + ((parts[1 + (c::int // 4)] >> (15 - 5 * (c::int % 4))) & 31), 1)), '') as payload_digest,
   case when page_id is not distinct from keeper then 'response' else 'revisit' end as record_type,
   case when page_id is distinct from keeper then keeper end as refers_to
@@ -74,9 +74,9 @@ from b
 """
 
 _OP9_SQL = """
-with v as (select vec_id, list_transform(embedding, x -> floor(64 * x::double)) as v from embeddings
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
   where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
   from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id and len(c.v) = len(q.v)),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
