@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attest.llm.jaccard import similar_groups
 from attest.llm.mixing import mix_plan
 from attest.llm.packing import pack
 from attest.llm.sharding import shard
@@ -52,6 +53,10 @@ def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20, scale=64)
 
 
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_groups(_table(spark, folder, "documents")).select("doc_id", "class_id", "n_links")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -59,6 +64,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op8_warc": op8_warc,
     "op9_exact_topk": op9_exact_topk,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 _OP8_SQL = """
@@ -83,7 +89,23 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank::int as rank, vec_id, score from r where rank <= 20
 """
 
+_OP10_SQL = r"""
+with recursive w as (select row_number() over () as r, doc_id,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select distinct r, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3),
+    lambda i: array_to_string(ws[i:i + 4], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as sh from w),
+n as (select r, count(*) as n from s group by r),
+e as (select a.r as a, b.r as b from s a join s b using (sh) where a.r <> b.r group by a.r, b.r
+    having 9 * count(*) >= 4 * ((select n from n where n.r = a.r) + (select n from n where n.r = b.r))),
+c as (select a, b from e union select c.a, e.b from c join e on c.b = e.a),
+l as (select a, count(*) as n_links from e group by a),
+m as (select c.a, min(w.doc_id) as class_id from c join w on w.r = c.b group by c.a)
+select doc_id, least(doc_id, coalesce(class_id, doc_id)) as class_id, coalesce(n_links, 0)::bigint as n_links
+from w left join l on l.a = w.r left join m on m.a = w.r
+"""
+
 ORACLES: dict[str, str] = {
     "op8_warc": _OP8_SQL,
     "op9_exact_topk": _OP9_SQL,
+    "op10_jaccard_join": _OP10_SQL,
 }
