@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from attest.llm.jaccard import similar_groups
 from attest.llm.mixing import mix_plan
 from attest.llm.packing import pack
+from attest.llm.secrets import scan
 from attest.llm.sharding import shard
 from attest.llm.suffix_dedup import remove_repeats
 from attest.llm.topk import top_k
@@ -31,6 +32,10 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents"), ["doc_id"], TOKENIZER)
 
 
+def op3_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return scan(_table(spark, folder, "documents"), {"doc_id": F.col("doc_id")})
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard(_table(spark, folder, "documents"), shards=24).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -60,6 +65,7 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_secret_scans": op3_secret_scans,
     "op4_sharding": op4_sharding,
     "op6_mixing": op6_mixing,
     "op8_warc": op8_warc,
