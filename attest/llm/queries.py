@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attest.llm.jaccard import similar_groups
+from attest.llm.lines import judge, learn
 from attest.llm.mixing import mix_plan
 from attest.llm.packing import pack
 from attest.llm.secrets import scan
@@ -48,6 +49,11 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
                        (F.col("size") * (F.col("epochs") + (F.col("k") <= F.col("extra")).cast("long"))).alias("taken"))
 
 
+def op7_line_labelling(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return judge(docs, ["doc_id"], learn(docs, _table(spark, folder, "labels")))
+
+
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     manifest = write_archives(_table(spark, folder, "pages"), archive_folder(spark))
     return read_archives(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -68,6 +74,7 @@ QUERIES = {
     "op3_secret_scans": op3_secret_scans,
     "op4_sharding": op4_sharding,
     "op6_mixing": op6_mixing,
+    "op7_line_labelling": op7_line_labelling,
     "op8_warc": op8_warc,
     "op9_exact_topk": op9_exact_topk,
     "op10_jaccard_join": op10_jaccard_join,
