@@ -19,7 +19,7 @@ from attest.llm.hashing import piece_hashes, shingles_of, slices, text_column, w
 
 WINDOW = 5
 SAMPLE_DOCS = 3_000  # labelled documents of which the field is fitted, at most about this many
-CHAIN = 64  # lines of a training chain; longer documents give several
+CHAIN = 16  # lines of a training chain; longer documents give several
 FEATURES = ["one", "words", "short", "symbols", "signs", "upper", "same", "repeated", "duplicate", "digits", "single"]
 _SYMBOLS = np.zeros(256, np.int64)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = 1
@@ -149,7 +149,7 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, step: np.ndarray) -> np.ndarr
     return out
 
 
-def fit(chains: list[tuple[np.ndarray, int]], rounds: int = 300, decay: float = 0.02) -> Field:
+def fit(chains: list[tuple[np.ndarray, int]], rounds: int = 250, decay: float = 0.001) -> Field:
     """Gradient ascent on the likelihood of chains (features of lines, label of all of them)."""
     parts = [(f[k:k + CHAIN], y) for f, y in chains for k in range(0, len(f), CHAIN)]
     if len({y for _, y in parts}) < 2:
@@ -189,7 +189,7 @@ def fit(chains: list[tuple[np.ndarray, int]], rounds: int = 300, decay: float =
         g_s = (truth - expected) / total - decay * step
         m_e, v_e = 0.9 * m_e + 0.1 * g_e, 0.99 * v_e + 0.01 * g_e ** 2
         m_s, v_s = 0.9 * m_s + 0.1 * g_s, 0.99 * v_s + 0.01 * g_s ** 2
-        rate = 0.1 / (1 - 0.9 ** turn)
+        rate = 0.15 / (1 - 0.9 ** turn)
         emission = emission + rate * m_e / (np.sqrt(v_e / (1 - 0.99 ** turn)) + 1e-8)
         step = step + rate * m_s / (np.sqrt(v_s / (1 - 0.99 ** turn)) + 1e-8)
     return Field(emission, step)
