@@ -10,6 +10,7 @@ from attest.llm.jaccard import similar_groups
 from attest.llm.lines import judge, learn
 from attest.llm.mixing import mix_plan
 from attest.llm.packing import pack
+from attest.llm.quality import classify
 from attest.llm.secrets import scan
 from attest.llm.sharding import shard
 from attest.llm.suffix_dedup import remove_repeats
@@ -42,6 +43,13 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = lambda c: F.crc32(c.cast("string").cast("binary")) % 4 == 2
+    docs = _table(spark, folder, "documents").withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    scored = classify(docs, _table(spark, folder, "labels"), ["doc_id", "held_out"], ~held_out(F.col("id")))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     plan = mix_plan(_table(spark, folder, "documents"))
     each = plan.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
@@ -73,6 +81,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_secret_scans": op3_secret_scans,
     "op4_sharding": op4_sharding,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_mixing": op6_mixing,
     "op7_line_labelling": op7_line_labelling,
     "op8_warc": op8_warc,
