@@ -306,19 +306,14 @@ def _pair_rows(threshold: float):
     return over
 
 
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8,
-                   recall: float = 0.999) -> DataFrame:
-    """(doc_id, key, class_id, n_links) of every row.
-
-    Two rows are linked if their sets of `width`-word shingles have a Jaccard similarity of at least `threshold`; fewer
-    words than `width` are one shingle, and a text without words (or null) is linked to nothing. class_id is the smallest
-    doc_id of all rows connected by links (null where all are null), n_links the number of other rows linked to the row,
-    repeated rows and equal texts included. `key` is the 64-bit hash that stands for the text. Links of texts that the
-    paths bring together are all found; the chance that they miss one is at most 1 - `recall`. Ties need no rule; an empty
-    table gives no rows; other columns are not read.
-    """
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("key"), body.alias("text"))
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("key"), body.alias("text"))
+
+
+def text_classes(rows: DataFrame, width: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
+    """(key, n, least, class, links) of every distinct text with a word of `rows` (doc_id, key, text): its rows, their
+    smallest id, the smallest key of the texts connected with it, and the rows of the other texts linked to it."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     signed_rows = arrow_map(rows.select("key", "text", F.col("doc_id").alias("least")), _signature_rows(width),
                             f"key long, least {kind}, signature binary")
@@ -339,11 +334,42 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = components(linked.select(F.col("key").alias("a"), F.col("top").alias("b")), "classes")
     classes = classes.select(F.col("node").alias("key"), F.col("root").alias("class"))
     links = linked.groupBy("key").agg(F.sum("links").alias("links"))
-    known = stored(sets.select("key", "n", "least").join(classes, "key", "left").join(links, "key", "left").select(
-        "key", "n", "least", F.coalesce("class", "key").alias("class"), F.coalesce("links", F.lit(0)).alias("links")), "known")
+    return stored(sets.select("key", "n", "least").join(classes, "key", "left").join(links, "key", "left").select(
+        "key", "n", "least", F.coalesce("class", "key").alias("class"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8,
+                   recall: float = 0.999) -> DataFrame:
+    """(doc_id, key, class_id, n_links) of every row.
+
+    Two rows are linked if their sets of `width`-word shingles have a Jaccard similarity of at least `threshold`; fewer
+    words than `width` are one shingle, and a text without words (or null) is linked to nothing. class_id is the smallest
+    doc_id of all rows connected by links (null where all are null), n_links the number of other rows linked to the row,
+    repeated rows and equal texts included. `key` is the 64-bit hash that stands for the text. Links of texts that the
+    paths bring together are all found; the chance that they miss one is at most 1 - `recall`. Ties need no rule; an empty
+    table gives no rows; other columns are not read.
+    """
+    rows = _rows(docs, doc_id, text)
+    known = text_classes(rows, width, threshold, recall)
     first = stored(known.groupBy("class").agg(F.min("least").alias("class_id")), "first")
     told = stored(known.join(first, "class").select(
         "key", "class_id", (F.col("links") + F.col("n") - 1).alias("n_links")), "told")
     return rows.select("doc_id", "key").join(told, "key", "left").select(
         "doc_id", "key", F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of `docs` without near duplicates: of every class that with the smallest id (null last) stays.
+
+    Rows without words stay as they are. Of rows with one id and one text, one stays. Options as in `similar_groups`.
+    """
+    known = text_classes(_rows(docs, doc_id, text), **options)
+    best = F.min(F.struct(F.col("least").isNull(), F.col("least"), F.col("key")))
+    chosen = stored(known.groupBy("class").agg(best["key"].alias("__key")), "chosen")
+    others = known.select(F.col("key").alias("__key"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
+    order = F.struct(F.col(f"`{doc_id}`").isNull(), F.col(f"`{doc_id}`"))
+    single = keyed.join(chosen, "__key", "left_semi").groupBy("__key").agg(F.min_by(F.struct(*names), order).alias("__row"))
+    return single.select("__row.*").unionByName(keyed.join(others, "__key", "left_anti").select(*names))

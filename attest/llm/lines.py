@@ -247,12 +247,12 @@ def judge(docs: DataFrame, columns: list[str], field: Field = DEFAULT, text: str
     A null or empty text has no words and fails the base rules; documents without lines have content share 0; repeated rows
     are judged alike; ties of the labelling go to boilerplate; an empty table gives no rows. Memory follows the longest text.
     """
-    body = F.col(f"`{text}`").cast("string").alias("__text")
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], body)
     inner = [f"__{k}" for k in range(len(columns))]
-    renamed = rows.toDF(*inner, "__text")
-    plain = ", ".join(f"{i} {rows.schema[c].dataType.simpleString()}" for i, c in zip(inner, columns))
-    shape = (f"{plain}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-             "content_share double, base_failed boolean, kept boolean")
-    return arrow_map(renamed, _judge(inner, "__text", field, least_words, most_repeated, least_content), shape).toDF(
+    body = F.col(f"`{text}`").cast("string")
+    rows = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(columns, inner)], *([] if text in columns else [body.alias("__text")]))
+    place = inner[columns.index(text)] if text in columns else "__text"
+    shape = ", ".join(f"{i} {rows.schema[i].dataType.simpleString()}" for i in inner)
+    counts = ", ".join(f"{c} long" for c in RESULT[:5])
+    return arrow_map(rows, _judge(inner, place, field, least_words, most_repeated, least_content),
+                     f"{shape}, {counts}, content_share double, base_failed boolean, kept boolean").toDF(
         *columns, *[prefix + c for c in RESULT])

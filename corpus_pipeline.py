@@ -2,17 +2,57 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from attest.llm.common import stored
+from attest.llm.jaccard import one_of_each
+from attest.llm.lines import judge, learn
+from attest.llm.mixing import mix
+from attest.llm.packing import pack
+from attest.llm.secrets import redact
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the line labels reject go."""
+    field = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    judged = judge(docs, docs.columns, field, prefix="__judged_")
+    return judged.where("__judged_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that with the smallest id."""
+    return one_of_each(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are cut out of the texts and n_chars follows; every document stays."""
+    return redact(docs).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(
+        F.length("text").cast(docs.schema["n_chars"].dataType)))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not, once or twice."""
+    return mix(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 1024 tokens."""
+    return pack(docs, ["doc_id"], TOKENIZER)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("secret_scans", secret_scans),
+          ("source_mix", source_mix), ("packing", packing)]
+
+# The stages hash, sample, fit and tokenize: SQL cannot say the same. tests/llm/test_pipeline.py has the plain versions.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from attest.llm.common import stored
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
