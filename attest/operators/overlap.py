@@ -15,56 +15,44 @@ from attest.operators.profile import classified_columns
 from attest.operators.values import columns_frame, settled_counts
 from attest.session import settle
 
-# The pair cap offered for bounded runs and the containment a candidate needs.
-MAX_CANDIDATE_PAIRS = 50_000
+# Fixed value: the containment a candidate needs.
 CONTAINMENT_THRESHOLD = 0.5
 
 
-def column_pairs(classified: DataFrame) -> DataFrame:
-    """Pairs worth comparing: two distinct values at least, different tables, one class family.
+def shared_values(counts: DataFrame) -> DataFrame:
+    """``(left_cid, right_cid, overlap)``: distinct values that two columns both hold, for all pairs that share one.
 
-    Works on the column list only, so its size depends on the schemas, never on the rows.
+    Values are first grouped by the set of columns that hold them and equal sets are counted, so pairs are formed once
+    per set instead of once per value, and pairs without a common value are never formed.
     """
-    usable = classified.filter(F.col("distinct_count") >= 2).withColumn("family", class_family(F.col("value_class")))
-    side = lambda prefix: usable.select(
-        "family", F.col("cid").alias(f"{prefix}_cid"), F.col("table").alias(f"{prefix}_table"),
-        F.concat_ws(".", "table", "column").alias(prefix), F.col("distinct_count").alias(f"{prefix}_distinct"))
-    return side("left").join(side("right"), "family").filter(
-        (F.col("left_cid") < F.col("right_cid")) & (F.col("left_table") != F.col("right_table"))
-    ).drop("family", "left_table", "right_table")
-
-
-def cap_pairs(pairs: DataFrame, max_pairs: int | None) -> DataFrame:
-    """The first `max_pairs` pairs in key order; without a cap all pairs stay."""
-    return pairs if max_pairs is None else pairs.orderBy("left_cid", "right_cid").limit(max_pairs)
-
-
-def shared_values(counts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(left_cid, right_cid, overlap)``: distinct values both columns of a pair hold.
-
-    Values are first grouped by the set of columns that hold them, and equal sets are counted, so that pairs are
-    formed once per set instead of once per value.
-    """
-    needed = pairs.select(F.explode(F.array("left_cid", "right_cid")).alias("cid")).distinct()
-    held = counts.filter(F.col("value").isNotNull()).join(needed, "cid", "left_semi")
-    holders = held.groupBy("value").agg(F.sort_array(F.collect_set("cid")).alias("holders")).filter(
-        F.size("holders") >= 2)
+    holders = counts.filter(F.col("value").isNotNull()).groupBy("value").agg(
+        F.sort_array(F.collect_set("cid")).alias("holders")).filter(F.size("holders") >= 2)
     sets = holders.groupBy("holders").agg(F.count(F.lit(1)).alias("n"))
     lefts = sets.select("holders", "n", F.explode("holders").alias("left_cid"))
     return (
-        lefts.join(pairs.select("left_cid", "right_cid"), "left_cid")
-        .filter(F.array_contains(F.col("holders"), F.col("right_cid")))
+        lefts.select("left_cid", "n", F.explode("holders").alias("right_cid"))
+        .filter(F.col("left_cid") < F.col("right_cid"))
         .groupBy("left_cid", "right_cid").agg(F.sum("n").alias("overlap"))
     )
 
 
-def score_pairs(pairs: DataFrame, overlaps: DataFrame, threshold: float = CONTAINMENT_THRESHOLD) -> DataFrame:
-    """Containment and Jaccard of overlapping pairs; the threshold is tested before rounding."""
+def column_pairs(classified: DataFrame, overlaps: DataFrame) -> DataFrame:
+    """Pairs with a common value that may be compared: two distinct values at least, different tables, one class family."""
+    usable = classified.filter(F.col("distinct_count") >= 2).withColumn("family", class_family(F.col("value_class")))
+    side = lambda prefix: usable.select(
+        F.col("family").alias(f"{prefix}_family"), F.col("cid").alias(f"{prefix}_cid"), F.col("table").alias(f"{prefix}_table"),
+        F.concat_ws(".", "table", "column").alias(prefix), F.col("distinct_count").alias(f"{prefix}_distinct"))
+    return overlaps.join(side("left"), "left_cid").join(side("right"), "right_cid").filter(
+        (F.col("left_family") == F.col("right_family")) & (F.col("left_table") != F.col("right_table"))
+    ).drop("left_family", "right_family", "left_table", "right_table")
+
+
+def score_pairs(pairs: DataFrame, threshold: float = CONTAINMENT_THRESHOLD) -> DataFrame:
+    """Containment and Jaccard of pairs; the threshold is tested before rounding."""
     smaller = F.least("left_distinct", "right_distinct")
     either = F.col("left_distinct") + F.col("right_distinct") - F.col("overlap")
     return (
-        pairs.join(overlaps, ["left_cid", "right_cid"])
-        .filter(F.col("overlap") / smaller >= threshold)
+        pairs.filter(F.col("overlap") / smaller >= threshold)
         .select("left", "right", "overlap", "left_distinct", "right_distinct",
                 F.round(F.col("overlap") / smaller, 4).alias("containment"),
                 F.round(F.col("overlap") / either, 4).alias("jaccard"))
@@ -76,37 +64,26 @@ def matrix_order() -> list:
     return [F.col("containment").desc(), F.col("overlap").desc(), F.col("left"), F.col("right")]
 
 
-def candidate_matrix(
-    views: Mapping[str, DataFrame],
-    threshold: float = CONTAINMENT_THRESHOLD,
-    max_pairs: int | None = None,
-    counts: DataFrame | None = None,
-) -> DataFrame:
-    """All candidate pairs of `views`. With `max_pairs` only the first pairs in key order are examined."""
+def overlapping_pairs(views: Mapping[str, DataFrame], counts: DataFrame | None = None) -> DataFrame:
+    """Stored pairs of comparable columns with their common values, the input of matrix and header."""
     counts = settled_counts(views, counts)
-    classified = settle(classified_columns(columns_frame(views), counts), "columns")
-    pairs = cap_pairs(column_pairs(classified), max_pairs)
-    return score_pairs(pairs, shared_values(counts, pairs), threshold)
+    classified = classified_columns(columns_frame(views), counts)
+    return settle(column_pairs(classified, shared_values(counts)), "pairs")
 
 
-def matrix_header(
+def candidate_matrix(
     views: Mapping[str, DataFrame],
     threshold: float = CONTAINMENT_THRESHOLD,
-    max_pairs: int | None = None,
     counts: DataFrame | None = None,
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
-    """One row on how the matrix was made; a capped run says that it is incomplete."""
-    counts = settled_counts(views, counts)
-    total = column_pairs(classified_columns(columns_frame(views), counts)).agg(F.count(F.lit(1)).alias("possible"))
-    cap = F.lit(max_pairs).cast("bigint")
-    hit = F.coalesce(F.col("possible") > cap, F.lit(False))
-    warning = F.format_string(
-        "candidate pair space exceeded the hard cap of %s; matrix is TRUNCATED — results are incomplete",
-        cap.cast("string"))
-    return total.select(
-        F.lit(threshold).alias("threshold"), cap.alias("pair_cap"),
-        F.coalesce(F.least("possible", cap), F.col("possible")).alias("pairs_examined"), hit.alias("cap_hit"),
-        F.when(hit, F.array(warning)).otherwise(F.array().cast("array<string>")).alias("warnings"))
+    """All candidate pairs of `views`; `pairs` may be what `overlapping_pairs` returned."""
+    return score_pairs(overlapping_pairs(views, counts) if pairs is None else pairs, threshold)
+
+
+def matrix_header(pairs: DataFrame, threshold: float = CONTAINMENT_THRESHOLD) -> DataFrame:
+    """One row on how the matrix was made: the threshold and the number of pairs that share a value."""
+    return pairs.agg(F.count(F.lit(1)).alias("pairs_examined")).select(F.lit(threshold).alias("threshold"), "pairs_examined")
 
 
 def candidates_by_column(matrix: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from attest.functions.canonical import CLASS_EMPTY, pattern_mask, value_class
 from attest.operators.values import columns_frame, settled_counts
-from attest.session import settle
 
 TOP_VALUES = 10
 SAMPLE_VALUES = 200
@@ -45,19 +44,21 @@ def top_values(counts: DataFrame, limit: int = TOP_VALUES) -> DataFrame:
 
 
 def value_sample(counts: DataFrame, limit: int = SAMPLE_VALUES) -> DataFrame:
-    """The smallest distinct values of every column."""
+    """The smallest distinct values of every column: a listing to look at, nothing is decided by it."""
     present = counts.select("cid", "value").filter(F.col("value").isNotNull())
     return _first_per_column(present, limit, F.col("value"))
 
 
-def top_patterns(sample: DataFrame, limit: int = TOP_PATTERNS) -> DataFrame:
-    """Most frequent shapes among the sampled values."""
-    shapes = sample.groupBy("cid", pattern_mask(F.col("value")).alias("mask")).agg(F.count(F.lit(1)).alias("n"))
+def top_patterns(counts: DataFrame, limit: int = TOP_PATTERNS) -> DataFrame:
+    """Most frequent shapes among all distinct values."""
+    present = counts.filter(F.col("value").isNotNull())
+    shapes = present.groupBy("cid", pattern_mask(F.col("value")).alias("mask")).agg(F.count(F.lit(1)).alias("n"))
     return _first_per_column(shapes, limit, F.col("n").desc(), F.col("mask"))
 
 
-def value_classes(sample: DataFrame) -> DataFrame:
-    return sample.groupBy("cid").agg(value_class(F.col("value")).alias("value_class"))
+def value_classes(counts: DataFrame) -> DataFrame:
+    """The narrowest class that all distinct values of a column belong to."""
+    return counts.groupBy("cid").agg(value_class(F.col("value")).alias("value_class"))
 
 
 def classified_columns(columns: DataFrame, counts: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def classified_columns(columns: DataFrame, counts: DataFrame) -> DataFrame:
     distinct = counts.groupBy("cid").agg(F.count("value").alias("distinct_count"))
     return (
         columns.join(distinct, "cid", "left")
-        .join(value_classes(value_sample(counts)), "cid", "left")
+        .join(value_classes(counts), "cid", "left")
         .select("cid", "table", "column", F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"),
                 F.coalesce("value_class", F.lit(CLASS_EMPTY)).alias("value_class"))
     )
@@ -77,7 +78,6 @@ def profile_views(views: Mapping[str, DataFrame], counts: DataFrame | None = Non
     `counts` may be a stored value-count table; otherwise the sources are counted once first.
     """
     counts = settled_counts(views, counts)
-    sample = settle(value_sample(counts), "sample")
     listed = lambda frame, name, field: frame.groupBy("cid").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", field, "n"))),
                     lambda item: F.struct(item[field].alias(field), item["n"].alias("count"))).alias(name))
@@ -85,9 +85,9 @@ def profile_views(views: Mapping[str, DataFrame], counts: DataFrame | None = Non
     return (
         columns_frame(views)
         .join(column_statistics(counts), "cid", "left")
-        .join(value_classes(sample), "cid", "left")
+        .join(value_classes(counts), "cid", "left")
         .join(listed(top_values(counts), "top_values", "value"), "cid", "left")
-        .join(listed(top_patterns(sample), "patterns", "mask"), "cid", "left")
+        .join(listed(top_patterns(counts), "patterns", "mask"), "cid", "left")
         .select("table", "column", "type", zero("row_count"), zero("null_count"), zero("distinct_count"),
                 "min", "max", "len_min", "len_avg", "len_max",
                 F.coalesce("value_class", F.lit(CLASS_EMPTY)).alias("value_class"), "top_values", "patterns")

@@ -52,7 +52,6 @@ def scan(
     stored_declarations: DataFrame | None = None,
     stored_profiles: DataFrame | None = None,
     folder: str | None = None,
-    max_pairs: int | None = None,
     content: bool = True,
 ) -> ScanResult:
     """Catalogue, fingerprints, declared decisions, profiles and matrix in one go.
@@ -75,8 +74,8 @@ def scan(
     profiles = profile.upsert_profiles(
         declared(spark, "id string, source_id string, table string, column string", [])
         if stored_profiles is None else stored_profiles, profiles)
-    matrix = overlap.candidate_matrix(catalog.views, max_pairs=max_pairs, counts=counts)
-    header = overlap.matrix_header(catalog.views, max_pairs=max_pairs, counts=counts)
+    pairs = overlap.overlapping_pairs(catalog.views, counts)
+    matrix, header = overlap.score_pairs(pairs), overlap.matrix_header(pairs)
     if folder is not None:
         profiles.write.mode("overwrite").parquet(f"{folder}/profiles")
         write_matrix(matrix, header, folder)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from attest.functions.frames import declared
 from attest.operators import overlap as O
 from attest.operators import profile as P
-from attest.operators.values import columns_frame, settled_counts
+from attest.operators.values import settled_counts
 from tests.conftest import rows
 
 
@@ -62,15 +62,19 @@ def test_matrix_against_brute_force(spark):
     assert sorted(got) == sorted(want)
 
 
-def test_cap_is_explicit_and_reported(spark):
-    views = shop(spark)
-    free = O.matrix_header(views).first()
-    assert not free["cap_hit"] and free["warnings"] == [] and free["pair_cap"] is None
-    capped = O.matrix_header(views, max_pairs=1).first()
-    assert capped["cap_hit"] and capped["pairs_examined"] == 1 and "TRUNCATED" in capped["warnings"][0]
-    pairs = O.column_pairs(P.classified_columns(columns_frame(views), settled_counts(views)))
-    first = min((r["left"], r["right"]) for r in pairs.collect())
-    assert [(r["left"], r["right"]) for r in O.cap_pairs(pairs, 1).collect()] == [first]
+def test_class_and_masks_come_from_all_values(spark):
+    codes = [(f"K{i:04d}",) for i in range(1000)]
+    views = {"mixed": declared(spark, "v string", [(str(i),) for i in range(300)] + codes), "codes": declared(spark, "c string", codes)}
+    got = {r["column"]: r for r in P.profile_views(views).collect()}
+    assert got["v"]["value_class"] == "text" and [tuple(p) for p in got["v"]["patterns"]] == [
+        ("A9999", 1000), ("999", 200), ("99", 90), ("9", 10)]
+    pair = O.candidate_matrix(views).first()
+    assert (pair["left"], pair["right"], pair["overlap"], pair["containment"]) == ("codes.c", "mixed.v", 1000, 1.0)
+
+
+def test_header_counts_pairs_that_share_a_value(spark):
+    pairs = O.overlapping_pairs(shop(spark))
+    assert O.matrix_header(pairs).first().asDict() == {"threshold": 0.5, "pairs_examined": pairs.count()}
 
 
 def test_matrix_does_not_depend_on_column_order(spark):

@@ -13,7 +13,7 @@ from attest.functions.frames import declared, union_all
 from attest.functions.names import name_table
 from attest.operators import overlap as O
 from attest.operators import profile as P
-from attest.operators.values import columns_frame, settled_counts, value_counts
+from attest.operators.values import columns_frame, value_counts
 from attest.plans.scan import scan
 from attest.sources.catalog import build_catalog, row_counts
 from attest.sources.grid import normalize_grid
@@ -51,7 +51,6 @@ def star_cte(names) -> str:
         for t in names for c, form in STAR[t].items()) + ")"
 
 
-PROFILED = ("customer", "orders", "part", "supplier")
 CLASS_SQL = """CASE WHEN count(v) = 0 THEN 'empty'
     WHEN bool_and(regexp_matches(v, '^-?[0-9]+$')) THEN 'integer_like'
     WHEN bool_and(regexp_matches(v, '^-?[0-9]+$') OR regexp_matches(v, '^-?[0-9]+\\.[0-9]+$')) THEN 'decimal_like'
@@ -61,18 +60,19 @@ SAMPLE_CTE = """sample AS (SELECT tbl, col, v FROM (SELECT tbl, col, v, row_numb
 
 
 def profiled(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return tables(spark, sf, *PROFILED)
+    return tables(spark, sf)
 
 
 @query("profile_columns", f"""
-    WITH {star_cte(PROFILED)}, {SAMPLE_CTE},
-    cls AS (SELECT tbl, col, {CLASS_SQL} AS value_class FROM sample GROUP BY 1, 2)
+    WITH {star_cte(TABLES)},
+    cls AS (SELECT tbl, col, {CLASS_SQL} AS value_class FROM vals GROUP BY 1, 2)
     SELECT tbl AS "table", col AS "column", count(*) AS row_count, count(*) - count(v) AS null_count,
-           count(DISTINCT v) AS distinct_count, min(v) AS min, max(v) AS max, min(length(v)) AS len_min,
+           count(DISTINCT v) AS distinct_count, md5(min(v)) AS min, md5(max(v)) AS max, min(length(v)) AS len_min,
            round(avg(length(v)), 1) AS len_avg, max(length(v)) AS len_max, any_value(value_class) AS value_class
     FROM vals JOIN cls USING (tbl, col) GROUP BY 1, 2""")
 def profile_columns(spark: SparkSession, sf: str) -> DataFrame:
-    return P.profile_views(profiled(spark, sf)).drop("top_values", "patterns", "type")
+    return P.profile_views(profiled(spark, sf)).drop("top_values", "patterns", "type").withColumns(
+        {"min": F.md5("min"), "max": F.md5("max")})
 
 
 def named(views: dict[str, DataFrame], frame: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def named(views: dict[str, DataFrame], frame: DataFrame) -> DataFrame:
 
 
 @query("profile_topk", f"""
-    WITH {star_cte(PROFILED)}
+    WITH {star_cte(TABLES)}
     SELECT tbl AS "table", col AS "column", v AS value, n, CAST(r AS INTEGER) AS rank FROM (
       SELECT tbl, col, v, n, row_number() OVER (PARTITION BY tbl, col ORDER BY n DESC, v) AS r
       FROM (SELECT tbl, col, v, count(*) AS n FROM vals WHERE v IS NOT NULL GROUP BY ALL)) WHERE r <= 10""")
@@ -90,29 +90,29 @@ def profile_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("profile_sample", f"""
-    WITH {star_cte(PROFILED)}, {SAMPLE_CTE} SELECT tbl AS "table", col AS "column", v AS value FROM sample""")
+    WITH {star_cte(TABLES)}, {SAMPLE_CTE} SELECT tbl AS "table", col AS "column", v AS value FROM sample""")
 def profile_sample(spark: SparkSession, sf: str) -> DataFrame:
     views = profiled(spark, sf)
     return named(views, P.value_sample(value_counts(views))).select("table", "column", "value")
 
 
 @query("profile_masks", f"""
-    WITH {star_cte(PROFILED)}, {SAMPLE_CTE},
-    m AS (SELECT tbl, col, regexp_replace(regexp_replace(v, '[0-9]', '9', 'g'), '[A-Za-z]', 'A', 'g') AS mask, count(*) AS n
-          FROM sample GROUP BY 1, 2, 3)
+    WITH {star_cte(TABLES)},
+    m AS (SELECT tbl, col, regexp_replace(regexp_replace(v, '\\p{{Nd}}', '9', 'g'), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]', 'A', 'g') AS mask,
+          count(*) AS n FROM (SELECT DISTINCT tbl, col, v FROM vals WHERE v IS NOT NULL) GROUP BY 1, 2, 3)
     SELECT tbl AS "table", col AS "column", mask, n, CAST(r AS INTEGER) AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY tbl, col ORDER BY n DESC, mask) AS r FROM m) WHERE r <= 5""")
 def profile_masks(spark: SparkSession, sf: str) -> DataFrame:
     views = profiled(spark, sf)
-    return named(views, P.top_patterns(P.value_sample(value_counts(views))))
+    return named(views, P.top_patterns(value_counts(views)))
 
 
 @query("profile_class", f"""
-    WITH {star_cte(PROFILED)}, {SAMPLE_CTE}
-    SELECT tbl AS "table", col AS "column", {CLASS_SQL} AS value_class FROM sample GROUP BY 1, 2""")
+    WITH {star_cte(TABLES)}
+    SELECT tbl AS "table", col AS "column", {CLASS_SQL} AS value_class FROM vals GROUP BY 1, 2""")
 def profile_class(spark: SparkSession, sf: str) -> DataFrame:
     views = profiled(spark, sf)
-    return named(views, P.value_classes(P.value_sample(value_counts(views))))
+    return named(views, P.value_classes(value_counts(views)))
 
 
 @query("text_masks", r"""
@@ -126,8 +126,8 @@ def text_masks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("scan_profiles", f"""
-    WITH {star_cte(TABLES)}, {SAMPLE_CTE},
-    cls AS (SELECT tbl, col, {CLASS_SQL} AS value_class FROM sample GROUP BY 1, 2)
+    WITH {star_cte(TABLES)},
+    cls AS (SELECT tbl, col, {CLASS_SQL} AS value_class FROM vals GROUP BY 1, 2)
     SELECT 'test__' || tbl AS "table", col AS "column", count(*) AS row_count, count(*) - count(v) AS null_count,
            count(DISTINCT v) AS distinct_count, md5(min(v)) AS min, md5(max(v)) AS max, min(length(v)) AS len_min,
            max(length(v)) AS len_max, any_value(value_class) AS value_class
@@ -139,9 +139,8 @@ def scan_profiles(spark: SparkSession, sf: str) -> DataFrame:
                         F.md5("max").alias("max"), "len_min", "len_max", "value_class")
 
 
-MATRIX = ("customer", "orders", "part", "supplier", "nation")
-PAIRS_CTE = f"""{star_cte(MATRIX)}, {SAMPLE_CTE},
-    cls AS (SELECT tbl, col, {CLASS_SQL} AS cl FROM sample GROUP BY 1, 2),
+PAIRS_CTE = f"""{star_cte(TABLES)},
+    cls AS (SELECT tbl, col, {CLASS_SQL} AS cl FROM vals GROUP BY 1, 2),
     dist AS (SELECT DISTINCT tbl, col, v FROM vals WHERE v IS NOT NULL),
     cols AS (SELECT tbl, col, tbl || '.' || col AS k, count(*) AS d, any_value(CASE WHEN cl IN ('integer_like', 'decimal_like')
              THEN 'numeric' ELSE cl END) AS fam FROM dist JOIN cls USING (tbl, col) GROUP BY 1, 2 HAVING count(*) >= 2),
@@ -158,7 +157,7 @@ PAIRS_CTE = f"""{star_cte(MATRIX)}, {SAMPLE_CTE},
     SELECT lk AS "left", rk AS "right", overlap, ld AS left_distinct, rd AS right_distinct,
            CAST(round(cont, 4) AS DOUBLE) AS containment, CAST(round(jac, 4) AS DOUBLE) AS jaccard FROM cand""")
 def overlap_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return O.candidate_matrix(tables(spark, sf, *MATRIX))
+    return O.candidate_matrix(tables(spark, sf))
 
 
 @query("overlap_by_column", f"""
@@ -166,26 +165,20 @@ def overlap_matrix(spark: SparkSession, sf: str) -> DataFrame:
     SELECT lk AS column_key, rk AS other, CAST(round(cont, 4) AS DOUBLE) AS containment, overlap FROM cand
     UNION ALL SELECT rk, lk, CAST(round(cont, 4) AS DOUBLE), overlap FROM cand""")
 def overlap_by_column(spark: SparkSession, sf: str) -> DataFrame:
-    return O.candidates_by_column(O.candidate_matrix(tables(spark, sf, *MATRIX)))
+    return O.candidates_by_column(O.candidate_matrix(tables(spark, sf)))
 
 
 @query("overlap_pairs", f"""
-    WITH {PAIRS_CTE} SELECT lk AS "left", rk AS "right", ld AS left_distinct, rd AS right_distinct FROM pairs""")
+    WITH {PAIRS_CTE} SELECT lk AS "left", rk AS "right", ld AS left_distinct, rd AS right_distinct, n AS overlap
+    FROM pairs JOIN ov USING (lk, rk)""")
 def overlap_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    views = tables(spark, sf, *MATRIX)
-    return O.column_pairs(P.classified_columns(columns_frame(views), settled_counts(views))).select(
-        "left", "right", "left_distinct", "right_distinct")
+    return O.overlapping_pairs(tables(spark, sf)).select("left", "right", "left_distinct", "right_distinct", "overlap")
 
 
 @query("overlap_header", f"""
-    WITH {PAIRS_CTE}
-    SELECT 0.5 :: DOUBLE AS threshold, 30 :: BIGINT AS pair_cap, least(count(*), 30) AS pairs_examined, count(*) > 30 AS cap_hit,
-           CASE WHEN count(*) > 30 THEN 'candidate pair space exceeded the hard cap of 30; matrix is TRUNCATED — results are incomplete'
-           ELSE '' END AS warnings FROM pairs""")
+    WITH {PAIRS_CTE} SELECT 0.5 :: DOUBLE AS threshold, count(*) AS pairs_examined FROM pairs JOIN ov USING (lk, rk)""")
 def overlap_header(spark: SparkSession, sf: str) -> DataFrame:
-    """How a capped run reports itself; the matrix queries above run without a cap."""
-    header = O.matrix_header(tables(spark, sf, *MATRIX), max_pairs=30)
-    return header.withColumn("warnings", F.array_join("warnings", "; "))
+    return O.matrix_header(O.overlapping_pairs(tables(spark, sf)))
 
 
 @query("canonical_forms", f"""
