@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from attest.evidence import contracts as C
 from attest.evidence import tables as S
 from attest.evidence.claims import json_string, new_claims
+from attest.evidence.templates import TEMPLATES
 from attest.functions.frames import ranked, union_all
 
 ERRORS = "array<struct<error:string,detail:string>>"
@@ -174,7 +175,7 @@ def normalise_params(template: Column, params: Column) -> Column:
     """``view.column`` reduced to ``column`` where the parameter is bound to exactly that view."""
     def bare(key: Column, text: Column) -> Column:
         chain = F.when(F.lit(False), text)
-        for name, pairs in C.COLUMN_PARAMS.items():
+        for name, pairs in ((name, t.column_views) for name, t in TEMPLATES.items()):
             for column_param, view_param in pairs:
                 prefix = F.concat(param(params, view_param), F.lit("."))
                 chain = chain.when((template == name) & (key == column_param) & text.startswith(prefix),

@@ -26,7 +26,7 @@ def build_check(views: Mapping[str, DataFrame], probe: S.Probe, tolerances: Mapp
     if probe.template not in TEMPLATES:
         raise ValueError(f"unknown probe template: {probe.template!r}")
     template = TEMPLATES[probe.template]
-    return template.build(views, probe.params, merged_tolerances(probe.template, tolerances))
+    return template.check(views, probe.params, merged_tolerances(probe.template, tolerances))
 
 
 def as_text(exceptions: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ the population, and the verdict. Adding a template means adding one entry here.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from inspect import Parameter, signature
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -42,15 +43,44 @@ class Check:
 
 Views = Mapping[str, DataFrame]
 Params = Mapping[str, Any]
-Build = Callable[[Views, Params, Mapping[str, float]], Check]
+Tolerances = Mapping[str, float]
 
 
 @dataclass(frozen=True)
 class ProbeTemplate:
-    build: Build
+    """A builder and what is known about its parameters.
+
+    The builder's keyword parameters are the template's contract: those without a default are required, the others are
+    optional. `columns` says which views a column parameter must exist on, `one_of` names optional ones of which exactly one
+    must be given.
+    """
+
+    build: Callable[..., Check]
     question: str | None = None
-    tolerances: Mapping[str, float] = field(default_factory=dict)
+    tolerances: Tolerances = field(default_factory=dict)
     domain: str | None = None
+    columns: Mapping[str, str | tuple[str, ...]] = field(default_factory=dict)
+    one_of: tuple[str, ...] = ()
+
+    def _keywords(self) -> list[Parameter]:
+        return [x for x in signature(self.build).parameters.values() if x.kind is Parameter.KEYWORD_ONLY]
+
+    @property
+    def required(self) -> list[str]:
+        return [x.name for x in self._keywords() if x.default is Parameter.empty]
+
+    @property
+    def optional(self) -> list[str]:
+        return [x.name for x in self._keywords() if x.default is not Parameter.empty and x.name not in self.one_of]
+
+    @property
+    def column_views(self) -> list[tuple[str, str]]:
+        """(column parameter, view parameter) pairs."""
+        return [(c, v) for c, views in self.columns.items() for v in ((views,) if isinstance(views, str) else views)]
+
+    def check(self, views: Views, params: Params, tolerances: Tolerances) -> Check:
+        known = {x.name for x in self._keywords()}
+        return self.build(views, tolerances, **{k: v for k, v in params.items() if k in known})
 
 
 def _view(views: Views, name: str) -> DataFrame:
@@ -97,11 +127,12 @@ def _pairs(views: tuple[str, ...], driving: DataFrame, exceptions: Callable[[],
                  V.empty_expected(_count()), _groups_summary(), weight=F.col("occurrences"), counted=total, first=first_rows)
 
 
-def _anti_join(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
-    child, parent = _view(views, p["child"]), _view(views, p["parent"])
-    found = P.anti_join(child, p["child_column"], parent, p["parent_column"], p.get("canonical", True))
-    expectation = p.get("expectation", V.EXPECT_EMPTY)
-    base = _plain((p["child"], p["parent"]), child, found, [F.col("occurrences").desc(), F.col("value")])
+def _anti_join(views: Views, tol: Tolerances, *, child: str, parent: str, child_column: str, parent_column: str, canonical: bool = True,
+               expectation: str = V.EXPECT_EMPTY) -> Check:
+    child_rows, parent_rows = _view(views, child), _view(views, parent)
+    found = P.anti_join(child_rows, child_column, parent_rows, parent_column, canonical)
+    expectation = expectation
+    base = _plain((child, parent), child_rows, found, [F.col("occurrences").desc(), F.col("value")])
     if expectation != V.EXPECT_REPORT:
         return base
     summary = F.when(_count() == 0, "no orphans").otherwise(
@@ -109,17 +140,17 @@ def _anti_join(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
     return Check(base.views, base.population, lambda: found, base.order, V.report_only(_count()), summary)
 
 
-def _duplicate(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
-    table = _view(views, p["table"])
-    keys = list(p["key_columns"])
-    return _plain((p["table"],), table, P.duplicate(table, keys),
+def _duplicate(views: Views, tol: Tolerances, *, table: str, key_columns: Sequence[str]) -> Check:
+    table_rows = _view(views, table)
+    keys = list(key_columns)
+    return _plain((table,), table_rows, P.duplicate(table_rows, keys),
                   [F.col("occurrences").desc(), *[F.col(k) for k in keys]])
 
 
-def _coverage(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
-    table = _view(views, p["table"])
-    expected = list(p["expected"])
-    found = P.coverage(table, p["unit_column"], expected, p.get("canonical", True))
+def _coverage(views: Views, tol: Tolerances, *, table: str, unit_column: str, expected: Sequence[Any], canonical: bool = True) -> Check:
+    table_rows = _view(views, table)
+    expected = list(expected)
+    found = P.coverage(table_rows, unit_column, expected, canonical)
     n = len(expected)
     summary = (
         F.when(_count() == 0, f"all {n} units covered")
@@ -127,13 +158,13 @@ def _coverage(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
         .otherwise(F.concat(F.lit("partial coverage: "), _count().cast("string"),
                             F.lit(f" of {n} units missing — a finding, not an error")))
     )
-    asked = P.expected_units(table, expected).agg(F.count(F.lit(1)).alias("population"))
-    return Check((p["table"],), asked, lambda: found, (F.col("missing_unit"),), V.coverage_verdict(_count(), n), summary)
+    asked = P.expected_units(table_rows, expected).agg(F.count(F.lit(1)).alias("population"))
+    return Check((table,), asked, lambda: found, (F.col("missing_unit"),), V.coverage_verdict(_count(), n), summary)
 
 
-def _cardinality(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
-    child, parent = _view(views, p["child"]), _view(views, p["parent"])
-    stats = P.cardinality(child, p["child_column"], parent, p["parent_column"])
+def _cardinality(views: Views, tol: Tolerances, *, child: str, parent: str, child_column: str, parent_column: str) -> Check:
+    child_rows, parent_rows = _view(views, child), _view(views, parent)
+    stats = P.cardinality(child_rows, child_column, parent_rows, parent_column)
     columns = {name: F.col(name) for name in stats.columns}
     verdict = V.cardinality_verdict(columns, tol["min_containment"], tol["min_uniqueness"])
     figures = F.format_string(
@@ -141,111 +172,129 @@ def _cardinality(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
         V.containment(columns["overlap"], columns["child_distinct"]),
         V.uniqueness(columns["parent_distinct"], columns["parent_rows"]))
     summary = F.when(verdict == V.PASS, figures).otherwise(F.concat(F.lit("not reference-shaped: "), figures))
-    return Check((p["child"], p["parent"]), child.agg(F.count(F.lit(1)).alias("population")), lambda: stats, (), verdict,
+    return Check((child, parent), child_rows.agg(F.count(F.lit(1)).alias("population")), lambda: stats, (), verdict,
                  summary, statistics_only=True)
 
 
-def _attribute_contradiction(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
-    left, right = _view(views, p["left"]), _view(views, p["right"])
-    args = (left, right, p["left_key"], p["right_key"], p["left_attr"], p["right_attr"])
-    form = p.get("canonical", True)
-    return _pairs((p["left"], p["right"]), left, lambda: P.attribute_contradiction(*args, form),
+def _attribute_contradiction(views: Views, tol: Tolerances, *, left: str, right: str, left_key: str, right_key: str,
+                             left_attr: str, right_attr: str, canonical: bool = True) -> Check:
+    left_rows, right_rows = _view(views, left), _view(views, right)
+    args = (left_rows, right_rows, left_key, right_key, left_attr, right_attr)
+    form = canonical
+    return _pairs((left, right), left_rows, lambda: P.attribute_contradiction(*args, form),
                   [F.col("key"), F.col("left_value"), F.col("right_value")],
                   lambda: P.contradiction_counts(*args, form), "contradictions",
                   lambda keys: P.first_contradictions(*args, keys, MAX_SAMPLES, form))
 
 
-def _reconciliation(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
-    left, right = _view(views, p["left"]), _view(views, p["right"])
-    found = P.reconciliation(left, right, p["left_group_expr"], p["right_group_expr"], p["left_measure_expr"],
-                             p["right_measure_expr"], tol["absolute"], p.get("left_where"), p.get("right_where"))
-    return _plain((p["left"], p["right"]), left, found, [F.abs("diff").desc(), F.col("grp")])
+def _reconciliation(views: Views, tol: Tolerances, *, left: str, right: str, left_group_expr: str, right_group_expr: str,
+                    left_measure_expr: str, right_measure_expr: str, left_where: str | None = None,
+                    right_where: str | None = None) -> Check:
+    left_rows, right_rows = _view(views, left), _view(views, right)
+    found = P.reconciliation(left_rows, right_rows, left_group_expr, right_group_expr, left_measure_expr,
+                             right_measure_expr, tol["absolute"], left_where, right_where)
+    return _plain((left, right), left_rows, found, [F.abs("diff").desc(), F.col("grp")])
 
 
-def _validity_join(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
-    table = _view(views, p["table"])
-    args = (table, p["key_column"], p["valid_from"], p["valid_to"])
-    return _pairs((p["table"],), table, lambda: P.validity_join(*args),
+def _validity_join(views: Views, tol: Tolerances, *, table: str, key_column: str, valid_from: str, valid_to: str) -> Check:
+    table_rows = _view(views, table)
+    args = (table_rows, key_column, valid_from, valid_to)
+    return _pairs((table,), table_rows, lambda: P.validity_join(*args),
                   [F.col("key"), F.col("a_from"), F.col("a_to"), F.col("b_from"), F.col("b_to")],
                   lambda: P.validity_overlap_counts(*args), "overlaps",
                   lambda keys: P.first_validity_overlaps(*args, keys, MAX_SAMPLES))
 
 
-def _range_join(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
-    table, ranges = _view(views, p["table"]), _view(views, p["ranges"])
-    found = P.range_join(table, p["value_column"], ranges, p["range_from"], p["range_to"], p.get("where"))
-    return _plain((p["table"], p["ranges"]), table, found, [F.col("value")])
+def _range_join(views: Views, tol: Tolerances, *, table: str, value_column: str, ranges: str, range_from: str, range_to: str,
+                where: str | None = None) -> Check:
+    table_rows, ranges_rows = _view(views, table), _view(views, ranges)
+    found = P.range_join(table_rows, value_column, ranges_rows, range_from, range_to, where)
+    return _plain((table, ranges), table_rows, found, [F.col("value")])
 
 
-def _decode(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
-    encoded, table = _view(views, p["encoded"]), _view(views, p["decode"])
-    found = P.decode(encoded, table, p["key"], p["pairs"])
-    return _plain((p["encoded"], p["decode"]), encoded, found, [F.col("level"), F.col("code")])
+def _decode(views: Views, tol: Tolerances, *, encoded: str, decode: str, key: str, column: str, pairs: Sequence[Any]) -> Check:
+    encoded_rows, table = _view(views, encoded), _view(views, decode)
+    found = P.decode(encoded_rows, table, key, pairs)
+    return _plain((encoded, decode), encoded_rows, found, [F.col("level"), F.col("code")])
 
 
-def _balance(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
-    journal = _view(views, p["journal"])
-    group = f"`{p['group_column']}`" if p.get("group_column") else p["group_expr"]
-    found = P.balance(journal, p["amount"], group, tol["absolute"])
-    return _plain((p["journal"],), journal, found, [F.abs("balance").desc(), F.col("grp")])
+def _balance(views: Views, tol: Tolerances, *, journal: str, amount: str, group_column: str | None = None,
+             group_expr: str | None = None) -> Check:
+    journal_rows = _view(views, journal)
+    group = f"`{group_column}`" if group_column else group_expr
+    found = P.balance(journal_rows, amount, group, tol["absolute"])
+    return _plain((journal,), journal_rows, found, [F.abs("balance").desc(), F.col("grp")])
 
 
-def _subledger(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
-    subledger, journal = _view(views, p["subledger"]), _view(views, p["journal"])
-    found = P.subledger_equals_gl(subledger, p["subledger_amount"], journal, p["journal_amount"], p["account"],
-                                  p["accounts"], tol["absolute"])
-    return _plain((p["subledger"], p["journal"]), subledger, found, [F.col("diff")])
+def _subledger(views: Views, tol: Tolerances, *, subledger: str, subledger_amount: str, journal: str, journal_amount: str, account: str,
+               accounts: Sequence[Any]) -> Check:
+    subledger_rows, journal_rows = _view(views, subledger), _view(views, journal)
+    found = P.subledger_equals_gl(subledger_rows, subledger_amount, journal_rows, journal_amount, account,
+                                  accounts, tol["absolute"])
+    return _plain((subledger, journal), subledger_rows, found, [F.col("diff")])
 
 
-def _ic_symmetry(views: Views, p: Params, tol: Mapping[str, float]) -> Check:
-    left, right = _view(views, p["left"]), _view(views, p["right"])
-    found = P.ic_symmetry(left, right, p["left_period"], p["right_period"])
-    return _plain((p["left"], p["right"]), left, found, [F.col("period")])
+def _ic_symmetry(views: Views, tol: Tolerances, *, left: str, right: str, left_period: str, right_period: str) -> Check:
+    left_rows, right_rows = _view(views, left), _view(views, right)
+    found = P.ic_symmetry(left_rows, right_rows, left_period, right_period)
+    return _plain((left, right), left_rows, found, [F.col("period")])
 
 
 # Default tolerances, domains and the questions drafted when a check does not pass.
 TEMPLATES: dict[str, ProbeTemplate] = {
     "anti_join": ProbeTemplate(
         _anti_join,
-        "Fachfrage: {child} hat Einträge ohne Gegenstück in {parent} — Datenschnitt, Wartezustand oder Fehler?"),
+        "Fachfrage: {child} hat Einträge ohne Gegenstück in {parent} — Datenschnitt, Wartezustand oder Fehler?",
+        columns={"child_column": "child", "parent_column": "parent"}),
     "duplicate": ProbeTemplate(
         _duplicate,
-        "Fachfrage: {table} enthält Dubletten über ({key_list}) — welche Sätze sind führend?"),
+        "Fachfrage: {table} enthält Dubletten über ({key_list}) — welche Sätze sind führend?",
+        columns={"key_columns": "table"}),
     "grain": ProbeTemplate(
         _duplicate,
-        "Fachfrage: {table} ist nicht eindeutig auf der angenommenen Körnung ({key_list}) — was ist die echte Körnung?"),
+        "Fachfrage: {table} ist nicht eindeutig auf der angenommenen Körnung ({key_list}) — was ist die echte Körnung?",
+        columns={"key_columns": "table"}),
     "coverage": ProbeTemplate(
         _coverage,
-        "Fachfrage: {table} deckt erwartete Einheiten nicht vollständig ab — Datenschnitt oder Lücke?"),
-    "cardinality": ProbeTemplate(_cardinality, None, {"min_containment": 0.95, "min_uniqueness": 0.99}),
+        "Fachfrage: {table} deckt erwartete Einheiten nicht vollständig ab — Datenschnitt oder Lücke?",
+        columns={"unit_column": "table"}),
+    "cardinality": ProbeTemplate(_cardinality, None, {"min_containment": 0.95, "min_uniqueness": 0.99},
+        columns={"child_column": "child", "parent_column": "parent"}),
     "attribute_contradiction": ProbeTemplate(
         _attribute_contradiction,
-        "Fachfrage: {left} und {right} widersprechen sich in verknüpften Attributen — welche Quelle führt?"),
+        "Fachfrage: {left} und {right} widersprechen sich in verknüpften Attributen — welche Quelle führt?",
+        columns={"left_key": "left", "left_attr": "left", "right_key": "right", "right_attr": "right"}),
     "reconciliation": ProbeTemplate(
         _reconciliation,
         "Fachfrage: {left} und {right} stimmen je Gruppe nicht überein — welche Abgrenzung fehlt?",
         {"absolute": 0.01}),
     "validity_join": ProbeTemplate(
         _validity_join,
-        "Fachfrage: {table} hat überlappende Gültigkeitszeiträume — welche Version gilt?"),
+        "Fachfrage: {table} hat überlappende Gültigkeitszeiträume — welche Version gilt?",
+        columns={"key_column": "table", "valid_from": "table", "valid_to": "table"}),
     "range_join": ProbeTemplate(
         _range_join,
-        "Fachfrage: Werte aus {table} fallen in keinen oder mehrere Bereiche von {ranges} — wie ist die Zuordnung gemeint?"),
+        "Fachfrage: Werte aus {table} fallen in keinen oder mehrere Bereiche von {ranges} — wie ist die Zuordnung gemeint?",
+        columns={"value_column": "table", "range_from": "ranges", "range_to": "ranges"}),
     "decode": ProbeTemplate(
         _decode,
-        "Fachfrage: Positionscodes in {encoded} decodieren nicht eindeutig gegen {decode} — stimmt die Positionslogik?"),
+        "Fachfrage: Positionscodes in {encoded} decodieren nicht eindeutig gegen {decode} — stimmt die Positionslogik?",
+        columns={"key": ("encoded", "decode")}),
     "balance": ProbeTemplate(
         _balance,
         "Fachfrage: {journal} ist je Gruppe nicht ausgeglichen — fehlt eine Gegenbuchung?",
-        {"absolute": 0.01}, "finance"),
+        {"absolute": 0.01}, "finance",
+        columns={"amount": "journal", "group_column": "journal"}, one_of=("group_column", "group_expr")),
     "subledger_equals_gl": ProbeTemplate(
         _subledger,
         "Fachfrage: Nebenbuch {subledger} weicht vom Hauptbuch {journal} ab — welche Posten fehlen?",
-        {"absolute": 0.01}, "finance"),
+        {"absolute": 0.01}, "finance",
+        columns={"subledger_amount": "subledger", "journal_amount": "journal", "account": "journal"}),
     "ic_symmetry": ProbeTemplate(
         _ic_symmetry,
         "Fachfrage: Intercompany-Buchungen sind zwischen {left} und {right} nicht symmetrisch — wo fehlt die Gegenseite?",
-        {}, "finance"),
+        {}, "finance",
+        columns={"left_period": "left", "right_period": "right"}),
 }
 
 

@@ -1,13 +1,8 @@
-"""One comparable text form for every value.
+"""Column expressions that give every value one text, so that columns of different types can be compared.
 
-A BIGINT ``1101``, a DOUBLE ``1101.0`` and the text ``'1101'`` have to meet when columns of different systems are
-compared, while genuine text such as ``'0001042'`` keeps its zeros. Everything here builds Column expressions; nothing
-runs in Python per row.
-
-Two families exist and differ on purpose:
-
-* ``canonical`` works on typed columns (tables, Parquet, JDBC);
-* ``canonical_cell`` works on single grid cells and also names the rule it applied.
+`canonical` turns a typed column into text: whole numbers look alike whatever type holds them (a ``SMALLINT`` 7 and a
+``DOUBLE`` 7.0 are both ``'7'``), days have one form, text loses its outer blanks and keeps everything inside them.
+`canonical_cell` does the same for a cell of a sheet and says which rule changed it.
 """
 
 from __future__ import annotations

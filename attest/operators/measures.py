@@ -20,7 +20,7 @@ REBATES = (4800, 4809)
 INTERCOMPANY = (4300, 4309)
 EXTERNAL_ACCOUNTS = (4100, 4200)
 CONTRA_ACCOUNTS = (4800, 4850)
-FALLBACK_RATE = "0.92"
+FALLBACK_RATES = {"USD": "0.92"}
 REBATE_THRESHOLD = 500_000
 REBATE_SHARE = "0.02"
 OPEN_END = "9999-12-31"
@@ -42,26 +42,43 @@ def net_revenue(ledger: DataFrame, by: Sequence[str] = ("entity",), amount: str
         (-part(EXTERNAL_ACCOUNTS) - part(CONTRA_ACCOUNTS)).alias("net_revenue"))
 
 
-def convert(ledger: DataFrame, rates: DataFrame, source: str = "USD", target: str = "EUR", rate_type: str = "M") -> DataFrame:
-    """Ledger rows with ``rate`` and ``converted``, by the rate of their period; periods without a rate use the fallback.
+def convert(ledger: DataFrame, rates: DataFrame, target: str = "EUR", rate_type: str = "M", currency: str = "currency",
+            fallback: Mapping[str, str] = FALLBACK_RATES) -> DataFrame:
+    """Ledger rows with ``rate``, ``rate_state`` and ``converted``, by the rate of their period and currency.
 
-    `rates` is ``(period, from_currency, to_currency, rate_type, rate_value)``.
+    `rates` is ``(period, from_currency, to_currency, rate_type, rate_value)``. Rows in the target currency pass with
+    rate 1 (state ``own``). A pair without a rate in its period takes the declared fallback of its currency
+    (``fallback``) or has none (``missing``); several different rates of one period and pair are no rate (``ambiguous``).
+    Rows without a rate have a NULL amount and are counted by `unconverted`.
     """
-    chosen = rates.filter((F.col("from_currency") == source) & (F.col("to_currency") == target) & (F.col("rate_type") == rate_type))
-    # One row per period; stored first so that its size is known and the ledger is not shuffled for the lookup.
-    one = settle(chosen.groupBy("period").agg(F.max("rate_value").alias("rate")), "rates")
-    fallback = F.lit(FALLBACK_RATE).cast(rates.schema["rate_value"].dataType)
-    return ledger.join(one, "period", "left").withColumn("rate", F.coalesce("rate", fallback)).withColumn(
-        "converted", F.col("amount") * F.col("rate"))
-
-
-def convert_totals(totals: DataFrame, rates: DataFrame, value: str, source: str = "USD", target: str = "EUR",
-                   rate_type: str = "M") -> DataFrame:
-    """Totals with ``currency`` converted at the average rate of all periods; other currencies stay as they are."""
-    average = rates.filter((F.col("to_currency") == target) & (F.col("rate_type") == rate_type) & (
-        F.col("from_currency") == source)).groupBy(F.col("from_currency").alias("currency")).agg(
+    kind = rates.schema["rate_value"].dataType
+    chosen = rates.filter((F.col("to_currency") == target) & (F.col("rate_type") == rate_type))
+    # One row per period and pair; stored first so that its size is known and the ledger is not shuffled for the lookup.
+    one = settle(chosen.groupBy("period", F.col("from_currency").alias(currency)).agg(
+        F.min("rate_value").alias("__low"), F.max("rate_value").alias("__high")), "rates")
+    own = F.col(currency) == target
+    spare = F.lit(None).cast(kind)
+    for code, value in fallback.items():
+        spare = F.when(F.col(currency) == code, F.lit(value).cast(kind)).otherwise(spare)
+    found, same = F.col("__low").isNotNull(), F.col("__low") == F.col("__high")
+    state = F.when(own, "own").when(found & same, "rate").when(found, "ambiguous").when(spare.isNotNull(), "fallback").otherwise("missing")
+    rate = F.when(own, F.lit(1).cast(kind)).when(found & same, F.col("__low")).when(~found, spare)
+    return ledger.join(one, ["period", currency], "left").withColumns({"rate": rate, "rate_state": state}).drop(
+        "__low", "__high").withColumn("converted", F.col("amount") * F.col("rate"))
+
+
+def unconverted(rows: DataFrame, currency: str = "currency") -> DataFrame:
+    """``(period, currency, rate_state, n)``: converted rows that found no rate, or several."""
+    return rows.filter(F.col("rate").isNull()).groupBy("period", currency, "rate_state").agg(F.count(F.lit(1)).alias("n"))
+
+
+def convert_totals(totals: DataFrame, rates: DataFrame, value: str, target: str = "EUR", rate_type: str = "M") -> DataFrame:
+    """Totals with ``currency`` converted at the average rate of all periods; the target currency stays as it is and a
+    currency without rates has a NULL amount."""
+    average = rates.filter((F.col("to_currency") == target) & (F.col("rate_type") == rate_type)).groupBy(
+        F.col("from_currency").alias("currency")).agg(
         (F.sum("rate_value").cast("double") / F.count("rate_value")).cast("decimal(18,6)").alias("average_rate"))
-    factor = F.coalesce("average_rate", F.lit(1).cast("decimal(18,6)"))
+    factor = F.when(F.col("currency") == target, F.lit(1).cast("decimal(18,6)")).otherwise(F.col("average_rate"))
     return totals.join(average, "currency", "left").withColumn("converted", F.round(F.col(value) * factor, 2)).drop("average_rate")
 
 

@@ -21,7 +21,7 @@ def test_revenue_follows_the_account_rules(spark):
 
 
 def test_conversion_by_period_and_by_average(spark):
-    ledger = declared(spark, "period string, amount double", [("2024-01", 100.0), ("2024-02", 100.0)])
+    ledger = declared(spark, "period string, currency string, amount double", [("2024-01", "USD", 100.0), ("2024-02", "USD", 100.0)])
     rates = declared(spark, "period string, from_currency string, to_currency string, rate_type string, rate_value double", [
         ("2024-01", "USD", "EUR", "M", 0.5), ("2024-01", "USD", "EUR", "B", 9.0), ("2024-02", "EUR", "USD", "M", 9.0), ("2024-03", "USD", "EUR", "M", 1.5)])
     assert rows(M.convert(ledger, rates).select("period", "converted")) == [("2024-01", 50.0), ("2024-02", 92.0)]
@@ -120,3 +120,18 @@ def test_anomalies(spark):
     docs = declared(spark, "id string, doc_amount double, local_amount double, rate double", [("wrong", 108.0, 116.64, 1.08), ("right", 108.0, 100.0, 1.08), ("par", 5.0, 5.0, 1.0), ("zero", 1.0, 0.0, 0.0)])
     assert rows(M.wrong_direction(docs).select("id")) == [("wrong",)]
     assert M.validity_gaps(declared(spark, "k string, valid_from date, valid_to date", [("a", date(2024, 1, 1), None), ("a", date(2025, 1, 1), None)]), "k").filter(F.lit(True)).count() == 0
+
+
+def test_conversion_by_period_and_currency(spark):
+    book = declared(spark, "period string, currency string, amount double", [
+        ("1", "EUR", 100.0), ("1", "USD", 100.0), ("2", "USD", 100.0), ("1", "CHF", 100.0), ("1", "GBP", 100.0), ("1", None, 5.0)])
+    table = declared(spark, "period string, from_currency string, to_currency string, rate_type string, rate_value double", [
+        ("1", "USD", "EUR", "M", 0.9), ("1", "USD", "EUR", "M", 0.9), ("1", "USD", "EUR", "B", 7.0), ("1", "CHF", "EUR", "M", 1.1),
+        ("1", "CHF", "EUR", "M", 1.2), ("1", "USD", "JPY", "M", 150.0)])
+    got = {(r["currency"], r["period"]): (r["rate_state"], r["converted"]) for r in M.convert(book, table).collect()}
+    assert got == {("EUR", "1"): ("own", 100.0), ("USD", "1"): ("rate", 90.0), ("USD", "2"): ("fallback", 92.0),
+                   ("CHF", "1"): ("ambiguous", None), ("GBP", "1"): ("missing", None), (None, "1"): ("missing", None)}
+    assert sorted(tuple(r)[1:] for r in M.unconverted(M.convert(book, table)).collect() if r["currency"]) == [
+        ("CHF", "ambiguous", 1), ("GBP", "missing", 1)]
+    totals = M.convert_totals(declared(spark, "currency string, v decimal(18,2)", [("EUR", 1), ("USD", 1), ("GBP", 1)]), table, "v")
+    assert {r["currency"]: r["converted"] and float(r["converted"]) for r in totals.collect()} == {"EUR": 1.0, "USD": 0.9, "GBP": None}

@@ -112,8 +112,10 @@ def test_labels_do_not_depend_on_ids(spark):
 
 
 def test_contracts_cover_the_registry():
-    assert set(contracts.TEMPLATE_PARAMS) == set(TEMPLATES)
-    assert set(contracts.COLUMN_PARAMS) <= set(TEMPLATES)
+    for template in TEMPLATES.values():
+        known = {*template.required, *template.optional, *template.one_of}
+        assert all(column in known and view in template.required for column, view in template.column_views)
+        assert not set(template.required) & {*template.optional, *template.one_of}
     assert {t for templates, _, _ in contracts.PREDICATES.values() for t in templates} == set(TEMPLATES)
     assert set(contracts.ROLE_TEMPLATES) == {n for n, t in TEMPLATES.items() if t.domain == "finance"}
     assert rules.admissible_templates("claim", "references") == ("anti_join", "cardinality") and rules.admissible_templates("claim", None) == ()

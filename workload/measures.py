@@ -23,28 +23,43 @@ def ledger(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("l_linestatus") == "O", "DE").otherwise("US").alias("entity"),
         F.when(F.col("l_returnflag") == "R", 4800).otherwise(4000 + 100 * F.col("l_linenumber")).alias("account_id"),
         F.date_format("l_shipdate", "yyyy-MM").alias("period"), (-F.col("l_extendedprice").cast(D2)).cast(D2).alias("amount"),
-        F.col("l_orderkey").alias("doc"), "l_suppkey")
+        F.col("l_orderkey").alias("doc"), "l_suppkey",
+        F.when(F.col("l_linestatus") == "O", "EUR").when(F.col("l_suppkey") % 5 == 0, "GBP").when(
+            F.col("l_suppkey") % 5 == 1, "CHF").otherwise("USD").alias("currency"))
 
 
 LEDGER = """ledger AS (SELECT CASE WHEN l_linestatus = 'O' THEN 'DE' ELSE 'US' END AS entity,
     CASE WHEN l_returnflag = 'R' THEN 4800 ELSE 4000 + 100 * l_linenumber END AS account_id,
     strftime(l_shipdate, '%Y-%m') AS period, CAST(-CAST(l_extendedprice AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS amount,
-    l_orderkey AS doc, l_suppkey FROM lineitem)"""
+    l_orderkey AS doc, l_suppkey, CASE WHEN l_linestatus = 'O' THEN 'EUR' WHEN l_suppkey % 5 = 0 THEN 'GBP'
+    WHEN l_suppkey % 5 = 1 THEN 'CHF' ELSE 'USD' END AS currency FROM lineitem)"""
 
 
 def rates(spark: SparkSession, sf: str) -> DataFrame:
-    """A monthly and a spot rate for every month with orders; shipments of later months find none."""
+    """Monthly and spot rates of dollars and francs for every month with orders, two different ones for francs in January;
+    shipments of later months find none, pounds never do."""
     o = table(spark, sf, "orders")
     level = F.sum(F.col("o_totalprice").cast(D2)).cast("double") / F.count(F.lit(1)) / 1000000
     fixed = lambda c: F.round(c, 4).cast("decimal(9,4)")
     monthly = o.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("period")).agg(
         fixed(0.8 + level).alias("M"), fixed(0.9 + level).alias("B"))
-    return monthly.select("period", F.lit("USD").alias("from_currency"), F.lit("EUR").alias("to_currency"),
-                          F.stack(F.lit(2), F.lit("M"), F.col("M"), F.lit("B"), F.col("B")).alias("rate_type", "rate_value"))
-
-
-RATES = """rates AS (SELECT strftime(o_orderdate, '%Y-%m') AS period, CAST(round(0.8::DOUBLE +
-    CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) / 1000000, 4) AS DECIMAL(9,4)) AS rate FROM orders GROUP BY 1)"""
+    dollars = monthly.select("period", F.lit("USD").alias("from_currency"), F.lit("EUR").alias("to_currency"),
+                             F.stack(F.lit(2), F.lit("M"), F.col("M"), F.lit("B"), F.col("B")).alias("rate_type", "rate_value"))
+    francs = dollars.withColumns({"from_currency": F.lit("CHF"), "rate_value": fixed(F.col("rate_value") + 0.125)})
+    again = francs.filter(F.col("period").endswith("-01")).withColumn("rate_value", fixed(F.col("rate_value") + 0.25))
+    return dollars.unionByName(francs).unionByName(again)
+
+
+RATES = """dollars AS (SELECT strftime(o_orderdate, '%Y-%m') AS period, 'USD' AS currency, CAST(round(0.8::DOUBLE +
+    CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) / 1000000, 4) AS DECIMAL(9,4)) AS rate FROM orders GROUP BY 1),
+    francs AS (SELECT period, 'CHF' AS currency, CAST(rate + 0.125 AS DECIMAL(9,4)) AS rate FROM dollars),
+    rates AS (FROM dollars UNION ALL FROM francs
+      UNION ALL SELECT period, currency, CAST(rate + 0.25 AS DECIMAL(9,4)) FROM francs WHERE period LIKE '%-01'),
+    pair AS (SELECT period, currency, min(rate) AS low, max(rate) AS high FROM rates GROUP BY 1, 2),
+    conv AS (SELECT *, amount * rate AS converted FROM (SELECT ledger.*, CASE WHEN ledger.currency = 'EUR' THEN 'own'
+        WHEN low = high THEN 'rate' WHEN low IS NOT NULL THEN 'ambiguous' WHEN ledger.currency = 'USD' THEN 'fallback' ELSE 'missing' END AS rate_state,
+      CASE WHEN ledger.currency = 'EUR' THEN CAST(1 AS DECIMAL(9,4)) WHEN low = high THEN low
+        WHEN low IS NULL AND ledger.currency = 'USD' THEN CAST(0.92 AS DECIMAL(9,4)) END AS rate FROM ledger LEFT JOIN pair USING (period, currency)))"""
 NET = """coalesce(-sum({a}) FILTER (account_id IN (4100, 4200)), 0) - coalesce(sum({a}) FILTER (account_id IN (4800, 4850)), 0)"""
 
 
@@ -69,33 +84,36 @@ def revenue_net(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("fx_convert", f"""
-    WITH {LEDGER}, {RATES} SELECT entity, period, CAST(sum(amount * coalesce(rate, CAST(0.92 AS DECIMAL(9,4)))) AS DOUBLE) AS converted,
-      CAST(max(coalesce(rate, CAST(0.92 AS DECIMAL(9,4)))) AS DOUBLE) AS rate FROM ledger LEFT JOIN rates USING (period) GROUP BY 1, 2""")
+    WITH {LEDGER}, {RATES} SELECT entity, currency, period, rate_state, CAST(sum(converted) AS DOUBLE) AS converted,
+      CAST(max(rate) AS DOUBLE) AS rate FROM conv GROUP BY 1, 2, 3, 4""")
 def fx_convert(spark: SparkSession, sf: str) -> DataFrame:
     rows = M.convert(ledger(spark, sf), rates(spark, sf))
-    return rows.groupBy("entity", "period").agg(F.sum("converted").cast("double").alias("converted"),
-                                                F.max("rate").cast("double").alias("rate"))
+    return rows.groupBy("entity", "currency", "period", "rate_state").agg(
+        F.sum("converted").cast("double").alias("converted"), F.max("rate").cast("double").alias("rate"))
+
+
+@query("fx_unconverted", f"""
+    WITH {LEDGER}, {RATES} SELECT period, currency, rate_state, count(*) AS n FROM conv WHERE rate IS NULL GROUP BY 1, 2, 3""")
+def fx_unconverted(spark: SparkSession, sf: str) -> DataFrame:
+    return M.unconverted(M.convert(ledger(spark, sf), rates(spark, sf)))
 
 
 @query("fx_average", f"""
-    WITH {LEDGER}, {RATES}, t AS (SELECT entity, CAST(-sum(amount) AS DECIMAL(18,2)) AS revenue FROM ledger
-      WHERE account_id BETWEEN 4000 AND 4999 AND account_id NOT BETWEEN 4300 AND 4309 GROUP BY 1),
-    r AS (SELECT CAST(CAST(sum(rate) AS DOUBLE) / count(rate) AS DECIMAL(18,6)) AS ar FROM rates)
-    SELECT entity, CAST(round(CAST(revenue AS DECIMAL(20,2)) * CASE WHEN entity = 'US' THEN ar ELSE CAST(1 AS DECIMAL(18,6)) END, 2) AS DOUBLE) AS converted FROM t, r""")
+    WITH {LEDGER}, {RATES}, t AS (SELECT entity, currency, CAST(-sum(amount) AS DECIMAL(18,2)) AS revenue FROM ledger
+      WHERE account_id BETWEEN 4000 AND 4999 AND account_id NOT BETWEEN 4300 AND 4309 GROUP BY 1, 2),
+    r AS (SELECT currency, CAST(CAST(sum(rate) AS DOUBLE) / count(rate) AS DECIMAL(18,6)) AS ar FROM rates GROUP BY 1)
+    SELECT entity, currency, CAST(round(CAST(revenue AS DECIMAL(20,2)) * CASE WHEN currency = 'EUR' THEN CAST(1 AS DECIMAL(18,6)) ELSE ar END, 2)
+      AS DOUBLE) AS converted FROM t LEFT JOIN r USING (currency)""")
 def fx_average(spark: SparkSession, sf: str) -> DataFrame:
-    totals = M.revenue_range(ledger(spark, sf), M.INTERCOMPANY).select(
-        "entity", F.col("revenue").cast(D2).alias("revenue"), F.when(F.col("entity") == "US", "USD").otherwise("EUR").alias("currency"))
-    return double(M.convert_totals(totals, rates(spark, sf), "revenue").select("entity", "converted"), "converted")
+    totals = M.revenue_range(ledger(spark, sf), M.INTERCOMPANY, ("entity", "currency")).withColumn("revenue", F.col("revenue").cast(D2))
+    return double(M.convert_totals(totals, rates(spark, sf), "revenue").select("entity", "currency", "converted"), "converted")
 
 
 @query("group_total", f"""
-    WITH {LEDGER}, {RATES}, c AS (SELECT entity, account_id, CASE WHEN entity = 'DE' THEN CAST(amount AS DECIMAL(28,6))
-      ELSE amount * coalesce(rate, CAST(0.92 AS DECIMAL(9,4))) END AS eur FROM ledger LEFT JOIN rates USING (period))
-    SELECT CAST({NET.format(a='eur')} AS DOUBLE) AS group_total FROM c""")
+    WITH {LEDGER}, {RATES} SELECT CAST({NET.format(a='converted')} AS DOUBLE) AS group_total FROM conv""")
 def group_total(spark: SparkSession, sf: str) -> DataFrame:
-    eur = F.when(F.col("entity") == "DE", F.col("amount").cast("decimal(28,6)")).otherwise(F.col("converted"))
-    rows = M.convert(ledger(spark, sf), rates(spark, sf)).withColumn("eur", eur)
-    return double(M.group_total(M.net_revenue(rows, amount="eur"), "net_revenue"), "group_total")
+    rows = M.convert(ledger(spark, sf), rates(spark, sf))
+    return double(M.group_total(M.net_revenue(rows, amount="converted"), "net_revenue"), "group_total")
 
 
 @query("measure_comparison", f"""
