@@ -185,7 +185,8 @@ def repeated_spans(texts: DataFrame, length: int = 400) -> DataFrame:
     d = Depth(length)
     long_enough = texts.where(F.col("size") >= length).select("key", "size", "text")
     runs = stored(arrow_map(long_enough, _run_rows(d), "gram long, run long, key long, size int, place long"), "runs")
-    twice = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # counts are stored before they are joined: a join of two plain shuffles can be split where a key is hot
+    twice = stored(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "twice")
     met = stored(runs.join(twice, "gram", "left_semi"), "met")
     discard(runs)
     groups = stored(met.groupBy("gram", "run").agg(
@@ -195,7 +196,7 @@ def repeated_spans(texts: DataFrame, length: int = 400) -> DataFrame:
     equal = equal.select("key", "size", "place").distinct().select(
         "key", "size", F.shiftright("place", 28).alias("first"),
         (F.shiftright("place", 28) + F.shiftright("place", 14).bitwiseAND(F.lit(0x3FFF))).alias("last"))
-    several = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    several = stored(groups.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "several")
     opened = groups.join(several, "gram", "left_semi").groupBy("key", "size").agg(
         F.collect_list(F.struct("gram", "place", (F.col("n") == 1).alias("alone"))).alias("opened"))
     once = long_enough.groupBy("key", "size").agg(F.first("text").alias("text"))
@@ -204,7 +205,8 @@ def repeated_spans(texts: DataFrame, length: int = 400) -> DataFrame:
         "gram long, key long, size int, place long, alone boolean, bytes binary"), "segments")
     blocks = stored(arrow_map(segments, _block_rows(d),
                               "gram long, core long, key long, size int, place long, block int"), "blocks")
-    shared = blocks.groupBy("gram", "core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "core")
+    shared = stored(blocks.groupBy("gram", "core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "core"),
+                    "shared")
     kept = blocks.join(shared, ["gram", "core"], "left_semi").groupBy("key", "size", "place").agg(
         F.collect_list("block").alias("blocks"))
     windows = stored(arrow_map(segments.join(kept, ["key", "size", "place"]).select(
@@ -212,7 +214,8 @@ def repeated_spans(texts: DataFrame, length: int = 400) -> DataFrame:
         "gram long, window long, key long, size int, start long, alone boolean"), "windows")
     discard(blocks)
     discard(segments)
-    again = windows.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "window")
+    again = stored(windows.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        "gram", "window"), "again")
     single = windows.where("alone").join(again, ["gram", "window"], "left_semi").select(
         "key", "size", F.col("start").alias("first"), F.col("start").alias("last"))
     return stored(equal.unionByName(single).groupBy("key", "size").agg(
