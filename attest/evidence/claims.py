@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,35 +130,33 @@ def dangling(
     sources: DataFrame,
 ) -> DataFrame:
     """``(owner, owner_id, edge, missing)``: references that lead nowhere, over all ten edges between the tables."""
-    def links(df: DataFrame, owner: str, edge: str, column: Column, many: bool) -> DataFrame:
-        target = F.explode(column) if many else column
-        return df.select(F.lit(owner).alias("owner"), F.col("id").alias("owner_id"), F.lit(edge).alias("edge"),
-                         target.alias("missing")).filter(F.col("missing").isNotNull())
-
-    # References are gathered by the table they point to, so that each target is shuffled once.
-    to_claims = union_all([
-        links(claims, "claim", "dependency", F.col("depends_on"), True),
-        links(claims, "claim", "parent", F.col("derived_from"), False),
-        links(evidence, "evidence", "claim", F.col("claim_id"), False),
-        links(probes, "probe", "claim", F.col("claim_id"), False),
-        links(questions, "question", "claim", F.col("claim_ids"), True),
-    ])
-    to_evidence = union_all([
-        links(claims, "claim", "evidence", F.col("evidence_ids"), True),
-        links(claims, "claim", "origin evidence", F.col("derived_from_evidence"), False),
-    ])
-    to_sources = union_all([
-        links(claims, "claim", "source", F.col("source_ids"), True),
-        links(profiles, "profile", "source", F.col("source_id"), False),
-    ])
-    to_probes = links(evidence, "evidence", "probe", F.col("probe_id"), False)
-    pairs = [(to_claims, claims), (to_evidence, evidence), (to_sources, sources), (to_probes, probes)]
-    found = []
-    for refs, target in pairs:
-        # Each referenced id is looked up once, however many rows refer to it; only the lost ones go back to the rows.
-        lost = refs.select("missing").distinct().join(target.select(F.col("id").alias("missing")), "missing", "left_anti")
-        found.append(refs.join(lost, "missing", "left_semi").select("owner", "owner_id", "edge", "missing"))
-    return union_all(found)
+    def links(df: DataFrame, owner: str, one: Sequence[tuple[str, str, str]], many: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
+        """All references of one table in one pass; `one` and `many` list (edge, target, column)."""
+        ref = lambda edge, target, value: F.struct(
+            F.lit(edge).alias("edge"), F.lit(target).alias("target"), value.alias("missing"))
+        single = F.array(*[ref(edge, target, F.col(column)) for edge, target, column in one])
+
+        def listed(edge: str, target: str, column: str) -> Column:
+            return F.coalesce(F.transform(F.col(column), lambda x: ref(edge, target, x)), F.slice(single, 1, 0))
+
+        lists = [listed(*each) for each in many]
+        return df.select(F.col("id").alias("owner_id"), F.explode(F.concat(single, *lists)).alias("r")).select(
+            F.lit(owner).alias("owner"), "owner_id", "r.edge", "r.target", "r.missing").filter(F.col("missing").isNotNull())
+
+    refs = settle(union_all([
+        links(claims, "claim", [("parent", "claim", "derived_from"), ("origin evidence", "evidence", "derived_from_evidence")],
+              [("dependency", "claim", "depends_on"), ("evidence", "evidence", "evidence_ids"), ("source", "source", "source_ids")]),
+        links(evidence, "evidence", [("claim", "claim", "claim_id"), ("probe", "probe", "probe_id")]),
+        links(probes, "probe", [("claim", "claim", "claim_id")]),
+        links(questions.withColumn("__none", F.lit(None).cast("string")), "question", [("claim", "claim", "__none")],
+              [("claim", "claim", "claim_ids")]),
+        links(profiles, "profile", [("source", "source", "source_id")]),
+    ]), "references")
+    known = union_all([df.select(F.lit(target).alias("target"), F.col("id").alias("missing")) for target, df in (
+        ("claim", claims), ("evidence", evidence), ("source", sources), ("probe", probes))])
+    # Each referenced id is looked up once, however many rows refer to it; only the lost ones go back to the rows.
+    lost = refs.select("target", "missing").distinct().join(known, ["target", "missing"], "left_anti")
+    return refs.join(lost, ["target", "missing"], "left_semi").select("owner", "owner_id", "edge", "missing")
 
 
 def dependency_levels(claims: DataFrame, edges: DataFrame) -> DataFrame:
@@ -170,22 +170,22 @@ def dependency_levels(claims: DataFrame, edges: DataFrame) -> DataFrame:
     lost = edges.join(claims.select(F.col("claim_id").alias("depends_on")), "depends_on", "left_anti").limit(1).collect()
     if lost:
         raise KeyError(f"claim {lost[0]['claim_id']} depends on unknown claim {lost[0]['depends_on']}")
-    # An edge goes on waiting while its prerequisite itself waits; a claim's level is the number of rounds it waited.
+    # An edge goes on waiting while its prerequisite itself waits; a claim gets its level when its last edge goes.
     waiting, open_edges = edges, edges.count()
-    rounds: list[DataFrame] = []
+    left_queue: list[DataFrame] = []
     while open_edges > 0:
         blocked = waiting.select("claim_id").distinct()
-        rounds.append(blocked)
-        waiting = settle(waiting.join(blocked.withColumnRenamed("claim_id", "depends_on"), "depends_on", "left_semi"), "edges")
-        left = waiting.count()
+        after = settle(waiting.join(blocked.withColumnRenamed("claim_id", "depends_on"), "depends_on", "left_semi"), "edges")
+        left_queue.append(blocked.join(after.select("claim_id").distinct(), "claim_id", "left_anti").withColumn(
+            "level", F.lit(len(left_queue) + 1)))
+        waiting, left = after, after.count()
         if left == open_edges:
             raise CycleError("dependency cycle between claims")
         open_edges = left
-    if not rounds:
+    if not left_queue:
         return claims.select("claim_id", F.lit(0).alias("level"))
-    waited = union_all(rounds).groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"))
-    return claims.select("claim_id").join(waited, "claim_id", "left").select(
-        "claim_id", F.coalesce("n", F.lit(0)).cast("int").alias("level"))
+    return claims.select("claim_id").join(union_all(left_queue), "claim_id", "left").select(
+        "claim_id", F.coalesce("level", F.lit(0)).cast("int").alias("level"))
 
 
 def ready_for_probe(edges: DataFrame, statuses: DataFrame) -> DataFrame:

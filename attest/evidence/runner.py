@@ -1,11 +1,13 @@
-"""Run probes: exceptions and populations of many probes become evidence rows in one job.
+"""Run probes: exceptions and populations of many probes become evidence rows.
 
-Only aggregates and at most 20 sample rows per probe survive; the full exception sets stay distributed and go to the
-sink when one is given.
+Every exception set is written once, as text, and count and samples are taken from what was written, so that nothing is
+computed twice and the evidence can be followed to its full set. Checks whose exceptions are pairs of rows are counted
+per key instead and store their pairs only when a sink is named.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import replace
@@ -19,7 +21,7 @@ from attest.evidence import verdicts as V
 from attest.evidence.templates import TEMPLATES, Check, merged_tolerances, question_text
 from attest.functions.fingerprints import fingerprint_text, table_fingerprint
 from attest.functions.frames import declared, union_all
-from attest.session import settle
+from attest.session import settle, shared_folder
 
 
 def build_check(views: Mapping[str, DataFrame], probe: S.Probe, tolerances: Mapping[str, Any] | None = None) -> Check:
@@ -41,19 +43,29 @@ def write_exceptions(exceptions: DataFrame, sink: str, run_id: str, probe_id: st
     return path
 
 
+def stored_exceptions(exceptions: DataFrame, path: str) -> DataFrame:
+    """A stored exception set with the types it had before it became text."""
+    kinds = exceptions.schema
+    text = exceptions.sparkSession.read.schema(", ".join(f"`{f.name}` string" for f in kinds)).parquet(path)
+    return text.select([F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in kinds])
+
+
 def _outcome(probe_id: str, check: Check) -> DataFrame:
-    """One row: exception count, verdict and summary of a check."""
+    """One row: exceptions found, verdict and summary of a check. The number found is never cut."""
+    whole = lambda c: F.coalesce(c, F.lit(0)).cast("decimal(38,0)").alias("exception_count")
     if check.statistics_only:
-        counted = check.exceptions().withColumn("exception_count", F.lit(0).cast("bigint"))
+        counted = check.exceptions().withColumn("exception_count", whole(F.lit(0)))
     elif check.counted is not None:
-        # More pairs than a bigint holds are reported as the largest bigint.
-        most = F.lit(2**63 - 1).cast("decimal(38,0)")
-        counted = check.counted().select(F.least("found", most).cast("bigint").alias("exception_count"))
+        counted = check.counted().select(whole(F.col("found")))
     else:
-        counted = check.exceptions().agg(
-            F.coalesce(F.sum(check.weight), F.lit(0)).cast("bigint").alias("exception_count"))
-    return counted.select(F.lit(probe_id).alias("probe_id"), "exception_count", check.verdict.alias("verdict"),
-                          check.summary.alias("summary"))
+        counted = check.exceptions().agg(whole(F.sum(check.weight)))
+    return counted.select(F.lit(probe_id).alias("probe_id"), F.col("exception_count").alias("exceptions_found"),
+                          check.verdict.alias("verdict"), check.summary.alias("summary"))
+
+
+def _counted_rows(found: DataFrame) -> DataFrame:
+    """``exception_count``, which a rate can be made of, beside the number found: no more than the population."""
+    return found.withColumn("exception_count", F.least("exceptions_found", F.col("population").cast("decimal(38,0)")).cast("bigint"))
 
 
 def _samples(probe_id: str, check: Check) -> DataFrame:
@@ -77,16 +89,13 @@ def _counted_parts(checks: Mapping[str, Check]) -> list[DataFrame]:
     return [union_all(populations), union_all([_outcome(p, c) for p, c in checks.items()])]
 
 
-COUNTS = ("population", "exception_count", "verdict", "summary")
+COUNTS = ("population", "exceptions_found", "verdict", "summary")
 
 
 def probe_counts(checks: Mapping[str, Check]) -> DataFrame:
-    """``(probe_id, population, exception_count, verdict, summary)`` for all checks in one plan, without samples.
-
-    Exceptions are counted in report rows and never exceed the population.
-    """
-    return _gather(_counted_parts(checks), COUNTS).withColumn(
-        "exception_count", F.least("exception_count", "population"))
+    """``(probe_id, population, exceptions_found, verdict, summary, exception_count)`` for all checks in one plan,
+    without samples. ``exceptions_found`` counts report rows; ``exception_count`` does not exceed the population."""
+    return _counted_rows(_gather(_counted_parts(checks), COUNTS))
 
 
 def probe_outcomes(checks: Mapping[str, Check]) -> DataFrame:
@@ -100,8 +109,8 @@ def probe_outcomes(checks: Mapping[str, Check]) -> DataFrame:
     cells = F.struct("at", F.map_entries("sample").alias("cells"))
     # At most 20 rows per probe come together here.
     parts.append(union_all(samples).groupBy("probe_id").agg(F.array_sort(F.collect_list(cells)).alias("picked")))
-    return _gather(parts, (*COUNTS, "picked")).select(
-        "probe_id", "population", F.least("exception_count", "population").alias("exception_count"), "verdict", "summary",
+    return _counted_rows(_gather(parts, (*COUNTS, "picked"))).select(
+        "probe_id", "population", "exceptions_found", "exception_count", "verdict", "summary",
         F.coalesce(F.transform("picked", lambda item: F.map_from_entries(item["cells"])), empty).alias("exception_samples"))
 
 
@@ -130,20 +139,28 @@ def run_probes(
     sink: str | None = None,
     run_id: str | None = None,
 ) -> DataFrame:
-    """Evidence rows for `probes`. With a `sink`, every non-empty exception set is stored there as text."""
+    """Evidence rows for `probes`, with what is needed to run them again: parameters and tolerances.
+
+    Exception sets are stored in `sink`, by default a folder in the shared one. Sets of row pairs can be far larger than
+    the data; they are counted and stored only if `sink` is named.
+    """
     spark = next(iter(views.values())).sparkSession
     run_id = run_id or uuid.uuid4().hex
+    place = sink or f"{shared_folder(spark)}/exceptions"
     checks: dict[str, Check] = {}
     stored: dict[str, str] = {}
     for probe in probes:
         check = build_check(views, probe, tolerances)
-        if sink is not None and not check.statistics_only:
-            kept = settle(check.exceptions(), "exceptions")
-            stored[probe.id] = write_exceptions(kept, sink, run_id, probe.id)
+        if not check.statistics_only and (sink is not None or check.counted is None):
+            found = check.exceptions()
+            stored[probe.id] = write_exceptions(found, place, run_id, probe.id)
+            kept = stored_exceptions(found, stored[probe.id])
             check = replace(check, exceptions=lambda kept=kept: kept, counted=None, first=None)
         checks[probe.id] = check
-    about = declared(spark, "probe_id string, claim_id string, template string, stored string",
-                     [(p.id, p.claim_id, p.template, stored.get(p.id)) for p in probes])
+    told = lambda value: json.dumps(value, sort_keys=True, ensure_ascii=False, default=str)
+    about = declared(spark, "probe_id string, claim_id string, template string, stored string, params string, tolerances string",
+                     [(p.id, p.claim_id, p.template, stored.get(p.id), told(p.params),
+                       told(merged_tolerances(p.template, tolerances))) for p in probes])
     rows = about.join(probe_outcomes(checks), "probe_id").join(_stamps(views, checks), "probe_id")
     none = lambda kind: F.lit(None).cast(kind)
     return rows.select(
@@ -152,7 +169,8 @@ def run_probes(
         none(S.SCOPE).alias("scope"), none("string").alias("statement"), "population", "exception_count",
         "exception_samples",
         F.when(F.col("exception_count") > 0, F.col("stored")).alias("result_ref"),
-        F.create_map(F.lit("template"), F.col("template"), F.lit("summary"), F.col("summary")).alias("payload"),
+        F.create_map(*[x for name in ("template", "summary", "params", "tolerances", "exceptions_found")
+                       for x in (F.lit(name), F.col(name).cast("string"))]).alias("payload"),
         "source_fingerprints", F.lit(False).alias("stale"), F.current_timestamp().alias("created_at"))
 
 

@@ -165,7 +165,8 @@ def customer_months(lines: DataFrame, versions: DataFrame, new_ids: DataFrame, i
     daily = lines.groupBy("customer_id", "day").agg(F.sum("revenue").alias("revenue"), F.sum("cost").alias("cost"))
     current = daily.join(new_ids.select(F.col("old_id").alias("customer_id"), "new_id"), "customer_id", "left").withColumn(
         "customer_id", F.coalesce("new_id", "customer_id")).drop("new_id")
-    external = current.join(intercompany.select("customer_id").distinct(), "customer_id", "left_anti")
+    # Stored once: the look-up asks for its days and the result joins its rows.
+    external = settle(current.join(intercompany.select("customer_id").distinct(), "customer_id", "left_anti"), "external")
     placed = point_in_time(external, "customer_id", "day", versions, "key_account")
     return placed.groupBy("customer_id", "key_account", F.date_format("day", "yyyy-MM").alias("period")).agg(
         F.sum("revenue").alias("revenue"), F.sum(F.col("revenue") - F.col("cost")).alias("margin"))

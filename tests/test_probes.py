@@ -224,7 +224,17 @@ def test_exceptions_never_exceed_the_population(spark):
     one = declared(spark, "k bigint, a string", [(1, "x")])
     many = declared(spark, "k bigint, a string", [(1, f"y{i}") for i in range(5)])
     got = outcome({"l": one, "r": many}, "attribute_contradiction", left="l", right="r", left_key="k", right_key="k", left_attr="a", right_attr="a")
-    assert (got["population"], got["exception_count"], len(got["exception_samples"])) == (1, 1, 5)
+    assert (got["population"], got["exception_count"], int(got["exceptions_found"]), len(got["exception_samples"])) == (1, 1, 5, 5)
+
+
+def test_evidence_keeps_the_full_set_and_how_it_was_made(spark):
+    views = {"ledger": declared(spark, "k string, amount decimal(18,2)", [(f"k{i:02d}", 1 + i) for i in range(30)] + [("even", 5), ("even", -5)])}
+    probe = Probe("p", "balance", {"journal": "ledger", "group_column": "k", "amount": "amount"})
+    row = run_probes(views, [probe], {"balance": 2}).first()
+    assert spark.read.parquet(row["result_ref"]).count() == row["exception_count"] == 28 and len(row["exception_samples"]) == 20
+    assert row["exception_samples"][0]["grp"] == "k29"
+    assert row["payload"]["params"] == '{"amount": "amount", "group_column": "k", "journal": "ledger"}'
+    assert row["payload"]["tolerances"] == '{"absolute": 2}' and row["payload"]["exceptions_found"] == "28"
 
 
 def test_questions_are_drafted_once_for_results_that_did_not_pass(spark):
