@@ -3,7 +3,7 @@
 A text is a set of shingles, and the set a signature of minima under fixed hash functions. Every run starts with all sets
 in one node. A node samples one or two coordinates (1 / threshold on average) and splits its sets by the shingle they
 have there, so similar sets walk on together and others part. Nodes of a few sets are compared by brute force, larger ones
-take a pivot: sets close to it are done, the rest walks on. Runs are repeated until the recall asked for.
+take two pivots: sets close to one are done, the rest walks on. Runs are repeated until the recall asked for.
 
 Paths only decide which texts belong together loosely. Inside such a group all pairs are then compared exactly, block by
 block, each pair in one task, so a link is never lost because one of its buckets was large. Tasks return counts and a
@@ -24,7 +24,8 @@ from attest.llm.common import arrow_map, components, discard, stored
 from attest.llm.hashing import Words, mix, scramble, shingles_of, signed, slices, text_column, words_of
 
 COORDINATES = 64
-SMALL = 32
+SMALL = 256
+CLOSE = 0.7  # a set of a large node that is this like a pivot walks no further
 BLOCK = 256
 _SEEDS = scramble(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _ODD = _SEEDS[:COORDINATES], _SEEDS[COORDINATES:] | np.uint64(1)
@@ -120,20 +121,33 @@ def _path_rows(runs: int, threshold: float, depth: int):
 
 
 def _pivot_rows(threshold: float, near: float, far: float):
-    """Rows of large nodes: an edge to the pivot if it is near, and the way on unless the set is close to it."""
+    """Rows of large nodes: edges to the pivots that are near, and the way on unless the set is close to one."""
     def rows(batch: pa.RecordBatch):
         marks = _marks(batch.column("signature"))
-        alike = (marks == _marks(batch.column("pivot_signature"))).mean(1)
         node = batch.column("node").to_numpy().view(np.uint64)
         key = batch.column("key").to_numpy()
-        edge = np.flatnonzero(alike >= far)
-        on = np.flatnonzero(alike < near)
-        step, child = _children(node[on], marks[on], threshold)
+        alike = [(marks == _marks(batch.column(c))).mean(1) for c in ("low_signature", "high_signature")]
+        own, other = [], []
+        for share, pivot in zip(alike, ("low", "high")):
+            edge = np.flatnonzero(share >= far)
+            own.append(key[edge])
+            other.append(batch.column(pivot).to_numpy()[edge])
+        on = np.flatnonzero(np.maximum(*alike) < near)
+        # larger nodes take more steps at once
+        steps = np.clip(np.ceil(np.log2(batch.column("n").to_numpy()[on] / SMALL) * 2), 1, 4).astype(np.int64)
+        keys, children = [], []
+        on_node = node[on]
+        while len(on):
+            step, on_node = _children(on_node, marks[on], threshold)
+            on, steps = on[step], steps[step] - 1
+            keys.append(key[on[steps == 0]])
+            children.append(on_node[steps == 0])
+            on, on_node, steps = on[steps > 0], on_node[steps > 0], steps[steps > 0]
+        edges, ways = sum(map(len, own)), sum(map(len, keys))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[np.zeros(len(edge), np.int64), signed(child)]), pa.array(np.r_[key[edge], key[on[step]]]),
-             pa.array(np.r_[batch.column("pivot").to_numpy()[edge], np.zeros(len(step), np.int64)]),
-             pa.array(np.r_[np.ones(len(edge), bool), np.zeros(len(step), bool)])],
-            names=["node", "key", "pivot", "edge"])
+            [pa.array(np.concatenate([np.zeros(edges, np.int64), *map(signed, children)])),
+             pa.array(np.concatenate([*own, *keys])), pa.array(np.concatenate([*other, np.zeros(ways, np.int64)])),
+             pa.array(np.r_[np.ones(edges, bool), np.zeros(ways, bool)])], names=["node", "key", "pivot", "edge"])
 
     return rows
 
@@ -180,22 +194,29 @@ def _forest(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
 
 
 def _bucket_edges(alike: float):
+    """A spanning forest of the like pairs of each node; pairs that are connected already are not compared."""
     def over(batches):
         for table in whole_groups(batches, ["node"]):
             node, key = table.column("node").to_numpy(), table.column("key").to_numpy()
             marks = _marks(table.column("signature").combine_chunks())
-            pairs = []
+            root = np.arange(len(node))
+            a, b = [], []
             for apart in range(1, SMALL):
-                first = np.flatnonzero(node[apart:] == node[:-apart])
-                if not len(first):
+                same = node[apart:] == node[:-apart]
+                if not same.any():
                     break
+                first = np.flatnonzero(same & (root[apart:] != root[:-apart]))
                 first = first[(marks[first] == marks[first + apart]).mean(1) >= alike]
-                pairs.append(np.stack([first, first + apart], 1))
-            if pairs:
-                tree = _forest(map(tuple, np.concatenate(pairs).tolist()))
-                linked = [(key[x], key[r]) for x, r in tree.items() if x != r]
-                if linked:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*linked)], names=["a", "b"])
+                if not len(first):
+                    continue
+                a.append(key[first])
+                b.append(key[first + apart])
+                tree = _forest(zip(root[first].tolist(), root[first + apart].tolist()))
+                move = np.arange(len(node))
+                move[list(tree)] = list(tree.values())
+                root = move[root]
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     return over
 
@@ -203,29 +224,29 @@ def _bucket_edges(alike: float):
 def loose_edges(sets: DataFrame, threshold: float, recall: float, depth: int = 2, most_depth: int = 60) -> DataFrame:
     """(a, b): a spanning set of edges between the keys of `sets` (key, signature) that may be similar."""
     spread = 4 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
-    alike, near, far = threshold - spread, threshold, max(0.0, 2 * threshold - 1 - spread / 2)
-    way = stored(arrow_map(sets.select("key", "signature"), _path_rows(runs_for(recall, threshold), threshold, depth),
-                           "node long, key long"), "paths")
+    alike, near = threshold - spread, min(CLOSE, threshold)
+    far = max(0.0, near + threshold - 1 - spread / 2)  # whatever is similar to a set that is close to a pivot
+    marks = sets.select("key", "signature")
+    way = stored(arrow_map(marks, _path_rows(runs_for(recall, threshold), threshold, depth), "node long, key long"), "paths")
     edges = []
     for _ in range(most_depth):
-        nodes = stored(way.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("pivot")).where("n > 1"), "nodes")
-        met = stored(way.join(nodes, "node").join(sets.select("key", "signature"), "key").select(
-            "node", "key", "n", "pivot", "signature"), "met")
-        discard(way)
+        nodes = stored(way.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"),
+                                               F.max("key").alias("high")).where("n > 1"), "nodes")
+        met = stored(way.join(nodes.select("node", "n"), "node").join(marks, "key"), "met")
         small = met.where(F.col("n") <= SMALL).select("node", "key", "signature").repartition("node").sortWithinPartitions("node")
         edges.append(stored(small.mapInArrow(_bucket_edges(alike), "a long, b long").distinct(), "edges"))
-        pivots = stored(nodes.where(F.col("n") > SMALL).join(
-            sets.select(F.col("key").alias("pivot"), F.col("signature").alias("pivot_signature")), "pivot").select(
-            "node", "pivot_signature"), "pivots")
+        if nodes.where(F.col("n") > SMALL).isEmpty():
+            break
+        pivots = nodes.where(F.col("n") > SMALL)
+        for pivot in ("low", "high"):
+            pivots = pivots.join(marks.select(F.col("key").alias(pivot), F.col("signature").alias(f"{pivot}_signature")), pivot)
+        pivots = stored(pivots.drop("n"), "pivots")
         walked = stored(arrow_map(met.where(F.col("n") > SMALL).join(pivots, "node").select(
-            "node", "key", "pivot", "signature", "pivot_signature"), _pivot_rows(threshold, near, far),
+            "node", "key", "n", "low", "high", "signature", "low_signature", "high_signature"), _pivot_rows(threshold, near, far),
             "node long, key long, pivot long, edge boolean"), "walked")
         discard(met)
         edges.append(walked.where("edge").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
         way = walked.where("not edge").select("node", "key")
-        if way.isEmpty():
-            break
-        way = stored(way.distinct(), "paths")
     else:
         raise RuntimeError("sets do not part along their paths")
     out = edges[0]

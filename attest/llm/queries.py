@@ -89,6 +89,22 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
+_OP1_SQL = """
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select r, i, md5(substr(h, 2 * i + 1, 800)) as m from (select r, h, unnest(range(0, greatest(0, length(h) // 2 - 399))) as i from d)),
+g as (select m from w group by m having count(*) > 1),
+s as (select r, i from w where m in (select m from g)),
+n as (select r, i, case when i <= lag(i) over (partition by r order by i) + 400 then 0 else 1 end as fresh from s),
+k as (select r, i, sum(fresh) over (partition by r order by i) as run from n),
+spans as (select r, run, min(i) as b, max(i) + 400 as e from k group by r, run),
+o as (select *, coalesce(lag(e) over (partition by r order by run), 0) as p from spans),
+c as (select o.r, string_agg(substr(h, 2 * p + 1, 2 * (b - p)), '' order by run) as a, max(e) as last,
+    sum(e - b)::bigint as n_removed, count(*) as n_spans from o join d using (r) group by o.r)
+select doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(a, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from d left join c using (r)
+"""
+
 _OP8_SQL = """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as x from pages),
 k as (select *, max(page_id) over (partition by x) as keeper from p),
@@ -127,6 +143,7 @@ from w left join l on l.a = w.r left join m on m.a = w.r
 """
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": _OP1_SQL,
     "op8_warc": _OP8_SQL,
     "op9_exact_topk": _OP9_SQL,
     "op10_jaccard_join": _OP10_SQL,
