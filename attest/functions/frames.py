@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-# Declared lists (expected units, registries, column lists) up to this length may be broadcast outright.
-DECLARED_BROADCAST_ROWS = 100_000
-
 
 def declared(spark: SparkSession, schema: str | T.StructType, rows: Iterable[Sequence]) -> DataFrame:
     """A DataFrame of declared rows (parameters, registries); Spark knows its exact size and broadcasts by size."""
@@ -23,11 +20,6 @@ def declared(spark: SparkSession, schema: str | T.StructType, rows: Iterable[Seq
     return spark.createDataFrame(table, schema=struct)
 
 
-def maybe_broadcast(df: DataFrame, known_rows: int) -> DataFrame:
-    """Broadcast hint only for frames whose row count is known on the driver and small."""
-    return F.broadcast(df) if known_rows <= DECLARED_BROADCAST_ROWS else df
-
-
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attest.functions.canonical import comparison_key, lenient_bigint
-from attest.functions.frames import declared, maybe_broadcast, union_all
+from attest.functions.frames import declared, union_all
 from attest.functions.intervals import TOP_LEVEL, WIDE_KEY, cover, day_number, path, stab_join
 from attest.session import settle
 
@@ -75,10 +75,9 @@ def coverage(table: DataFrame, unit_column: str, expected: Sequence, canonical_f
     The declared list filters the scan first, so only units that were asked for are ever shuffled.
     """
     units = expected_units(table, expected)
-    listed = maybe_broadcast(units, len(expected))
     seen = (
         table.select(comparison_key(table, unit_column, canonical_form).alias("missing_unit"))
-        .join(listed, "missing_unit", "left_semi").distinct()
+        .join(units, "missing_unit", "left_semi").distinct()
     )
     return units.join(seen, "missing_unit", "left_anti")
 
