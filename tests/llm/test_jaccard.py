@@ -31,23 +31,24 @@ def brute(rows, width=5, threshold=0.8):
     return sorted((i, min(least[find(x)]), links[x]) for x, (i, _) in enumerate(rows))
 
 
-def corpus(seed, copies):
+def corpus(seed, copies, edits=3):
     r = random.Random(seed)
     vocabulary = [f"w{k}" for k in range(400)]
     texts = [[r.choice(vocabulary) for _ in range(r.randint(1, 120))] for _ in range(120)]
     base = [r.choice(vocabulary) for _ in range(100)]
     for t in [base] * copies + texts[:60] * 2:
         t = list(t)
-        for _ in range(r.randint(0, 3)):
+        for _ in range(r.randint(0, edits)):
             t[r.randrange(len(t))] = r.choice(vocabulary)
         texts.append(t)
     out = [" ".join(t) for t in texts] + [" ".join(base)] * 40 + ["", None, " \n", "a b", "a  b", "a b c d", "x"]
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("seed,copies", [(1, 20), (2, 400)])
-def test_against_brute_force(spark, seed, copies):
-    rows = corpus(seed, copies)
+@pytest.mark.parametrize("seed,copies,edits,small", [(1, 20, 3, 256), (2, 400, 3, 256), (3, 300, 9, 8)])
+def test_against_brute_force(spark, monkeypatch, seed, copies, edits, small):
+    monkeypatch.setattr("attest.llm.jaccard.SMALL", small)
+    rows = corpus(seed, copies, edits)
     df = spark.createDataFrame([(*x, "clash", 1) for x in rows], "doc_id long, text string, key string, class int").repartition(3)
     got = sorted((x.doc_id, x.class_id, x.n_links) for x in similar_groups(df).collect())
     assert got == brute(rows)
