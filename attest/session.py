@@ -5,10 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Session setting that names the folder of the current run.
+RUN_FOLDER = "attest.run.folder"
+
+
 def local_session(app: str = "attest", cores: str | int = 8, partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; on a cluster the caller brings its own."""
     return (
@@ -37,6 +43,31 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder wherever the cluster's file systems keep it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Everything that is settled inside goes to one folder, which is removed at the end.
+
+    Results that are read later must be written before the run ends. Runs may be nested; the inner one is removed first.
+    """
+    before = spark.conf.get(RUN_FOLDER, None)
+    place = f"{shared_folder(spark)}/attest-run-{uuid.uuid4().hex}"
+    spark.conf.set(RUN_FOLDER, place)
+    try:
+        yield place
+    finally:
+        if before is None:
+            spark.conf.unset(RUN_FOLDER)
+        else:
+            spark.conf.set(RUN_FOLDER, before)
+        remove_folder(spark, place)
+
+
 def settle(df: DataFrame, name: str = "frame") -> DataFrame:
     """Write `df` once as a table in the shared folder and read it back.
 
@@ -44,6 +75,6 @@ def settle(df: DataFrame, name: str = "frame") -> DataFrame:
     nothing upstream is computed twice and a lost executor costs no recomputation of earlier steps.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/attest-{name}-{uuid.uuid4().hex}"
+    path = f"{spark.conf.get(RUN_FOLDER, None) or shared_folder(spark)}/attest-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -132,3 +132,18 @@ def test_snapshot_stands_alone(spark, landscape, folder):
     views = K.build_catalog(spark, listed).views
     assert rows(K.export_snapshot(views, str(folder / "snapshot"))) == rows(K.row_counts(views))
     assert spark.read.parquet(str(folder / "snapshot" / "erp__orders")).filter(F.col("order_id") == "o1").count() == 1
+
+
+def test_a_run_leaves_nothing_behind(spark):
+    from pathlib import Path
+
+    from attest.session import run_folder, settle
+
+    with run_folder(spark) as outer:
+        kept = settle(spark.range(3), "kept")
+        with run_folder(spark) as inner:
+            assert settle(spark.range(5), "inner").count() == 5
+            assert inner != outer
+        assert not Path(inner.removeprefix("file:")).exists() and kept.count() == 3
+    assert not Path(outer.removeprefix("file:")).exists()
+    assert settle(spark.range(2), "later").count() == 2
