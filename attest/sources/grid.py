@@ -48,20 +48,20 @@ def _cell(cells: Column, typed: bool, i: int) -> tuple[Column, Column | None]:
     return (cell["text"], cell["kind"]) if typed else (cell, None)
 
 
-def _header_names(grid: DataFrame, typed: bool, spans: Sequence[tuple[int, int]]) -> tuple[list[str], list, int]:
-    """Column names, the raw header cells and the number of header rows; reads the first two rows with content."""
+def _header_names(grid: DataFrame, typed: bool, spans: Sequence[tuple[int, int]]) -> tuple[list[str], list, list]:
+    """Column names, the raw header cells and the positions of the header rows; reads each of them once."""
     text = (lambda c: c["text"]) if typed else (lambda c: c)
     filled = grid.filter(F.exists("cells", lambda c: text(c).isNotNull()))
     top = filled.orderBy("row_no").limit(1).collect()
     if not top:
-        return [], [], 0
+        return [], [], []
     rows = [[c["text"] if typed and c is not None else c for c in top[0]["cells"]]]
     if not spans:
         names = [c if c is not None else f"col{i + 1}" for i, c in enumerate(rows[0])]
-        return names, rows[0], 1
+        return names, rows[0], [top[0]["row_no"]]
     below = grid.filter(F.col("row_no") > _literal(grid, top[0]["row_no"])).orderBy("row_no").limit(1).collect()
     if not below:
-        return [c if c is not None else f"col{i + 1}" for i, c in enumerate(rows[0])], rows[0], 1
+        return [c if c is not None else f"col{i + 1}" for i, c in enumerate(rows[0])], rows[0], [top[0]["row_no"]]
     rows.append([c["text"] if typed and c is not None else c for c in below[0]["cells"]])
     parents = list(rows[0])
     for first, last in spans:
@@ -73,7 +73,7 @@ def _header_names(grid: DataFrame, typed: bool, spans: Sequence[tuple[int, int]]
         child = rows[1][i] if i < len(rows[1]) else None
         named = [part for part in (parent, child) if part is not None]
         names.append("_".join(named) if named else f"col{i + 1}")
-    return names, rows[0], 2
+    return names, rows[0], [top[0]["row_no"], below[0]["row_no"]]
 
 
 def _literal(grid: DataFrame, value) -> Column:
@@ -92,17 +92,13 @@ def normalize_grid(grid: DataFrame, spans: Sequence[tuple[int, int]] = ()) -> Sh
     """
     spark = grid.sparkSession
     typed = isinstance(grid.schema["cells"].dataType.elementType, T.StructType)
-    raw_names, header, header_rows = _header_names(grid, typed, spans)
+    raw_names, header, heads = _header_names(grid, typed, spans)
     columns = unique_names(column_slug(n) for n in raw_names)
     text = (lambda c: c["text"]) if typed else (lambda c: c)
     filled = F.exists("cells", lambda c: text(c).isNotNull())
     if not columns:
         return Sheet(declared(spark, "empty string", []), declared(spark, DECISIONS, []))
-    content = grid.filter(filled).orderBy("row_no").limit(1).collect()[0]["row_no"]
-    body = grid.filter(F.col("row_no") > _literal(grid, content))
-    if header_rows == 2:
-        sub = body.orderBy("row_no").limit(1).collect()[0]["row_no"]
-        body = body.filter(F.col("row_no") > _literal(grid, sub))
+    body = grid.filter(F.col("row_no") > _literal(grid, heads[-1]))
     rows = body.filter(filled)
     forms = []
     for i in range(len(columns)):
@@ -127,7 +123,7 @@ def normalize_grid(grid: DataFrame, spans: Sequence[tuple[int, int]] = ()) -> Sh
         F.lit("*").alias("column"), F.lit(RULE_BLANK_ROWS).alias("rule"),
         F.concat(F.col("n").cast("string"), F.lit(" blank rows")).alias("before"), F.lit("dropped").alias("after"))
     parts = [changed, blank]
-    if header_rows == 2:
+    if len(heads) == 2:
         parts.append(declared(spark, DECISIONS, [("*", RULE_MERGED_HEADER, str(header), str(raw_names))]))
     return Sheet(table, union_all(parts))
 
