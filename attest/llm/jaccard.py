@@ -367,8 +367,8 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     words than `width` are one shingle, and a text without words (or null) is linked to nothing. class_id is the smallest
     doc_id of all rows connected by links (null where all are null), n_links the number of other rows linked to the row,
     repeated rows and equal texts included. `key` is the 64-bit hash that stands for the text. Links of texts that the
-    paths bring together are all found; the chance that they miss one is at most 1 - `recall`. Ties need no rule; an empty
-    table gives no rows; other columns are not read.
+    paths bring together are all found; runs are repeated until a link at the threshold shares a node at depth 4 with a
+    chance of `recall`. Ties need no rule; an empty table gives no rows; other columns are not read.
     """
     rows = _rows(docs, doc_id, text)
     known = text_classes(rows, width, threshold, recall)
