@@ -21,21 +21,36 @@ NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?ke
 FORMATS = (r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[baprs]-[0-9A-Za-z-]{10,}"
            r"|sk_(?:live|test)_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{30,}|eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{4,}")
 PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"
-ASSIGNED = rf"(?i:{NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?[^\s\"']{{6,}}"
-MIXED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{12,}"
-CANDIDATE = f"{PEM}|\\b(?:{FORMATS})|\\b{ASSIGNED}|{MIXED}"
+# A name may stand anywhere in a word of these characters (DB_PASSWORD, userPassword, token_v2). The look ahead at the sign
+# comes first, so that a word is searched for names once, however long it is.
+PART = "[A-Za-z0-9_.-]"
+SIGN = r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
+NAMED = rf"(?={PART}*+{SIGN}){PART}*?(?i:{NAMES}){PART}*+{SIGN}"
+ANNOUNCED = rf"(?={PART}*+{SIGN}[^\s\"']{{6}}){NAMED}"
+ASSIGNED = rf"(?<!{PART}){ANNOUNCED}(?:{PEM}|[^\s\"']{{6,}})"
+# 12 characters with a digit among them, or 16 of any kind but signs alone; a token ends where an announced value begins.
+MIXED = (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9]|(?=[+/_=-]*[A-Za-z])[A-Za-z+/_=-]{16})"
+         rf"(?:[A-Za-z0-9_-]|[+/=](?!{ANNOUNCED})){{12,}}+")
+CANDIDATE = f"{PEM}|\\b(?:{FORMATS})|{ASSIGNED}|{MIXED}"
 
 # Common words of prose and of code, and words that stand beside numbers which are no secrets.
 WORDS = ("about|after|and|are|blue|case|data|date|default|demo|dummy|example|false|file|for|from|green|have|hello|here|home|"
          "house|image|index|item|large|main|name|none|null|order|page|part|path|place|public|read|sample|small|some|temp|"
          "test|that|the|this|time|true|under|user|value|version|water|welcome|when|with|word|work|world|write|xxxx|your")
 PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ou|ea|ch|de|le|qu|ei|ie|un|se"
+SYLLABLES = ("sch|ein|ver|heit|lich|ung|pfau|en|un|der|be|ge|ment|tion|con|pre|able|ous|inter|ism|ant|ici|pour|ado|mente|los|"
+             "ster|ing|ness|ful|keit|zu|land|berg|wick|tra")
+# Names with parts around them, and what people take for passwords.
+FULL_NAMES = ("DB_PASSWORD|db_password|client_secret|userPassword|github_token|app.api-key|AWS_SECRET_ACCESS_KEY|smtp_pwd|"
+              "authToken|ADMIN_PASSWD|x-auth-key|token_v2|service_credential|password2")
+PASSES = ("hunter|dragon|monkey|purple|silver|shadow|summer|winter|falcon|tiger|rocket|guitar|cookie|banana|ginger|pepper|"
+          "matrix|merlin|h4ck|p@ss|s3cr3t|w0rd9|qw3rty|l3tm3in|zxcvb|adm1n")
 HARMLESS = (r"(?i)\b(?:commit|checksum|sha1|sha256|md5|digest|revision|etag|uuid|guid|isbn|issn|doi|phone|tel|fax|order|"
             r"invoice|tracking|version|build|example|sample|dummy|placeholder)\b")
 
 MARK = "\x01"
 FEATURES = ["length", "kinds", "distinct", "digits", "upper", "signs", "pairs", "words", "hex", "run", "assigned", "format",
-            "path", "harmless"]
+            "path", "harmless", "marks"]
 TREES, DEPTH, SEED = 24, 6, 7
 AROUND = 60
 
@@ -50,8 +65,8 @@ def _without(value: Column, pattern: str) -> Column:
 
 def features(rows: DataFrame) -> DataFrame:
     """Feature columns from before, found and after: what stands left of a candidate, the candidate, what follows."""
-    name = rf"^\s*(?:{NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?"
-    value = F.regexp_replace("found", F.lit(f"(?i){name}"), F.lit(""))
+    name = rf"^\s*{NAMED}"
+    value = F.regexp_replace("found", F.lit(name), F.lit(""))
     rows = rows.withColumn("value", F.when(F.length(value) > 0, value).otherwise(F.col("found")))
     v, n = F.col("value"), F.length("value")
     return rows.withColumns({
@@ -65,12 +80,13 @@ def features(rows: DataFrame) -> DataFrame:
         "words": _share(n - _without(F.lower(v), WORDS), n),
         "hex": F.rlike(v, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$")).cast("double"),
         "run": _share(n - _without(v, r"(.)\1{2,}"), n),
-        "assigned": (F.rlike("found", F.lit(f"(?i){name}")) | F.rlike("before", F.lit(rf"(?i)(?:{NAMES})[^\s]{{0,4}}\s*(?:is|[:=])?\s*[\"']?$"))).cast("double"),
+        "assigned": (F.rlike("found", F.lit(name)) | F.rlike("before", F.lit(rf"(?i)(?:{NAMES}){PART}*[^\s]{{0,4}}\s*(?:is|[:=])?\s*[\"']?$"))).cast("double"),
         "format": F.rlike("found", F.lit(f"^(?:{FORMATS})$|-----BEGIN")).cast("double"),
         "path": F.greatest(F.rlike("before", F.lit(r"[/\\][^\s]*$|https?:[^\s]*$")).cast("double"),
                            F.rlike("found", F.lit(r"/[^/]+/")).cast("double"),
                            F.rlike("after", F.lit(r"^[/\\]|^\.[a-z]{2,4}\b")).cast("double")),
         "harmless": F.rlike(F.concat_ws(" ", "before", "found", "after"), F.lit(HARMLESS)).cast("double"),
+        "marks": _share(n - _without(v, r"(?<=[A-Za-z0-9])[!@#$%^&*~?](?=[A-Za-z0-9!@#$%^&*~?])"), n),
     })
 
 
@@ -83,6 +99,12 @@ def default_findings(spark: SparkSession, per_form: int = 160) -> DataFrame:
     word = F.element_at(F.split(F.lit(WORDS), "\\|"), (F.col("id") % 60 + 1).cast("int"))
     other = F.element_at(F.split(F.lit(WORDS), "\\|"), (F.col("id") * 7 % 60 + 1).cast("int"))
     lead = F.concat(word, F.lit(" "), other, F.lit(" "))
+    pick = lambda words, k: F.element_at(F.split(F.lit(words), "\\|"), (F.col("id") * k % (words.count("|") + 1) + 1).cast("int"))
+    named = lambda sign: F.concat(pick(FULL_NAMES, 5), F.lit(sign))
+    letters = F.translate("h", "0123456789", "ghijkmqstz")
+    mixed = F.regexp_replace(F.concat("b", F.base64("m")), F.lit("[^A-Za-z]"), F.lit(""))
+    sign = pick("!|@|#|$|%|&|*", 3)
+    syllables = F.concat(*[pick(SYLLABLES, k) for k in (1, 5, 7, 11, 13, 17)])
     n = (F.col("id") % 24).cast("int")
     none = F.lit("")
     forms = [  # before, found, after, label
@@ -114,13 +136,43 @@ def default_findings(spark: SparkSession, per_form: int = 160) -> DataFrame:
         (lead, F.concat(F.lit("secret: example_"), word), none, 0),
         (lead, F.concat(word, F.lit("_"), other, F.lit("_"), word, (F.col("id") % 100).cast("string")), none, 0),
         (lead, F.concat(F.lit("token: "), word, other), F.lit(" ring"), 0),
+        (lead, F.concat(named("="), F.substring("m", 1, 18)), F.lit(" and"), 1),
+        (lead, F.concat(named(": "), F.substr(plain, F.lit(1), n + 8)), none, 1),
+        (lead, F.concat(named("="), F.substr(letters, F.lit(1), n + 10)), F.lit("\n"), 1),
+        (lead, F.concat(named(' = "'), F.substr(letters, F.lit(3), n + 12)), F.lit('"'), 1),
+        (lead, F.concat(named(" = '"), F.substr(mixed, F.lit(1), n + 10)), F.lit("'"), 1),
+        (lead, F.concat(F.lit("token="), F.substr(letters, F.lit(5), n + 14)), none, 1),
+        (lead, F.concat(named(": "), F.lit("abcdefghijklmnopqrstuvwxyz").substr(F.col("id").cast("int") % 8 + 1, n + 14)), none, 1),
+        (lead, F.concat(named("="), pick(PASSES, 3), sign, pick(PASSES, 7)), none, 1),
+        (lead, F.concat(named(": '"), pick(PASSES, 5), sign, pick(PASSES, 11), F.col("id").cast("string")), F.lit("'"), 1),
+        (lead, F.concat(F.lit("password: "), pick(PASSES, 9), sign, F.substring("m", 1, 4)), none, 1),
+        (lead, F.concat(named("="), F.substring("m", 1, 5), sign, F.substr(mixed, F.lit(1), n % 8 + 3), pick("#|!|.|@", 1), F.substring("h", 1, 3)), none, 1),
+        (lead, F.substr(mixed, F.lit(1), n + 17), none, 1),
+        (lead, F.concat(named("="), word, F.lit("_"), other), none, 0),
+        (lead, F.concat(named(": "), word, other, F.lit(",")), F.lit(" ring"), 0),
+        (lead, F.concat(named("="), F.lit("${"), F.upper(word), F.lit("_"), F.upper(other), F.lit("}")), none, 0),
+        (lead, F.concat(named(" = "), word, F.lit("."), other, F.lit("("), word, F.lit(")")), none, 0),
+        (lead, F.concat(named(": "), F.lit("<your-"), word, F.lit(">")), none, 0),
+        (lead, F.concat(named("="), F.repeat(F.lit("*"), n + 6)), none, 0),
+        (lead, F.concat(named(": "), syllables.substr(F.lit(1), n % 12 + 8)), F.lit(" "), 0),
+        (lead, F.substr(F.regexp_replace("h", F.lit("[a-f]"), F.lit("")), F.lit(1), n % 12 + 12), F.lit(" "), 0),
+        (lead, F.regexp_replace(F.substring(F.regexp_replace("h", F.lit("[a-f]"), F.lit("")), 1, 16), F.lit("(.{4})(?=.)"), F.lit("$1-")), none, 0),
+        (lead, syllables, F.lit(" "), 0),
+        (lead, F.concat(syllables, pick(WORDS, 13), syllables), F.lit(" "), 0),
+        (lead, F.concat(F.initcap(F.reverse(syllables)), F.substring(syllables, 3, 9)), F.lit(", "), 0),
+        (lead, F.concat(F.initcap(syllables), F.lit("-"), F.initcap(word), pick(SYLLABLES, 19)), F.lit(" "), 0),
+        (lead, F.concat(named("="), F.lit("${"), F.upper(pick(FULL_NAMES, 3)), F.lit("}")), none, 0),
+        (lead, F.concat(named("=$"), F.upper(pick(FULL_NAMES, 5))), none, 0),
+        (lead, F.concat(word, other, pick(WORDS, 11), F.lit("ing")), F.lit(" "), 0),
+        (lead, F.concat(word, F.lit("-"), other, F.lit("-"), pick(WORDS, 11), F.lit("-"), word), none, 0),
+        (lead, F.concat(word, F.initcap(other), F.initcap(pick(WORDS, 11)), F.initcap(pick(SYLLABLES, 3))), F.lit("("), 0),
+        (F.concat(lead, F.lit("/usr/")), F.concat(word, F.lit("/"), other, F.lit("/"), pick(SYLLABLES, 3), pick(WORDS, 11)), F.lit("."), 0),
+        (lead, F.concat(F.initcap(word), F.repeat(F.lit("-"), n + 16)), F.lit("\n"), 0),
         (F.concat(lead, F.lit("order ")), F.lpad((F.col("id") * 7919).cast("string"), 14, "3"), none, 0),
     ]
-    out = None
-    for before, found, after, label in forms:
-        part = rows.select(before.alias("before"), found.alias("found"), after.alias("after"), F.lit(float(label)).alias("label"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    each = [F.struct(before.alias("before"), found.alias("found"), after.alias("after"), F.lit(float(label)).alias("label"))
+            for before, found, after, label in forms]
+    return rows.select(F.explode(F.array(*each)).alias("form")).select("form.*")
 
 
 def fit(findings: DataFrame) -> PipelineModel:
@@ -165,8 +217,8 @@ def scan(docs: DataFrame, columns: dict[str, Column], text: str = "text", findin
     scored = model.transform(features(candidates(docs, inner, text)))
     score = F.get(vector_to_array("__probability"), F.lit(1))
     at = F.col("start") + F.length("found") - F.length("value")
-    kind = F.when(F.rlike("found", F.lit("^-----BEGIN")), "private key").when(F.col("format") == 1, "known format").when(
-        F.rlike("found", F.lit(rf"(?i)^(?:{NAMES})[\"']?\s{{0,3}}[:=]")), "assigned").otherwise("token")
+    kind = F.when(F.rlike("value", F.lit("^-----BEGIN")), "private key").when(F.col("format") == 1, "known format").when(
+        F.rlike("found", F.lit(f"^{NAMED}")), "assigned").otherwise("token")
     return scored.select(*[F.col(i).alias(n) for i, n in zip(inner, columns)], at.alias("start"),
                          (F.col("start") + F.length("found")).alias("end"), kind.alias("kind"),
                          F.sha2("value", 256).alias("value_sha256"), score.alias("score"), (score >= threshold).alias("is_secret"))
