@@ -23,9 +23,9 @@ from attest.llm.tokens import Encoder
 PIECES_PER_PARTITION = 100_000
 
 
-def _piece_rows(columns: list[str], path: str, capacity: int, end_id: int):
+def _piece_rows(columns: list[str], path: str, capacity: int, end_id: int, marks: bool):
     def over(batches):
-        encoder = Encoder(path)
+        encoder = Encoder(path, marks)
         for batch in batches:
             for part in slices(batch, "__text"):
                 ids, counts = encoder.encode(part.column("__text"))
@@ -119,19 +119,20 @@ def _pack(capacity: int, turn: int, last: bool):
 
 
 def pack(docs: DataFrame, columns: list[str], tokenizer: str, text: str = "text", capacity: int = 1024, end_id: int = 2,
-         per_partition: int = PIECES_PER_PARTITION, turns: int = 8) -> DataFrame:
+         per_partition: int = PIECES_PER_PARTITION, turns: int = 8, marks: bool = False) -> DataFrame:
     """One row per piece: `columns`, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document's ids are those of its text and `end_id`; only documents of more than `capacity` ids are cut, into whole
     pieces after a first one that takes the rest. Null and empty texts are one piece with `end_id` alone; repeated rows
     are packed as often as they occur; an empty table gives no rows. `columns` may have any names but these six.
+    With `marks` the tokenizer's added tokens, such as <|endoftext|>, get their own ids; without, they are spelled out.
     """
     if not 1 < capacity < 1 << 28 or per_partition >= 1 << 28:
         raise ValueError("capacity and pieces of a partition must be below 2**28")
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").cast("string").alias("__text"))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
     shape = f"{kinds}, piece int, start long, length long, ids_crc32 long"
-    pieces = stored(rows.mapInArrow(_piece_rows(columns, tokenizer, capacity, end_id), shape), "pieces")
+    pieces = stored(rows.mapInArrow(_piece_rows(columns, tokenizer, capacity, end_id, marks), shape), "pieces")
     full = pieces.where(F.col("length") == capacity).withColumns({
         "sequence_id": F.monotonically_increasing_id().bitwiseOR(F.lit(1 << 62)), "offset": F.lit(0).cast("long")})
     placed, open_ = [full], pieces.where(F.col("length") < capacity).withColumns({

@@ -31,7 +31,7 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return pack(_table(spark, folder, "documents"), ["doc_id"], TOKENIZER)
+    return pack(_table(spark, folder, "documents"), ["doc_id"], TOKENIZER, marks=True)
 
 
 def op3_secret_scans(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,13 +1,17 @@
 """Token ids of whole text columns under a byte-level BPE tokenizer file.
 
 The tokenizer's own split into words is done for a whole batch at once on its code points; its BPE model then sees every
-distinct word of a task once. Ids equal those of `Tokenizer.encode(text, add_special_tokens=False)`.
+distinct word of a task once. With `marks`, ids equal those of `Tokenizer.encode(text, add_special_tokens=False)`; without,
+those of a tokenizer with `encode_special_tokens`, which spells out the contents of its added tokens.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from attest.llm.hashing import coded_hashes, scramble, text_column
@@ -27,8 +31,13 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """One per task; keeps the ids of the words it has met, up to a fixed number of words."""
 
-    def __init__(self, path: str):
-        tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str, marks: bool = False):
+        tokenizer = self.tokenizer = Tokenizer.from_file(path)
+        added = tokenizer.get_added_tokens_decoder() if marks else {}
+        self.marks = {token.content: k for k, token in added.items() if token.content}
+        # tokens that look at what stands around them are left to the tokenizer itself
+        self.around = any(t.single_word or t.lstrip or t.rstrip or (t.normalized and tokenizer.normalizer) for t in added.values())
+        self.mark = re.compile("(" + "|".join(map(re.escape, sorted(self.marks, key=len, reverse=True))) + ")")
         self.split, self.model = tokenizer.pre_tokenizer, tokenizer.model
         self.letters = _byte_letters()
         self.kinds = np.full(0x110000, _UNSEEN, np.uint8)
@@ -98,6 +107,30 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text); null texts are empty."""
+        marked = np.zeros(len(column), bool)
+        for content in self.marks:
+            marked |= pc.fill_null(pc.match_substring(column, content), False).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self._spelled(column)
+        parts, owner, after = [], [], []  # texts between marks, whose they are, ids that follow them
+        for i, text in enumerate(column.to_pylist()):
+            if not marked[i]:
+                split = [text]
+            elif self.around:
+                split = ["", self.tokenizer.encode(text, add_special_tokens=False).ids]
+            else:
+                split = self.mark.split(text)
+                split[1::2] = [[self.marks[content]] for content in split[1::2]]
+            parts += split[::2]
+            owner += [i] * len(split[::2])
+            after += split[1::2] + [[]] * (len(split) % 2)
+        ids, counts = self._spelled(pa.array(parts, column.type))
+        more = np.fromiter(map(len, after), np.int64, len(after))
+        flat = np.array([x for each in after for x in each], np.uint32)
+        ids = np.insert(ids, np.repeat(np.cumsum(counts), more), flat)
+        return ids, np.bincount(owner, weights=counts + more, minlength=len(column)).astype(np.int64)
+
+    def _spelled(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         raw, at = text_column(column)
         whole = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         heads = np.zeros(len(raw) + 1, np.int64)

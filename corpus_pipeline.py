@@ -41,7 +41,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 1024 tokens."""
-    return pack(docs, ["doc_id"], TOKENIZER)
+    return pack(docs, ["doc_id"], TOKENIZER, marks=True)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("secret_scans", secret_scans),
