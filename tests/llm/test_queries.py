@@ -16,7 +16,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def tables():
     con = duckdb.connect()
-    for name in ("documents", "pages", "embeddings", "labels"):
+    for name in ("documents", "pages", "embeddings", "labels", "conversations"):
         con.execute(f"create view {name} as select * from '{FOLDER}/{name}.parquet'")
     return con
 
@@ -36,7 +36,7 @@ def test_sql_agrees(spark, tables, name):
 
 
 def test_every_query_is_named_after_its_operator():
-    assert sorted(int(re.match(r"op(\d+)_\w+$", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_\w+$", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_packing(spark, documents):
