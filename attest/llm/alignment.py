@@ -23,6 +23,8 @@ from attest.llm.common import stored
 from attest.llm.hashing import slices, text_column
 from attest.llm.tokens import Encoder, _byte_letters
 
+# Texts are aligned in slices of about SLICE_BYTES; the slices of about CHUNK_BYTES share one list of pairs.
+SLICE_BYTES = 1 << 18
 CHUNK_BYTES = 1 << 21
 _SIDE = 32  # bits of a token id in a pair
 _FIGURES = ("n_a", "n_b", "n_groups", "n_links")
@@ -157,20 +159,34 @@ def _list_of(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+def _chunk(number: int, parts: list[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> pa.RecordBatch:
+    """One row of the (docs, links, pairs, counts) of several slices, whose links then point into one list of pairs."""
+    docs, links, pairs, counts = zip(*parts)
+    summed = pa.table({"pair": pa.concat_arrays(pairs), "n": pa.concat_arrays(counts)}).group_by("pair", use_threads=False).aggregate([("n", "sum")])
+    merged = summed["pair"].combine_chunks()
+    links = [pc.index_in(own, value_set=merged).take(link) for own, link in zip(pairs, links)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([number]), *[_list_of(x) for x in (pa.concat_arrays(docs), pa.concat_arrays(links), merged, summed["n_sum"].combine_chunks())]],
+        names=["chunk", "docs", "links", "pairs", "counts"])
+
+
 def _chunk_rows(sides: Callable[[], tuple]):
     def over(batches) -> Iterator[pa.RecordBatch]:
         a_side, b_side = sides()
-        number = TaskContext.get().partitionId() << 32
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            for part in slices(batch, "text", CHUNK_BYTES):
+            for part in slices(batch, "text", SLICE_BYTES):
                 figures, links, pairs, counts = align(part.column("text"), a_side, b_side)
                 keys = [n for n in part.schema.names if n != "text"]
                 docs = pa.StructArray.from_arrays([part.column(k) for k in keys] + [c.combine_chunks() for c in figures.columns],
                                                   names=[*keys, *figures.column_names])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number]), _list_of(docs), _list_of(links), _list_of(pairs), _list_of(counts)],
-                    names=["chunk", "docs", "links", "pairs", "counts"])
-                number += 1
+                held.append((docs, links, pairs, counts))
+                size += part.column("text").nbytes
+                if size >= CHUNK_BYTES:
+                    yield _chunk(number, held)
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield _chunk(number, held)
 
     return over
 
@@ -208,8 +224,8 @@ def align_corpus(docs: DataFrame, keys: Sequence[str], sides: Callable[[], tuple
     token in the whole corpus, ties included; count_sum adds up the corpus counts of all links. Null and empty texts, and
     texts that the tokens of a side do not spell out with a space before them, have no tokens: all figures are 0 and the
     digest is empty. Every row counts, repeated rows as often as they occur; an empty table gives no rows. Keys may be null,
-    of any type, but not bear one of the new names. A chunk is a run of texts of about CHUNK_BYTES bytes; a longer text is a
-    chunk of its own. Chunks are stored once with their links, so texts are encoded once and a lost executor repeats only
+    of any type, but not bear one of the new names. A chunk is a run of texts of about CHUNK_BYTES bytes, or one longer text
+    that ends it. Chunks are stored once with their links, so texts are encoded once and a lost executor repeats only
     its own part.
     """
     clash = {*_FIGURES, "groups_sha256", "n_best", "count_sum"} & set(keys)

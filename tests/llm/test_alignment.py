@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -61,7 +62,7 @@ def sides():
     return alignment.ByteLevel(TOKENIZER), alignment.Pieces(PIECES)
 
 
-def test_against_plain_loops(spark, plain_tokenizers, monkeypatch):
+def test_against_plain_loops(spark, plain_tokenizers):
     texts = odd_texts()
     rows = [(i if i % 11 else None, t, 5, "c") for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_a_ int, chunk string").repartition(6)
@@ -71,8 +72,21 @@ def test_against_plain_loops(spark, plain_tokenizers, monkeypatch):
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
 
 
+def test_slices_of_a_chunk_share_their_pairs():
+    texts = [t for t in odd_texts() if t]
+    parts = []
+    for i in range(0, len(texts), 7):
+        figures, links, pairs, counts = alignment.align(pa.array(texts[i:i + 7]), *sides())
+        docs = pa.StructArray.from_arrays([c.combine_chunks() for c in figures.columns], names=figures.column_names)
+        parts.append((docs, links, pairs, counts))
+    row = alignment._chunk(5, parts).to_pylist()[0]
+    figures, links, pairs, counts = alignment.align(pa.array(texts), *sides())
+    assert row["chunk"] == 5 and row["docs"] == figures.to_pylist()
+    assert [row["pairs"][k] for k in row["links"]] == [pairs[k].as_py() for k in links.to_pylist()]
+    assert dict(zip(row["pairs"], row["counts"])) == dict(zip(pairs.to_pylist(), counts.to_pylist()))
+
+
 def test_chunks_do_not_matter(plain_tokenizers):
-    import pyarrow as pa
 
     texts = [t for t in odd_texts() if t]
     whole = alignment.align(pa.array(texts), *sides())[0].to_pylist()
