@@ -7,7 +7,7 @@ the population, and the verdict. Adding a template means adding one entry here.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from inspect import Parameter, signature
 from typing import Any
 
@@ -24,8 +24,9 @@ from attest.session import settle
 class Check:
     """One instantiated probe.
 
-    `exceptions` gives the full set. Where that set can be far larger than the data (pairs of rows), `counted` gives
-    its size as one row ``(found)`` and `first` its first rows, both without forming the set.
+    `exceptions` gives the full set, never more rows than the data has. Where each of its rows stands for many pairs of
+    rows, `weight` is their number and `pairs_of` gives the first pairs behind a set; `counted` and `first` are the same for
+    the set of this check: its size as one row ``(found)`` and its first rows.
     """
 
     views: tuple[str, ...]
@@ -36,9 +37,14 @@ class Check:
     summary: Column
     # A statistics row decides the verdict but is no exception itself.
     statistics_only: bool = False
-    weight: Column = field(default_factory=lambda: F.lit(1))
+    weight: Column | None = None
     counted: Callable[[], DataFrame] | None = None
     first: Callable[[], DataFrame] | None = None
+    pairs_of: Callable[[DataFrame], DataFrame] | None = None
+    # The view whose rows are the population, unless the population is something else.
+    driving: str | None = None
+    # A column of the set that is not NULL where a row could not be judged: then the check has failed.
+    fault: str | None = None
 
 
 Views = Mapping[str, DataFrame]
@@ -101,43 +107,37 @@ def _groups_summary() -> Column:
 
 
 def _plain(views: tuple[str, ...], driving: DataFrame, exceptions: DataFrame, order: list[Column]) -> Check:
+    """A check over the rows of its first view."""
     return Check(views, driving.agg(F.count(F.lit(1)).alias("population")), lambda: exceptions, tuple(order),
-                 V.empty_expected(_count()), _groups_summary())
+                 V.empty_expected(_count()), _groups_summary(), driving=views[0])
 
 
 def _pairs(views: tuple[str, ...], driving: DataFrame, exceptions: Callable[[], DataFrame], order: list[Column],
-           counts: Callable[[], DataFrame], pairs: str, first: Callable[[DataFrame], DataFrame]) -> Check:
-    """A check whose exceptions are pairs of rows; evidence counts them per key and looks at the first keys only.
-
-    The counts per key are stored once samples ask for them, because the total then needs them as well.
-    """
+           pairs_of: Callable[[DataFrame], DataFrame]) -> Check:
+    """A check whose violations are pairs of rows; each row of its set says in `pairs` how many it stands for."""
     kept: list[DataFrame] = []
 
-    def first_rows() -> DataFrame:
+    def stored() -> DataFrame:
         if not kept:
-            kept.append(settle(counts(), "pair-counts"))
-        keys = kept[0].orderBy("key").limit(MAX_SAMPLES).select("key")
-        return first(settle(keys, "keys"))
-
-    def total() -> DataFrame:
-        per_key = kept[0] if kept else counts()
-        return per_key.agg(F.coalesce(F.sum(pairs), F.lit(0)).alias("found"))
+            kept.append(settle(exceptions(), "pair-rows"))
+        return kept[0]
 
     return Check(views, driving.agg(F.count(F.lit(1)).alias("population")), exceptions, tuple(order),
-                 V.empty_expected(_count()), _groups_summary(), weight=F.col("occurrences"), counted=total, first=first_rows)
+                 V.empty_expected(_count()), _groups_summary(), weight=F.col("pairs"), pairs_of=pairs_of, driving=views[0],
+                 counted=lambda: (kept[0] if kept else exceptions()).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("found")),
+                 first=lambda: pairs_of(stored()))
 
 
 def _anti_join(views: Views, tol: Tolerances, *, child: str, parent: str, child_column: str, parent_column: str, canonical: bool = True,
                expectation: str = V.EXPECT_EMPTY) -> Check:
     child_rows, parent_rows = _view(views, child), _view(views, parent)
     found = P.anti_join(child_rows, child_column, parent_rows, parent_column, canonical)
-    expectation = expectation
     base = _plain((child, parent), child_rows, found, [F.col("occurrences").desc(), F.col("value")])
     if expectation != V.EXPECT_REPORT:
         return base
     summary = F.when(_count() == 0, "no orphans").otherwise(
         F.concat(_count().cast("string"), F.lit(" orphaned groups — needs a domain answer")))
-    return Check(base.views, base.population, lambda: found, base.order, V.report_only(_count()), summary)
+    return replace(base, verdict=V.report_only(_count()), summary=summary)
 
 
 def _duplicate(views: Views, tol: Tolerances, *, table: str, key_columns: Sequence[str]) -> Check:
@@ -173,18 +173,15 @@ def _cardinality(views: Views, tol: Tolerances, *, child: str, parent: str, chil
         V.uniqueness(columns["parent_distinct"], columns["parent_rows"]))
     summary = F.when(verdict == V.PASS, figures).otherwise(F.concat(F.lit("not reference-shaped: "), figures))
     return Check((child, parent), child_rows.agg(F.count(F.lit(1)).alias("population")), lambda: stats, (), verdict,
-                 summary, statistics_only=True)
+                 summary, statistics_only=True, driving=child)
 
 
 def _attribute_contradiction(views: Views, tol: Tolerances, *, left: str, right: str, left_key: str, right_key: str,
                              left_attr: str, right_attr: str, canonical: bool = True) -> Check:
     left_rows, right_rows = _view(views, left), _view(views, right)
     args = (left_rows, right_rows, left_key, right_key, left_attr, right_attr)
-    form = canonical
-    return _pairs((left, right), left_rows, lambda: P.attribute_contradiction(*args, form),
-                  [F.col("key"), F.col("left_value"), F.col("right_value")],
-                  lambda: P.contradiction_counts(*args, form), "contradictions",
-                  lambda keys: P.first_contradictions(*args, keys, MAX_SAMPLES, form))
+    return _pairs((left, right), left_rows, lambda: P.contradictions(*args, canonical),
+                  [F.col("key"), F.col("side"), F.col("value")], lambda found: P.first_contradictions(found, MAX_SAMPLES))
 
 
 def _reconciliation(views: Views, tol: Tolerances, *, left: str, right: str, left_group_expr: str, right_group_expr: str,
@@ -199,10 +196,8 @@ def _reconciliation(views: Views, tol: Tolerances, *, left: str, right: str, lef
 def _validity_join(views: Views, tol: Tolerances, *, table: str, key_column: str, valid_from: str, valid_to: str) -> Check:
     table_rows = _view(views, table)
     args = (table_rows, key_column, valid_from, valid_to)
-    return _pairs((table,), table_rows, lambda: P.validity_join(*args),
-                  [F.col("key"), F.col("a_from"), F.col("a_to"), F.col("b_from"), F.col("b_to")],
-                  lambda: P.validity_overlap_counts(*args), "overlaps",
-                  lambda keys: P.first_validity_overlaps(*args, keys, MAX_SAMPLES))
+    return _pairs((table,), table_rows, lambda: P.validity_overlaps(*args),
+                  [F.col("key"), F.col("valid_from"), F.col("valid_to")], lambda found: P.first_validity_overlaps(found, MAX_SAMPLES))
 
 
 def _range_join(views: Views, tol: Tolerances, *, table: str, value_column: str, ranges: str, range_from: str, range_to: str,
@@ -222,16 +217,16 @@ def _balance(views: Views, tol: Tolerances, *, journal: str, amount: str, group_
              group_expr: str | None = None) -> Check:
     journal_rows = _view(views, journal)
     group = f"`{group_column}`" if group_column else group_expr
-    found = P.balance(journal_rows, amount, group, tol["absolute"])
-    return _plain((journal,), journal_rows, found, [F.abs("balance").desc(), F.col("grp")])
+    found = P.balance(journal_rows, amount, group, tol["absolute"], contained=True)
+    return replace(_plain((journal,), journal_rows, found, [F.abs("balance").desc(), F.col("grp")]), fault="fault")
 
 
 def _subledger(views: Views, tol: Tolerances, *, subledger: str, subledger_amount: str, journal: str, journal_amount: str, account: str,
                accounts: Sequence[Any]) -> Check:
     subledger_rows, journal_rows = _view(views, subledger), _view(views, journal)
     found = P.subledger_equals_gl(subledger_rows, subledger_amount, journal_rows, journal_amount, account,
-                                  accounts, tol["absolute"])
-    return _plain((subledger, journal), subledger_rows, found, [F.col("diff")])
+                                  accounts, tol["absolute"], contained=True)
+    return replace(_plain((subledger, journal), subledger_rows, found, [F.col("diff")]), fault="fault")
 
 
 def _ic_symmetry(views: Views, tol: Tolerances, *, left: str, right: str, left_period: str, right_period: str) -> Check:

@@ -153,18 +153,29 @@ def pattern_mask(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(value, r"\p{Nd}", "9"), r"[\p{L}\p{Nl}\p{No}]", "A")
 
 
-def value_class(samples: Column) -> Column:
-    """Aggregate over sampled values: the narrowest class all of them belong to."""
-    integer = samples.rlike(INTEGER_PATTERN)
+def value_kinds(value: Column) -> Column:
+    """What a single value looks like: ``struct(integer, decimal, date)``."""
+    integer = value.rlike(INTEGER_PATTERN)
+    return F.struct(integer.alias("integer"), (integer | value.rlike(DECIMAL_PATTERN)).alias("decimal"),
+                    value.rlike(DATE_PATTERN).alias("date"))
+
+
+def class_of_kinds(kinds: Column) -> Column:
+    """Aggregate over `value_kinds`, NULL where there is no value: the narrowest class all values belong to."""
     return (
-        F.when(F.count(samples) == 0, CLASS_EMPTY)
-        .when(F.bool_and(integer), CLASS_INTEGER)
-        .when(F.bool_and(integer | samples.rlike(DECIMAL_PATTERN)), CLASS_DECIMAL)
-        .when(F.bool_and(samples.rlike(DATE_PATTERN)), CLASS_DATE)
+        F.when(F.count(kinds) == 0, CLASS_EMPTY)
+        .when(F.bool_and(kinds["integer"]), CLASS_INTEGER)
+        .when(F.bool_and(kinds["decimal"]), CLASS_DECIMAL)
+        .when(F.bool_and(kinds["date"]), CLASS_DATE)
         .otherwise(CLASS_TEXT)
     )
 
 
+def value_class(samples: Column) -> Column:
+    """Aggregate over values: the narrowest class all of them belong to."""
+    return class_of_kinds(F.when(samples.isNotNull(), value_kinds(samples)))
+
+
 def class_family(value_class_column: Column) -> Column:
     """Classes of one family may be compared: both numeric classes form one family."""
     return F.when(value_class_column.isin(*NUMERIC_CLASSES), "numeric").otherwise(value_class_column)

@@ -12,20 +12,20 @@ from pyspark.sql import functions as F
 
 from attest.functions.canonical import class_family
 from attest.operators.profile import classified_columns
-from attest.operators.values import columns_frame, settled_counts
+from attest.operators.values import Counts, columns_frame, settled_counts
 from attest.session import settle
 
 # Fixed value: the containment a candidate needs.
 CONTAINMENT_THRESHOLD = 0.5
 
 
-def shared_values(counts: DataFrame) -> DataFrame:
+def shared_values(counts: Counts) -> DataFrame:
     """``(left_cid, right_cid, overlap)``: distinct values that two columns both hold, for all pairs that share one.
 
     Values are first grouped by the set of columns that hold them and equal sets are counted, so pairs are formed once
     per set instead of once per value, and pairs without a common value are never formed.
     """
-    holders = counts.filter(F.col("value").isNotNull()).groupBy("value").agg(
+    holders = counts.present().groupBy("value", F.col("late.a"), F.col("late.b")).agg(
         F.sort_array(F.collect_set("cid")).alias("holders")).filter(F.size("holders") >= 2)
     sets = holders.groupBy("holders").agg(F.count(F.lit(1)).alias("n"))
     lefts = sets.select("holders", "n", F.explode("holders").alias("left_cid"))
@@ -64,9 +64,9 @@ def matrix_order() -> list:
     return [F.col("containment").desc(), F.col("overlap").desc(), F.col("left"), F.col("right")]
 
 
-def overlapping_pairs(views: Mapping[str, DataFrame], counts: DataFrame | None = None) -> DataFrame:
+def overlapping_pairs(views: Mapping[str, DataFrame], counts: Counts | None = None) -> DataFrame:
     """Stored pairs of comparable columns with their common values, the input of matrix and header."""
-    counts = settled_counts(views, counts)
+    counts = settled_counts(views, counts, masks=False)
     classified = classified_columns(columns_frame(views), counts)
     return settle(column_pairs(classified, shared_values(counts)), "pairs")
 
@@ -74,7 +74,7 @@ def overlapping_pairs(views: Mapping[str, DataFrame], counts: DataFrame | None =
 def candidate_matrix(
     views: Mapping[str, DataFrame],
     threshold: float = CONTAINMENT_THRESHOLD,
-    counts: DataFrame | None = None,
+    counts: Counts | None = None,
     pairs: DataFrame | None = None,
 ) -> DataFrame:
     """All candidate pairs of `views`; `pairs` may be what `overlapping_pairs` returned."""

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attest.functions.canonical import comparison_key, lenient_bigint
-from attest.functions.frames import declared, union_all
+from attest.functions.frames import declared, running, union_all
 from attest.functions.intervals import TOP_LEVEL, WIDE_KEY, cover, day_number, path, stab_join
 from attest.session import settle
 
@@ -136,26 +136,52 @@ def contradiction_counts(left: DataFrame, right: DataFrame, left_key: str, right
         F.col("contradictions") > 0)
 
 
-def first_contradictions(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_attr: str,
-                         right_attr: str, keys: DataFrame, limit: int, canonical_form: bool = True) -> DataFrame:
-    """The first `limit` contradictions of the few `keys` given, in (key, left, right) order.
+def contradictions(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_attr: str, right_attr: str,
+                   canonical_form: bool = True) -> DataFrame:
+    """``(key, side, value, rows, opponents, other_value, pairs)``: each value of a key that the other side contradicts.
 
-    The first pairs of a key lie among its `limit` + 1 smallest values of either side, so at most that many values per
-    key are paired.
+    One row per key, side and value, whatever the number of row pairs: `opponents` are the rows of the other side with
+    another value, `other_value` is one of theirs (the smallest or the greatest). `pairs` is the number of contradicting
+    row pairs the row stands for; it is told on the left side only, so that its sum counts every pair once.
     """
-    def smallest(df: DataFrame, key: str, attr: str, value: str) -> DataFrame:
-        picked = df.select(comparison_key(df, key, canonical_form).alias("key"),
-                           comparison_key(df, attr, canonical_form).alias(value))
-        counted = picked.join(F.broadcast(keys), "key", "left_semi").groupBy("key", value).agg(
-            F.count(F.lit(1)).alias(f"n_{value}"))
-        turn = F.row_number().over(Window.partitionBy("key").orderBy(value))
-        return counted.withColumn("__turn", turn).filter(F.col("__turn") <= limit + 1).drop("__turn")
+    def side(df: DataFrame, key: str, attr: str, nl: int, nr: int) -> DataFrame:
+        return df.select(
+            comparison_key(df, key, canonical_form).alias("key"), comparison_key(df, attr, canonical_form).alias("value"),
+            F.lit(nl).cast("bigint").alias("nl"), F.lit(nr).cast("bigint").alias("nr"))
 
-    linked = smallest(left, left_key, left_attr, "left_value").join(
-        smallest(right, right_key, right_attr, "right_value"), "key")
+    both = side(left, left_key, left_attr, 1, 0).unionByName(side(right, right_key, right_attr, 0, 1))
+    per_value = both.filter(F.col("key").isNotNull()).groupBy("key", "value").agg(F.sum("nl").alias("nl"), F.sum("nr").alias("nr"))
+    # NULL is a value of its own and the smallest one
+    per_value = settle(per_value.withColumn("mark", F.struct(F.col("value").isNotNull().alias("known"), "value")), "per-value")
+    held = lambda n: F.when(F.col(n) > 0, F.col("mark"))
+    totals = per_value.groupBy("key").agg(
+        F.sum("nl").alias("all_l"), F.sum("nr").alias("all_r"), F.min(held("nl")).alias("low_l"), F.max(held("nl")).alias("high_l"),
+        F.min(held("nr")).alias("low_r"), F.max(held("nr")).alias("high_r")).filter((F.col("all_l") > 0) & (F.col("all_r") > 0))
+    wide = lambda c: c.cast("decimal(19,0)")
+
+    def row(name: str, own: str, other: str) -> Column:
+        against = F.col(f"all_{other}") - F.col(f"n{other}")
+        named = F.when(F.col(f"low_{other}") == F.col("mark"), F.col(f"high_{other}")["value"]).otherwise(F.col(f"low_{other}")["value"])
+        pairs = wide(F.col(f"n{own}")) * wide(against) if own == "l" else F.lit(0)
+        return F.struct(F.lit(name).alias("side"), F.col("value"), F.col(f"n{own}").alias("rows"), against.alias("opponents"),
+                        named.alias("other_value"), pairs.cast("decimal(38,0)").alias("pairs"))
+
+    sides = F.filter(F.array(row("left", "l", "r"), row("right", "r", "l")), lambda x: (x["rows"] > 0) & (x["opponents"] > 0))
+    return per_value.join(totals, "key").select("key", F.explode(sides).alias("x")).select("key", "x.*")
+
+
+def first_contradictions(found: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` pairs ``(key, left_value, right_value, occurrences)`` behind the rows of `contradictions`.
+
+    They belong to the first keys, and to the `limit` + 1 smallest values of either side of a key.
+    """
+    keys = settle(found.filter("side = 'left'").select("key").distinct().orderBy("key").limit(limit), "keys")
+    turn = F.row_number().over(Window.partitionBy("key", "side").orderBy("value"))
+    few = found.join(F.broadcast(keys), "key", "left_semi").withColumn("__turn", turn).filter(F.col("__turn") <= limit + 1)
+    of = lambda side, value, n: few.filter(F.col("side") == side).select("key", F.col("value").alias(value), F.col("rows").alias(n))
+    linked = of("left", "left_value", "nl").join(of("right", "right_value", "nr"), "key")
     return linked.filter(~F.col("left_value").eqNullSafe(F.col("right_value"))).select(
-        "key", "left_value", "right_value",
-        (F.col("n_left_value") * F.col("n_right_value")).alias("occurrences")).orderBy(
+        "key", "left_value", "right_value", (F.col("nl") * F.col("nr")).alias("occurrences")).orderBy(
         "key", "left_value", "right_value").limit(limit)
 
 
@@ -205,47 +231,59 @@ def validity_join(table: DataFrame, key_column: str, valid_from: str, valid_to:
         "key", "a_from", "a_to", "b_from", "b_to", (F.col("an") * F.col("bn")).alias("occurrences"))
 
 
-def validity_overlap_counts(table: DataFrame, key_column: str, valid_from: str, valid_to: str) -> DataFrame:
-    """``(key, overlaps)``: overlapping row pairs per key, counted without forming any pair.
+def validity_overlaps(table: DataFrame, key_column: str, valid_from: str, valid_to: str) -> DataFrame:
+    """``(key, valid_from, valid_to, rows, earlier, later, other_from, other_to, pairs)``: the intervals of a key that overlap.
 
-    The rows that start before b, less those that ended before b starts, are the ones b overlaps. Both are running sums
-    over the days of a key, so a key is ordered by its distinct days and not by its rows; pairs with one start day are
-    counted by their ends.
+    One row per distinct interval, whatever the number of overlapping row pairs. `earlier` and `later` are the rows of
+    other intervals that overlap it and come before or after it in the order of start and end; the other interval named is
+    the one that lasts longest before it or, if there is none, the one that starts last inside it. `pairs` is `rows` times
+    `earlier`, so its sum counts every overlapping row pair once.
+
+    A sweep over the starts and ends of a key in time order keeps what has begun and what has ended as running sums: what
+    began before an interval and has not ended when it starts is what overlaps it from before. Keys of any size are swept
+    by many tasks (see ``running``).
     """
     intervals = settle(_intervals(table, key_column, valid_from, valid_to), "intervals")
-    number = "decimal(19,0)"
-    real = intervals.filter(F.col("vf") <= F.col("vt"))
-    zero = F.lit(0).cast("bigint")
-    moments = union_all([
-        real.select("key", F.col("vf").alias("at"), F.col("n").alias("starts"), zero.alias("ends"), zero.alias("rows")),
-        real.select("key", F.col("vt").alias("at"), zero.alias("starts"), F.col("n").alias("ends"), zero.alias("rows")),
-        intervals.select("key", F.col("vf").alias("at"), zero.alias("starts"), zero.alias("ends"), F.col("n").alias("rows")),
-    ]).groupBy("key", "at").agg(*[F.sum(c).alias(c) for c in ("starts", "ends", "rows")])
-    earlier = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    open_before = F.coalesce(F.sum(F.col("starts") - F.col("ends")).over(earlier), zero)
-    across = moments.select("key", (F.col("rows").cast(number) * open_before.cast(number)).alias("pairs"))
-    shorter = Window.partitionBy("key", "vf").orderBy("vt").rowsBetween(Window.unboundedPreceding, -1)
-    same_day = real.select("key", (F.col("n").cast(number) * F.coalesce(F.sum("n").over(shorter), zero).cast(number)).alias("pairs"))
-    return across.unionByName(same_day).groupBy("key").agg(F.sum("pairs").cast("decimal(38,0)").alias("overlaps")).filter(
-        F.col("overlaps") > 0)
-
-
-def first_validity_overlaps(table: DataFrame, key_column: str, valid_from: str, valid_to: str, keys: DataFrame,
-                            limit: int) -> DataFrame:
-    """The first `limit` overlapping pairs of the few `keys` given, in (key, a, b) order.
-
-    In start order an interval overlaps some later one exactly if it overlaps the next one, so the first `limit` such
-    intervals of a key are enough as left side.
+    real, n, zero = F.col("vf") <= F.col("vt"), F.col("n"), F.lit(0).cast("bigint")
+    starts = intervals.select(
+        "key", F.col("vf").alias("at"), F.lit(0).alias("kind"), F.col("vt").alias("other"), n.alias("begun"),
+        F.when(real, n).otherwise(zero).alias("open"), F.when(real, F.struct("vt", "vf")).alias("ending"), F.struct("vf", "vt").alias("starting"))
+    ends = intervals.filter(real).select(
+        "key", F.col("vt").alias("at"), F.lit(1).alias("kind"), F.col("vf").alias("other"), zero.alias("begun"), (-n).alias("open"))
+    swept = running(starts.unionByName(ends, allowMissingColumns=True), "key", ["at", "kind", "other"],
+                    {"begun_before": "begun", "open_before": "open"}, {"longest": "ending", "latest": "starting"})
+    start = F.col("kind") == 0
+    at_start, at_end = lambda c: F.when(start, c), lambda c: F.when(~start, c)
+    merged = swept.groupBy("key", F.when(start, F.col("at")).otherwise(F.col("other")).alias("valid_from"),
+                           F.when(start, F.col("other")).otherwise(F.col("at")).alias("valid_to")).agg(
+        F.sum("begun").alias("rows"), F.sum(at_start(F.col("open_before"))).alias("earlier"),
+        F.coalesce(F.sum(at_end(F.col("begun_before"))) - F.sum(at_start(F.col("begun_before") + F.col("begun"))), zero).alias("later"),
+        F.max(at_start(F.col("longest"))).alias("longest"), F.max(at_end(F.col("latest"))).alias("latest"))
+    before = F.col("earlier") > 0
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    return merged.filter(before | (F.col("later") > 0)).select(
+        "key", "valid_from", "valid_to", "rows", "earlier", "later",
+        F.when(before, F.col("longest")["vf"]).otherwise(F.col("latest")["vf"]).alias("other_from"),
+        F.when(before, F.col("longest")["vt"]).otherwise(F.col("latest")["vt"]).alias("other_to"),
+        (wide("rows") * wide("earlier")).cast("decimal(38,0)").alias("pairs"))
+
+
+def validity_overlap_counts(table: DataFrame, key_column: str, valid_from: str, valid_to: str) -> DataFrame:
+    """``(key, overlaps)``: overlapping row pairs per key, counted without forming any pair."""
+    found = validity_overlaps(table, key_column, valid_from, valid_to)
+    return found.groupBy("key").agg(F.sum("pairs").cast("decimal(38,0)").alias("overlaps")).filter(F.col("overlaps") > 0)
+
+
+def first_validity_overlaps(found: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` pairs ``(key, a_from, a_to, b_from, b_to, occurrences)`` behind the rows of `validity_overlaps`.
+
+    The first `limit` intervals that a later one overlaps are enough as left side.
     """
-    intervals = _intervals(table, key_column, valid_from, valid_to).join(F.broadcast(keys), "key", "left_semi")
-    ordered = Window.partitionBy("key").orderBy("vf", "vt")
-    touching = intervals.withColumn("__next", F.lead("vf").over(ordered)).filter(
-        (F.col("__next") <= F.col("vt")) & (F.col("vf") <= F.col("vt")))
-    a = touching.withColumn("__turn", F.row_number().over(ordered)).filter(F.col("__turn") <= limit).select(
-        "key", F.col("vf").alias("a_from"), F.col("vt").alias("a_to"), F.col("n").alias("an"))
-    b = intervals.select("key", F.col("vf").alias("b_from"), F.col("vt").alias("b_to"), F.col("n").alias("bn"))
+    a = found.filter("later > 0").orderBy("key", "valid_from", "valid_to").limit(limit).select(
+        "key", F.col("valid_from").alias("a_from"), F.col("valid_to").alias("a_to"), F.col("rows").alias("an"))
+    b = found.filter("earlier > 0").select("key", F.col("valid_from").alias("b_from"), F.col("valid_to").alias("b_to"), F.col("rows").alias("bn"))
     before = (F.col("a_from") < F.col("b_from")) | ((F.col("a_from") == F.col("b_from")) & (F.col("a_to") < F.col("b_to")))
-    return b.join(F.broadcast(a), "key").filter(before & (F.col("a_to") >= F.col("b_from"))).select(
+    return b.join(F.broadcast(settle(a, "first")), "key").filter(before & (F.col("a_to") >= F.col("b_from"))).select(
         "key", "a_from", "a_to", "b_from", "b_to", (F.col("an") * F.col("bn")).alias("occurrences")).orderBy(
         "key", "a_from", "a_to", "b_from", "b_to").limit(limit)
 
@@ -315,30 +353,44 @@ def decode(encoded: DataFrame, decode_table: DataFrame, key: str, pairs: Sequenc
         F.col("decoded_values") > 1).drop("position")
 
 
+def _number(df: DataFrame, column: str, amount_type: str, contained: bool) -> tuple[Column, Column]:
+    """(amount as a number, the text of an amount that is none). Only contained checks go on past such an amount."""
+    raw = df[column]
+    if not contained:
+        return raw.cast(amount_type), F.lit(None).cast("string")
+    value = raw.try_cast(amount_type)
+    return value, F.when(raw.isNotNull() & value.isNull(), raw.cast("string"))
+
+
 def balance(journal: DataFrame, amount: str, group: str, tolerance: float = 0.01,
-            amount_type: str = "double") -> DataFrame:
-    """Groups whose signed sum exceeds the tolerance: ``(grp, balance)``. An amount that is no number fails the job."""
-    return journal.groupBy(fragment(group).alias("grp")).agg(
-        F.sum(journal[amount].cast(amount_type)).alias("balance")
-    ).filter(F.abs("balance") > F.lit(tolerance))
+            amount_type: str = "double", contained: bool = False) -> DataFrame:
+    """Groups whose signed sum exceeds the tolerance: ``(grp, balance)``. An amount that is no number fails the job.
+
+    If `contained`, such an amount is shown in a column `fault` of its group instead, and the job goes on.
+    """
+    value, fault = _number(journal, amount, amount_type, contained)
+    sums = journal.groupBy(fragment(group).alias("grp")).agg(F.sum(value).alias("balance"), F.max(fault).alias("fault"))
+    found = sums.filter((F.abs("balance") > F.lit(tolerance)) | F.col("fault").isNotNull())
+    return found if contained else found.drop("fault")
 
 
 def subledger_equals_gl(subledger: DataFrame, subledger_amount: str, journal: DataFrame, journal_amount: str,
                         account: str, accounts: Sequence[int | str], tolerance: float = 0.01,
-                        amount_type: str = "double") -> DataFrame:
-    """One row if the subledger total and the control accounts differ: ``(subledger_total, gl_total, diff)``."""
+                        amount_type: str = "double", contained: bool = False) -> DataFrame:
+    """One row if the subledger total and the control accounts differ: ``(subledger_total, gl_total, diff)``.
+
+    If `contained`, an amount that is no number is shown in a column `fault` instead of failing the job.
+    """
     numbers = [int(a) for a in accounts]
     posted = journal.filter(F.col(account).isin(*numbers))
-    totals = union_all([
-        subledger.agg(F.sum(subledger[subledger_amount].cast(amount_type)).alias("s")).select(
-            "s", F.lit(None).cast(amount_type).alias("g")),
-        posted.agg(F.sum(F.col(journal_amount).cast(amount_type)).alias("g")).select(
-            F.lit(None).cast(amount_type).alias("s"), "g"),
-    ])
+    (s, s_fault), (g, g_fault) = (_number(df, c, amount_type, contained) for df, c in ((subledger, subledger_amount), (posted, journal_amount)))
+    totals = subledger.agg(F.sum(s).alias("s"), F.max(s_fault).alias("fault")).unionByName(
+        posted.agg(F.sum(g).alias("g"), F.max(g_fault).alias("fault")), allowMissingColumns=True)
     zero = F.lit(0).cast(amount_type)
-    return totals.agg(F.coalesce(F.sum("s"), zero).alias("subledger_total"),
-                      F.coalesce(F.sum("g"), zero).alias("gl_total")).withColumn(
-        "diff", F.col("subledger_total") - F.col("gl_total")).filter(F.abs("diff") > F.lit(tolerance))
+    found = totals.agg(F.coalesce(F.sum("s"), zero).alias("subledger_total"), F.coalesce(F.sum("g"), zero).alias("gl_total"),
+                       F.max("fault").alias("fault")).withColumn("diff", F.col("subledger_total") - F.col("gl_total"))
+    found = found.filter((F.abs("diff") > F.lit(tolerance)) | F.col("fault").isNotNull())
+    return found.select("subledger_total", "gl_total", "diff", *(["fault"] if contained else []))
 
 
 def ic_symmetry(left: DataFrame, right: DataFrame, left_period: str, right_period: str) -> DataFrame:

@@ -7,63 +7,88 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attest.functions.canonical import CLASS_EMPTY, pattern_mask, value_class
-from attest.operators.values import columns_frame, settled_counts
+from attest.functions.canonical import CLASS_EMPTY, canonical, class_of_kinds, pattern_mask, value_kinds
+from attest.functions.frames import declared, union_all
+from attest.operators.values import Counts, columns_frame, late_columns, settled_counts, texts_of
 
 TOP_VALUES = 10
 SAMPLE_VALUES = 200
 TOP_PATTERNS = 5
 
 
-def column_statistics(counts: DataFrame) -> DataFrame:
+def extremes(counts: Counts) -> DataFrame:
+    """``(cid, min, max)`` of the columns that hold long texts, straight from their tables: each task keeps two texts."""
+    parts = []
+    for cid, table, column in late_columns(counts):
+        df = counts.views[table]
+        text = canonical(df[column], df.schema[column].dataType)
+        parts.append(df.agg(F.min(text).alias("least"), F.max(text).alias("most")).withColumn("cid", F.lit(cid)))
+    spark = counts.frame.sparkSession
+    return union_all(parts) if parts else declared(spark, "cid int, least string, most string", [])
+
+
+def column_statistics(counts: Counts) -> DataFrame:
     """Per column: rows, NULLs, distinct values, extremes and lengths of the canonical text."""
-    size = F.length("value")
-    return counts.groupBy("cid").agg(
+    size = F.coalesce(F.length("value"), F.col("late.size"))
+    found = counts.frame.withColumn("size", size).groupBy("cid").agg(
         F.sum("n").alias("row_count"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).cast("bigint").alias("null_count"),
-        F.count("value").alias("distinct_count"),
+        F.coalesce(F.sum(F.when(F.col("size").isNull(), F.col("n"))), F.lit(0)).cast("bigint").alias("null_count"),
+        F.count("size").alias("distinct_count"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-        F.min(size).cast("bigint").alias("len_min"),
-        F.round(F.try_divide(F.sum((size * F.col("n")).cast("bigint")).cast("double"),
-                             F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).cast("double")), 1).alias("len_avg"),
-        F.max(size).cast("bigint").alias("len_max"),
+        F.min("size").cast("bigint").alias("len_min"),
+        F.round(F.try_divide(F.sum(F.col("size").cast("bigint") * F.col("n")).cast("double"),
+                             F.sum(F.when(F.col("size").isNotNull(), F.col("n"))).cast("double")), 1).alias("len_avg"),
+        F.max("size").cast("bigint").alias("len_max"),
     )
+    return found.join(extremes(counts), "cid", "left").withColumns(
+        {"min": F.coalesce("least", "min"), "max": F.coalesce("most", "max")}).drop("least", "most")
 
 
-def _first_per_column(counts: DataFrame, limit: int, *order) -> DataFrame:
-    """The first `limit` rows of every column; Spark cuts each task to `limit` rows per column before the shuffle."""
-    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("cid").orderBy(*order))).filter(
-        F.col("rank") <= limit)
+def _first(rows: DataFrame, counts: Counts, limit: int, shown: str, head: str, *order) -> DataFrame:
+    """The first `limit` rows of every column in the order of `order` and then of the value `shown`.
+
+    `head` orders like `shown` as far as the first characters of long texts tell; all rows that may be among the first by
+    it have their texts fetched. Spark cuts each task to the first rows per column before the shuffle.
+    """
+    place = lambda rank, last: rank.over(Window.partitionBy("cid").orderBy(*order, last))
+    near = rows.withColumn("__head", F.coalesce(F.col(shown), F.col(head))).withColumn("rank", place(F.rank(), F.col("__head")))
+    full = texts_of(counts, near.filter(F.col("rank") <= limit).drop("rank", "__head"))
+    if shown == "mask":
+        full = full.withColumn("text", pattern_mask(F.col("text")))
+    full = full.withColumn(shown, F.coalesce(shown, "text")).drop("text", "a", head)
+    return full.withColumn("rank", place(F.row_number(), F.col(shown))).filter(F.col("rank") <= limit)
 
 
-def top_values(counts: DataFrame, limit: int = TOP_VALUES) -> DataFrame:
+def top_values(counts: Counts, limit: int = TOP_VALUES) -> DataFrame:
     """Most frequent values, ties in value order."""
-    present = counts.filter(F.col("value").isNotNull())
-    return _first_per_column(present, limit, F.col("n").desc(), F.col("value"))
+    rows = counts.present().select("cid", "value", "n", F.col("late.a").alias("a"), F.col("late.head").alias("head"))
+    return _first(rows, counts, limit, "value", "head", F.col("n").desc())
 
 
-def value_sample(counts: DataFrame, limit: int = SAMPLE_VALUES) -> DataFrame:
+def value_sample(counts: Counts, limit: int = SAMPLE_VALUES) -> DataFrame:
     """The smallest distinct values of every column: a listing to look at, nothing is decided by it."""
-    present = counts.select("cid", "value").filter(F.col("value").isNotNull())
-    return _first_per_column(present, limit, F.col("value"))
+    rows = counts.present().select("cid", "value", F.col("late.a").alias("a"), F.col("late.head").alias("head"))
+    return _first(rows, counts, limit, "value", "head")
 
 
-def top_patterns(counts: DataFrame, limit: int = TOP_PATTERNS) -> DataFrame:
+def top_patterns(counts: Counts, limit: int = TOP_PATTERNS) -> DataFrame:
     """Most frequent shapes among all distinct values."""
-    present = counts.filter(F.col("value").isNotNull())
-    shapes = present.groupBy("cid", pattern_mask(F.col("value")).alias("mask")).agg(F.count(F.lit(1)).alias("n"))
-    return _first_per_column(shapes, limit, F.col("n").desc(), F.col("mask"))
+    shapes = counts.present().groupBy(
+        "cid", pattern_mask(F.col("value")).alias("mask"), F.col("late.mask_a").alias("mask_a"), F.col("late.mask_b").alias("mask_b"),
+        F.col("late.mask_head").alias("head")).agg(F.count(F.lit(1)).alias("n"), F.min("late.a").alias("a"))
+    return _first(shapes.drop("mask_a", "mask_b"), counts, limit, "mask", "head", F.col("n").desc())
 
 
-def value_classes(counts: DataFrame) -> DataFrame:
+def value_classes(counts: Counts) -> DataFrame:
     """The narrowest class that all distinct values of a column belong to."""
-    return counts.groupBy("cid").agg(value_class(F.col("value")).alias("value_class"))
+    kinds = F.when(F.col("value").isNotNull(), value_kinds(F.col("value"))).otherwise(F.col("late.kinds"))
+    return counts.frame.withColumn("kinds", kinds).groupBy("cid").agg(class_of_kinds(F.col("kinds")).alias("value_class"))
 
 
-def classified_columns(columns: DataFrame, counts: DataFrame) -> DataFrame:
+def classified_columns(columns: DataFrame, counts: Counts) -> DataFrame:
     """``(cid, table, column, distinct_count, value_class)``, the input of the overlap matrix."""
-    distinct = counts.groupBy("cid").agg(F.count("value").alias("distinct_count"))
+    distinct = counts.present().groupBy("cid").agg(F.count(F.lit(1)).alias("distinct_count"))
     return (
         columns.join(distinct, "cid", "left")
         .join(value_classes(counts), "cid", "left")
@@ -72,7 +97,7 @@ def classified_columns(columns: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def profile_views(views: Mapping[str, DataFrame], counts: DataFrame | None = None) -> DataFrame:
+def profile_views(views: Mapping[str, DataFrame], counts: Counts | None = None) -> DataFrame:
     """One row per column of `views`, with its statistics, frequent values, shapes and class.
 
     `counts` may be a stored value-count table; otherwise the sources are counted once first.

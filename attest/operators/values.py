@@ -1,19 +1,31 @@
-"""Distinct canonical values of every column, counted once and shared by profiles and the overlap matrix."""
+"""Distinct canonical values of every column, counted once and shared by profiles and the overlap matrix.
+
+Short values are counted as they are. A text of more than ``HEAD`` characters is counted by a digest of 128 bits, together
+with what profiles need of it: its first characters, its length and its shape. So long texts are read where they lie and
+never shuffled; the few that are shown are fetched by a second read (`texts_of`).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from attest.functions.canonical import canonical, is_comparable
+from attest.functions.canonical import canonical, is_comparable, pattern_mask, value_kinds
 from attest.functions.fingerprints import sql_type_name
 from attest.functions.frames import declared, union_all
 from attest.session import settle
 
 COLUMN_SCHEMA = "cid int, table string, column string, type string"
 
+# Characters up to which a value is its own key.
+HEAD = 256
+LATE = ("struct<a:bigint,b:bigint,head:string,size:int,kinds:struct<integer:boolean,decimal:boolean,date:boolean>,"
+        "mask_a:bigint,mask_b:bigint,mask_head:string>")
+
 
 def column_list(views: Mapping[str, DataFrame]) -> list[tuple[int, str, str, str]]:
     """Comparable columns as (cid, table, column, type); ids follow the order of the text key ``table.column``."""
@@ -31,11 +43,41 @@ def columns_frame(views: Mapping[str, DataFrame]) -> DataFrame:
     return declared(spark, COLUMN_SCHEMA, column_list(views))
 
 
-def value_counts(views: Mapping[str, DataFrame]) -> DataFrame:
-    """``(cid, value, n)``: how often each canonical value (NULL included) occurs in each column.
+@dataclass(frozen=True)
+class Counts:
+    """Value counts of `views`: ``(cid, value, late, n)``. `value` is NULL where `late` stands for a long text; where both
+    are NULL the row counts NULLs."""
+
+    frame: DataFrame
+    views: Mapping[str, DataFrame]
+
+    def present(self) -> DataFrame:
+        return self.frame.filter(F.col("value").isNotNull() | F.col("late").isNotNull())
+
+
+def _is_text(data_type: T.DataType) -> bool:
+    return isinstance(data_type, (T.StringType, T.CharType, T.VarcharType))
+
+
+def digest(text: Column) -> tuple[Column, Column]:
+    """Two independent 64-bit halves of a digest."""
+    return F.xxhash64(text), F.xxhash64(F.lit("second half"), text)
+
+
+def _late(text: Column, masks: bool) -> Column:
+    a, b = digest(text)
+    mask = pattern_mask(text) if masks else F.lit(None).cast("string")
+    mask_a, mask_b = digest(mask)
+    what = F.struct(a.alias("a"), b.alias("b"), F.left(text, F.lit(HEAD)).alias("head"), F.length(text).alias("size"),
+                    value_kinds(text).alias("kinds"), mask_a.alias("mask_a"), mask_b.alias("mask_b"), F.left(mask, F.lit(HEAD)).alias("mask_head"))
+    return F.when(F.length(text) > HEAD, what.cast(LATE))
+
+
+def value_counts(views: Mapping[str, DataFrame], masks: bool = True) -> Counts:
+    """How often each canonical value (NULL included) occurs in each column.
 
     Every table is read once and turned into long form; the count combines on the map side, so a value that fills a
-    third of a column leaves each task as one row.
+    third of a column leaves each task as one row. Without `masks` the shapes of long texts are not made.
     """
     by_table: dict[str, list[tuple[int, str]]] = {}
     for cid, table, column, _ in column_list(views):
@@ -43,13 +85,51 @@ def value_counts(views: Mapping[str, DataFrame]) -> DataFrame:
     parts = []
     for table, members in by_table.items():
         df = views[table]
+        texts = {c: canonical(df[c], df.schema[c].dataType) for _, c in members}
+        long = [c for _, c in members if _is_text(df.schema[c].dataType)]
+        rows = df.select(*[texts[c].alias(f"c{cid}") for cid, c in members])
         cells = []
         for cid, column in members:
-            cells += [F.lit(cid), canonical(df[column], df.schema[column].dataType)]
-        parts.append(df.select(F.stack(F.lit(len(members)), *cells).alias("cid", "value")))
-    return union_all(parts).groupBy("cid", "value").agg(F.count(F.lit(1)).alias("n"))
+            value = F.col(f"c{cid}")
+            if column in long:
+                cells += [F.lit(cid), F.when(F.length(value) <= HEAD, value), _late(value, masks)]
+            else:
+                cells += [F.lit(cid), value, F.lit(None).cast(LATE)]
+        parts.append(rows.select(F.stack(F.lit(len(members)), *cells).alias("cid", "value", "late")))
+    return Counts(union_all(parts).groupBy("cid", "value", "late").agg(F.count(F.lit(1)).alias("n")), views)
 
 
-def settled_counts(views: Mapping[str, DataFrame], counts: DataFrame | None = None) -> DataFrame:
+def settled_counts(views: Mapping[str, DataFrame], counts: Counts | None = None, masks: bool = True) -> Counts:
     """Value counts as a stored table: profiles and matrix read it several times, the sources only once."""
-    return settle(value_counts(views), "counts") if counts is None else counts
+    return Counts(settle(value_counts(views, masks).frame, "counts"), views) if counts is None else counts
+
+
+def late_columns(counts: Counts) -> list[tuple[int, str, str]]:
+    """(cid, table, column) of the columns that hold long texts; at most one row per column reaches the driver."""
+    found = {r[0] for r in counts.frame.filter(F.col("late").isNotNull()).select("cid").distinct().collect()}
+    return [(cid, table, column) for cid, table, column, _ in column_list(counts.views) if cid in found]
+
+
+def long_texts(counts: Counts) -> DataFrame | None:
+    """``(cid, text)``: the long texts where they lie, or None if no column has any."""
+    parts = []
+    for cid, table, column in late_columns(counts):
+        df = counts.views[table]
+        text = canonical(df[column], df.schema[column].dataType)
+        parts.append(df.select(F.lit(cid).alias("cid"), text.alias("text")).filter(F.length("text") > HEAD))
+    return union_all(parts) if parts else None
+
+
+def texts_of(counts: Counts, wanted: DataFrame) -> DataFrame:
+    """`wanted` with `text`: the long text behind the column `a` (first half of its digest) of each row that has one.
+
+    The rows wanted are stored first, so that Spark knows how few they are and sends them to the texts, not the texts
+    through a shuffle.
+    """
+    wanted = settle(wanted, "wanted")
+    texts = long_texts(counts)
+    if texts is None:
+        return wanted.withColumn("text", F.lit(None).cast("string"))
+    keys = wanted.filter(F.col("a").isNotNull()).select("cid", "a").distinct()
+    met = texts.withColumn("a", digest(F.col("text"))[0]).join(settle(keys, "keys"), ["cid", "a"], "left_semi")
+    return wanted.join(met.groupBy("cid", "a").agg(F.any_value("text").alias("text")), ["cid", "a"], "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from attest.functions.frames import declared, union_all
 from attest.operators import overlap, profile
-from attest.operators.values import value_counts
+from attest.operators.values import settled_counts
 from attest.session import settle
 from attest.sources.catalog import Catalog, build_catalog, write_matrix
 from attest.sources.fingerprint import source_fingerprint, upsert_sources
@@ -67,7 +67,7 @@ def scan(
     declarations = new_decisions(
         catalog.decision_table().join(stamps, "source", "left"),
         declared(spark, DECLARATIONS, []) if stored_declarations is None else stored_declarations)
-    counts = settle(value_counts(catalog.views), "counts")
+    counts = settled_counts(catalog.views)
     belongs = declared(spark, "table string, source string", list(catalog.source_of.items())).join(
         sources.select(F.col("name").alias("source"), F.col("id").alias("source_id")), "source").drop("source")
     profiles = profile.profile_views(catalog.views, counts).join(belongs, "table")

@@ -13,7 +13,7 @@ from attest.functions.frames import declared, union_all
 from attest.functions.names import name_table
 from attest.operators import overlap as O
 from attest.operators import profile as P
-from attest.operators.values import columns_frame, value_counts
+from attest.operators.values import columns_frame, settled_counts, value_counts
 from attest.plans.scan import scan
 from attest.sources.catalog import build_catalog, row_counts
 from attest.sources.grid import normalize_grid
@@ -86,14 +86,14 @@ def named(views: dict[str, DataFrame], frame: DataFrame) -> DataFrame:
       FROM (SELECT tbl, col, v, count(*) AS n FROM vals WHERE v IS NOT NULL GROUP BY ALL)) WHERE r <= 10""")
 def profile_topk(spark: SparkSession, sf: str) -> DataFrame:
     views = profiled(spark, sf)
-    return named(views, P.top_values(value_counts(views)))
+    return named(views, P.top_values(settled_counts(views, masks=False)))
 
 
 @query("profile_sample", f"""
     WITH {star_cte(TABLES)}, {SAMPLE_CTE} SELECT tbl AS "table", col AS "column", v AS value FROM sample""")
 def profile_sample(spark: SparkSession, sf: str) -> DataFrame:
     views = profiled(spark, sf)
-    return named(views, P.value_sample(value_counts(views))).select("table", "column", "value")
+    return named(views, P.value_sample(settled_counts(views, masks=False))).select("table", "column", "value")
 
 
 @query("profile_masks", f"""
@@ -104,7 +104,7 @@ def profile_sample(spark: SparkSession, sf: str) -> DataFrame:
       SELECT *, row_number() OVER (PARTITION BY tbl, col ORDER BY n DESC, mask) AS r FROM m) WHERE r <= 5""")
 def profile_masks(spark: SparkSession, sf: str) -> DataFrame:
     views = profiled(spark, sf)
-    return named(views, P.top_patterns(value_counts(views)))
+    return named(views, P.top_patterns(settled_counts(views)))
 
 
 @query("profile_class", f"""
@@ -112,7 +112,7 @@ def profile_masks(spark: SparkSession, sf: str) -> DataFrame:
     SELECT tbl AS "table", col AS "column", {CLASS_SQL} AS value_class FROM vals GROUP BY 1, 2""")
 def profile_class(spark: SparkSession, sf: str) -> DataFrame:
     views = profiled(spark, sf)
-    return named(views, P.value_classes(value_counts(views)))
+    return named(views, P.value_classes(value_counts(views, masks=False)))
 
 
 @query("text_masks", r"""
