@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attest.llm.common import stored
+from attest.llm.common import setting, stored
 from attest.llm.hashing import slices, text_column
 from attest.llm.tokens import Encoder, _byte_letters
 
 # Texts are aligned in slices of about SLICE_BYTES; the slices of about CHUNK_BYTES share one list of pairs.
-SLICE_BYTES = 1 << 18
-CHUNK_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 20
+# Chunks that a task holds at a time when the sums come back.
+_BATCH = 4
 _SIDE = 32  # bits of a token id in a pair
 _FIGURES = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -187,6 +189,8 @@ def _chunk_rows(sides: Callable[[], tuple]):
                     number, held, size = number + 1, [], 0
         if held:
             yield _chunk(number, held)
+        del a_side, b_side, held
+        pa.default_memory_pool().release_unused()  # the worker process lives on
 
     return over
 
@@ -246,5 +250,7 @@ def align_corpus(docs: DataFrame, keys: Sequence[str], sides: Callable[[], tuple
     empty = F.array().cast
     ready = full.select("docs", "links", F.coalesce(F.col("told.total"), empty("array<bigint>")).alias("totals"),
                         F.coalesce(F.col("told.best"), empty("array<boolean>")).alias("best"))
-    out = ready.mapInArrow(_sums, T.StructType([*of_doc.fields, T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType())]))
+    summed = ready.mapInArrow(_sums, T.StructType([*of_doc.fields, T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType())]))
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(_BATCH)):
+        out = stored(summed, "sums")  # written here, while the batches are small
     return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], *_FIGURES, "n_best", "count_sum", "groups_sha256")

@@ -16,7 +16,7 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
+def setting(spark: SparkSession, key: str, value: str):
     before = spark.conf.get(key, None)
     spark.conf.set(key, value)
     try:
@@ -30,7 +30,7 @@ def _setting(spark: SparkSession, key: str, value: str):
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the cluster's shared folder and read back; its shuffle files go as soon as it is written."""
-    with _setting(df.sparkSession, _CLEAN, "true"):
+    with setting(df.sparkSession, _CLEAN, "true"):
         return settle(df, name)
 
 
