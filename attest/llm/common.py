@@ -68,7 +68,8 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
 
     Large-star and small-star passes: every pass is one grouped minimum and one join, each node keeps at most its
     neighbours' number of rows, and each pass is stored, so that a lost executor repeats only that pass. Stops when a
-    pass changes nothing; the number of passes grows with the logarithm of the longest chain. A node that occurs in no
+    pass changes nothing; the number of passes grows with the logarithm of the longest chain, and more than `rounds` of them
+    are an error. A node that occurs in no
     edge with another node is not in the result.
     """
     now = stored(edges.select(F.col("a"), F.col("b")).where("a != b").distinct(), name)
@@ -89,6 +90,8 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
         if figures == state:
             break
         state = figures
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} passes")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -96,3 +99,27 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
 def named(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Only the columns an operator reads; whatever else the input has cannot clash with its own names."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def row_key(df: DataFrame) -> tuple[Column, Column]:
+    """Two independent hashes of a whole row; rows have equal ones only if they are equal (but for collisions).
+
+    Hash functions pass over nulls, so a null flag goes beside each column, and columns with parts of their own are hashed
+    as JSON, which shows their nulls. Maps whose entries are in another order count as different.
+    """
+    parts: list[Column] = []
+    for name, kind in df.dtypes:
+        own = F.col(f"`{name}`")
+        nested = any(word in kind for word in ("array<", "map<", "struct<", "variant"))
+        parts += [own.isNull(), F.to_json(F.struct(own.alias("c")), {"ignoreNullFields": "false"}) if nested else own]
+    return F.xxhash64(*parts), F.xxhash64(F.lit("second half"), *parts)
+
+
+def row_of(df: DataFrame) -> Column:
+    """All columns in one struct, so that no name of theirs meets one of an operator; `unfolded` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def unfolded(df: DataFrame, columns: Sequence[str], row: str = "row", **changed: Column) -> DataFrame:
+    """The `columns` that `row_of` put into `row`, some of them `changed`."""
+    return df.select(*[(changed[c] if c in changed else F.col(row).getField(c)).alias(c) for c in columns])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import arrow_map, components, discard, stored
+from attest.llm.common import arrow_map, components, discard, row_of, stored, unfolded
 from attest.llm.hashing import Words, mix, scramble, shingles_of, signed, slices, text_column, words_of
 
 COORDINATES = 64
@@ -383,14 +383,14 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of `docs` without near duplicates: of every class that with the smallest id (null last) stays.
 
-    Rows without words stay as they are. Of rows with one id and one text, one stays. Options as in `similar_groups`.
+    Rows without words stay as they are. Of rows with one id and one text, one stays. Columns may have any
+    names. Options as in `similar_groups`.
     """
     known = text_classes(_rows(docs, doc_id, text), **options)
     best = F.min(F.struct(F.col("least").isNull(), F.col("least"), F.col("key")))
-    chosen = stored(known.groupBy("class").agg(best["key"].alias("__key")), "chosen")
-    others = known.select(F.col("key").alias("__key"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
-    order = F.struct(F.col(f"`{doc_id}`").isNull(), F.col(f"`{doc_id}`"))
-    single = keyed.join(chosen, "__key", "left_semi").groupBy("__key").agg(F.min_by(F.struct(*names), order).alias("__row"))
-    return single.select("__row.*").unionByName(keyed.join(others, "__key", "left_anti").select(*names))
+    chosen = stored(known.groupBy("class").agg(best["key"].alias("key")), "chosen")
+    others = known.select("key")
+    keyed = docs.select(row_of(docs).alias("row"), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("key"))
+    own = F.col("row").getField(doc_id)
+    single = keyed.join(chosen, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.struct(own.isNull(), own)).alias("row"))
+    return unfolded(single.select("row").unionByName(keyed.join(others, "key", "left_anti").select("row")), docs.columns)

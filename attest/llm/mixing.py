@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attest.functions.frames import ranked
-from attest.llm.common import stored
+from attest.llm.common import row_key, row_of, stored, unfolded
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 1 << 14
@@ -67,10 +67,10 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     rows. `quality` is a positive weight; null or other values count as 1.
     """
     body = F.col(f"`{text}`").cast("string")
-    whole = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    key, key2 = row_key(docs)
     weight = quality if quality is not None else plain_share(body)
     rows = docs.select(
-        F.xxhash64(*whole).alias("key"), F.hash(*whole).alias("key2"), F.col(f"`{doc_id}`").alias("doc_id"),
+        key.alias("key"), key2.alias("key2"), F.col(f"`{doc_id}`").alias("doc_id"),
         F.col(f"`{source}`").cast("string").alias("source"), word_count(body).alias("size"), weight.cast("double").alias("w"),
         F.xxhash64(F.col(f"`{doc_id}`"), body, F.lit("draw")).alias("draw"))
     rows = rows.withColumn("group", F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-")))
@@ -98,11 +98,12 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` as often as the mix takes them; its columns are unchanged. Options as in `mix_plan`."""
-    whole = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
-    plan = mix_plan(docs, **options).select(
-        F.col("key").alias("__key"), F.col("key2").alias("__key2"),
-        (F.col("epochs") * F.col("n") + F.col("extra")).cast("int").alias("__times")).where("__times > 0")
-    keyed = docs.withColumns({"__key": F.xxhash64(*whole), "__key2": F.hash(*whole)}).dropDuplicates(["__key", "__key2"])
-    taken = keyed.join(plan, ["__key", "__key2"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of `docs` as often as the mix takes them; its columns are unchanged. Options as in `mix_plan`.
+
+    Rows are told apart by all their columns, nulls included; columns may have any names and types.
+    """
+    key, key2 = row_key(docs)
+    plan = mix_plan(docs, **options).select("key", "key2", (F.col("epochs") * F.col("n") + F.col("extra")).cast("int").alias("times"))
+    keyed = docs.select(row_of(docs).alias("row"), key.alias("key"), key2.alias("key2")).dropDuplicates(["key", "key2"])
+    taken = keyed.join(plan.where("times > 0"), ["key", "key2"]).select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return unfolded(taken, docs.columns)

@@ -31,7 +31,8 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = remove_repeats(_table(spark, folder, "documents"), ["doc_id"])
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
-                        F.sha2("kept", 256).alias("kept_sha256"))
+                        F.sha2("kept", 256).alias("kept_sha256"), F.col("kept_text").alias("text"),
+                        F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias("removed_spans"))
 
 
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,10 +150,13 @@ k as (select r, i, sum(fresh) over (partition by r order by i) as run from n),
 spans as (select r, run, min(i) as b, max(i) + 400 as e from k group by r, run),
 o as (select *, coalesce(lag(e) over (partition by r order by run), 0) as p from spans),
 c as (select o.r, string_agg(substr(h, 2 * p + 1, 2 * (b - p)), '' order by run) as a, max(e) as last,
-    sum(e - b)::bigint as n_removed, count(*) as n_spans from o join d using (r) group by o.r)
+    sum(e - b)::bigint as n_removed, count(*) as n_spans, string_agg(b || '-' || e, ',' order by b) as told from o join d using (r) group by o.r),
+k2 as (select doc_id, h, n_removed, n_spans, told, coalesce(a, '') || substr(h, 2 * coalesce(last, 0) + 1) as kept from d left join c using (r))
 select doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
-  sha256(unhex(coalesce(a, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
-from d left join c using (r)
+  sha256(unhex(kept)) as kept_sha256, coalesce(told, '') as removed_spans,
+  decode(unhex(array_to_string(list_filter(regexp_extract_all(kept, '[0-7].|[CD].[89AB].|E.[89AB].[89AB].|F.[89AB].[89AB].[89AB].|..'),
+    lambda x: length(x) > 2 or x < '80'), ''))) as text
+from k2
 """
 
 _OP8_SQL = """

@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attest.llm.common import stored
+from attest.llm.common import row_of, stored, unfolded
 
 # Names that announce a secret, public formats of credentials, and what a long mixed token looks like.
 NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential"
@@ -227,16 +227,18 @@ def scan(docs: DataFrame, columns: dict[str, Column], text: str = "text", findin
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
     """`docs` with every secret in the text replaced by `mark`; texts without secrets and all other columns stay.
 
-    Spans are gathered once per distinct text, so copies of one text, however many, share one short list.
+    Spans are gathered once per distinct text, so copies of one text, however many, share one short list. Other columns may
+    have any names.
     """
     body = F.col(f"`{text}`").cast("string")
     found = scan(docs, {"text_key": F.xxhash64(body), "text_size": F.octet_length(body)}, text, **options).where("is_secret")
     spans = stored(found.select("text_key", "text_size", "start", "end").distinct().groupBy("text_key", "text_size").agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans")), "secret-spans")
-    spans = spans.select(F.col("text_key").alias("__key"), F.col("text_size").alias("__size"), "__spans")
-    joined = docs.withColumns({"__key": F.xxhash64(body), "__size": F.octet_length(body)}).join(spans, ["__key", "__size"], "left")
-    cut = F.aggregate("__spans", F.struct(F.lit("").alias("done"), F.lit(0).alias("at")), lambda held, s: F.struct(
+    spans = spans.withColumnRenamed("__spans", "spans")
+    keyed = docs.select(row_of(docs).alias("row"), body.alias("body"), F.xxhash64(body).alias("text_key"), F.octet_length(body).alias("text_size"))
+    joined = keyed.join(spans, ["text_key", "text_size"], "left")
+    body = F.col("body")
+    cut = F.aggregate("spans", F.struct(F.lit("").alias("done"), F.lit(0).alias("at")), lambda held, s: F.struct(
         F.concat(held["done"], F.substr(body, held["at"] + 1, s["start"] - held["at"]), F.lit(mark)).alias("done"),
         s["end"].alias("at")), lambda held: F.concat(held["done"], F.substr(body, held["at"] + 1, F.length(body))))
-    return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(f"`{text}`")).otherwise(cut)).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    return unfolded(joined, docs.columns, **{text: F.when(F.col("spans").isNull(), F.col("row").getField(text)).otherwise(cut)})

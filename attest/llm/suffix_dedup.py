@@ -253,19 +253,21 @@ def _cut(length: int, keep: list[str]):
                 runs.append([{"start": s, "end": e} for s, e in zip(start.tolist(), end.tolist())])
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in keep), pa.array(np.diff(at)), pa.array(removed, pa.int64()),
-                 pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-                names=[*keep, "n_bytes", "n_removed", "spans", "kept"])
+                 pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()),
+                 pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())],
+                names=[*keep, "n_bytes", "n_removed", "spans", "kept", "kept_text"])
 
     return rows
 
 
 def remove_repeats(docs: DataFrame, columns: list[str], text: str = "text", length: int = 400) -> DataFrame:
-    """`columns` of every row, and n_bytes, n_removed, spans (start, end: maximal removed runs) and kept (bytes).
+    """`columns` of every row, and n_bytes, n_removed, spans (start, end: maximal removed runs), kept (bytes) and
+    kept_text (the characters of kept; one of which a cut leaves only some bytes is not among them).
 
     A byte goes if it lies in a string of `length` bytes that also starts anywhere else, in the same text or another;
     strings are judged on the input and do not cross texts. Null texts are empty. Repeated rows repeat each other, ties do
     not arise, empty tables give no rows, texts shorter than `length` stay whole, and texts longer than 4 MB are read in
-    overlapping pieces. `columns` may have any names but the four above.
+    overlapping pieces. `columns` may have any names but the five above.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     texts = docs.select(F.xxhash64(body).alias("key"), F.octet_length(body).alias("size"), body.alias("text"))
@@ -278,4 +280,4 @@ def remove_repeats(docs: DataFrame, columns: list[str], text: str = "text", leng
     joined = joined.select(*[F.col(f"`{c}`") for c in columns], "__text", F.coalesce("__s", none).alias("__spans"))
     kinds = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in columns)
     return arrow_map(joined, _cut(length, columns),
-                     f"{kinds}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
+                     f"{kinds}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary, kept_text string")
