@@ -26,8 +26,8 @@ from attest.llm.tokens import Encoder, _byte_letters
 # Texts are aligned in slices of about SLICE_BYTES; the slices of about CHUNK_BYTES share one list of pairs.
 SLICE_BYTES = 1 << 19
 CHUNK_BYTES = 1 << 20
-# Chunks that a task holds at a time when the sums come back.
-_BATCH = 4
+# Rows that a task holds at a time: texts while they are aligned, chunks when the sums come back.
+_TEXTS, _CHUNKS = 500, 4
 _SIDE = 32  # bits of a token id in a pair
 _FIGURES = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -242,7 +242,9 @@ def align_corpus(docs: DataFrame, keys: Sequence[str], sides: Callable[[], tuple
         T.StructField("chunk", T.LongType()), T.StructField("docs", T.ArrayType(of_doc)),
         T.StructField("links", T.ArrayType(T.IntegerType())), T.StructField("pairs", T.ArrayType(T.LongType())),
         T.StructField("counts", T.ArrayType(T.LongType()))])
-    chunks = stored(plain.mapInArrow(_chunk_rows(sides), schema), "aligned")
+    batches = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    with setting(docs.sparkSession, batches, str(_TEXTS)):
+        chunks = stored(plain.mapInArrow(_chunk_rows(sides), schema), "aligned")
     asked = chunks.select("chunk", F.posexplode("pairs").alias("place", "pair"))
     told = asked.join(pair_counts(chunks), "pair").groupBy("chunk").agg(
         F.array_sort(F.collect_list(F.struct("place", "total", "best"))).alias("told"))
@@ -251,6 +253,6 @@ def align_corpus(docs: DataFrame, keys: Sequence[str], sides: Callable[[], tuple
     ready = full.select("docs", "links", F.coalesce(F.col("told.total"), empty("array<bigint>")).alias("totals"),
                         F.coalesce(F.col("told.best"), empty("array<boolean>")).alias("best"))
     summed = ready.mapInArrow(_sums, T.StructType([*of_doc.fields, T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType())]))
-    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(_BATCH)):
+    with setting(docs.sparkSession, batches, str(_CHUNKS)):
         out = stored(summed, "sums")  # written here, while the batches are small
     return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], *_FIGURES, "n_best", "count_sum", "groups_sha256")
