@@ -249,6 +249,22 @@ def open_items(items: DataFrame) -> DataFrame:
     return items.agg(F.count_if(~invoice & payment).alias("unapplied_cash"), F.count_if(invoice & ~payment).alias("unpaid"))
 
 
+def credit_notes(legacy: DataFrame, current: DataFrame) -> dict[str, DataFrame]:
+    """Credit notes of the table that was given up and of the type that replaced it, as two findings."""
+    return {"legacy_credit_notes": legacy, "new_credit_notes": current}
+
+
+def periods_without_rate(rates: DataFrame, rate_type: str) -> DataFrame:
+    """``(period)`` of the months that have rates, but none of `rate_type`: one aggregation over the rates."""
+    return rates.groupBy("period").agg(F.bool_or(F.col("rate_type") == rate_type).alias("has")).filter(
+        ~F.coalesce("has", F.lit(False))).select("period")
+
+
+def project_postings(ledger: DataFrame, first_period: str) -> DataFrame:
+    """Postings that name a project from a month on."""
+    return ledger.filter((F.col("period") >= first_period) & F.col("project_id").isNotNull())
+
+
 def anomaly_counts(findings: Mapping[str, DataFrame]) -> DataFrame:
     """``(finding, n)``: how many rows each finding has, in one job."""
     return union_all([df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("finding"), "n")

@@ -294,12 +294,24 @@ def unsigned_report(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT 'reversals', (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R')
     UNION ALL SELECT 'missing_periods', (SELECT count(*) FROM (VALUES {MONTH_ROWS}) e(m) WHERE m NOT IN (SELECT strftime(o_orderdate, '%Y-%m') FROM orders))
     UNION ALL SELECT 'intercompany_postings', (SELECT count(*) FROM lineitem WHERE l_returnflag <> 'R' AND l_linenumber = 3)
-    UNION ALL SELECT 'migrated_customers', (SELECT count(*) FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier))""")
+    UNION ALL SELECT 'migrated_customers', (SELECT count(*) FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier))
+    UNION ALL SELECT 'legacy_credit_notes', (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R' AND strftime(l_shipdate, '%Y-%m') < '1997-07')
+    UNION ALL SELECT 'new_credit_notes', (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R' AND strftime(l_shipdate, '%Y-%m') >= '1997-07')
+    UNION ALL SELECT 'periods_without_closing_rate', (SELECT count(*) FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS m FROM orders) p
+      WHERE m LIKE '%-03' OR m LIKE '%-09')
+    UNION ALL SELECT 'late_project_postings', (SELECT count(*) FROM lineitem WHERE strftime(l_shipdate, '%Y-%m') >= '1997-07' AND l_linenumber > 3)""")
 def anomaly_counts(spark: SparkSession, sf: str) -> DataFrame:
     orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     expected = declared(spark, "period string", [(m,) for m in MONTHS])
     months = orders.select(F.date_format("o_orderdate", "yyyy-MM").alias("period"))
     ids = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("c_custkey"))
+    # Returned lines are credit notes, in the old table before July 1997 and under a type of their own from then on.
+    notes = lines.filter("l_returnflag = 'R'").withColumn("period", F.date_format("l_shipdate", "yyyy-MM"))
+    new = F.col("period") >= "1997-07"
+    # Closing rates of March and September were never entered.
+    kept = rates(spark, sf).filter((F.col("rate_type") != "B") | ~F.substring("period", 6, 2).isin("03", "09"))
+    postings = lines.select(F.date_format("l_shipdate", "yyyy-MM").alias("period"),
+                            F.when(F.col("l_linenumber") > 3, F.concat(F.lit("P"), "l_linenumber")).alias("project_id"))
     return M.anomaly_counts({
         "open_without_invoice": M.without_counterpart(orders.filter("o_orderstatus = 'O'"), "o_orderkey", lines, "l_orderkey"),
         "several_invoices": M.repeated_references(lines.filter("l_returnflag = 'A'"), "l_orderkey"),
@@ -307,6 +319,9 @@ def anomaly_counts(spark: SparkSession, sf: str) -> DataFrame:
         "missing_periods": M.missing_units(expected, months),
         "intercompany_postings": ledger(spark, sf).filter("account_id = 4300"),
         "migrated_customers": table(spark, sf, "customer").join(ids, "c_custkey", "left_semi"),
+        **M.credit_notes(notes.filter(~new), notes.filter(new)),
+        "periods_without_closing_rate": M.periods_without_rate(kept, "B"),
+        "late_project_postings": M.project_postings(postings, "1997-07"),
     })
 
 

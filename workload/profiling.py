@@ -130,13 +130,17 @@ def text_masks(spark: SparkSession, sf: str) -> DataFrame:
     cls AS (SELECT tbl, col, {CLASS_SQL} AS value_class FROM vals GROUP BY 1, 2)
     SELECT 'test__' || tbl AS "table", col AS "column", count(*) AS row_count, count(*) - count(v) AS null_count,
            count(DISTINCT v) AS distinct_count, md5(min(v)) AS min, md5(max(v)) AS max, min(length(v)) AS len_min,
-           max(length(v)) AS len_max, any_value(value_class) AS value_class
-    FROM vals JOIN cls USING (tbl, col) GROUP BY 1, 2""")
+           round(avg(length(v)), 1) AS len_avg, max(length(v)) AS len_max, any_value(value_class) AS value_class,
+           any_value(top) AS top_values
+    FROM vals JOIN cls USING (tbl, col) LEFT JOIN (SELECT tbl, col, md5(string_agg(v || '=' || n, ';' ORDER BY r)) AS top FROM (
+      SELECT tbl, col, v, n, row_number() OVER (PARTITION BY tbl, col ORDER BY n DESC, v) AS r
+      FROM (SELECT tbl, col, v, count(*) AS n FROM vals WHERE v IS NOT NULL GROUP BY ALL)) WHERE r <= 10 GROUP BY 1, 2) USING (tbl, col) GROUP BY 1, 2""")
 def scan_profiles(spark: SparkSession, sf: str) -> DataFrame:
     """The whole pipeline over the folder: catalogue, fingerprints, value counts, profiles, matrix."""
     found = scan(spark, [SourceSpec("Test", "tables", sf)], content=False).profiles
     return found.select("table", "column", "row_count", "null_count", "distinct_count", F.md5("min").alias("min"),
-                        F.md5("max").alias("max"), "len_min", "len_max", "value_class")
+                        F.md5("max").alias("max"), "len_min", "len_avg", "len_max", "value_class",
+                        F.md5(F.array_join(F.transform("top_values", lambda t: F.concat_ws("=", t["value"], t["count"])), ";")).alias("top_values"))
 
 
 PAIRS_CTE = f"""{star_cte(TABLES)},
@@ -278,7 +282,7 @@ def catalog_sql(spark: SparkSession, sf: str) -> DataFrame:
         "ON o_custkey = c_custkey GROUP BY 1")
 
 
-FINGERPRINTED = ("customer", "orders", "lineitem", "events", "part", "embeddings", "region")
+FINGERPRINTED = TABLES
 MOMENTS = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
 
 
