@@ -10,31 +10,56 @@ from pyspark.sql import functions as F
 from attest.evidence import tables as S
 from attest.evidence import verdicts as V
 from attest.evidence.roles import template_table
+from attest.evidence.status import rationale
 from attest.functions.frames import declared
 
 # Stages a claim can be in.
 STAGES = ("bound", "unbindable", "semantic_only", "skipped", "unbound")
 
 
+# How each stage is told.
+STAGE_LABELS = {
+    "bound": "bound to a probe",
+    "unbindable": "unbindable — the model gave a reason",
+    "semantic_only": "semantic-only — no probe template can test it",
+    "skipped": "skipped — validation rejected the binding",
+    "unbound": "no probe, no recorded reason",
+}
+
+
 def claim_stages(resolved: DataFrame, evidence: DataFrame, probes: DataFrame, testable: Column) -> DataFrame:
-    """Claims with ``stage`` and ``executed``; `testable` tells whether any template may test the claim.
+    """Claims with ``stage``, ``executed`` and ``no_probe_reason``; `testable` tells whether any template may test the claim.
 
     A claim is bound when a probe names it or its evidence names a probe; otherwise the first recorded refusal decides.
+    The reason is that of this refusal, and empty where none was recorded.
     """
-    decision = F.try_element_at("payload", F.lit("decision"))
+    decision, reason = (F.try_element_at("payload", F.lit(k)) for k in ("decision", "reason"))
     refusal = (F.col("type") == S.DECLARATION) & decision.isin(*STAGES)
     said = evidence.filter(F.col("claim_id").isNotNull()).groupBy(F.col("claim_id").alias("id")).agg(
-        F.min_by(F.when(refusal, decision), F.when(refusal, F.struct("created_at", "id"))).alias("decision"),
+        F.min_by(F.when(refusal, F.struct(decision.alias("decision"), reason.alias("reason"))),
+                 F.when(refusal, F.struct("created_at", "id"))).alias("refusal"),
         F.max(F.when(F.col("probe_id").isNotNull(), 1)).alias("by_evidence"))
     bound = probes.filter(F.col("claim_id").isNotNull()).select(F.col("claim_id").alias("id")).distinct().withColumn(
         "by_probe_table", F.lit(1))
     return resolved.join(said, "id", "left").join(bound, "id", "left").withColumn(
         "stage",
         F.when(F.coalesce("by_probe_table", "by_evidence").isNotNull(), "bound")
-        .when(F.col("decision").isNotNull(), F.col("decision"))
+        .when(F.col("refusal").isNotNull(), F.col("refusal.decision"))
         .when(~testable, "semantic_only")
         .otherwise("unbound"),
-    ).withColumn("executed", F.col("probe_results") > 0).drop("decision", "by_evidence", "by_probe_table")
+    ).withColumns({"executed": F.col("probe_results") > 0, "no_probe_reason": F.coalesce("refusal.reason", F.lit(""))}).drop(
+        "refusal", "by_evidence", "by_probe_table")
+
+
+def headlines(staged: DataFrame) -> DataFrame:
+    """Claims with ``headline``: that a claim was never tested and why, or else what its live evidence says."""
+    label = F.lit(None).cast("string")
+    for stage, text in STAGE_LABELS.items():
+        label = F.when(F.col("stage") == stage, text).otherwise(label)
+    untested = (F.col("status") == S.INFERRED) & (F.col("stage") != "bound")
+    told = rationale(staged)
+    return told.withColumn("headline", F.when(untested, F.concat(F.lit("Never tested — "), label, F.lit("."))).otherwise(
+        F.col("rationale"))).drop("rationale")
 
 
 def funnel(staged: DataFrame) -> DataFrame:

@@ -63,7 +63,8 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
         F.array().cast("array<map<string,string>>").alias("exception_samples"),
         F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.create_map(
             F.lit("decision"), mapped(F.col("o_orderstatus"), DECISION_OF), F.lit("source"), F.lit("orders"),
-            F.lit("table"), F.lit("orders"), F.lit("column"), F.col("o_orderstatus"))).alias("payload"),
+            F.lit("table"), F.lit("orders"), F.lit("column"), F.col("o_orderstatus"),
+            F.lit("reason"), F.concat(F.lit("seen in order "), F.col("o_orderkey").cast("string")))).alias("payload"),
         F.create_map(F.lit("orders"), F.date_format("o_orderdate", "yyyy-MM")).alias("source_fingerprints"),
         (F.col("o_totalprice") > 300000).alias("stale"), F.col("o_orderdate").alias("created_at"))
 
@@ -381,10 +382,10 @@ def fingerprint_names(spark: SparkSession, sf: str) -> DataFrame:
     return X.fingerprint_names(evidence(spark, sf))
 
 
-STAGED = f"""{RESOLVED}, {PR}, dec AS (SELECT claim_id, arg_min({case('st', DECISION_OF)}, (created_at, id)) AS decision
-      FROM ev WHERE type = 'declaration' GROUP BY 1),
+STAGED = f"""{RESOLVED}, {PR}, dec AS (SELECT claim_id, arg_min({case('st', DECISION_OF)}, (created_at, id)) AS decision,
+      arg_min('seen in order ' || population, (created_at, id)) AS reason FROM ev WHERE type = 'declaration' GROUP BY 1),
     pe AS (SELECT DISTINCT claim_id FROM ev WHERE probe_id IS NOT NULL UNION SELECT claim_id FROM pr),
-    staged AS (SELECT r.*, CASE WHEN pe.claim_id IS NOT NULL THEN 'bound' WHEN decision IS NOT NULL THEN decision
+    staged AS (SELECT r.*, coalesce(reason, '') AS no_probe_reason, CASE WHEN pe.claim_id IS NOT NULL THEN 'bound' WHEN decision IS NOT NULL THEN decision
       WHEN predicate IS NULL OR predicate = 'semantic_equivalent' THEN 'semantic_only' ELSE 'unbound' END AS stage
       FROM resolved r LEFT JOIN pe ON pe.claim_id = r.id LEFT JOIN dec ON dec.claim_id = r.id)"""
 
@@ -399,6 +400,25 @@ def funnel(spark: SparkSession, sf: str) -> DataFrame:
     return A.funnel(A.claim_stages(resolved(spark, sf), evidence(spark, sf), probes(spark, sf), testable))
 
 
+RATIONALE = f"""CASE status WHEN 'unresolved' THEN 'Conflict is present: at least one failing probe coexists with supporting evidence.'
+      WHEN 'contradicted' THEN 'At least one failing probe is present and no competing supporting evidence remains live.'
+      WHEN 'business-confirmed' THEN 'At least one admissible human confirmation is live and no failing probe overrides it.'
+      WHEN 'tested' THEN 'At least one passing probe is live and no failing probe overrides it.'
+      ELSE 'Nothing stronger than inferred evidence is live yet.' END || ' Live trail: ' || coalesce(nullif(concat_ws(', ',
+      {_trail('probe_pass', 'passing probe result')}, {_trail('probe_fail', 'failing probe result')}, {_trail('confirmations', 'confirmation')},
+      {_trail('testimonials', 'testimonial')}), ''), 'no live status-bearing evidence') || '.'"""
+
+
+@query("claim_headlines", f"""
+    WITH {STAGED} SELECT id, stage, no_probe_reason, CASE WHEN status = 'inferred' AND stage <> 'bound' THEN 'Never tested — ' ||
+      {case('stage', A.STAGE_LABELS)} || '.' ELSE {RATIONALE} END AS headline FROM staged""")
+def claim_headlines(spark: SparkSession, sf: str) -> DataFrame:
+    """The line to stop reading after: why a claim was never tested, or what its evidence says."""
+    testable = F.coalesce(F.col("predicate").isin("references", "unique_key", "covers"), F.lit(False))
+    staged = A.claim_stages(resolved(spark, sf), evidence(spark, sf), probes(spark, sf), testable)
+    return A.headlines(staged).select("id", "stage", "no_probe_reason", "headline")
+
+
 @query("defeats", f"""
     WITH {EV}, {PR} SELECT ev.claim_id, ev.id AS evidence_id, coalesce(template, 'unknown template') AS template,
       CASE WHEN template IN ('balance', 'ic_symmetry', 'subledger_equals_gl') THEN 'finance' ELSE '' END AS domain,
