@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from attest.functions.canonical import comparison_key, lenient_bigint
 from attest.functions.frames import declared, running, union_all
-from attest.functions.intervals import TOP_LEVEL, WIDE_KEY, cover, day_number, path, stab_join
+from attest.functions.intervals import WIDE_KEY, day_number, stab_join
 from attest.session import settle
 
 # Where open intervals end.
@@ -295,18 +295,14 @@ def _whole_bound(c: Column, data_type: T.DataType, up: bool) -> Column:
     return (F.ceil(c) if up else F.floor(c)).cast("bigint")
 
 
-def _block_levels(bounds: DataFrame) -> int:
-    """Coarsest block level worth using for these ranges: one aggregated row decides."""
-    width = bounds.agg(F.max(F.col("hi").cast("decimal(38,0)") - F.col("lo").cast("decimal(38,0)"))).first()[0]
-    return 0 if width is None else min(TOP_LEVEL, max(0, int(width)).bit_length())
-
-
 def range_join(table: DataFrame, value_column: str, ranges: DataFrame, range_from: str, range_to: str,
                where: str | None = None) -> DataFrame:
     """Values that fall into no range or into several: ``(value, match_count)``.
 
-    Values are looked up in the blocks that cover the ranges, an equi-join whatever the size of the range table;
-    identical ranges are counted first, so that copies of one range never multiply the lookup.
+    Values and bounds are merged: sorted together into range partitions, each bound changes the number of open ranges by
+    one, and what a partition begins with is carried over from those before it. One row per value and two per distinct
+    range, whatever their sizes. A value that is no number falls into no range, a range that ends before it starts holds
+    nothing.
     """
     scoped = _scoped(table, where)
     values = scoped.select(comparison_key(scoped, value_column).alias("value")).filter(
@@ -314,23 +310,17 @@ def range_join(table: DataFrame, value_column: str, ranges: DataFrame, range_fro
     bounds = ranges.select(
         _whole_bound(ranges[range_from], ranges.schema[range_from].dataType, True).alias("lo"),
         _whole_bound(ranges[range_to], ranges.schema[range_to].dataType, False).alias("hi"),
-    ).groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n"))
-    bounds, values = settle(bounds, "ranges"), settle(values, "values")
-    top = _block_levels(bounds)
-    blocks = (
-        bounds.select("n", F.explode(cover("lo", "hi", top)).alias("block"))
-        .groupBy(F.col("block.level").alias("level"), F.col("block.node").alias("node")).agg(F.sum("n").alias("n"))
-    )
-    matched = (
-        values.select("value", lenient_bigint(F.col("value")).alias("number")).filter(F.col("number").isNotNull())
-        .select("value", F.explode(path("number", top)).alias("block"))
-        .select("value", F.col("block.level").alias("level"), F.col("block.node").alias("node"))
-        .join(blocks, ["level", "node"])
-        .groupBy("value").agg(F.sum("n").alias("match_count"))
-    )
-    return values.join(matched, "value", "left").select(
-        "value", F.coalesce("match_count", F.lit(0)).cast("bigint").alias("match_count")).filter(
-        F.col("match_count") != 1)
+    ).filter(F.col("lo") <= F.col("hi")).groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+    no_value = F.lit(None).cast("string")
+    event = lambda df, at, kind, value, change: df.select(
+        F.lit(0).alias("all"), at.alias("at"), F.lit(kind).alias("kind"), value.alias("value"), change.cast("bigint").alias("change"))
+    merged = union_all([
+        event(bounds, F.col("lo"), 0, no_value, F.col("n")),
+        event(values, lenient_bigint(F.col("value")), 1, F.col("value"), F.lit(0)),
+        event(bounds, F.col("hi"), 2, no_value, -F.col("n")),
+    ])
+    swept = running(merged, "all", ["at", "kind", "value"], {"open": "change"})
+    return swept.filter((F.col("kind") == 1) & (F.col("open") != 1)).select("value", F.col("open").alias("match_count"))
 
 
 def decode(encoded: DataFrame, decode_table: DataFrame, key: str, pairs: Sequence[Mapping[str, str]]) -> DataFrame:

@@ -96,6 +96,9 @@ def value_counts(views: Mapping[str, DataFrame], masks: bool = True) -> Counts:
             else:
                 cells += [F.lit(cid), value, F.lit(None).cast(LATE)]
         parts.append(rows.select(F.stack(F.lit(len(members)), *cells).alias("cid", "value", "late")))
+    if not parts:
+        spark = next(iter(views.values())).sparkSession
+        return Counts(declared(spark, f"cid int, value string, late {LATE}, n bigint", []), views)
     return Counts(union_all(parts).groupBy("cid", "value", "late").agg(F.count(F.lit(1)).alias("n")), views)
 
 

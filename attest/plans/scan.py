@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from attest.functions.frames import declared, union_all
 from attest.operators import overlap, profile
 from attest.operators.values import settled_counts
+from attest.plans.rescan import kept_counts, view_stamps
 from attest.session import settle
 from attest.sources.catalog import Catalog, build_catalog, write_matrix
 from attest.sources.fingerprint import source_fingerprint, upsert_sources
@@ -29,6 +30,7 @@ class ScanResult:
     profiles: DataFrame
     matrix: DataFrame
     header: DataFrame
+    counted: list[str]
 
 
 def source_states(spark: SparkSession, specs: Sequence[SourceSpec], content: bool = True) -> DataFrame:
@@ -53,12 +55,15 @@ def scan(
     stored_profiles: DataFrame | None = None,
     folder: str | None = None,
     content: bool = True,
+    keep: str | None = None,
 ) -> ScanResult:
     """Catalogue, fingerprints, declared decisions, profiles and matrix in one go.
 
     Running it again with what was stored keeps ids and adds only decisions that are new for a source state. With a
-    `folder`, profiles and matrix are written there.
+    `folder`, profiles and matrix are written there. With `keep`, a folder that holds value counts between scans, only
+    views whose files changed are counted again.
     """
+    file_stamps = None if keep is None else settle(view_stamps(spark, specs), "stamps")
     catalog = build_catalog(spark, specs)
     states = settle(source_states(spark, specs, content), "sources")
     sources = upsert_sources(
@@ -67,7 +72,8 @@ def scan(
     declarations = new_decisions(
         catalog.decision_table().join(stamps, "source", "left"),
         declared(spark, DECLARATIONS, []) if stored_declarations is None else stored_declarations)
-    counts = settled_counts(catalog.views)
+    recount = None if keep is None else kept_counts(catalog, file_stamps, keep)
+    counts = settled_counts(catalog.views) if recount is None else recount.counts
     belongs = declared(spark, "table string, source string", list(catalog.source_of.items())).join(
         sources.select(F.col("name").alias("source"), F.col("id").alias("source_id")), "source").drop("source")
     profiles = profile.profile_views(catalog.views, counts).join(belongs, "table")
@@ -79,4 +85,5 @@ def scan(
     if folder is not None:
         profiles.write.mode("overwrite").parquet(f"{folder}/profiles")
         write_matrix(matrix, header, folder)
-    return ScanResult(catalog, sources, declarations, profiles, matrix, header)
+    return ScanResult(catalog, sources, declarations, profiles, matrix, header,
+                      sorted(catalog.views) if recount is None else recount.counted)

@@ -15,6 +15,8 @@ from attest.evidence.templates import merged_tolerances
 from attest.functions.frames import declared, union_all
 from attest.operators import overlap as O
 from attest.operators import profile as P
+from attest.operators.values import columns_frame
+from attest.plans.rescan import kept_counts, view_stamps
 from attest.session import shared_folder
 from attest.sources import catalog as K
 from attest.sources import fingerprint as G
@@ -188,3 +190,32 @@ def evidence_appended(spark: SparkSession, sf: str) -> DataFrame:
     except ValueError:
         again = "refused"
     return stored.groupBy("type").agg(F.count(F.lit(1)).alias("n")).withColumn("again", F.lit(again))
+
+
+RESCANNED = ("customer", "supplier", "part", "documents")
+
+
+@query("rescan", "WITH " + ", ".join([
+    "c2 AS (SELECT c_custkey, c_name FROM customer UNION ALL SELECT s_suppkey + 1000000, s_name FROM supplier)",
+    "v AS (SELECT 'customer' AS t, 'c_custkey' AS c, CAST(c_custkey AS VARCHAR) AS v FROM c2 UNION ALL SELECT 'customer', 'c_name', NULLIF(trim(c_name), '') FROM c2"
+    " UNION ALL SELECT 'supplier', 's_suppkey', CAST(s_suppkey AS VARCHAR) FROM supplier UNION ALL SELECT 'supplier', 's_name', NULLIF(trim(s_name), '') FROM supplier"
+    " UNION ALL SELECT 'part', 'p_partkey', CAST(p_partkey AS VARCHAR) FROM part UNION ALL SELECT 'part', 'p_name', NULLIF(trim(p_name), '') FROM part"
+    " UNION ALL SELECT 'documents', 'doc_id', CAST(doc_id AS VARCHAR) FROM documents UNION ALL SELECT 'documents', 'text', NULLIF(trim(text), '') FROM documents)"]) + """
+    SELECT 'kept__' || t AS "table", c AS "column", t = 'customer' AS counted_again, count(*) AS row_count, count(DISTINCT v) AS distinct_count,
+           max(length(v)) AS len_max FROM v GROUP BY 1, 2, 3""")
+def rescan(spark: SparkSession, sf: str) -> DataFrame:
+    """Four tables are scanned, one of them grows, and the second scan counts that one only."""
+    path, keep = place(spark, "source"), place(spark, "kept")
+    pick = {"customer": ["c_custkey", "c_name"], "supplier": ["s_suppkey", "s_name"], "part": ["p_partkey", "p_name"], "documents": ["doc_id", "text"]}
+    for name in RESCANNED:
+        table(spark, sf, name).select(*pick[name]).write.parquet(f"{path}/{name}")
+    spec = [SourceSpec("Kept", "tables", path)]
+    first = kept_counts(K.build_catalog(spark, spec), view_stamps(spark, spec), keep, masks=False)
+    if first.counted != sorted(f"kept__{name}" for name in RESCANNED):
+        raise RuntimeError(f"the first scan counted {first.counted}")
+    more = table(spark, sf, "supplier").select((F.col("s_suppkey") + 1000000).alias("c_custkey"), F.col("s_name").alias("c_name"))
+    more.select(F.col("c_custkey").cast(table(spark, sf, "customer").schema["c_custkey"].dataType), "c_name").write.mode("append").parquet(f"{path}/customer")
+    catalog = K.build_catalog(spark, spec)
+    second = kept_counts(catalog, view_stamps(spark, spec), keep, masks=False)
+    found = P.column_statistics(second.counts).join(columns_frame(catalog.views), "cid")
+    return found.select("table", "column", F.col("table").isin(second.counted).alias("counted_again"), "row_count", "distinct_count", "len_max")
