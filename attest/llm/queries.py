@@ -172,12 +172,12 @@ from b
 """
 
 _OP9_SQL = """
-with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
   where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
-  from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id and len(c.v) = len(q.v)),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+s as (select q.r as qr, q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from v q join v c on q.vec_id % 20 = 0 and c.r <> q.r and len(c.v) = len(q.v)),
+r as (select *, row_number() over (partition by qr order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 20
 """
 

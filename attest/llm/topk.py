@@ -60,15 +60,15 @@ def _batches(batches, queries: int):
             yield batch.slice(first, rows)
 
 
-def _thresholds(ids, queries, k: int, low: int, width: int):
+def _thresholds(keys, queries, k: int, low: int, width: int):
     dims = queries.shape[1]
 
     def over(batches):
         slack = (width - 1) * np.minimum(queries, 0).sum(1)
-        best = np.full((len(ids), k), -np.inf)
-        for batch in _batches(batches, len(ids)):
+        best = np.full((len(keys), k), -np.inf)
+        for batch in _batches(batches, len(keys)):
             lower = queries @ _corners(batch, dims, low, width).T + slack[:, None]
-            lower[ids[:, None] == batch.column("vec_id").to_numpy()[None, :]] = -np.inf
+            lower[keys[:, None] == batch.column("key").to_numpy()[None, :]] = -np.inf
             both = np.concatenate([best, lower], 1)
             best = -np.partition(-both, k - 1, 1)[:, :k]
         least = best.min(1)
@@ -78,7 +78,7 @@ def _thresholds(ids, queries, k: int, low: int, width: int):
     return over
 
 
-def _exact(ids, queries, least, k: int, low: int, width: int):
+def _exact(keys, ids, queries, least, k: int, low: int, width: int):
     dims = queries.shape[1]
     whole = queries.astype(np.int64)
 
@@ -87,9 +87,9 @@ def _exact(ids, queries, least, k: int, low: int, width: int):
         for batch in _batches(batches, len(ids)):
             upper = queries @ _corners(batch, dims, low, width).T + slack[:, None]
             vec = batch.column("vec_id").to_numpy()
-            upper[ids[:, None] == vec[None, :]] = -np.inf
+            upper[keys[:, None] == batch.column("key").to_numpy()[None, :]] = -np.inf
             vectors = _matrix(batch.column("vector"), dims)
-            found_q, found_v, found_s = [], [], []
+            found_k, found_q, found_v, found_s = [], [], [], []
             for q in np.flatnonzero((upper >= least[:, None]).any(1)).tolist():
                 near = np.flatnonzero((upper[q] >= least[q]) & (upper[q] > -np.inf))
                 near = near[np.argsort(-upper[q, near], kind="stable")]
@@ -103,12 +103,13 @@ def _exact(ids, queries, least, k: int, low: int, width: int):
                     order = np.lexsort((held_v, -held_s))[:k]
                     held_v, held_s = held_v[order], held_s[order]
                 reach = held_s >= least[q]
+                found_k.append(np.full(int(reach.sum()), keys[q]))
                 found_q.append(np.full(int(reach.sum()), ids[q]))
                 found_v.append(held_v[reach])
                 found_s.append(held_s[reach])
             if found_q:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found_q, found_v, found_s)],
-                                                 names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found_k, found_q, found_v, found_s)],
+                                                 names=["query_key", "query_id", "vec_id", "score"])
 
     return over
 
@@ -118,17 +119,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
     """(query_id, rank, vec_id, score): the k highest inner products of every row of `queries` with rows of `vectors`.
 
     Components become floor(scale * x); scores are exact up to 2**63 and bounds up to 2**53. Ties go to the smaller id. A row is no
-    candidate for the query of its own id. Rows with a null id, or a vector that is null or has null or non-finite
+    candidate for itself; rows that share its id with another vector are, and so are further rows equal to it. Each query row
+    has a list of its own, also where ids repeat. Rows with a null id, or a vector that is null or has null or non-finite
     components, take no part; vectors meet only vectors of their own length. Repeated rows are candidates as often as they
     occur; a repeated query is asked once. With fewer than k candidates all are returned; empty tables give no rows.
     """
     def side(df):
         own = F.col(f"`{vector}`")
         return df.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), own.alias("v")).where(
-            F.col("vec_id").isNotNull() & usable(F.col("v"))).select("vec_id", scaled(F.col("v"), scale).alias("vector"))
+            F.col("vec_id").isNotNull() & usable(F.col("v"))).select("vec_id", scaled(F.col("v"), scale).alias("vector")).withColumn(
+            "key", F.xxhash64("vec_id", "vector"))
 
     rows = side(vectors)
-    asked = stored(side(queries).dropDuplicates(["vec_id", "vector"]), "queries")
+    asked = stored(side(queries).dropDuplicates(["key"]), "queries")
     spans = rows.select(F.size("vector").alias("dims"), F.array_min("vector").alias("a"), F.array_max("vector").alias("b"))
     spans = spans.groupBy("dims").agg(F.min("a").alias("low"), F.max("b").alias("high")).collect()  # a row per vector length
     lengths = {r.dims for r in asked.select(F.size("vector").alias("dims")).distinct().collect()}
@@ -139,27 +142,34 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
             continue
         width = max(1, -(-(span.high - low + 1) // cells))
         file = stored(rows.where(F.size("vector") == dims).mapInArrow(
-            _cells(dims, low, width), "vec_id long, vector array<long>, cells binary"), "cells")
+            _cells(dims, low, width), "vec_id long, vector array<long>, key long, cells binary"), "cells")
         size = max(1, block_bytes // (8 * dims))
         mine = asked.where(F.size("vector") == dims)
         blocks = max(1, -(-mine.count() // size))
         blocked = stored(mine.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks))), "blocks")
         for block in range(blocks):  # one pair of scans per block of queries, of about block_bytes
-            held = blocked.where(F.col("block") == block).select("vec_id", "vector").toArrow().combine_chunks()
+            held = blocked.where(F.col("block") == block).select("key", "vec_id", "vector").toArrow().combine_chunks()
             if not held.num_rows:
                 continue
-            ids = held.column("vec_id").combine_chunks().to_numpy().astype(np.int64)
+            keys, ids = (held.column(c).combine_chunks().to_numpy().astype(np.int64) for c in ("key", "vec_id"))
             matrix = _matrix(held.column("vector").combine_chunks(), dims).astype(np.float64)
-            first = file.select("vec_id", "cells").mapInArrow(_thresholds(ids, matrix, k, low, width), "query long, least double")
+            first = file.select("key", "cells").mapInArrow(_thresholds(keys, matrix, k, low, width), "query long, least double")
             least = np.full(len(ids), -np.inf)
             for r in first.groupBy("query").agg(F.max("least").alias("least")).collect():
                 least[r.query] = r.least
-            parts.append(file.mapInArrow(_exact(ids, matrix, least, k, low, width), "query_id long, vec_id long, score long"))
+            parts.append(file.mapInArrow(_exact(keys, ids, matrix, least, k, low, width), "query_key long, query_id long, vec_id long, score long"))
     if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     found = parts[0]
     for more in parts[1:]:
         found = found.union(more)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # rows equal to a query are found by their number, as the scans pass over all of them
+    twins = rows.select("key").join(asked.select("key"), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = F.aggregate("vector", F.lit(0).cast("long"), lambda total, x: total + x * x)
+    copies = asked.where(F.size("vector") > 0).join(twins, "key").select(
+        F.col("key").alias("query_key"), F.col("vec_id").alias("query_id"), "vec_id", own.alias("score"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("n") - 1, F.lit(k)))).alias("copy"))
+    found = found.unionByName(copies.drop("copy"))
+    order = Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -33,3 +33,17 @@ def test_top_k(spark, k, block_bytes, dims):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert top_k(df, df).collect() == []
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (21, [0.5, 0.5]), (40, [0.25, 0.0]), (40, [0.25, 0.0]), (40, [0.25, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(x) for x in top_k(df, df.where("vec_id % 20 = 0"), k=3).collect())
+    scaled = [(i, [int(64 * x) for x in v]) for i, v in rows]
+    want = []
+    for a in {(i, tuple(v)) for i, v in scaled if i % 20 == 0}:  # equal query rows are asked once
+        others = list(scaled)
+        others.remove((a[0], list(a[1])))
+        best = sorted((-sum(x * y for x, y in zip(a[1], v)), i) for i, v in others)[:3]
+        want += [(a[0], r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert got == sorted(want)
