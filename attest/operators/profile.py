@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attest.functions.canonical import CLASS_EMPTY, canonical, class_of_kinds, pattern_mask, value_kinds
 from attest.functions.frames import declared, union_all
-from attest.operators.values import Counts, columns_frame, late_columns, settled_counts, texts_of
+from attest.operators.values import Counts, columns_frame, settled_counts, texts_of
 
 TOP_VALUES = 10
 SAMPLE_VALUES = 200
@@ -19,7 +19,7 @@ TOP_PATTERNS = 5
 def extremes(counts: Counts) -> DataFrame:
     """``(cid, min, max)`` of the columns that hold long texts, straight from their tables: each task keeps two texts."""
     parts = []
-    for cid, table, column in late_columns(counts):
+    for cid, table, column in counts.late_columns:
         df = counts.views[table]
         text = canonical(df[column], df.schema[column].dataType)
         parts.append(df.agg(F.min(text).alias("least"), F.max(text).alias("most")).withColumn("cid", F.lit(cid)))
@@ -45,39 +45,59 @@ def column_statistics(counts: Counts) -> DataFrame:
         {"min": F.coalesce("least", "min"), "max": F.coalesce("most", "max")}).drop("least", "most")
 
 
-def _first(rows: DataFrame, counts: Counts, limit: int, shown: str, head: str, *order) -> DataFrame:
-    """The first `limit` rows of every column in the order of `order` and then of the value `shown`.
+def _place(rank: Column, *order) -> Column:
+    return rank.over(Window.partitionBy("cid").orderBy(*order))
 
-    `head` orders like `shown` as far as the first characters of long texts tell; all rows that may be among the first by
-    it have their texts fetched. Spark cuts each task to the first rows per column before the shuffle.
-    """
-    place = lambda rank, last: rank.over(Window.partitionBy("cid").orderBy(*order, last))
-    near = rows.withColumn("__head", F.coalesce(F.col(shown), F.col(head))).withColumn("rank", place(F.rank(), F.col("__head")))
-    full = texts_of(counts, near.filter(F.col("rank") <= limit).drop("rank", "__head"))
-    if shown == "mask":
-        full = full.withColumn("text", pattern_mask(F.col("text")))
-    full = full.withColumn(shown, F.coalesce(shown, "text")).drop("text", "a", head)
-    return full.withColumn("rank", place(F.row_number(), F.col(shown))).filter(F.col("rank") <= limit)
+
+def _near(rows: DataFrame, limit: int, *order) -> DataFrame:
+    """The rows ``(cid, shown, head, a, …)`` of every column that may be among the first `limit` in the order of `order` and
+    then of what is shown. `head` orders like it as far as the first characters of long texts tell; all rows that it cannot
+    tell apart are kept. Spark cuts each task to the first rows per column before the shuffle."""
+    return rows.withColumn("rank", _place(F.rank(), *order, F.coalesce("shown", "head"))).filter(F.col("rank") <= limit).drop("rank", "head")
+
+
+def _first(full: DataFrame, limit: int, text: Column, *order) -> DataFrame:
+    """The first rows of what `_near` kept, once the `text` behind long ones is known."""
+    told = full.withColumn("shown", F.coalesce("shown", text)).drop("text", "a")
+    return told.withColumn("rank", _place(F.row_number(), *order, F.col("shown"))).filter(F.col("rank") <= limit)
+
+
+def _values(counts: Counts) -> DataFrame:
+    return counts.present().select("cid", F.col("value").alias("shown"), F.col("late.head").alias("head"), F.col("late.a").alias("a"), "n")
+
+
+def _shapes(counts: Counts) -> DataFrame:
+    return counts.present().groupBy(
+        "cid", pattern_mask(F.col("value")).alias("shown"), F.col("late.mask_head").alias("head"), F.col("late.mask_a").alias("mask_a"),
+        F.col("late.mask_b").alias("mask_b")).agg(F.min("late.a").alias("a"), F.count(F.lit(1)).alias("n")).drop("mask_a", "mask_b")
 
 
 def top_values(counts: Counts, limit: int = TOP_VALUES) -> DataFrame:
     """Most frequent values, ties in value order."""
-    rows = counts.present().select("cid", "value", "n", F.col("late.a").alias("a"), F.col("late.head").alias("head"))
-    return _first(rows, counts, limit, "value", "head", F.col("n").desc())
+    near = texts_of(counts, _near(_values(counts), limit, F.desc("n")))
+    return _first(near, limit, F.col("text"), F.desc("n")).withColumnRenamed("shown", "value")
 
 
 def value_sample(counts: Counts, limit: int = SAMPLE_VALUES) -> DataFrame:
     """The smallest distinct values of every column: a listing to look at, nothing is decided by it."""
-    rows = counts.present().select("cid", "value", F.col("late.a").alias("a"), F.col("late.head").alias("head"))
-    return _first(rows, counts, limit, "value", "head")
+    near = texts_of(counts, _near(_values(counts).drop("n"), limit))
+    return _first(near, limit, F.col("text")).withColumnRenamed("shown", "value")
 
 
 def top_patterns(counts: Counts, limit: int = TOP_PATTERNS) -> DataFrame:
     """Most frequent shapes among all distinct values."""
-    shapes = counts.present().groupBy(
-        "cid", pattern_mask(F.col("value")).alias("mask"), F.col("late.mask_a").alias("mask_a"), F.col("late.mask_b").alias("mask_b"),
-        F.col("late.mask_head").alias("head")).agg(F.count(F.lit(1)).alias("n"), F.min("late.a").alias("a"))
-    return _first(shapes.drop("mask_a", "mask_b"), counts, limit, "mask", "head", F.col("n").desc())
+    near = texts_of(counts, _near(_shapes(counts), limit, F.desc("n")))
+    return _first(near, limit, pattern_mask(F.col("text")), F.desc("n")).withColumnRenamed("shown", "mask")
+
+
+def top_lists(counts: Counts) -> tuple[DataFrame, DataFrame]:
+    """`top_values` and `top_patterns` with one read of the long texts behind both."""
+    both = _near(_values(counts), TOP_VALUES, F.desc("n")).withColumn("what", F.lit("value")).unionByName(
+        _near(_shapes(counts), TOP_PATTERNS, F.desc("n")).withColumn("what", F.lit("mask")))
+    full = texts_of(counts, both)
+    of = lambda what: full.filter(F.col("what") == what).drop("what")
+    return (_first(of("value"), TOP_VALUES, F.col("text"), F.desc("n")).withColumnRenamed("shown", "value"),
+            _first(of("mask"), TOP_PATTERNS, pattern_mask(F.col("text")), F.desc("n")).withColumnRenamed("shown", "mask"))
 
 
 def value_classes(counts: Counts) -> DataFrame:
@@ -97,26 +117,24 @@ def classified_columns(columns: DataFrame, counts: Counts) -> DataFrame:
     )
 
 
-def profile_views(views: Mapping[str, DataFrame], counts: Counts | None = None) -> DataFrame:
-    """One row per column of `views`, with its statistics, frequent values, shapes and class.
+def profile_views(views: Mapping[str, DataFrame], counts: Counts | None = None, lists: bool = True) -> DataFrame:
+    """One row per column of `views`, with its statistics and class and, unless `lists` is false, its frequent values and shapes.
 
     `counts` may be a stored value-count table; otherwise the sources are counted once first.
     """
-    counts = settled_counts(views, counts)
+    counts = settled_counts(views, counts, masks=lists)
+    zero = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("bigint").alias(name)
+    found = columns_frame(views).join(column_statistics(counts), "cid", "left").join(value_classes(counts), "cid", "left")
+    shown = ["table", "column", "type", zero("row_count"), zero("null_count"), zero("distinct_count"),
+             "min", "max", "len_min", "len_avg", "len_max", F.coalesce("value_class", F.lit(CLASS_EMPTY)).alias("value_class")]
+    if not lists:
+        return found.select(*shown)
     listed = lambda frame, name, field: frame.groupBy("cid").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", field, "n"))),
                     lambda item: F.struct(item[field].alias(field), item["n"].alias("count"))).alias(name))
-    zero = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("bigint").alias(name)
-    return (
-        columns_frame(views)
-        .join(column_statistics(counts), "cid", "left")
-        .join(value_classes(counts), "cid", "left")
-        .join(listed(top_values(counts), "top_values", "value"), "cid", "left")
-        .join(listed(top_patterns(counts), "patterns", "mask"), "cid", "left")
-        .select("table", "column", "type", zero("row_count"), zero("null_count"), zero("distinct_count"),
-                "min", "max", "len_min", "len_avg", "len_max",
-                F.coalesce("value_class", F.lit(CLASS_EMPTY)).alias("value_class"), "top_values", "patterns")
-    )
+    values, patterns = top_lists(counts)
+    return found.join(listed(values, "top_values", "value"), "cid", "left").join(
+        listed(patterns, "patterns", "mask"), "cid", "left").select(*shown, "top_values", "patterns")
 
 
 def upsert_profiles(stored: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +55,12 @@ class Counts:
     def present(self) -> DataFrame:
         return self.frame.filter(F.col("value").isNotNull() | F.col("late").isNotNull())
 
+    @cached_property
+    def late_columns(self) -> list[tuple[int, str, str]]:
+        """(cid, table, column) of the columns that hold long texts; at most one row per column reaches the driver."""
+        found = {r[0] for r in self.frame.filter(F.col("late").isNotNull()).select("cid").distinct().collect()}
+        return [(cid, table, column) for cid, table, column, _ in column_list(self.views) if cid in found]
+
 
 def _is_text(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.StringType, T.CharType, T.VarcharType))
@@ -107,16 +114,10 @@ def settled_counts(views: Mapping[str, DataFrame], counts: Counts | None = None,
     return Counts(settle(value_counts(views, masks).frame, "counts"), views) if counts is None else counts
 
 
-def late_columns(counts: Counts) -> list[tuple[int, str, str]]:
-    """(cid, table, column) of the columns that hold long texts; at most one row per column reaches the driver."""
-    found = {r[0] for r in counts.frame.filter(F.col("late").isNotNull()).select("cid").distinct().collect()}
-    return [(cid, table, column) for cid, table, column, _ in column_list(counts.views) if cid in found]
-
-
 def long_texts(counts: Counts) -> DataFrame | None:
     """``(cid, text)``: the long texts where they lie, or None if no column has any."""
     parts = []
-    for cid, table, column in late_columns(counts):
+    for cid, table, column in counts.late_columns:
         df = counts.views[table]
         text = canonical(df[column], df.schema[column].dataType)
         parts.append(df.select(F.lit(cid).alias("cid"), text.alias("text")).filter(F.length("text") > HEAD))

@@ -135,3 +135,12 @@ def test_conversion_by_period_and_currency(spark):
         ("CHF", "ambiguous", 1), ("GBP", "missing", 1)]
     totals = M.convert_totals(declared(spark, "currency string, v decimal(18,2)", [("EUR", 1), ("USD", 1), ("GBP", 1)]), table, "v")
     assert {r["currency"]: r["converted"] and float(r["converted"]) for r in totals.collect()} == {"EUR": 1.0, "USD": 0.9, "GBP": None}
+
+
+def test_months_without_a_rate_of_one_type_and_project_postings(spark):
+    rates = declared(spark, "period string, rate_type string", [("2024-01", "M"), ("2024-01", "B"), ("2024-02", "M"), ("2024-03", None), ("2024-04", "B")])
+    assert rows(M.periods_without_rate(rates, "B")) == [("2024-02",), ("2024-03",)]
+    ledger = declared(spark, "period string, project_id string", [("2024-06", "P1"), ("2024-07", "P1"), ("2024-08", None), (None, "P1")])
+    assert rows(M.project_postings(ledger, "2024-07")) == [("2024-07", "P1")]
+    counted = M.anomaly_counts(M.credit_notes(ledger.limit(0), ledger))
+    assert rows(counted) == [("legacy_credit_notes", 0), ("new_credit_notes", 4)]

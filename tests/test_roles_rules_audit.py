@@ -136,3 +136,19 @@ def test_false_promotions_and_stages(spark):
         ("4", "b", "declaration", None, {"rule": "x"}, "0")])
     staged = A.claim_stages(resolved, evidence, declared(spark, "id string, claim_id string", []), F.col("predicate").isNotNull())
     assert rows(staged.select("id", "stage", "executed")) == [("a", "bound", True), ("b", "unbindable", False), ("c", "semantic_only", False), ("d", "unbound", False)]
+
+
+def test_untested_claims_have_a_headline_and_the_first_recorded_reason(spark):
+    resolved = declared(spark, "id string, status string, probe_results bigint, probe_pass bigint, probe_fail bigint, confirmations bigint, testimonials bigint", [
+        ("a", "tested", 1, 1, 0, 0, 0), ("b", "inferred", 0, 0, 0, 0, 2), ("c", "inferred", 0, 0, 0, 0, 0), ("d", "inferred", 1, 0, 0, 0, 0), ("e", "business-confirmed", 0, 0, 0, 1, 0)])
+    evidence = declared(spark, "id string, claim_id string, type string, probe_id string, payload map<string,string>, created_at string", [
+        ("1", "a", "probe_result", "p", None, "1"), ("2", "b", "declaration", None, {"decision": "skipped", "reason": "later"}, "2"),
+        ("3", "b", "declaration", None, {"decision": "unbindable", "reason": "no key"}, "1"), ("4", "d", "probe_result", "p", None, "1"),
+        ("5", "e", "declaration", None, {"decision": "skipped"}, "1")])
+    staged = A.claim_stages(resolved, evidence, declared(spark, "id string, claim_id string", []), F.lit(True))
+    told = {r["id"]: (r["no_probe_reason"], r["headline"]) for r in A.headlines(staged).collect()}
+    assert told["a"] == ("", "At least one passing probe is live and no failing probe overrides it. Live trail: 1 passing probe result.")
+    assert told["b"] == ("no key", "Never tested — unbindable — the model gave a reason.")
+    assert told["c"] == ("", "Never tested — no probe, no recorded reason.")
+    assert told["d"] == ("", "Nothing stronger than inferred evidence is live yet. Live trail: no live status-bearing evidence.")
+    assert told["e"][0] == "" and told["e"][1].startswith("At least one admissible human confirmation")

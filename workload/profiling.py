@@ -71,7 +71,7 @@ def profiled(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
            round(avg(length(v)), 1) AS len_avg, max(length(v)) AS len_max, any_value(value_class) AS value_class
     FROM vals JOIN cls USING (tbl, col) GROUP BY 1, 2""")
 def profile_columns(spark: SparkSession, sf: str) -> DataFrame:
-    return P.profile_views(profiled(spark, sf)).drop("top_values", "patterns", "type").withColumns(
+    return P.profile_views(profiled(spark, sf), lists=False).drop("type").withColumns(
         {"min": F.md5("min"), "max": F.md5("max")})
 
 
