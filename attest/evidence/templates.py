@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from attest.evidence import verdicts as V
 from attest.evidence.tables import MAX_SAMPLES
+from attest.functions.canonical import comparison_key
 from attest.operators import probes as P
 from attest.session import settle
 
@@ -97,6 +98,12 @@ def _view(views: Views, name: str) -> DataFrame:
     return views[name]
 
 
+def _known(rows: DataFrame, *columns: str) -> None:
+    """Refuse unknown columns of checks whose work begins only when their exceptions are asked for."""
+    for column in columns:
+        comparison_key(rows, column)
+
+
 def _count() -> Column:
     return F.col("exception_count")
 
@@ -179,6 +186,8 @@ def _cardinality(views: Views, tol: Tolerances, *, child: str, parent: str, chil
 def _attribute_contradiction(views: Views, tol: Tolerances, *, left: str, right: str, left_key: str, right_key: str,
                              left_attr: str, right_attr: str, canonical: bool = True) -> Check:
     left_rows, right_rows = _view(views, left), _view(views, right)
+    _known(left_rows, left_key, left_attr)
+    _known(right_rows, right_key, right_attr)
     args = (left_rows, right_rows, left_key, right_key, left_attr, right_attr)
     return _pairs((left, right), left_rows, lambda: P.contradictions(*args, canonical),
                   [F.col("key"), F.col("side"), F.col("value")], lambda found: P.first_contradictions(found, MAX_SAMPLES))
@@ -195,6 +204,7 @@ def _reconciliation(views: Views, tol: Tolerances, *, left: str, right: str, lef
 
 def _validity_join(views: Views, tol: Tolerances, *, table: str, key_column: str, valid_from: str, valid_to: str) -> Check:
     table_rows = _view(views, table)
+    _known(table_rows, key_column, valid_from, valid_to)
     args = (table_rows, key_column, valid_from, valid_to)
     return _pairs((table,), table_rows, lambda: P.validity_overlaps(*args),
                   [F.col("key"), F.col("valid_from"), F.col("valid_to")], lambda found: P.first_validity_overlaps(found, MAX_SAMPLES))
@@ -203,8 +213,16 @@ def _validity_join(views: Views, tol: Tolerances, *, table: str, key_column: str
 def _range_join(views: Views, tol: Tolerances, *, table: str, value_column: str, ranges: str, range_from: str, range_to: str,
                 where: str | None = None) -> Check:
     table_rows, ranges_rows = _view(views, table), _view(views, ranges)
-    found = P.range_join(table_rows, value_column, ranges_rows, range_from, range_to, where)
-    return _plain((table, ranges), table_rows, found, [F.col("value")])
+    _known(table_rows, value_column)
+    _known(ranges_rows, range_from, range_to)
+    kept: list[DataFrame] = []
+
+    def found() -> DataFrame:
+        if not kept:
+            kept.append(P.range_join(table_rows, value_column, ranges_rows, range_from, range_to, where))
+        return kept[0]
+
+    return replace(_plain((table, ranges), table_rows, table_rows, [F.col("value")]), exceptions=found)
 
 
 def _decode(views: Views, tol: Tolerances, *, encoded: str, decode: str, key: str, column: str, pairs: Sequence[Any]) -> Check:

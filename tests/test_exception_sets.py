@@ -6,7 +6,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from attest.evidence.runner import run_probes, write_exception_sets
+from attest.evidence.runner import build_check, run_probes, write_exception_sets
 from attest.evidence.tables import EVIDENCE, Probe
 from attest.functions.frames import declared, running
 from attest.operators import probes as P
@@ -131,3 +131,16 @@ def test_a_sweep_says_all_it_did(spark):
     assert {r["id"]: r["template"] for r in swept.probes.collect()} == {"p1": "duplicate", "p2": "duplicate", "p3": "duplicate", "p4": "balance"}
     again = run_ready(views, claims, swept.evidence, probes[:2], questions=swept.questions)
     assert again.questions.count() == 0 and again.evidence.count() == 2
+
+
+def test_unknown_columns_are_refused_before_anything_runs(spark):
+    views = {"t": declared(spark, "k bigint, vf date, vt date", []), "r": declared(spark, "lo bigint, hi bigint", [])}
+    for template, params in [
+            ("validity_join", {"table": "t", "key_column": "k", "valid_from": "vf", "valid_to": "gone"}),
+            ("range_join", {"table": "t", "value_column": "gone", "ranges": "r", "range_from": "lo", "range_to": "hi"}),
+            ("range_join", {"table": "t", "value_column": "k", "ranges": "r", "range_from": "lo", "range_to": "gone"}),
+            ("attribute_contradiction", {"left": "t", "right": "r", "left_key": "k", "right_key": "lo", "left_attr": "gone", "right_attr": "hi"})]:
+        with pytest.raises(ValueError, match="gone"):
+            build_check(views, Probe("p", template, params))
+    good = build_check(views, Probe("p", "range_join", {"table": "t", "value_column": "k", "ranges": "r", "range_from": "lo", "range_to": "hi"}))
+    assert good.exceptions().count() == 0 and good.exceptions() is good.exceptions()
