@@ -2,20 +2,19 @@
 
 Each record has an exponential key -ln(u) / w, with u from a hash of the record and w its quality weight. A source with a
 target of several times its size gives whole epochs first; the rest of the target is taken in key order until the running
-sum of sizes is nearest to it. Running sums are made per bucket of keys and then over buckets, so that no source, however
-large, is sorted in one task.
+sum of sizes is nearest to it. Rows are sorted by source and key into range partitions cut at sampled quantiles of the real
+keys, so that no source, however large and whatever its weights, is sorted in one task; sums are carried from part to part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attest.functions.frames import ranked
+from attest.functions.frames import ranked, running
 from attest.llm.common import row_key, row_of, stored, unfolded
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKETS = 1 << 14
 
 
 def word_count(text: Column) -> Column:
@@ -60,11 +59,12 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
              weights: tuple[float, ...] = (5, 2, 1), factor: float = 1.5, most: float = 2.0,
              quality: Column | None = None) -> DataFrame:
     """One row per distinct input row: key, key2 (hashes of the whole row), doc_id, source, size, n (rows), source_size,
-    target, epochs (times every one of the n rows is taken) and extra (how many of the n rows are taken once more).
+    target, epochs (times every one of the n rows is taken), extra (how many of the n rows are taken once more) and rank, the
+    exponential key.
 
     Size is the number of words; a null text has none. Rows are ordered by key, then id and hash, so ties are the same in
     every run, and equal rows are counted with their number. A source without words has target 0. An empty table gives no
-    rows. `quality` is a positive weight; null or other values count as 1.
+    rows. Texts of any length are read once for their words and hashes and not carried on. `quality` is a positive weight; null or other values count as 1.
     """
     body = F.col(f"`{text}`").cast("string")
     key, key2 = row_key(docs)
@@ -77,24 +77,17 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     u = (F.col("draw").bitwiseAND(F.lit((1 << 53) - 1)) + 1) / F.lit(float((1 << 53) + 1))
     rows = rows.withColumn("rank", -F.log(u) / F.when(F.col("w") > 0, F.col("w")).otherwise(1.0))
     grouped = stored(rows.groupBy("key", "key2", "doc_id", "source", "group", "size", "rank").agg(
-        F.count(F.lit(1)).alias("n")).withColumn(
-        "bucket", F.least(F.floor((1 - F.exp(-F.col("rank"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")), "mix-rows")
-    words = F.sum(F.col("size") * F.col("n"))
-    buckets = stored(grouped.groupBy("group", "source", "bucket").agg(words.alias("words")), "mix-buckets")
-    sizes = buckets.groupBy("group", "source").agg(F.sum("words").alias("source_size"))
+        F.count(F.lit(1)).alias("n")).withColumn("words", F.col("size") * F.col("n")), "mix-rows")
+    sizes = grouped.groupBy("group", "source").agg(F.sum("words").alias("source_size"))
     aims = targets(sizes.select("source", "group", "source_size"), list(weights), factor, most)
-    by_source = Window.partitionBy("group").orderBy("bucket")
-    starts = buckets.select("group", "bucket", (F.sum("words").over(by_source) - F.col("words")).alias("before"))
-    starts = starts.join(aims.select("group", "source_size", "target"), "group")
-    in_bucket = Window.partitionBy("group", "bucket").orderBy("rank", "doc_id", "key").rowsBetween(
-        Window.unboundedPreceding, -1)
-    placed = grouped.withColumn("at", F.coalesce(words.over(in_bucket), F.lit(0))).join(starts, ["group", "bucket"])
+    placed = running(grouped, "group", ["rank", "doc_id", "key", "key2"], sums={"before": "words"}).join(
+        aims.select("group", "source_size", "target"), "group")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-9))).otherwise(0)
-    rest = F.col("target") - F.col("epochs") * F.col("source_size") - F.col("before") - F.col("at")
+    rest = F.col("target") - F.col("epochs") * F.col("source_size") - F.col("before")
     extra = F.when(F.col("size") > 0, F.floor(rest / F.col("size") + F.lit(0.5))).otherwise(0)
     return placed.withColumn("epochs", epochs.cast("long")).withColumn(
         "extra", F.greatest(F.lit(0), F.least(F.col("n"), extra)).cast("long")).select(
-        "key", "key2", "doc_id", "source", "size", "n", "source_size", "target", "epochs", "extra")
+        "key", "key2", "doc_id", "source", "size", "n", "source_size", "target", "epochs", "extra", "rank")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from attest.llm.mixing import mix, mix_plan
 
@@ -48,6 +49,23 @@ def test_targets_and_takes(spark, seed, hot):
     assert Counter(map(tuple, plan)) == Counter(map(tuple, again))
 
 
+@pytest.mark.parametrize("weight", ["1.0", "0.01", "if(doc_id % 3 = 0, 0.001, 5.0)", "cast(null as double)"])
+def test_the_smallest_keys_are_taken(spark, weight):
+    data = rows(11, 60)
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, rank string").repartition(9)
+    own = defaultdict(list)
+    for x in mix_plan(df, quality=F.expr(weight)).collect():
+        own[x.source].append(x)
+    for plan in own.values():
+        plan.sort(key=lambda x: (x.rank, x.doc_id is not None, x.doc_id or 0, x.key, x.key2))
+        before = 0
+        for x in plan:
+            assert x.epochs == (int(x.target / x.source_size + 1e-9) if x.source_size else 0)
+            rest = x.target - x.epochs * x.source_size - before
+            assert x.extra == (max(0, min(x.n, int(rest / x.size + 0.5))) if x.size and rest > 0 else 0)
+            before += x.size * x.n
+
+
 def test_rows_are_taken_as_planned(spark):
     data = rows(5, 20)
     df = spark.createDataFrame(data, "doc_id long, text string, source string, __times string")
