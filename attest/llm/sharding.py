@@ -43,6 +43,20 @@ def _range_rows(bounds: np.ndarray):
     return rows
 
 
+def _before(parts: DataFrame, group: list[str], amount: str, name: str) -> DataFrame:
+    """(group, range, part, `name`): the `amount` of all earlier parts of the group.
+
+    Ranges are summed first, at most MOST_RANGES rows in a group, then the parts inside each range; so the number of parts,
+    which grows with the rows, meets in no task, and both tables are left to Spark's size check.
+    """
+    ranges = parts.groupBy(*group, "range").agg(F.sum(amount).alias("all"))
+    along = (Window.partitionBy(*group) if group else Window).orderBy("range")
+    ranges = ranges.select(*group, "range", (F.sum("all").over(along) - F.col("all")).alias("earlier"))
+    inside = Window.partitionBy(*group, "range").orderBy("part")
+    return parts.withColumn("within", F.sum(amount).over(inside) - F.col(amount)).join(ranges, [*group, "range"]).select(
+        *group, "range", "part", (F.col("earlier") + F.col("within")).alias(name))
+
+
 def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = 24,
           rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row.
@@ -66,28 +80,26 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     ranged = stored(arrow_map(rows, _range_rows(bounds), f"{kinds}, range int"), "ranged")
     # overfull ranges are cut into equal parts of their own stretch of keys
-    stretch = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("low"), F.max("key").alias("high"))
+    stretch = stored(ranged.groupBy("range").agg(
+        F.count(F.lit(1)).alias("m"), F.min("key").alias("low"), F.max("key").alias("high")), "stretch")
     cuts = F.ceil(F.col("m") / F.lit(2 * rows_per_range))
     # keys are halved first: the distance of two 64-bit keys fits 64 bits then
     part = F.floor((F.shiftright("key", 1) - F.shiftright("low", 1)) /
                    (F.shiftright("high", 1) - F.shiftright("low", 1) + 1).cast("double") * cuts)
-    divided = ranged.join(F.broadcast(stretch), "range").withColumn("part", F.least(part, cuts - 1).cast("int"))
+    divided = ranged.join(stretch, "range").withColumn("part", F.least(part, cuts - 1).cast("int"))
     in_order = Window.partitionBy("range", "part").orderBy("key", "doc_id", "text_crc32", "size")
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     numbered = stored(divided.select(
         "range", "part", "doc_id", "size", "text_crc32", "n",
         F.coalesce(F.sum(F.col("size") * F.col("n")).over(before), F.lit(0)).alias("at")), "numbered")
-    sums = numbered.groupBy("range", "part").agg(F.sum(F.col("size") * F.col("n")).alias("bytes"))
-    along = Window.orderBy("range", "part")  # a row per range, a bounded number
-    offsets = sums.select("range", "part", (F.sum("bytes").over(along) - F.col("bytes")).alias("before"))
-    placed = numbered.join(F.broadcast(offsets), ["range", "part"])
+    parts = stored(numbered.groupBy("range", "part").agg(F.sum(F.col("size") * F.col("n")).alias("bytes")), "parts")
+    placed = numbered.join(_before(parts, [], "bytes", "before"), ["range", "part"])
     each = placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn(
         "middle", F.col("before") + F.col("at") + F.col("k") * F.col("size") + F.floor(F.col("size") / 2))
     target = F.least(F.floor(F.col("middle") * F.lit(shards) / F.lit(float(max(total, 1)))), F.lit(shards - 1)).cast("int")
     sharded = stored(each.select("range", "part", "middle", "doc_id", "size", "text_crc32", target.alias("shard")), "sharded")
-    counts = sharded.groupBy("shard", "range", "part").agg(F.count(F.lit(1)).alias("c"))
-    within = Window.partitionBy("shard").orderBy("range", "part")
-    starts = counts.select("shard", "range", "part", (F.sum("c").over(within) - F.col("c")).alias("first"))
+    counts = stored(sharded.groupBy("shard", "range", "part").agg(F.count(F.lit(1)).alias("c")), "counts")
+    starts = _before(counts, ["shard"], "c", "first")
     order = Window.partitionBy("shard", "range", "part").orderBy("middle")
-    return sharded.join(F.broadcast(starts), ["shard", "range", "part"]).select(
+    return sharded.join(starts, ["shard", "range", "part"]).select(
         "doc_id", "size", "text_crc32", "shard", (F.col("first") + F.row_number().over(order) - 1).cast("long").alias("slot"))
