@@ -2,25 +2,64 @@
 
 from __future__ import annotations
 
+import hashlib
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def file_fingerprints(spark: SparkSession, location: str, content: bool = True) -> DataFrame:
-    """``(path, size, sha256)`` per file. Without `content` the digest covers path, size and change time only."""
+# Bytes up to which Spark reads a file as one value, and bytes that a stream holds at a time.
+ONE_VALUE = 64 << 20
+CHUNK = 4 << 20
+
+
+def _stream(path: str):
+    """A file as a stream, in whatever store its path names."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
+    store, inside = fs.FileSystem.from_uri(quote(path, safe="/:@"))
+    return store.open_input_stream(inside)
+
+
+def _stream_digests(batches):
+    for batch in batches:
+        digests = []
+        for path in batch.column("path").to_pylist():
+            state = hashlib.sha256()
+            with _stream(path) as stream:
+                while chunk := stream.read(CHUNK):
+                    state.update(chunk)
+            digests.append(state.hexdigest())
+        yield batch.append_column("sha256", pa.array(digests, pa.string()))
+
+
+def file_fingerprints(spark: SparkSession, location: str, content: bool = True, one_value: int = ONE_VALUE) -> DataFrame:
+    """``(path, size, sha256)`` per file. Without `content` the digest covers path, size and change time only.
+
+    Files of at most `one_value` bytes are digested where Spark reads them. Larger ones, of any size, are opened by a task as
+    a stream and digested chunk by chunk, each file in a row of its own that any executor can take over; their store must be
+    one that Arrow opens too, else the job fails with the path. The listing of large files reads no content. Spark passes over files without bytes.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(location)
-    digest = F.sha2("content", 256) if content else F.sha2(
-        F.concat_ws("|", "path", F.col("length").cast("string"), F.col("modificationTime").cast("string")), 256)
-    return files.select("path", F.col("length").alias("size"), digest.alias("sha256"))
+    if not content:
+        return files.select("path", F.col("length").alias("size"), F.sha2(F.concat_ws(
+            "|", "path", F.col("length").cast("string"), F.col("modificationTime").cast("string")), 256).alias("sha256"))
+    small = files.filter(F.col("length") <= one_value).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > one_value).select("path", F.col("length").alias("size")).repartition("path")
+    return small.unionByName(large.mapInArrow(_stream_digests, "path string, size bigint, sha256 string"))
 
 
-def source_fingerprint(spark: SparkSession, location: str, content: bool = True) -> DataFrame:
+def source_fingerprint(spark: SparkSession, location: str, content: bool = True, one_value: int = ONE_VALUE) -> DataFrame:
     """One row ``(files, size, sha256)`` for a source of one or many files.
 
     A single file keeps its own digest. For many files the digests are combined by exclusive or of their quarters,
     which needs no order and combines on the map side; the path enters each digest so that equal files do not cancel.
     """
-    files = file_fingerprints(spark, location, content)
+    files = file_fingerprints(spark, location, content, one_value)
     named = F.sha2(F.concat_ws("|", "path", "sha256"), 256)
     quarter = lambda i: F.conv(F.substring(named, 16 * i + 1, 15), 16, 10).cast("bigint")
     rest = F.conv(F.concat(*[F.substring(named, 16 * i, 1) for i in range(1, 5)]), 16, 10).cast("bigint")

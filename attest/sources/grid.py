@@ -7,6 +7,7 @@ matter. The result is an all-text table plus the decisions that were taken.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from attest.functions.canonical import canonical_cell
 from attest.functions.frames import declared, union_all
 from attest.functions.names import column_slug, unique_names
+from attest.session import settle
 
 # Names of the grid rules.
 RULE_MERGED_HEADER = "merged_header_resolved"
@@ -34,13 +36,32 @@ class Sheet:
 
 
 def read_grid(spark: SparkSession, location: str, **options: str) -> DataFrame:
-    """Rows of a delimited text file as a grid, in file order, without treating any row as header."""
-    raw = spark.read.options(header=False, inferSchema=False, **options).csv(location)
-    names = raw.columns
+    """Rows of a delimited text file as a grid, in file order, without treating any row as header.
+
+    The grid is stored once. Row numbers come from where Spark cut the files, and the cuts may move from job to job (with the
+    number of executors, say); a header found by one job would then be compared with the rows of another. Rows may have
+    more cells than the first one, which is often a title: separators are counted first, and no cell is lost. Only with
+    ``multiLine``, where a record is more than a line, the first record gives the width.
+    """
+    reader = spark.read.options(header=False, inferSchema=False, **options)
+    first = len(reader.csv(location).columns)
+    widest = first
+    if str(options.get("multiLine", "false")).lower() != "true":
+        separator = str(options.get("sep", options.get("delimiter", ",")))
+        cells = F.regexp_count("value", F.lit(re.escape(separator))) + 1
+        # One number: separators inside quotes make it too large, never too small.
+        widest = max(first, spark.read.text(location).agg(F.max(cells)).first()[0] or 0)
+    names = [f"c{i}" for i in range(max(widest, 1))]
+    raw = reader.option("maxColumns", str(max(widest, 20480))).schema(", ".join(f"{n} string" for n in names)).csv(location)
     place = F.struct(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"))
-    return raw.select(place.alias("row_no"), F.array(*[F.col(f"`{c}`") for c in names]).alias("cells"))
+    grid = settle(raw.select(place.alias("row_no"), F.array(*names).alias("cells")), "grid")
+    if len(names) == first:
+        return grid
+    filled = F.array_max(F.transform("cells", lambda c, i: F.when(c.isNotNull(), i + 1).otherwise(0)))
+    width = max(first, grid.agg(F.max(filled)).first()[0] or 0)
+    return grid.select("row_no", F.slice("cells", 1, width).alias("cells"))
 
 
 def _cell(cells: Column, typed: bool, i: int) -> tuple[Column, Column | None]:

@@ -127,6 +127,57 @@ def test_scan_is_idempotent(spark, landscape, folder):
     assert rows(again.sources.select("id", "name")) == rows(first.sources.select("id", "name"))
 
 
+def test_large_files_are_digested_as_streams(spark, folder):
+    files = {"a b.bin": b"y" * 4, "ü%20.bin": b"x" * 5000, "deep/one.bin": bytes(range(256)) * 40, "small": b"abc"}
+    (folder / "deep").mkdir()
+    for name, data in files.items():
+        (folder / name).write_bytes(data)
+    want = sorted((len(d), hashlib.sha256(d).hexdigest()) for d in files.values())
+    for limit in (0, 3, 5000, G.ONE_VALUE):
+        assert sorted(tuple(r) for r in G.file_fingerprints(spark, str(folder), one_value=limit).select("size", "sha256").collect()) == want
+    one = [G.source_fingerprint(spark, str(folder), one_value=limit).first() for limit in (0, G.ONE_VALUE)]
+    assert one[0] == one[1]
+
+
+def test_a_file_above_what_one_value_holds(spark, folder):
+    size, state = (1 << 31) + 5, hashlib.sha256()
+    with open(folder / "huge.bin", "wb") as file:
+        file.truncate(size)
+    for _ in range(1 << 9):
+        state.update(bytes(1 << 22))
+    state.update(bytes(5))
+    row = G.source_fingerprint(spark, str(folder)).first()
+    assert (row["files"], row["size"], row["sha256"]) == (1, size, state.hexdigest())
+
+
+def test_grid_rows_stay_in_order_when_the_cuts_move(spark, folder):
+    lines = ["Nr,Text"] + [f"{i},t{i}" for i in range(3000)]
+    (folder / "long.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for cut in ("700b", "9000b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", cut)
+            read = grid.read_grid(spark, str(folder / "long.csv"))
+            assert [r["cells"] for r in read.orderBy("row_no").select("cells").collect()] == [x.split(",") for x in lines]
+            sheet = grid.normalize_grid(read)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "2000b")
+            assert sheet.table.columns == ["nr", "text"] and sheet.table.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_grid_keeps_cells_beyond_the_first_row(spark, folder):
+    (folder / "title.csv").write_text('Bericht\nNr;Ort;Betrag\n1;"a;b";2,5\n2;c\n', encoding="utf-8")
+    read = grid.read_grid(spark, str(folder / "title.csv"), sep=";")
+    assert [r["cells"] for r in read.orderBy("row_no").collect()] == [
+        ["Bericht", None, None], ["Nr", "Ort", "Betrag"], ["1", "a;b", "2,5"], ["2", "c", None]]
+    (folder / "breaks.csv").write_text('Nr,Text\n1,"a\nb"\n2,c\n', encoding="utf-8")
+    read = grid.read_grid(spark, str(folder / "breaks.csv"), multiLine="true")
+    assert rows(grid.normalize_grid(read).table) == [("1", "a\nb"), ("2", "c")]
+    (folder / "empty.csv").write_text("", encoding="utf-8")
+    assert grid.normalize_grid(grid.read_grid(spark, str(folder / "empty.csv"))).table.count() == 0
+
+
 def test_snapshot_stands_alone(spark, landscape, folder):
     _, listed = landscape
     views = K.build_catalog(spark, listed).views

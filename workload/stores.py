@@ -75,6 +75,30 @@ def file_digests(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint").alias("page_id"), "size", "sha256")
 
 
+@query("file_digests_streamed", ORACLES["file_digests"])
+def file_digests_streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same files, those above 2 KB as streams."""
+    path = place(spark, "files")
+    pages = table(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("value"))
+    pages.repartition("page_id").write.partitionBy("page_id").text(path)
+    found = G.file_fingerprints(spark, path, one_value=2048)
+    return found.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint").alias("page_id"), "size", "sha256")
+
+
+@query("sheet_in_file_order", """
+    SELECT CAST(o_orderkey AS VARCHAR) AS nr, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS priority,
+           CASE WHEN o_orderkey % 3 > 1 THEN o_orderstatus END AS status FROM orders""")
+def sheet_in_file_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as a sheet with a header in its first file; rows have more or fewer cells, and some end early."""
+    path = place(spark, "sheet")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.concat_ws(
+        ";", F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")),
+        F.when(F.col("o_orderkey") % 3 > 1, F.col("o_orderstatus"))).alias("value"))
+    head = declared(spark, "k bigint, value string", [(None, "Nr;Priority;Status")])
+    orders.unionByName(head).orderBy(F.col("k").asc_nulls_first()).select("value").write.text(path)
+    return grid.normalize_grid(grid.read_grid(spark, path, sep=";")).table
+
+
 @query("document_source", """
     SELECT 0 AS views, count(*) AS files, sum(octet_length(encode(text || chr(10))))::BIGINT AS size FROM benchmark WHERE text IS NOT NULL""")
 def document_source(spark: SparkSession, sf: str) -> DataFrame:
