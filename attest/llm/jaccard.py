@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ COORDINATES = 64
 SMALL = 256
 CLOSE = 0.7  # a set of a large node that is this like a pivot walks no further
 BLOCK = 256
+RUNS_AT_ONCE = 12  # paths that a task holds of each set
 _SEEDS = scramble(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _ODD = _SEEDS[:COORDINATES], _SEEDS[COORDINATES:] | np.uint64(1)
 
@@ -105,17 +107,19 @@ def _children(node: np.ndarray, marks: np.ndarray, threshold: float) -> tuple[np
     return np.concatenate(rows), np.concatenate(nodes)
 
 
-def _path_rows(runs: int, threshold: float, depth: int):
-    """`depth` steps of every run from its root."""
+def _path_rows(first: int, last: int, threshold: float, depth: int):
+    """`depth` steps of the runs `first` to `last` (not included) from their roots."""
     def rows(batch: pa.RecordBatch):
         marks = _marks(batch.column("signature"))
-        row = np.tile(np.arange(batch.num_rows), runs)
-        node = np.repeat(scramble(np.arange(1, runs + 1, dtype=np.uint64)), batch.num_rows)
-        for _ in range(depth):
-            step, node = _children(node, marks[row], threshold)
-            row = row[step]
-        yield pa.RecordBatch.from_arrays([pa.array(signed(node)), batch.column("key").take(pa.array(row))],
-                                         names=["node", "key"])
+        for low in range(first, last, RUNS_AT_ONCE):
+            runs = np.arange(low + 1, min(low + RUNS_AT_ONCE, last) + 1, dtype=np.uint64)
+            row = np.tile(np.arange(batch.num_rows), len(runs))
+            node = np.repeat(scramble(runs), batch.num_rows)
+            for _ in range(depth):
+                step, node = _children(node, marks[row], threshold)
+                row = row[step]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(node)), batch.column("key").take(pa.array(row)),
+                                              pa.array(np.full(len(row), depth, np.int32))], names=["node", "key", "depth"])
 
     return rows
 
@@ -135,19 +139,24 @@ def _pivot_rows(threshold: float, near: float, far: float):
         on = np.flatnonzero(np.maximum(*alike) < near)
         # larger nodes take more steps at once
         steps = np.clip(np.ceil(np.log2(batch.column("n").to_numpy()[on] / SMALL) * 2), 1, 4).astype(np.int64)
-        keys, children = [], []
+        deep = batch.column("depth").to_numpy()[on] + steps
+        keys, children, depths = [], [], []
         on_node = node[on]
         while len(on):
             step, on_node = _children(on_node, marks[on], threshold)
-            on, steps = on[step], steps[step] - 1
-            keys.append(key[on[steps == 0]])
-            children.append(on_node[steps == 0])
-            on, on_node, steps = on[steps > 0], on_node[steps > 0], steps[steps > 0]
+            on, steps, deep = on[step], steps[step] - 1, deep[step]
+            there = steps == 0
+            keys.append(key[on[there]])
+            children.append(on_node[there])
+            depths.append(deep[there])
+            on, on_node, steps, deep = on[~there], on_node[~there], steps[~there], deep[~there]
         edges, ways = sum(map(len, own)), sum(map(len, keys))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([np.zeros(edges, np.int64), *map(signed, children)])),
              pa.array(np.concatenate([*own, *keys])), pa.array(np.concatenate([*other, np.zeros(ways, np.int64)])),
-             pa.array(np.r_[np.ones(edges, bool), np.zeros(ways, bool)])], names=["node", "key", "pivot", "edge"])
+             pa.array(np.r_[np.ones(edges, bool), np.zeros(ways, bool)]),
+             pa.array(np.concatenate([np.zeros(edges, np.int32), *depths]).astype(np.int32))],
+            names=["node", "key", "pivot", "edge", "depth"])
 
     return rows
 
@@ -221,38 +230,59 @@ def _bucket_edges(alike: float):
     return over
 
 
-def loose_edges(sets: DataFrame, threshold: float, recall: float, depth: int = 2, most_depth: int = 60) -> DataFrame:
-    """(a, b): a spanning set of edges between the keys of `sets` (key, signature) that may be similar."""
+def _walk(marks: DataFrame, starts: DataFrame, first: int, last: int, threshold: float, depth: int, most_depth: int,
+          plain_depth: int) -> tuple[list[DataFrame], list[DataFrame], int]:
+    """Edges found by some runs from `starts`, the keys of sets in nodes deeper than `plain_depth`, and the depth reached."""
     spread = 4 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
     alike, near = threshold - spread, min(CLOSE, threshold)
     far = max(0.0, near + threshold - 1 - spread / 2)  # whatever is similar to a set that is close to a pivot
-    marks = sets.select("key", "signature")
-    way = stored(arrow_map(marks, _path_rows(runs_for(recall, threshold), threshold, depth), "node long, key long"), "paths")
-    edges = []
+    way = stored(arrow_map(starts, _path_rows(first, last, threshold, depth), "node long, key long, depth int"), "paths")
+    edges, deep, reached = [], [], depth
     for _ in range(most_depth):
-        nodes = stored(way.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"),
-                                               F.max("key").alias("high")).where("n > 1"), "nodes")
-        met = stored(way.join(nodes.select("node", "n"), "node").join(marks, "key"), "met")
+        nodes = stored(way.groupBy("node").agg(
+            F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"),
+            F.max("depth").alias("depth")).where("n > 1"), "nodes")
+        met = stored(way.drop("depth").join(nodes.select("node", "n", "depth"), "node").join(marks, "key"), "met")
         small = met.where(F.col("n") <= SMALL).select("node", "key", "signature").repartition("node").sortWithinPartitions("node")
         edges.append(stored(small.mapInArrow(_bucket_edges(alike), "a long, b long").distinct(), "edges"))
-        if nodes.where(F.col("n") > SMALL).isEmpty():
+        large, deepest = nodes.agg(F.count_if(F.col("n") > SMALL), F.max("depth")).first()
+        reached = max(reached, deepest or 0)
+        if (deepest or 0) > plain_depth:
+            deep.append(stored(met.where(F.col("depth") > plain_depth).select("key").distinct(), "deep"))
+        if not large:
             break
-        pivots = nodes.where(F.col("n") > SMALL)
+        pivots = nodes.where(F.col("n") > SMALL).drop("n", "depth")
         for pivot in ("low", "high"):
             pivots = pivots.join(marks.select(F.col("key").alias(pivot), F.col("signature").alias(f"{pivot}_signature")), pivot)
-        pivots = stored(pivots.drop("n"), "pivots")
+        pivots = stored(pivots, "pivots")
         walked = stored(arrow_map(met.where(F.col("n") > SMALL).join(pivots, "node").select(
-            "node", "key", "n", "low", "high", "signature", "low_signature", "high_signature"), _pivot_rows(threshold, near, far),
-            "node long, key long, pivot long, edge boolean"), "walked")
+            "node", "key", "n", "depth", "low", "high", "signature", "low_signature", "high_signature"), _pivot_rows(threshold, near, far),
+            "node long, key long, pivot long, edge boolean, depth int"), "walked")
         discard(met)
         edges.append(walked.where("edge").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
-        way = walked.where("not edge").select("node", "key")
+        way = walked.where("not edge").select("node", "key", "depth")
     else:
         raise RuntimeError("sets do not part along their paths")
-    out = edges[0]
-    for more in edges[1:]:
-        out = out.union(more)
-    return out
+    return edges, deep, reached
+
+
+def loose_edges(sets: DataFrame, threshold: float, recall: float, depth: int = 2, most_depth: int = 60,
+                plain_depth: int = 4) -> DataFrame:
+    """(a, b): a spanning set of edges between the keys of `sets` (key, signature) that may be similar.
+
+    The first runs give the recall for nodes of at most `plain_depth` steps. Sets that met others in deeper nodes, where a
+    similar pair is likelier to have parted, start again in as many further runs as the depth that was reached needs.
+    """
+    marks = sets.select("key", "signature")
+    starts, edges, done, needed = marks, [], 0, runs_for(recall, threshold, plain_depth)
+    while done < needed:
+        found, deep, reached = _walk(marks, starts, done, needed, threshold, depth, most_depth, plain_depth)
+        edges += found
+        done, needed = needed, max(needed, runs_for(recall, threshold, reached))
+        if not deep:
+            break
+        starts = stored(marks.join(reduce(DataFrame.union, deep).distinct(), "key", "left_semi"), "starts")
+    return reduce(DataFrame.union, edges)
 
 
 def _set_rows(width: int):

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from attest.llm import jaccard
 from attest.llm.common import components
 from attest.llm.jaccard import runs_for, similar_groups, survival, whole_groups
 
@@ -54,6 +55,33 @@ def test_against_brute_force(spark, monkeypatch, seed, copies, edits, small):
     assert got == brute(rows)
 
 
+def test_runs_follow_the_depth_that_is_reached(spark, monkeypatch):
+    """Texts of one template, alike but mostly below the threshold: nodes stay large and are walked deep."""
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for k in r.sample(range(100), r.choice([2, 6, 8])):
+            words[k] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    walks, plain = [], jaccard._walk
+
+    def seen(*args):
+        out = plain(*args)
+        walks.append((args[2], args[3], bool(out[1]), out[2]))
+        return out
+
+    monkeypatch.setattr(jaccard, "SMALL", 6)
+    monkeypatch.setattr(jaccard, "CLOSE", 2.0)  # pivots let everything walk on
+    monkeypatch.setattr(jaccard, "_walk", seen)
+    got = sorted((x.doc_id, x.class_id, x.n_links) for x in similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
+    assert walks[0][:2] == (0, runs_for(0.999, 0.8)) and len(walks) > 1
+    assert [w[0] for w in walks[1:]] == [w[1] for w in walks[:-1]]
+    assert not walks[-1][2] or walks[-1][1] >= runs_for(0.999, 0.8, max(w[3] for w in walks))
+
+
 def test_empty_and_repeated_rows(spark):
     assert similar_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     df = spark.createDataFrame([(3, "a b c d e f")] * 3 + [(None, "a b c d e f"), (1, "q")], "doc_id long, text string")
