@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attest.evidence import tables as S
 from attest.evidence.templates import TEMPLATES
-from attest.functions.frames import declared
+from attest.functions.frames import declared, ranked_within
 
 # Ways to settle a role besides a domain law, and the four questions.
 BY_QUESTION = "fachfrage"
@@ -88,6 +88,18 @@ def _say(text: str, options: Column | None = None) -> Column:
     return F.concat(*parts, F.lit(before), options, F.lit(after))
 
 
+def role_options(roles: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``(role, position, option, n_claims)``: the bindings people may choose from, for roles that only they decide.
+
+    One row per option in the order of the question's text, for roles with more options than a text can show. A role of
+    any size is ordered by many tasks; equal bindings of several claims are one option.
+    """
+    asked = roles.filter(F.col("decided_by") == BY_QUESTION).select("role").distinct()
+    options = candidates.select("role", binding_text(F.col("binding")).alias("option")).filter(F.col("option").isNotNull()).join(
+        asked, "role", "left_semi").groupBy("role", "option").agg(F.count(F.lit(1)).alias("n_claims"))
+    return ranked_within(options, "position", ["role"], "option").select("role", "position", "option", "n_claims")
+
+
 def resolve_roles(roles: DataFrame, candidates: DataFrame, evidence: DataFrame,
                   stored: DataFrame | None = None) -> DataFrame:
     """``(question, role, n_candidates)``: one question for every role that nothing has settled.

@@ -40,6 +40,16 @@ def test_each_open_role_asks_its_question(spark):
     assert questions(spark, "balance", [("c1", "journal", "tested", {})], [probed]) == []
 
 
+def test_options_are_rows(spark):
+    roles = declared(spark, ROLE, [("journal", "d", "fachfrage"), ("ledger", "d", "balance"), ("none", "d", "fachfrage")])
+    many = [(f"c{i}", "journal", "inferred", {"table": f"t{i % 50:02}"}) for i in range(120)]
+    others = [("x", "ledger", "inferred", {"table": "z"}), ("y", "journal", "inferred", None)]
+    got = sorted(rows(R.role_options(roles, declared(spark, CAND, many + others))), key=lambda r: r[1])
+    assert got == [("journal", i + 1, f"table=t{i:02}", 3 if i < 20 else 2) for i in range(50)]
+    listed = questions(spark, "fachfrage", many)[0]
+    assert " | ".join(r[2] for r in got) in listed
+
+
 def test_questions_are_not_asked_twice(spark):
     roles = declared(spark, ROLE, [("journal", "d", "balance")])
     candidates, evidence = declared(spark, CAND, [("c1", "other", "inferred", {})]), declared(spark, EV, [])

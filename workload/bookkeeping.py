@@ -555,6 +555,15 @@ def role_questions(spark: SparkSession, sf: str) -> DataFrame:
     return R.resolve_roles(roles(spark, sf), candidates(spark, sf), evidence(spark, sf))
 
 
+@query("role_options", f"""
+    WITH {RESOLVED}, {ROLES},
+    opts AS (SELECT 'R' || cust AS role, 'column=y' || y || ', table=orders' AS option, count(*) AS n_claims FROM resolved GROUP BY 1, 2)
+    SELECT role, row_number() OVER (PARTITION BY role ORDER BY option) AS position, option, n_claims
+    FROM opts WHERE role IN (SELECT role FROM roles WHERE decided_by = 'fachfrage')""")
+def role_options(spark: SparkSession, sf: str) -> DataFrame:
+    return R.role_options(roles(spark, sf), candidates(spark, sf))
+
+
 @query("probe_templates", "SELECT * FROM (VALUES " + ", ".join(
     f"('{n}', {'NULL' if t.domain is None else chr(39) + t.domain + chr(39)})" for n, t in TEMPLATES.items()) +
     ") r(template, domain) WHERE template IN (SELECT " + case("event_type", TEMPLATE_OF) + " FROM events)")
