@@ -50,6 +50,16 @@ def path(point: str, top: int) -> Column:
     return F.expr(f"array({blocks})")
 
 
+def top_level(intervals: DataFrame) -> int:
+    """The level whose blocks are wider than every interval (``__lo``, ``__hi``), so that each takes two of them at most.
+
+    One number is read. It also bounds the blocks of a point, one per level: narrow intervals need few.
+    """
+    width = F.coalesce(F.try_subtract("__hi", "__lo"), F.lit((1 << 63) - 1))
+    widest = intervals.filter(F.col("__hi") >= F.col("__lo")).agg(F.max(width)).first()[0] or 0
+    return min(int(widest).bit_length(), TOP_LEVEL)
+
+
 def _block_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], top: int) -> DataFrame:
     """Join on equal keys and common block; points carry ``__at``, intervals ``__lo`` and ``__hi``."""
     def by_block(df: DataFrame, blocks: Column) -> DataFrame:
@@ -68,22 +78,22 @@ def stab_join(
     lo: Column,
     hi: Column,
     keys: Sequence[str] = (),
-    top: int = 16,
+    top: int | None = None,
     wide_key: int = WIDE_KEY,
     stored: bool = False,
 ) -> DataFrame:
     """Inner join of points with the intervals that hold them, on equal `keys`.
 
     `point`, `lo` and `hi` are whole numbers (days, codes). Keys with at most `wide_key` intervals are joined on the key
-    alone and filtered; keys with more, and lookups without a key, go through blocks. `top` is the coarsest block level:
-    intervals much wider than ``2**top`` take several blocks of it. Column names of both sides must differ except for
+    alone and filtered; keys with more, and lookups without a key, go through blocks. `top` is the coarsest block level,
+    by default the one that fits the widest interval; with a given one, wider intervals take several blocks of it. Column names of both sides must differ except for
     `keys`. Both sides are read several times and are written once first, unless they are `stored` tables already.
     """
     placed = points.withColumn("__at", point.cast("bigint"))
     spans = intervals.withColumn("__lo", lo.cast("bigint")).withColumn("__hi", hi.cast("bigint"))
     columns = [*keys, *[c for c in points.columns if c not in keys], *[c for c in intervals.columns if c not in keys]]
     if not keys:
-        return _block_join(placed, spans, keys, top).select(*columns)
+        return _block_join(placed, spans, keys, top_level(spans) if top is None else top).select(*columns)
     keys = list(keys)
     if not stored:
         placed, spans = settle(placed, "points"), settle(spans, "intervals")
@@ -91,6 +101,7 @@ def stab_join(
     inside = F.col("__at").between(F.col("__lo"), F.col("__hi"))
     if wide.isEmpty():
         return placed.join(spans, keys).filter(inside).select(*columns)
+    top = top_level(spans) if top is None else top
     few = placed.join(spans.join(wide, keys, "left_anti"), keys).filter(inside)
     many = _block_join(placed.join(wide, keys, "left_semi"), spans.join(wide, keys, "left_semi"), keys, top)
     return few.select(*columns).unionByName(many.select(*columns))

@@ -25,6 +25,21 @@ def test_blocks_at_the_ends_of_the_integers(spark):
     assert got.count() == 6
 
 
+def test_wide_intervals_take_few_blocks(spark):
+    from attest.functions.intervals import cover, top_level
+
+    big = 2**63 - 1
+    for spans in ([(3, 3)], [(5, 1)], [], [(0, 10**18), (7, 9)], [(-big - 1, big), (None, 4), (-(2**62), 2**62)]):
+        df = declared(spark, "lo bigint, hi bigint", spans)
+        placed = df.withColumnsRenamed({"lo": "__lo", "hi": "__hi"})
+        sizes = [r[0] for r in placed.filter("__hi >= __lo").select(F.size(cover("__lo", "__hi", top_level(placed)))).collect()]
+        assert all(n <= 2 * 63 for n in sizes)
+        points = [(p,) for p in (-big - 1, -1, 0, 3, 8, 10**18, 10**18 + 1, big)]
+        got = stab_join(declared(spark, "p bigint", points), F.col("p"), df, F.col("lo"), F.col("hi"))
+        assert sorted(map(tuple, got.collect())) == sorted(
+            (p, a, b) for (p,) in points for a, b in spans if a is not None and a <= p <= b)
+
+
 @pytest.mark.parametrize("wide_key", [0, 5, 1000])
 def test_keys_of_any_width_give_the_same_rows(spark, wide_key):
     rng = random.Random(7)
