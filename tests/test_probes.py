@@ -3,6 +3,7 @@ from datetime import date, timedelta
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from attest.evidence import verdicts as V
 from attest.evidence.runner import build_check, draft_questions, probe_outcomes, run_probes
@@ -249,6 +250,17 @@ def test_questions_are_drafted_once_for_results_that_did_not_pass(spark):
     assert draft_questions(evidence, probes, stored=draft_questions(evidence, probes)).count() == 0
 
 
+def test_decimal_amounts_are_summed_exactly(spark):
+    cash = declared(spark, "k string, amount double", [("edge", 0.1), ("edge", 0.2), ("edge", -0.29), ("over", 0.02), ("even", 0.0)])
+    views = {"cash": cash.select("k", F.col("amount").cast("decimal(18,2)").alias("amount"))}
+    row = outcome(views, "balance", journal="cash", amount="amount", group_column="k")
+    assert row["exceptions_found"] == 1 and [s["grp"] for s in row["exception_samples"]] == ["over"]
+    edge = {"cash": views["cash"].filter("k = 'edge'"), "book": views["cash"].filter("k = 'even'").withColumn("account", F.lit(1))}
+    row = outcome(edge, "subledger_equals_gl", subledger="cash", subledger_amount="amount", journal="book",
+                  journal_amount="amount", account="account", accounts=[1])
+    assert row["exceptions_found"] == 0
+
+
 def test_tolerances_and_rates(spark):
     assert merged_tolerances("balance", None) == {"absolute": 0.01}
     assert merged_tolerances("balance", {"balance": 5}) == {"absolute": 5}
