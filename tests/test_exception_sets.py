@@ -12,6 +12,7 @@ from attest.functions.frames import declared, running
 from attest.operators import probes as P
 from attest.plans.sweep import run_ready
 from tests.conftest import rows
+from workload import QUERIES
 
 
 @pytest.mark.parametrize("partitions", [1, 7])
@@ -144,3 +145,20 @@ def test_unknown_columns_are_refused_before_anything_runs(spark):
             build_check(views, Probe("p", template, params))
     good = build_check(views, Probe("p", "range_join", {"table": "t", "value_column": "k", "ranges": "r", "range_from": "lo", "range_to": "hi"}))
     assert good.exceptions().count() == 0 and good.exceptions() is good.exceptions()
+
+
+def test_probe_queries_return_every_pair(spark, folder):
+    """Three values against two, and three intervals that all overlap: sets name one opponent, the queries each of them."""
+    both = declared(spark, "s_suppkey bigint, s_nationkey bigint", [(1, 4), (1, 5), (1, 6), (2, 4)])
+    both.write.parquet(f"{folder}/supplier.parquet")
+    declared(spark, "c_custkey bigint, c_nationkey bigint", [(1, 5), (1, 7), (1, 7), (2, 4)]).write.parquet(f"{folder}/customer.parquet")
+    days = [date(2024, 1, 1), date(2024, 1, 2), date(2024, 1, 2), date(2024, 1, 3)]
+    declared(spark, "o_orderkey bigint, o_custkey bigint, o_orderdate date, o_orderpriority string",
+             [(i, 1, d, "1-URGENT") for i, d in enumerate(days)]).write.parquet(f"{folder}/orders.parquet")
+    found = lambda name: sorted(tuple(r) for r in QUERIES[name](spark, str(folder)).collect())
+    assert found("probe_attribute_contradiction") == [
+        ("1", "4", "5", 1), ("1", "4", "7", 2), ("1", "5", "7", 2), ("1", "6", "5", 1), ("1", "6", "7", 2)]
+    assert [(x[1], x[3], x[5]) for x in found("probe_validity")] == [
+        ("2024-01-01", "2024-01-02", 2), ("2024-01-01", "2024-01-03", 1), ("2024-01-02", "2024-01-03", 2)]
+    assert [(x[1], x[3], x[5]) for x in found("probe_validity_hot_key")] == [
+        ("2024-01-01", "2024-01-02", 2), ("2024-01-01", "2024-01-03", 1), ("2024-01-02", "2024-01-03", 2)]
