@@ -1,9 +1,9 @@
 """Training examples of conversations by prefix-target expansion, in DataFrame functions only.
 
 Every assistant turn becomes an example of its own: all turns before it are its context, and only its reply is trainable.
-The examples of a conversation are prefixes of one formatted text. That text is kept once, as one piece per turn with its
-place, and an example is where it ends and where its reply lies in it, so the result grows with the turns and not with
-their square; `example_texts` writes the prefixes out.
+The examples of a conversation are prefixes of one formatted text. That text is gathered once, from one piece per turn with
+its place, and every prefix is written out from it in the same task. So what is shuffled grows with the turns, and only
+the examples themselves grow with their square.
 
 A turn is `<|turn|>` role `<|text|>` text `<|end|>`. Inside roles and texts a backslash is doubled and `<|` becomes `<\\|`,
 so no text holds a mark, and `turns_of` gives back what was formatted.
@@ -63,32 +63,33 @@ def formatted_turns(turns: DataFrame, conv_id: str = "conv_id", turn: str = "tur
                          at("turns_before"), at("replies_before"))
 
 
-def examples(placed: DataFrame) -> DataFrame:
-    """(conv_id, example, n_turns, chars, loss_start, loss_size, reply) from the rows of `formatted_turns`.
+def whole_conversations(placed: DataFrame) -> DataFrame:
+    """(conv_id, formatted, ends) per conversation from the rows of `formatted_turns`: its whole text, and of each example
+    its number, turns, size in code points, the place of the one text that is trainable, and the formatted reply."""
+    part = F.struct("start", "piece", (F.col("role") == REPLY).alias("is_reply"), F.col("replies_before").alias("example"),
+                    (F.col("turns_before") + 1).alias("n_turns"), (F.col("start") + F.col("size")).alias("chars"),
+                    F.col("text_start").alias("loss_start"), F.col("text_size").alias("loss_size"))
+    grouped = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    end = lambda p: F.struct(*[p[n].alias(n) for n in ("example", "n_turns", "chars", "loss_start", "loss_size")], p["piece"].alias("reply"))
+    return grouped.select("conv_id", F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("formatted"),
+                          F.transform(F.filter("parts", lambda p: p["is_reply"]), end).alias("ends"))
 
-    One row per assistant turn, numbered from 0 in its conversation. The example is the first `chars` code points of the
-    conversation's text and ends with `reply`, the formatted turn; loss_start and loss_size are the code points in it of
-    the one text that is trainable. A conversation without an assistant turn has no example.
-    """
-    own = F.struct(F.col("replies_before").alias("example"), (F.col("turns_before") + 1).alias("n_turns"),
-                   (F.col("start") + F.col("size")).alias("chars"), F.col("text_start").alias("loss_start"),
-                   F.col("text_size").alias("loss_size"), F.col("piece").alias("reply"))
-    targets = F.filter(F.array(F.struct("role", own.alias("own"))), lambda e: e["role"] == REPLY)
-    return placed.select("conv_id", F.explode(targets).alias("e")).select("conv_id", "e.own.*")
 
+def examples(placed: DataFrame) -> DataFrame:
+    """(conv_id, example, n_turns, chars, loss_start, loss_size, reply, text) from the rows of `formatted_turns`.
 
-def loss_text(chars: Column, loss_start: Column, loss_size: Column, reply: Column) -> Column:
-    """What an example's mask covers, with its escapes."""
-    return F.substr(reply, (loss_start - chars + F.length(reply) + 1).cast("int"), loss_size.cast("int"))
+    One row per assistant turn, numbered from 0 in its conversation. `text` is the whole example, the first `chars` code
+    points of the conversation's text; it ends with `reply`, the formatted turn. loss_start and loss_size are the code points
+    in it of the one text that is trainable. A conversation without an assistant turn has no example. The result grows with
+    the square of a conversation's turns, as its examples do.
+    """
+    cut = whole_conversations(placed).select("conv_id", "formatted", F.explode("ends").alias("e"))
+    return cut.select("conv_id", "e.*", F.substr("formatted", F.lit(1), F.col("e.chars").cast("int")).alias("text"))
 
 
 def example_texts(placed: DataFrame) -> DataFrame:
-    """`examples` with `text`, each prefix written out. The result grows with the square of a conversation's turns."""
-    wanted = examples(placed).drop("reply").withColumnRenamed("conv_id", "of")
-    pieces = placed.select("conv_id", "start", "piece")
-    met = wanted.join(pieces, F.col("of").eqNullSafe(F.col("conv_id")) & (F.col("start") < F.col("chars")))
-    return met.groupBy(F.col("of").alias("conv_id"), "example", "n_turns", "chars", "loss_start", "loss_size").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "piece"))), lambda p: p["piece"]), "").alias("text"))
+    """`examples` without the reply on its own."""
+    return examples(placed).drop("reply")
 
 
 def turns_of(formatted: Column) -> Column:
@@ -100,25 +101,29 @@ def turns_of(formatted: Column) -> Column:
 
 
 def conversations_back(placed: DataFrame) -> DataFrame:
-    """(conv_id, turns, losses, chars) per conversation, read back from pieces and examples.
+    """(conv_id, turns, losses, chars) per conversation, read back from the texts of its examples.
 
-    `turns` (role, text) are parsed from the conversation's formatted text, `losses` are the texts under the masks of its
-    examples, in order and without escapes. `chars` counts the code points of all examples, and of the turns after the last
-    reply, which are in none. A conversation is gathered into one row, as a digest over all of it needs; nothing else in
-    this module gathers one.
+    `losses` are the texts under the masks of all examples, in order and without escapes, each cut out of its example's text.
+    `turns` (role, text) are parsed from the last example, which holds all others, and from what follows it: the turns after
+    the last reply are in no example. `chars` counts the code points of all these texts. A conversation is gathered into one
+    row, as a digest over all of it needs; its examples are written out and read back one by one in the same task.
     """
-    none = F.lit(None)
-    loss = F.struct("example", unescaped(loss_text(F.col("chars"), F.col("loss_start"), F.col("loss_size"), F.col("reply"))).alias("text"))
-    parts = placed.select("conv_id", F.struct("start", "piece").alias("part"), none.cast("bigint").alias("chars"),
-                          none.cast("struct<example:bigint,text:string>").alias("loss"))
-    parts = parts.unionByName(examples(placed).select("conv_id", none.cast("struct<start:bigint,piece:string>").alias("part"), "chars",
-                                                      loss.alias("loss")))
-    listed = lambda c: F.array_sort(F.collect_list(c))
-    grouped = parts.groupBy("conv_id").agg(listed("part").alias("parts"), listed("loss").alias("losses"),
-                                           F.coalesce(F.sum("chars"), F.lit(0)).alias("covered"),
-                                           F.coalesce(F.max("chars"), F.lit(0)).alias("reach"))
-    text = F.array_join(F.transform("parts", lambda p: p["piece"]), "")
-    grouped = grouped.select("conv_id", text.alias("formatted"), "losses", "covered", "reach")
-    return grouped.select("conv_id", turns_of(F.col("formatted")).alias("turns"),
-                          F.transform("losses", lambda e: e["text"]).alias("losses"),
-                          (F.col("covered") + F.length("formatted") - F.col("reach")).alias("chars"))
+    place = lambda p: F.struct(p["example"].alias("example"), F.lit(0).cast("bigint").alias("begin"), p["chars"].alias("chars"),
+                               p["loss_start"].alias("loss_start"), p["loss_size"].alias("loss_size"))
+    none = F.lit(None).cast("bigint")
+    begin = F.when(F.size("ends") > 0, F.element_at("ends", -1)["chars"]).otherwise(F.lit(0).cast("bigint"))
+    rest = F.struct(none.alias("example"), begin.alias("begin"), F.length("formatted").cast("bigint").alias("chars"),
+                    none.alias("loss_start"), none.alias("loss_size"))
+    cut = whole_conversations(placed).select("conv_id", "formatted", F.size("ends").cast("bigint").alias("n"),
+                                             F.explode(F.concat(F.transform("ends", place), F.array(rest))).alias("e"))
+    text = F.substr("formatted", (F.col("e.begin") + 1).cast("int"), (F.col("e.chars") - F.col("e.begin")).cast("int"))
+    shown = cut.select("conv_id", "e.example", "n", text.alias("text"), "e.loss_start", "e.loss_size")
+    loss = unescaped(F.substr("text", (F.col("loss_start") + 1).cast("int"), F.col("loss_size").cast("int")))
+    last = F.col("example").isNull() | (F.col("example") == F.col("n") - 1)
+    read = shown.select("conv_id", F.length("text").cast("bigint").alias("chars"),
+                        F.when(F.col("example").isNotNull(), F.struct("example", loss.alias("text"))).alias("loss"),
+                        F.when(last, F.struct(F.coalesce("example", "n").alias("example"), turns_of(F.col("text")).alias("turns"))).alias("part"))
+    grouped = read.groupBy("conv_id").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.array_sort(F.collect_list("loss")).alias("losses"),
+                                          F.sum("chars").alias("chars"))
+    return grouped.select("conv_id", F.flatten(F.transform("parts", lambda p: p["turns"])).alias("turns"),
+                          F.transform("losses", lambda e: e["text"]).alias("losses"), "chars")

@@ -90,3 +90,21 @@ def test_main_path_has_no_python(spark):
     plan = chat.conversations_back(chat.formatted_turns(spark.createDataFrame(odd_rows(), SCHEMA).where("turn > 0")))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Pandas" not in text and "Arrow" not in text and "CartesianProduct" not in text
+
+
+def test_examples_hold_their_whole_texts(spark):
+    rows = [(1, 0, "system", "be\\ kind"), (1, 1, "assistant", "a <|end|>"), (1, 2, "user", "é🙂"), (1, 3, "assistant", ""), (1, 4, "user", "bye")]
+    shown = ["<|turn|>system<|text|>be\\\\ kind<|end|>", "<|turn|>assistant<|text|>a <\\|end|><|end|>", "<|turn|>user<|text|>é🙂<|end|>",
+             "<|turn|>assistant<|text|><|end|>"]
+    got = chat.examples(chat.formatted_turns(spark.createDataFrame(rows, SCHEMA))).orderBy("example").collect()
+    assert [x.text for x in got] == ["".join(shown[:2]), "".join(shown)]
+    assert [x.text[x.loss_start:x.loss_start + x.loss_size] for x in got] == ["a <\\|end|>", ""]
+
+
+def test_what_comes_back_is_read_from_example_texts(spark, monkeypatch):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "yes"), (1, 2, "assistant", "no"), (1, 3, "user", "z"), (2, 0, "user", "alone")]
+    cut = chat.whole_conversations
+    monkeypatch.setattr(chat, "whole_conversations", lambda placed: cut(placed).withColumn("formatted", F.replace("formatted", F.lit("yes"), F.lit("YES"))))
+    got = {x.conv_id: x for x in chat.conversations_back(chat.formatted_turns(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert got[1].losses == ["YES", "no"] and [t.text for t in got[1].turns] == ["q", "YES", "no", "z"]
+    assert got[2].losses == [] and [tuple(t) for t in got[2].turns] == [("user", "alone")]
