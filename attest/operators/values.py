@@ -1,6 +1,7 @@
 """Distinct canonical values of every column, counted once and shared by profiles and the overlap matrix.
 
-Short values are counted as they are. A text of more than ``HEAD`` characters is counted by a digest of 128 bits, together
+Numbers, days and moments are counted in their own types and become text once per distinct value. Short texts are counted as
+they are. A text of more than ``HEAD`` characters is counted by a digest of 128 bits, together
 with what profiles need of it: its first characters, its length and its shape. So long texts are read where they lie and
 never shuffled; the few that are shown are fetched by a second read (`texts_of`).
 """
@@ -80,33 +81,63 @@ def _late(text: Column, masks: bool) -> Column:
     return F.when(F.length(text) > HEAD, what.cast(LATE))
 
 
+def _raw_type(data_type: T.DataType) -> T.DataType:
+    """The type in which the cells of a column are counted: whole numbers share one, what has no form of its own is text."""
+    if isinstance(data_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return T.LongType()
+    if isinstance(data_type, (*_ONE_TEXT, *_MERGED)):
+        return data_type
+    return T.StringType()
+
+
+# Numbers of one type have different texts if they differ. Moments of one second, days of two eras, and a boolean that is
+# NULL or false share theirs, so their texts are counted once more.
+_ONE_TEXT = (T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+_MERGED = (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+
+
+def _cells(rows: DataFrame, cells: list[tuple[int, Column]]) -> DataFrame:
+    """``(cid, cell)`` of the named columns of a table, in long form."""
+    named = rows.select(*[c.alias(f"c{cid}") for cid, c in cells])
+    return named.select(F.stack(F.lit(len(cells)), *[x for cid, _ in cells for x in (F.lit(cid), F.col(f"c{cid}"))]).alias("cid", "cell"))
+
+
+def _counted(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("cid", "cell").agg(F.count(F.lit(1)).alias("n"))
+
+
 def value_counts(views: Mapping[str, DataFrame], masks: bool = True) -> Counts:
     """How often each canonical value (NULL included) occurs in each column.
 
-    Every table is read once and turned into long form; the count combines on the map side, so a value that fills a
-    third of a column leaves each task as one row. Without `masks` the shapes of long texts are not made.
+    The columns of one type are turned into long form and counted together, each table is read once per type with the
+    columns of that type only; long texts are a type of their own. The counts combine on the map side, so a value that fills
+    a third of a column leaves each task as one row. Without `masks` the shapes of long texts are not made.
     """
-    by_table: dict[str, list[tuple[int, str]]] = {}
+    by_type: dict[T.DataType, dict[str, list[tuple[int, str]]]] = {}
     for cid, table, column, _ in column_list(views):
-        by_table.setdefault(table, []).append((cid, column))
-    parts = []
-    for table, members in by_table.items():
-        df = views[table]
-        texts = {c: canonical(df[c], df.schema[c].dataType) for _, c in members}
-        long = [c for _, c in members if _is_text(df.schema[c].dataType)]
-        rows = df.select(*[texts[c].alias(f"c{cid}") for cid, c in members])
-        cells = []
-        for cid, column in members:
-            value = F.col(f"c{cid}")
-            if column in long:
-                cells += [F.lit(cid), F.when(F.length(value) <= HEAD, value), _late(value, masks)]
-            else:
-                cells += [F.lit(cid), value, F.lit(None).cast(LATE)]
-        parts.append(rows.select(F.stack(F.lit(len(members)), *cells).alias("cid", "value", "late")))
+        by_type.setdefault(_raw_type(views[table].schema[column].dataType), {}).setdefault(table, []).append((cid, column))
+    none, parts = F.lit(None).cast(LATE), []
+    for kind, tables in by_type.items():
+        text = isinstance(kind, T.StringType)
+        long_form = {t: _cells(views[t], [(cid, canonical(views[t][c], views[t].schema[c].dataType) if text else views[t][c].cast(kind))
+                                          for cid, c in members]) for t, members in tables.items()}
+        cells = union_all(long_form.values())
+        if text:
+            short = F.length("cell") <= HEAD
+            parts.append(_counted(cells.filter(short | F.col("cell").isNull())).select("cid", F.col("cell").alias("value"), none.alias("late"), "n"))
+            texts = [t for t, members in tables.items() if any(_is_text(views[t].schema[c].dataType) for _, c in members)]
+            if texts:
+                late = union_all(long_form[t] for t in texts).filter(~short).select("cid", _late(F.col("cell"), masks).alias("cell"))
+                parts.append(_counted(late).select("cid", F.lit(None).cast("string").alias("value"), F.col("cell").alias("late"), "n"))
+            continue
+        found = _counted(cells).select("cid", canonical(F.col("cell"), kind).alias("value"), "n")
+        if isinstance(kind, _MERGED):
+            found = found.groupBy("cid", "value").agg(F.sum("n").alias("n"))
+        parts.append(found.select("cid", "value", none.alias("late"), "n"))
     if not parts:
         spark = next(iter(views.values())).sparkSession
         return Counts(declared(spark, f"cid int, value string, late {LATE}, n bigint", []), views)
-    return Counts(union_all(parts).groupBy("cid", "value", "late").agg(F.count(F.lit(1)).alias("n")), views)
+    return Counts(union_all(parts), views)
 
 
 def settled_counts(views: Mapping[str, DataFrame], counts: Counts | None = None, masks: bool = True) -> Counts:

@@ -1,11 +1,12 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from attest.functions.frames import declared
 from attest.operators import overlap as O
 from attest.operators import profile as P
-from attest.operators.values import settled_counts
+from attest.operators.values import column_list, settled_counts, value_counts
 from tests.conftest import rows
 
 
@@ -94,3 +95,23 @@ def test_profiles_keep_their_id(spark):
     got = {r["column"]: r["id"] for r in P.upsert_profiles(stored, fresh).collect()}
     assert got["a"] == "p1" and got["b"] not in (None, "p1")
     assert got == {r["column"]: r["id"] for r in P.upsert_profiles(stored, fresh.orderBy(F.desc("column"))).collect()}
+
+
+def test_cells_are_counted_in_their_own_types(spark):
+    """Values that share a text are counted together again; numbers become text after the count, not cell by cell."""
+    rows = spark.sql("""SELECT * FROM VALUES
+        (1Y, 7L, 7.0D, float('nan'), 1.50BD, TIMESTAMP_NTZ '2024-01-01 00:00:00', true, ' a '),
+        (1Y, 7L, -0.0D, float('nan'), 1.50BD, TIMESTAMP_NTZ '2024-01-01 00:00:00.5', null, 'a'),
+        (2Y, null, 0.0D, null, 2.00BD, TIMESTAMP_NTZ '2024-01-01 00:00:00.7', false, '  '),
+        (null, 8L, 1e300D, float(2.5), null, null, true, null) AS t(b, l, d, f, x, m, o, s)""")
+    counts = value_counts({"t": rows})
+    names = {cid: column for cid, _, column, _ in column_list({"t": rows})}
+    got = {}
+    for r in counts.frame.collect():
+        got.setdefault(names[r["cid"]], []).append((r["value"], r["n"]))
+    assert {c: sorted(v, key=str) for c, v in got.items()} == {c: sorted(v, key=str) for c, v in {
+        "b": [("1", 2), ("2", 1), (None, 1)], "l": [("7", 2), ("8", 1), (None, 1)], "d": [("7", 1), ("0", 2), ("1e+300", 1)],
+        "f": [("nan", 2), ("2.5", 1), (None, 1)], "x": [("1.50", 2), ("2", 1), (None, 1)],
+        "m": [("2024-01-01", 1), ("2024-01-01 00:00:00", 2), (None, 1)], "o": [("true", 2), ("false", 2)], "s": [("a", 2), (None, 2)]}.items()}
+    plan = counts.frame._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[cid#\d+, cell#\d+L?\]", plan)
