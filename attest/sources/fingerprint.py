@@ -10,18 +10,24 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attest.session import listing
+
 
 # Bytes up to which Spark reads a file as one value, and bytes that a stream holds at a time.
 ONE_VALUE = 64 << 20
 CHUNK = 4 << 20
 
 
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The store that a path names, and the path inside it."""
+    if path.startswith(("/", "file:")):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(quote(path, safe="/:@"))
+
+
 def _stream(path: str):
     """A file as a stream, in whatever store its path names."""
-    scheme, _, rest = path.partition(":")
-    if scheme == "file":
-        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
-    store, inside = fs.FileSystem.from_uri(quote(path, safe="/:@"))
+    store, inside = store_of(path)
     return store.open_input_stream(inside)
 
 
@@ -44,7 +50,8 @@ def file_fingerprints(spark: SparkSession, location: str, content: bool = True,
     a stream and digested chunk by chunk, each file in a row of its own that any executor can take over; their store must be
     one that Arrow opens too, else the job fails with the path. The listing of large files reads no content. Spark passes over files without bytes.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(location)
+    with listing(spark):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(location)
     if not content:
         return files.select("path", F.col("length").alias("size"), F.sha2(F.concat_ws(
             "|", "path", F.col("length").cast("string"), F.col("modificationTime").cast("string")), 256).alias("sha256"))

@@ -1,4 +1,5 @@
 import hashlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from attest.sources import catalog as K
 from attest.sources import fingerprint as G
 from attest.sources import grid, specs
 from tests.conftest import rows
+from workload.stores import page_files
 
 
 @pytest.fixture
@@ -198,3 +200,24 @@ def test_a_run_leaves_nothing_behind(spark):
         assert not Path(inner.removeprefix("file:")).exists() and kept.count() == 3
     assert not Path(outer.removeprefix("file:")).exists()
     assert settle(spark.range(2), "later").count() == 2
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, folder):
+    for i in range(80):
+        (folder / f"f{i}").mkdir()
+        (folder / f"f{i}" / "a.txt").write_text(str(i))
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.sparkContext.setJobGroup("listing", "")
+    files = G.file_fingerprints(spark, str(folder))
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(tasks, default=1) <= 4 * spark.sparkContext.defaultParallelism and spark.conf.get(name) == before
+    assert files.count() == 80
+
+
+def test_page_files_are_one_per_page_in_one_folder(spark, folder):
+    declared(spark, "page_id bigint, html string", [(1, "é"), (2, None), (3, "x\ny")]).write.parquet(f"{folder}/pages.parquet")
+    place = G.store_of(page_files(spark, str(folder)))[1]
+    assert {p.name: p.read_bytes() for p in Path(place).iterdir()} == {"page_id=1": "é\n".encode(), "page_id=2": b"\n", "page_id=3": b"x\ny\n"}

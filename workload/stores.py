@@ -64,13 +64,30 @@ def csv_all_text(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("one", F.lit(1)).join(F.broadcast(rule.withColumn("one", F.lit(1))), "one").drop("one")
 
 
+def page_files(spark: SparkSession, sf: str) -> str:
+    """A folder with one file per page, named by its page and ended by a line feed. Each task writes the files of its own pages."""
+    path = place(spark, "files")
+
+    def written(batches):
+        store, folder = G.store_of(path)
+        store.create_dir(folder)
+        for batch in batches:
+            for page_id, value in zip(batch["page_id"].to_pylist(), batch["value"].to_pylist()):
+                with store.open_output_stream(f"{folder}/page_id={page_id}") as out:
+                    out.write(value.encode() + b"\n")
+            yield batch.select(["page_id"])
+
+    pages = table(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("value"))
+    spread = pages.repartition(4 * spark.sparkContext.defaultParallelism, "page_id")
+    spread.mapInArrow(written, "page_id bigint").write.format("noop").mode("overwrite").save()
+    return path
+
+
 @query("file_digests", """
     SELECT page_id, octet_length(encode(coalesce(html, '') || chr(10)))::BIGINT AS size, sha256(coalesce(html, '') || chr(10)) AS sha256 FROM pages""")
 def file_digests(spark: SparkSession, sf: str) -> DataFrame:
     """One opaque file per page: size and digest of its bytes. Documents like these are fingerprinted and give no view."""
-    path = place(spark, "files")
-    pages = table(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("value"))
-    pages.repartition("page_id").write.partitionBy("page_id").text(path)
+    path = page_files(spark, sf)
     found = G.file_fingerprints(spark, path)
     return found.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint").alias("page_id"), "size", "sha256")
 
@@ -78,9 +95,7 @@ def file_digests(spark: SparkSession, sf: str) -> DataFrame:
 @query("file_digests_streamed", ORACLES["file_digests"])
 def file_digests_streamed(spark: SparkSession, sf: str) -> DataFrame:
     """The same files, those above 2 KB as streams."""
-    path = place(spark, "files")
-    pages = table(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("value"))
-    pages.repartition("page_id").write.partitionBy("page_id").text(path)
+    path = page_files(spark, sf)
     found = G.file_fingerprints(spark, path, one_value=2048)
     return found.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint").alias("page_id"), "size", "sha256")
 
