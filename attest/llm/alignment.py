@@ -1,7 +1,7 @@
 """Alignment of two tokenizers over whole texts, and how often their tokens end together in the corpus.
 
 Inside a task all steps are Arrow's: token lists are flattened with the index of their text, byte ends are cumulative sums
-that start again in each text, a hash join on (text, end) finds the tokens of both sides that end together, and a group-by
+that start again in each text, a merge of the ascending (text, end) finds the tokens of both sides that end together, and a group-by
 counts the pairs of a chunk of texts. Spark adds the counts of the chunks, finds the highest count of each token of the
 second side, and brings the sums back: a chunk asks once for each distinct pair it holds, not once for each link.
 """
@@ -99,12 +99,20 @@ def _ends(side, tokens: Tokens, name: str) -> pa.Table:
     ids, counts = tokens
     lists = pa.LargeListArray.from_arrays(pa.array(_offsets(counts)), pa.array(ids.astype(np.int64)))
     flat, doc = pc.list_flatten(lists), pc.list_parent_indices(lists)
-    reach = pc.cumulative_sum(pc.cast(pc.binary_length(side.bytes.take(flat)), pa.int64()))
+    reach = pc.cumulative_sum(pc.cast(pc.binary_length(side.bytes).take(flat), pa.int64()))
     before = np.r_[0, reach.to_numpy()][_offsets(counts)[:-1]]
     end = pc.subtract(reach, pa.array(before).take(doc))
     return pa.table({"doc": doc, "end": end, name: flat})
 
 
+def _same(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all pairs of equal values in two ascending lists, in the order of the first one."""
+    first = np.searchsorted(right, left)
+    times = np.searchsorted(right, left, side="right") - first
+    own = np.repeat(np.arange(len(left)), times)
+    return own, np.arange(len(own)) + np.repeat(first - np.cumsum(times) + times, times)
+
+
 def _written(groups: int, left: np.ndarray, right: np.ndarray, a: pa.Array, b: pa.Array, doc_of_group: np.ndarray,
              docs: int) -> list[bytes]:
     """`a1,a2|b1;a3|b2,b3` of every text. `left`, `right`: the group of each token."""
@@ -138,18 +146,17 @@ def align(texts: pa.Array, a_side, b_side) -> tuple[pa.Table, pa.Array, pa.Array
     good = (size > 0) & _whole(a_side, tokens[0], want, places) & _whole(b_side, tokens[1], want, places)
     tokens = [(ids[np.repeat(good, counts)], np.where(good, counts, 0)) for ids, counts in tokens]
     left, right = _ends(a_side, tokens[0], "a"), _ends(b_side, tokens[1], "b")
-    links = left.join(right, keys=["doc", "end"], join_type="inner", use_threads=False).sort_by(
-        [("doc", "ascending"), ("end", "ascending")])
-    doc = links["doc"].combine_chunks().to_numpy()
-    n_links = np.bincount(doc, minlength=len(texts))
     wide = int(size.max(initial=0)) + 2
-    cut = doc.astype(np.int64) * wide + links["end"].to_numpy()
+    place = [t["doc"].to_numpy().astype(np.int64) * wide + t["end"].to_numpy() for t in (left, right)]
+    own, other = _same(*place)
+    doc, cut = left["doc"].to_numpy()[own], place[0][own]
+    n_links = np.bincount(doc, minlength=len(texts))
     cuts, firsts = np.unique(cut, return_index=True)
     owner = doc[firsts]
-    group = [np.searchsorted(cuts, t["doc"].to_numpy().astype(np.int64) * wide + t["end"].to_numpy()) for t in (left, right)]
+    group = [np.searchsorted(cuts, p) for p in place]
     written = _written(len(cuts), *group, left["a"].combine_chunks(), right["b"].combine_chunks(), owner, len(texts))
     digests = [hashlib.sha256(w).hexdigest() if ok else "" for w, ok in zip(written, good.tolist())]
-    pair = pc.bit_wise_or(pc.shift_left(links["a"], _SIDE), links["b"]).combine_chunks()
+    pair = pa.array((left["a"].to_numpy()[own] << _SIDE) | right["b"].to_numpy()[other])
     counted = pa.table({"pair": pair}).group_by("pair", use_threads=False).aggregate([([], "count_all")])
     pairs = counted["pair"].combine_chunks()
     figures = pa.table({"n_a": tokens[0][1], "n_b": tokens[1][1], "n_groups": np.bincount(owner, minlength=len(texts)),

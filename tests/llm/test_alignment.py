@@ -110,3 +110,13 @@ def test_empty_table_and_clashing_keys(spark):
     assert alignment.align_corpus(df, ["doc_id"], sides).count() == 0
     with pytest.raises(ValueError):
         alignment.align_corpus(df.withColumnRenamed("doc_id", "n_a"), ["n_a"], sides)
+
+
+def test_pairs_of_equal_places():
+    import numpy as np
+
+    from attest.llm.alignment import _same
+
+    left, right = np.array([1, 1, 3, 4, 7]), np.array([0, 1, 1, 4, 4, 8])
+    assert list(zip(*(x.tolist() for x in _same(left, right)))) == [(0, 1), (0, 2), (1, 1), (1, 2), (3, 3), (3, 4)]
+    assert [len(x) for x in _same(left[:0], right)] == [0, 0]
