@@ -60,6 +60,31 @@ def test_overlapping_intervals_against_pairs(spark, seed):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("hot_key", [0, 5, 50_000])
+def test_keys_of_any_size_give_the_same_overlaps(spark, hot_key):
+    rng, start = random.Random(1), date(2024, 1, 1)
+    data = []
+    for _ in range(200):
+        vf = start + timedelta(days=rng.randint(0, 60))
+        data.append((7 if rng.random() < 0.4 else rng.randint(0, 30), vf, vf + timedelta(days=rng.randint(-2, 9))))
+    table = declared(spark, "k int, vf date, vt date", data)
+    found = P.validity_overlaps(table, "k", "vf", "vt", hot_key)
+    assert found.schema["key"].dataType.simpleString() == "string"
+    pairs = {}
+    for r in P.validity_join(table, "k", "vf", "vt").collect():
+        pairs[(r["key"], r["b_from"], r["b_to"])] = pairs.get((r["key"], r["b_from"], r["b_to"]), 0) + r["occurrences"]
+    assert {(r["key"], r["valid_from"], r["valid_to"]): int(r["pairs"]) for r in found.collect() if r["pairs"] > 0} == pairs
+
+
+def test_sets_and_small_keys_are_not_sorted_more_than_once(spark, folder):
+    table = declared(spark, "k bigint, vf date, vt date", [(1, date(2024, 1, 1), date(2024, 1, i)) for i in range(2, 30)])
+    plan = P.validity_overlaps(table, "k", "vf", "vt")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort ") + plan.count("SortAggregate") <= 1 and plan.count("Exchange ") == 1
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    write_exception_sets({"a": table, "b": table}, str(folder / "unsorted"), "r")
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
 def test_contradictions_against_pairs(spark):
     rng = random.Random(9)
     side = lambda: [("hot" if rng.random() < 0.5 else f"k{rng.randint(0, 9)}", rng.choice([None, "a", "b", "c", "d"])) for _ in range(50)]
