@@ -25,6 +25,9 @@ REBATE_THRESHOLD = 500_000
 REBATE_SHARE = "0.02"
 OPEN_END = "9999-12-31"
 
+# Keys with more versions than this are looked up over blocks, all others are swept by one task each.
+HOT_KEY = 50_000
+
 
 def revenue_range(ledger: DataFrame, without: tuple[int, int] = REBATES, by: Sequence[str] = ("entity",)) -> DataFrame:
     """Revenue per group: credit postings of the revenue range, without one sub-range, as a positive figure."""
@@ -139,7 +142,7 @@ def activity_after_exit(activities: DataFrame, rep: str, moment: str, exits: Dat
     return activities.join(exits, F.col(rep) == F.col("rep_id")).filter(F.col(moment).cast("date") > F.col("exit_date"))
 
 
-def point_in_time(facts: DataFrame, key: str, moment: str, versions: DataFrame, value: str) -> DataFrame:
+def point_in_time(facts: DataFrame, key: str, moment: str, versions: DataFrame, value: str, hot_key: int = HOT_KEY) -> DataFrame:
     """Facts with the value of the version valid at their date, NULL where none is.
 
     `versions` is ``(key, valid_from, valid_to, value)`` under the given names; open ends are NULL. If several versions
@@ -147,29 +150,72 @@ def point_in_time(facts: DataFrame, key: str, moment: str, versions: DataFrame,
     """
     day = F.col(moment).cast("date")
     asked = facts.select(F.col(key).alias("k"), day.alias("day")).filter(F.col("k").isNotNull() & F.col("day").isNotNull()).distinct()
+    found = _held(asked, _spans(versions, key, value), hot_key).filter(F.col("v").isNotNull())
+    return facts.withColumn("__day", day).join(
+        found.select(F.col("k").alias(key), F.col("day").alias("__day"), F.col("v").alias(value)), [key, "__day"], "left").drop("__day")
+
+
+def _spans(versions: DataFrame, key: str, value: str) -> DataFrame:
+    """Versions that hold at least one day as ``(k, vf, vt, v)``, stored."""
     spans = versions.select(
         F.col(key).alias("k"), F.col("valid_from").cast("date").alias("vf"),
         F.coalesce(F.col("valid_to").cast("date"), F.lit(OPEN_END).cast("date")).alias("vt"), F.col(value).alias("v"))
-    hits = stab_join(asked, day_number(F.col("day")), spans, day_number(F.col("vf")), day_number(F.col("vt")), ["k"])
-    found = hits.groupBy("k", "day").agg(F.min_by("v", F.struct("vf", "vt", "v")).alias(value))
-    return facts.withColumn("__day", day).join(
-        found.select(F.col("k").alias(key), F.col("day").alias("__day"), value), [key, "__day"], "left").drop("__day")
+    return settle(spans.filter(F.col("k").isNotNull() & (F.col("vf") <= F.col("vt"))), "versions")
 
 
-def customer_months(lines: DataFrame, versions: DataFrame, new_ids: DataFrame, intercompany: DataFrame) -> DataFrame:
+def _held(asked: DataFrame, spans: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
+    """`asked`, ``(k, day)`` once each and further columns, with the value `v` of the earliest version that holds.
+
+    Where the versions of a key follow each other without overlap, the last one that has begun is the only one that can
+    hold, so that one sort of the days and versions of a key answers all its days. Keys whose versions overlap, and those
+    with more than `hot_key` versions, are looked up interval by interval or over blocks (``stab_join``).
+    """
+    if asked.schema["k"].dataType != spans.schema["k"].dataType:
+        return _looked_up(asked, spans)
+    earlier = Window.partitionBy("k").orderBy("vf", "vt").rowsBetween(Window.unboundedPreceding, -1)
+    hot = settle(spans.groupBy("k").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_key).select("k"), "hot")
+    some = spans if hot.isEmpty() else spans.join(hot, "k", "left_anti")
+    mixed = some.withColumn("__end", F.max("vt").over(earlier)).filter(F.col("vf") <= F.col("__end")).select("k").distinct()
+    apart = settle(hot.unionByName(mixed), "apart")
+    if apart.isEmpty():
+        return _last_begun(asked, spans)
+    plain, other = ([df.join(apart, "k", how) for df in (asked, spans)] for how in ("left_anti", "left_semi"))
+    return _last_begun(*plain).unionByName(_looked_up(*other))
+
+
+def _last_begun(asked: DataFrame, spans: DataFrame) -> DataFrame:
+    """``_held`` for keys whose versions do not overlap."""
+    starts = spans.select("k", F.col("vf").alias("__at"), F.lit(0).alias("__kind"), F.struct("vt", "v").alias("__begun"))
+    days = asked.withColumns({"__at": F.col("day"), "__kind": F.lit(1), "__begun": F.lit(None).cast(starts.schema["__begun"].dataType)})
+    so_far = Window.partitionBy("k").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = days.unionByName(starts, allowMissingColumns=True).withColumn("__last", F.last("__begun", ignorenulls=True).over(so_far))
+    return last.filter("__kind = 1").withColumn("v", F.when(F.col("__last")["vt"] >= F.col("day"), F.col("__last")["v"])).drop(
+        "__at", "__kind", "__begun", "__last")
+
+
+def _looked_up(asked: DataFrame, spans: DataFrame) -> DataFrame:
+    """``_held`` for any versions."""
+    points = asked.select("k", "day").filter(F.col("k").isNotNull() & F.col("day").isNotNull())
+    hits = stab_join(points, day_number(F.col("day")), spans, day_number(F.col("vf")), day_number(F.col("vt")), ["k"])
+    return asked.join(hits.groupBy("k", "day").agg(F.min_by("v", F.struct("vf", "vt", "v")).alias("v")), ["k", "day"], "left")
+
+
+def customer_months(lines: DataFrame, versions: DataFrame, new_ids: DataFrame, intercompany: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     """Revenue and margin per customer, key account and month.
 
     `lines` is ``(customer_id, day, revenue, cost)``; `new_ids` ``(old_id, new_id)`` replaces migrated customers and
-    `intercompany` ``(customer_id)`` is left out. Lines are summed per customer and day before any lookup.
+    `intercompany` ``(customer_id)`` is left out. Lines are summed per customer and day before any look-up of versions, which
+    then takes each day of a customer once, with its sums.
     """
-    daily = lines.groupBy("customer_id", "day").agg(F.sum("revenue").alias("revenue"), F.sum("cost").alias("cost"))
-    current = daily.join(new_ids.select(F.col("old_id").alias("customer_id"), "new_id"), "customer_id", "left").withColumn(
-        "customer_id", F.coalesce("new_id", "customer_id")).drop("new_id")
-    # Stored once: the look-up asks for its days and the result joins its rows.
-    external = settle(current.join(intercompany.select("customer_id").distinct(), "customer_id", "left_anti"), "external")
-    placed = point_in_time(external, "customer_id", "day", versions, "key_account")
-    return placed.groupBy("customer_id", "key_account", F.date_format("day", "yyyy-MM").alias("period")).agg(
+    current = lines.join(new_ids.select(F.col("old_id").alias("customer_id"), "new_id"), "customer_id", "left").withColumn(
+        "customer_id", F.coalesce("new_id", "customer_id")).withColumn("day", F.col("day").cast("date"))
+    daily = current.groupBy("customer_id", "day").agg(
         F.sum("revenue").alias("revenue"), F.sum(F.col("revenue") - F.col("cost")).alias("margin"))
+    external = daily.join(intercompany.select("customer_id").distinct(), "customer_id", "left_anti")
+    spans = _spans(versions, "customer_id", "key_account")
+    placed = _held(external.withColumnRenamed("customer_id", "k"), spans, hot_key).withColumnsRenamed({"k": "customer_id", "v": "key_account"})
+    return placed.groupBy("customer_id", "key_account", F.date_format("day", "yyyy-MM").alias("period")).agg(
+        F.sum("revenue").alias("revenue"), F.sum("margin").alias("margin"))
 
 
 def plan_vs_actual(plan: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 from datetime import date, timedelta
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from attest.functions.frames import declared
@@ -62,6 +64,39 @@ def test_point_in_time_against_brute_force(spark):
     assert rows(got.select("k", "day", "v")) == sorted(want, key=lambda r: [(x is None, str(x)) for x in r])
 
 
+@pytest.mark.parametrize("hot_key", [0, 3, 50_000])
+def test_values_of_separate_and_overlapping_versions_against_brute_force(spark, hot_key):
+    rng, start = random.Random(hot_key), date(2024, 1, 1)
+    versions, facts = [], [(None, start), ("none", start), ("k1", None)]
+    for i in range(24):
+        day = start
+        for n in range(rng.randint(1, 6)):
+            end = day + timedelta(days=rng.randint(-1, 30))
+            versions.append((f"k{i}", day, None if rng.random() < 0.1 else end, rng.choice([None, f"v{n}"])))
+            # every third key has versions that overlap, the others follow each other, some with gaps
+            day = day + timedelta(days=5) if i % 3 == 0 else (versions[-1][2] or date(2026, 1, 1)) + timedelta(days=rng.randint(1, 9))
+    facts += [(f"k{rng.randint(0, 23)}", start + timedelta(days=rng.randint(-5, 90))) for _ in range(300)]
+    want = []
+    for key, day in facts:
+        hits = sorted(((vf, vt or date(9999, 12, 31)), v) for k, vf, vt, v in versions if day and k == key and vf <= day <= (vt or date(9999, 12, 31)))
+        want.append((key, day, hits[0][1] if hits else None))
+    got = M.point_in_time(declared(spark, "k string, day date", facts), "k", "day",
+                          declared(spark, "k string, valid_from date, valid_to date, v string", versions), "v", hot_key)
+    assert rows(got.select("k", "day", "v")) == sorted(want, key=lambda r: [(x is None, str(x)) for x in r])
+
+
+def test_customer_months_take_each_day_once(spark):
+    d = date
+    lines = declared(spark, "customer_id bigint, day date, revenue decimal(9,2), cost decimal(9,2)", [
+        (1, d(2025, 7, 1), Decimal(10), Decimal(4)), (1, d(2025, 7, 1), Decimal(5), None), (7, d(2025, 7, 1), None, Decimal(3)), (None, d(2025, 7, 1), Decimal(1), Decimal(1))])
+    versions = declared(spark, "customer_id bigint, valid_from date, valid_to date, key_account string", [(1, d(2024, 1, 1), None, "A")])
+    got = M.customer_months(lines, versions, declared(spark, "old_id bigint, new_id bigint", [(7, 1)]), declared(spark, "customer_id bigint", []))
+    # a line without cost or revenue has no margin and takes none from other lines of its day
+    assert {tuple(r) for r in got.collect()} == {(1, "A", "2025-07", Decimal(15), Decimal(6)), (None, None, "2025-07", Decimal(1), Decimal(0))}
+    # versions that follow each other need no join of days with versions
+    assert "min_by" not in got._jdf.queryExecution().toString()
+
+
 def test_gaps_and_facts_in_them_against_brute_force(spark):
     versions, facts = versions_and_facts(4)
     covered: dict = {}
