@@ -2,8 +2,9 @@
 
 Inside a task all steps are Arrow's: token lists are flattened with the index of their text, byte ends are cumulative sums
 that start again in each text, a merge of the ascending (text, end) finds the tokens of both sides that end together, and a group-by
-counts the pairs of a chunk of texts. Spark adds the counts of the chunks, finds the highest count of each token of the
-second side, and brings the sums back: a chunk asks once for each distinct pair it holds, not once for each link.
+counts the pairs of a chunk of texts. Spark adds the counts of the chunks and finds the highest count of each token of the
+second side. That table goes to every task, and chunks look their pairs up where they lie: of two tokens that end together
+one spells an end of the other, so the vocabularies bound the table (324,302 pairs for those of the query), whatever the corpus.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from attest.llm.tokens import Encoder, _byte_letters
 # Texts are aligned in slices of about SLICE_BYTES; the slices of about CHUNK_BYTES share one list of pairs.
 SLICE_BYTES = 1 << 19
 CHUNK_BYTES = 1 << 20
-# Rows that a task holds at a time: texts while they are aligned, chunks when the sums come back.
+# Rows that a task holds at a time: texts while they are aligned, chunks when they are read again.
 _TEXTS, _CHUNKS = 500, 4
 _SIDE = 32  # bits of a token id in a pair
 _FIGURES = ("n_a", "n_b", "n_groups", "n_links")
@@ -202,17 +203,23 @@ def _chunk_rows(sides: Callable[[], tuple]):
     return over
 
 
-def _sums(batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in range(batch.num_rows):
-            docs, links, totals, best = (batch.column(c)[row].values for c in ("docs", "links", "totals", "best"))
-            own = np.repeat(np.arange(len(docs)), docs.field("n_links").to_numpy(zero_copy_only=False))
-            each = pa.table({"doc": own, "n": totals.take(links), "best": pc.cast(best.take(links), pa.int64())})
-            summed = each.group_by("doc", use_threads=False).aggregate([("n", "sum"), ("best", "sum")])
-            found = pc.index_in(pa.array(np.arange(len(docs))), value_set=summed["doc"].combine_chunks())
-            more = [pc.fill_null(summed[c].combine_chunks().take(found), 0) for c in ("best_sum", "n_sum")]
-            names = [docs.type.field(i).name for i in range(docs.type.num_fields)]
-            yield pa.RecordBatch.from_arrays([docs.field(i) for i in range(len(names))] + more, names=[*names, "n_best", "count_sum"])
+def _sum_rows(told):
+    def over(batches) -> Iterator[pa.RecordBatch]:
+        known, total, best_of = told.value
+        for batch in batches:
+            for row in range(batch.num_rows):
+                docs, links, pairs = (batch.column(c)[row].values for c in ("docs", "links", "pairs"))
+                place = np.searchsorted(known, pairs.to_numpy())
+                totals, best = pa.array(total[place]), pa.array(best_of[place])
+                own = np.repeat(np.arange(len(docs)), docs.field("n_links").to_numpy(zero_copy_only=False))
+                each = pa.table({"doc": own, "n": totals.take(links), "best": best.take(links)})
+                summed = each.group_by("doc", use_threads=False).aggregate([("n", "sum"), ("best", "sum")])
+                found = pc.index_in(pa.array(np.arange(len(docs))), value_set=summed["doc"].combine_chunks())
+                more = [pc.fill_null(summed[c].combine_chunks().take(found), 0) for c in ("best_sum", "n_sum")]
+                names = [docs.type.field(i).name for i in range(docs.type.num_fields)]
+                yield pa.RecordBatch.from_arrays([docs.field(i) for i in range(len(names))] + more, names=[*names, "n_best", "count_sum"])
+
+    return over
 
 
 def pair_counts(chunks: DataFrame) -> DataFrame:
@@ -227,6 +234,12 @@ def pair_counts(chunks: DataFrame) -> DataFrame:
     return counted.withColumn("best", F.col("total") == F.max("total").over(same_b))
 
 
+def _by_pair(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs in ascending order, their totals, 1 where best else 0)."""
+    table = counted.select("pair", "total", F.col("best").cast("bigint")).toArrow().sort_by("pair")
+    return tuple(c.combine_chunks().to_numpy() for c in table.columns)
+
+
 def align_corpus(docs: DataFrame, keys: Sequence[str], sides: Callable[[], tuple], text: str = "text") -> DataFrame:
     """Per row of `docs`: `keys`, n_a, n_b, n_groups, n_links, groups_sha256, n_best and count_sum.
 
@@ -236,8 +249,8 @@ def align_corpus(docs: DataFrame, keys: Sequence[str], sides: Callable[[], tuple
     texts that the tokens of a side do not spell out with a space before them, have no tokens: all figures are 0 and the
     digest is empty. Every row counts, repeated rows as often as they occur; an empty table gives no rows. Keys may be null,
     of any type, but not bear one of the new names. A chunk is a run of texts of about CHUNK_BYTES bytes, or one longer text
-    that ends it. Chunks are stored once with their links, so texts are encoded once and a lost executor repeats only
-    its own part.
+    that ends it. Chunks are stored once with their links and never shuffled, so texts are encoded once and a lost executor
+    repeats only its own part.
     """
     clash = {*_FIGURES, "groups_sha256", "n_best", "count_sum"} & set(keys)
     if clash:
@@ -249,17 +262,13 @@ def align_corpus(docs: DataFrame, keys: Sequence[str], sides: Callable[[], tuple
         T.StructField("chunk", T.LongType()), T.StructField("docs", T.ArrayType(of_doc)),
         T.StructField("links", T.ArrayType(T.IntegerType())), T.StructField("pairs", T.ArrayType(T.LongType())),
         T.StructField("counts", T.ArrayType(T.LongType()))])
+    spark = docs.sparkSession
     batches = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    with setting(docs.sparkSession, batches, str(_TEXTS)):
+    with setting(spark, batches, str(_TEXTS)):
         chunks = stored(plain.mapInArrow(_chunk_rows(sides), schema), "aligned")
-    asked = chunks.select("chunk", F.posexplode("pairs").alias("place", "pair"))
-    told = asked.join(pair_counts(chunks), "pair").groupBy("chunk").agg(
-        F.array_sort(F.collect_list(F.struct("place", "total", "best"))).alias("told"))
-    full = chunks.select("chunk", "docs", "links").join(told, "chunk", "left")
-    empty = F.array().cast
-    ready = full.select("docs", "links", F.coalesce(F.col("told.total"), empty("array<bigint>")).alias("totals"),
-                        F.coalesce(F.col("told.best"), empty("array<boolean>")).alias("best"))
-    summed = ready.mapInArrow(_sums, T.StructType([*of_doc.fields, T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType())]))
-    with setting(docs.sparkSession, batches, str(_CHUNKS)):
-        out = stored(summed, "sums")  # written here, while the batches are small
+    done = T.StructType([*of_doc.fields, T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType())])
+    with setting(spark, "spark.sql.parquet.columnarReaderBatchSize", str(_CHUNKS)):  # a chunk is a large row
+        told = spark.sparkContext.broadcast(_by_pair(pair_counts(chunks)))
+        with setting(spark, batches, str(_CHUNKS)):
+            out = stored(chunks.select("docs", "links", "pairs").mapInArrow(_sum_rows(told), done), "sums")
     return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], *_FIGURES, "n_best", "count_sum", "groups_sha256")

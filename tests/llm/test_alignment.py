@@ -120,3 +120,20 @@ def test_pairs_of_equal_places():
     left, right = np.array([1, 1, 3, 4, 7]), np.array([0, 1, 1, 4, 4, 8])
     assert list(zip(*(x.tolist() for x in _same(left, right)))) == [(0, 1), (0, 2), (1, 1), (1, 2), (3, 3), (3, 4)]
     assert [len(x) for x in _same(left[:0], right)] == [0, 0]
+
+
+def test_chunks_are_not_shuffled(spark, monkeypatch):
+    """What is shuffled are pairs and their counts, which the vocabularies bound; rows of chunks stay where they are."""
+    plans, real = {}, alignment.stored
+    monkeypatch.setattr(alignment, "stored", lambda df, name: plans.update({name: df._jdf.queryExecution().toString()}) or real(df, name))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd_texts())], "doc_id long, text string").repartition(6)
+    alignment.align_corpus(df, ["doc_id"], sides)
+    assert "MapInArrow" in plans["sums"]
+    assert not any(step in plans["sums"] for step in ("Exchange", "Join", "Aggregate"))
+
+
+def test_linked_tokens_spell_an_end_of_one_another():
+    both = sides()
+    pairs = alignment.align(pa.array([t for t in odd_texts() if t]), *both)[2].to_numpy()
+    a, b = (side.bytes.take(pa.array(ids)).to_pylist() for side, ids in zip(both, (pairs >> 32, pairs & (1 << 32) - 1)))
+    assert pairs.size and all(x.endswith(y) or y.endswith(x) for x, y in zip(a, b))
