@@ -5,6 +5,9 @@ of its neighbours over the whole corpus, so one pass with integer sums, in any o
 kept in a fixed number of hash buckets: the table has a proven size, whatever the corpus. A text is the mean of its word
 vectors and the mean product of neighbouring ones (repetition shows there). A network is fitted on a bounded sample of
 labelled texts, its temperature on another part of that sample.
+
+Sums over words are made dimension by dimension: one dimension of all buckets stays in a core's cache while the words of a
+slice look it up, and nothing holds a row of all dimensions for every word.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ REACH = 2  # neighbours on either side
 CHUNK = 256  # buckets per row of a partial table
 SAMPLE = 20_000  # labelled texts the network is fitted on, at most about this many
 HIDDEN = 32
+SLICE_BYTES = 1 << 20  # texts whose words are looked up at a time
+SPLIT_BYTES = 1 << 16  # texts that are split into words at a time: their eight bytes a byte are reused, not given back and asked for again
 
 
 def _kinds() -> np.ndarray:
@@ -54,6 +59,16 @@ def index_vectors() -> np.ndarray:
 
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(text number, bucket) of each word: a run of letters, of digits or of other signs."""
+    found, before = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    for part in slices(pa.record_batch([column], names=["text"]), "text", SPLIT_BYTES):
+        doc, word = _split(part.column("text"))
+        found.append((doc + before, word))
+        before += part.num_rows
+    doc, word = map(np.concatenate, zip(*found))
+    return doc, word
+
+
+def _split(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw, at = text_column(column)
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -71,28 +86,28 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _table_rows(batches):
     """One partial table of sums per task, in rows of CHUNK buckets."""
-    index, total = index_vectors(), np.zeros((BUCKETS, DIMS), np.int64)
+    # a word's neighbours add up to 2 * REACH * NONZERO at most, which a byte holds; sums are whole numbers below 2^53
+    index, total = np.ascontiguousarray(index_vectors().T, np.int8), np.zeros((DIMS, BUCKETS))
     some = False
     for batch in batches:
-        for part in slices(batch, "text", 1 << 19):
+        for part in slices(batch, "text", SLICE_BYTES):
             doc, word = words(part.column("text"))
             if not len(doc):
                 continue
             some = True
-            own = index[word]
-            near = np.zeros_like(own)
-            for k in range(1, REACH + 1):
-                same = (doc[k:] == doc[:-k])[:, None]
-                near[k:] += own[:-k] * same
-                near[:-k] += own[k:] * same
-            order = np.argsort(word, kind="stable")
-            heads = np.flatnonzero(np.r_[True, np.diff(word[order]) > 0])
-            total[word[order][heads]] += np.add.reduceat(near[order], heads, axis=0)
+            same = [(doc[k:] == doc[:-k]).view(np.int8) for k in range(1, REACH + 1)]
+            for d in range(DIMS):
+                own = index[d].take(word, mode="clip")  # faster than with a check of bounds; no bucket is beyond them
+                near = np.zeros_like(own)
+                for k, inside in enumerate(same, 1):
+                    near[k:] += own[:-k] * inside
+                    near[:-k] += own[k:] * inside
+                total[d] += np.bincount(word, near, BUCKETS)
     if some:
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(BUCKETS // CHUNK, dtype=np.int32)),
              pa.array([TaskContext.get().partitionId() % 32] * (BUCKETS // CHUNK), pa.int32()),
-             pa.array([total[k:k + CHUNK].astype("<i8").tobytes() for k in range(0, BUCKETS, CHUNK)], pa.binary())],
+             pa.array([total[:, k:k + CHUNK].T.astype("<i8").tobytes() for k in range(0, BUCKETS, CHUNK)], pa.binary())],
             names=["chunk", "part", "sums"])
 
 
@@ -110,7 +125,7 @@ def _merged(batches):
 
 
 def word_vectors(texts: DataFrame) -> np.ndarray:
-    """The table of word vectors (BUCKETS x DIMS) of `texts` (text), of fixed size, centred and of length one."""
+    """The table of word vectors (BUCKETS x DIMS) of `texts` (text), of fixed size, centred and of length one, stored by columns."""
     shape = "chunk int, part int, sums binary"
     parts = texts.mapInArrow(_table_rows, shape)
     some = parts.repartition("chunk", "part").mapInArrow(_merged, shape)
@@ -123,7 +138,7 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
     seen = size[:, 0] > 0
     if seen.any():
         table[seen] -= table[seen].mean(0)
-    return table.astype(np.float32)
+    return np.asfortranarray(table, np.float32)
 
 
 def pooled(column: pa.Array, table: np.ndarray) -> np.ndarray:
@@ -135,11 +150,15 @@ def pooled(column: pa.Array, table: np.ndarray) -> np.ndarray:
         return out
     counts = np.bincount(doc, minlength=docs)
     heads = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    own = table[word]
-    out[doc[heads], :DIMS] = np.add.reduceat(own, heads, axis=0) / counts[doc[heads], None]
-    beside = np.zeros_like(own)
-    beside[1:] = own[1:] * own[:-1] * (doc[1:] == doc[:-1])[:, None]
-    out[doc[heads], DIMS:2 * DIMS] = np.add.reduceat(beside, heads, axis=0) / counts[doc[heads], None]
+    rows = doc[heads]
+    beside = np.zeros(len(word), np.float32)
+    for d in range(DIMS):
+        own = table[:, d].take(word, mode="clip")
+        out[rows, d] = np.add.reduceat(own, heads)
+        np.multiply(own[1:], own[:-1], out=beside[1:])
+        beside[heads] = 0  # the first word of a text has none before it
+        out[rows, DIMS + d] = np.add.reduceat(beside, heads)
+    out[rows, :2 * DIMS] /= counts[rows, None]
     out[:, -1] = np.log1p(counts)
     return out
 
@@ -202,7 +221,7 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 40, batch: int = 256, decay:
 
 def _sample_rows(table):
     def rows(batch: pa.RecordBatch):
-        for part in slices(batch, "text", 1 << 19):
+        for part in slices(batch, "text", SLICE_BYTES):
             x = pooled(part.column("text"), table.value)
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array([r.tobytes() for r in x], pa.binary())],
                                              names=["id", "label", "features"])
@@ -212,7 +231,7 @@ def _sample_rows(table):
 
 def _score_rows(columns: list[str], table, network: Network):
     def rows(batch: pa.RecordBatch):
-        for part in slices(batch, "__text", 1 << 19):
+        for part in slices(batch, "__text", SLICE_BYTES):
             score = network.scores(pooled(part.column("__text"), table.value).astype(np.float64))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(score)], names=[*columns, "__score"])
 

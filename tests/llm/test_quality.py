@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -66,3 +67,32 @@ def test_edges(spark):
     docs = spark.createDataFrame([(1, "a " * 200_000), (2, None)], "doc_id long, text string")
     assert [x.score for x in classify(docs, labels, ["doc_id"]).collect()] == [0.5, 0.5]
     assert fit(np.zeros((20, 3)), np.ones(20)).scores(np.zeros((1, 3)))[0] > 0.9
+
+
+def test_words_of_blocks():
+    texts = ["ab ## c1" * 3, None, "x" * (quality.SPLIT_BYTES + 5), "", "ab 12"] * 3 + ["ab cd " * (quality.SPLIT_BYTES // 4)] + ["", "é!"]
+    doc, word = words(pa.array(texts, pa.string()))
+    each = [words(pa.array([t], pa.string()))[1].tolist() for t in texts]
+    assert doc.tolist() == [i for i, own in enumerate(each) for _ in own]
+    assert word.tolist() == [w for own in each for w in own]
+    assert [len(x) for x in words(pa.array([], pa.string()))] == [0, 0]
+
+
+def test_no_row_of_dimensions_for_each_word(monkeypatch):
+    """48 floats a word are 192 bytes, and sums and products of such rows are several times that."""
+    class Task:
+        get, partitionId = classmethod(lambda cls: cls), staticmethod(lambda: 0)
+
+    monkeypatch.setattr(quality, "TaskContext", Task)
+    texts = pa.array([t for _, t, _ in data(3, 2500)], pa.string())
+    n = len(words(texts)[0])
+    assert texts.nbytes < quality.SLICE_BYTES and n > 100_000
+    table = np.asfortranarray(np.random.default_rng(1).normal(size=(quality.BUCKETS, quality.DIMS)), np.float32)
+    fixed = quality.BUCKETS * quality.DIMS * 8 * 3 + len(texts) * quality.DIMS * 2 * 4 * 3
+    for work in (lambda: pooled(texts, table), lambda: list(quality._table_rows([pa.record_batch([texts], names=["text"])]))):
+        work()
+        tracemalloc.start()
+        work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < fixed + 128 * n
