@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,10 @@ class ByteLevel:
     def tokens(self, texts: pa.Array) -> Tokens:
         return self.encoder.encode(pc.binary_join_element_wise(pa.scalar(" ", texts.type), texts, pa.scalar("", texts.type)))
 
+    def forget(self) -> None:
+        """Let go of the words met so far."""
+        self.encoder._forget()
+
 
 class Pieces:
     """Side of a sentence-piece model, which puts its own space before a text."""
@@ -74,6 +79,15 @@ class Pieces:
             at += len(each)
         return flat, counts
 
+    def forget(self) -> None:
+        """Nothing is kept of the texts."""
+
+
+@lru_cache(maxsize=2)
+def loaded(kind: type, path: str):
+    """A side that a worker process keeps from task to task: memory that tokenizers have used is not all given back with them."""
+    return kind(path)
+
 
 def _offsets(counts: np.ndarray) -> np.ndarray:
     out = np.zeros(len(counts) + 1, np.int64)
@@ -197,6 +211,8 @@ def _chunk_rows(sides: Callable[[], tuple]):
                     number, held, size = number + 1, [], 0
         if held:
             yield _chunk(number, held)
+        for side in (a_side, b_side):
+            side.forget()
         del a_side, b_side, held
         pa.default_memory_pool().release_unused()  # the worker process lives on
 
@@ -243,7 +259,7 @@ def _by_pair(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def align_corpus(docs: DataFrame, keys: Sequence[str], sides: Callable[[], tuple], text: str = "text") -> DataFrame:
     """Per row of `docs`: `keys`, n_a, n_b, n_groups, n_links, groups_sha256, n_best and count_sum.
 
-    `sides` returns the two tokenizers of a task. The byte offsets at which tokens of both end cut a text into groups;
+    `sides` returns the two tokenizers of a task, which may be `loaded` once for many tasks. The byte offsets at which tokens of both end cut a text into groups;
     links are the pairs of tokens that end together. n_best counts the links whose pair is the most frequent of its second
     token in the whole corpus, ties included; count_sum adds up the corpus counts of all links. Null and empty texts, and
     texts that the tokens of a side do not spell out with a space before them, have no tokens: all figures are 0 and the

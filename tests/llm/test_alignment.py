@@ -137,3 +137,15 @@ def test_linked_tokens_spell_an_end_of_one_another():
     pairs = alignment.align(pa.array([t for t in odd_texts() if t]), *both)[2].to_numpy()
     a, b = (side.bytes.take(pa.array(ids)).to_pylist() for side, ids in zip(both, (pairs >> 32, pairs & (1 << 32) - 1)))
     assert pairs.size and all(x.endswith(y) or y.endswith(x) for x, y in zip(a, b))
+
+
+def test_worker_keeps_tokenizers_but_no_words():
+    a, b = (alignment.loaded(kind, path) for kind, path in ((alignment.ByteLevel, TOKENIZER), (alignment.Pieces, PIECES)))
+    assert alignment.loaded(alignment.ByteLevel, TOKENIZER) is a and alignment.loaded(alignment.Pieces, PIECES) is b
+    texts = pa.array([t for t in odd_texts() if t])
+    first = alignment.align(texts, a, b)[0]
+    assert len(a.encoder.known) and len(a.encoder.pool)
+    for side in (a, b):
+        side.forget()
+    assert not len(a.encoder.known) and not len(a.encoder.pool)
+    assert alignment.align(texts, a, b)[0] == first
